@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from medialoom.llm import quality
+from pyspark.sql import functions as F
+
+from medialoom.llm import bpe, dac, quality
 from medialoom.session import table
 
 
+def op4_bpe(spark, sf_dir):
+    enc = bpe.encode(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+    return enc.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op7_token_files(spark, sf_dir):
+    back = dac.stored(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
 def queries():
     return {
+        "op4_bpe": op4_bpe,
+        "op7_token_files": op7_token_files,
         "op10_quality_rules": op10_quality_rules,
     }
 
