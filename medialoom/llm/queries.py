@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.llm import bpe, dac, quality
+from medialoom.llm import bpe, dac, quality, repeats
 from medialoom.session import table
 
 
+def op3_substring_dedup(spark, sf_dir):
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
 def op4_bpe(spark, sf_dir):
     enc = bpe.encode(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
     return enc.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
@@ -24,6 +29,7 @@ def op10_quality_rules(spark, sf_dir):
 
 def queries():
     return {
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_bpe": op4_bpe,
         "op7_token_files": op7_token_files,
         "op10_quality_rules": op10_quality_rules,
