@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.llm import bpe, dac, quality, repeats
+from medialoom.llm import bpe, dac, neardup, quality, repeats
 from medialoom.session import table
 
 
@@ -18,6 +18,10 @@ def op4_bpe(spark, sf_dir):
     return enc.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op6_minhash_neardup(spark, sf_dir):
+    return neardup.components(table(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
 def op7_token_files(spark, sf_dir):
     back = dac.stored(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -31,6 +35,7 @@ def queries():
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op4_bpe": op4_bpe,
+        "op6_minhash_neardup": op6_minhash_neardup,
         "op7_token_files": op7_token_files,
         "op10_quality_rules": op10_quality_rules,
     }
