@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.llm import bpe, dac, neardup, quality, repeats
+from medialoom.llm import bpe, dac, neardup, pii, quality, repeats
 from medialoom.session import table
 
 
@@ -18,6 +18,13 @@ def op4_bpe(spark, sf_dir):
     return enc.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op5_pii(spark, sf_dir):
+    df = pii.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < 4)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return df.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op6_minhash_neardup(spark, sf_dir):
     return neardup.components(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
@@ -35,6 +42,7 @@ def queries():
     return {
         "op3_substring_dedup": op3_substring_dedup,
         "op4_bpe": op4_bpe,
+        "op5_pii": op5_pii,
         "op6_minhash_neardup": op6_minhash_neardup,
         "op7_token_files": op7_token_files,
         "op10_quality_rules": op10_quality_rules,
