@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.llm import bpe, dac, neardup, pii, quality, repeats
+from medialoom.llm import bpe, dac, neardup, pii, quality, repeats, secrets, topk
 from medialoom.session import table
 
 
@@ -34,6 +34,34 @@ def op7_token_files(spark, sf_dir):
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    df = secrets.find(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["rank"] < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return df.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op9_topk(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -45,9 +73,11 @@ def queries():
         "op5_pii": op5_pii,
         "op6_minhash_neardup": op6_minhash_neardup,
         "op7_token_files": op7_token_files,
+        "op8_secret_scan": op8_secret_scan,
+        "op9_topk": op9_topk,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_topk": OP9_SQL}
