@@ -6,7 +6,7 @@ token's own text, and each adjacent pair is what they make of the pair's text; s
 of all new words of a batch are checked at once, as integer codes against a table of pairs
 already judged, and only words with a failing pair go through the exact merges.
 
-Words repeat, so a worker keeps the encodings of up to CACHE words (cleared when full).
+Words repeat, so a worker keeps the encodings of the first CACHE words it meets.
 
 Defined results: a null text is an empty one (no ids, empty decoded text); empty texts give
 no ids; repeated rows are encoded one by one; an empty table gives an empty one; columns
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from medialoom.llm.common import documents_of
 
-CACHE = 600_000
+CACHE = 700_000
 CHUNK_CHARS = 1_000_000
 
 #: Letters, numbers and white space below U+0180, as the tokenizers' patterns see them.
@@ -35,6 +35,21 @@ _RARE = re.compile("[^\x00-įı-ſ]")
 _PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
+def words_to_learn(words: set, known: dict) -> tuple[list, list]:
+    """The words that `known` lacks, and those of them to forget after use.
+
+    Once CACHE words are known, new ones pass: what was met first is what is frequent.  If
+    most words of a batch are unknown then, the texts have changed, and `known` starts anew.
+    """
+    new = words.difference(known)
+    if len(known) + len(new) <= CACHE:
+        return list(new), []
+    if 2 * len(new) > len(words):
+        known.clear()
+        return list(words), []
+    return list(new), list(new)
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable Latin-1, else the next code from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -187,17 +202,16 @@ class SpeculativeBPE:
         normal = self.library.normalizer.normalize_str(text)
         return [p.encode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def _learn(self, lists: list[list[str]]) -> None:
-        new = set().union(*lists).difference(self.ids)
-        if len(self.ids) + len(new) > CACHE:
-            self.ids.clear()
+    def _learn(self, lists: list[list[str | bytes]]) -> list[str | bytes]:
+        """Learns the new words; returns those that are to be forgotten after use."""
+        new, passing = words_to_learn(set().union(*lists), self.ids)
+        if not self.ids:
             self.text.clear()
-            new = set().union(*lists)
-        new = list(new)
         names = self.names
         for p, ids in zip(new, self.encode_words([p.decode() if isinstance(p, bytes) else self._mapped(p) for p in new])):
             self.ids[p] = " ".join(map(str, ids))
             self.text[p] = " ".join(map(names.__getitem__, ids))
+        return passing
 
     def encode_texts(self, texts: list[str | None]) -> tuple[list[str], list[str]]:
         """For each text its ids, and the decoded text (this vocabulary's decoder joins token strings by a space)."""
@@ -209,7 +223,7 @@ class SpeculativeBPE:
                 parts.append([("", x) if i % 2 else (self.pieces(x), None) for i, x in enumerate(self.split_special.split(t)) if x])
             else:
                 parts.append([(self.pieces(t), None)])
-        self._learn([ps for segments in parts for ps, special in segments if special is None])
+        passing = self._learn([ps for segments in parts for ps, special in segments if special is None])
         get_id, get_text, ids, decoded = self.ids.__getitem__, self.text.__getitem__, [], []
         for segments in parts:
             if len(segments) == 1 and segments[0][1] is None:
@@ -227,6 +241,8 @@ class SpeculativeBPE:
                     b.extend(map(get_text, ps))
             ids.append(" ".join(a))
             decoded.append(" ".join(b))
+        for p in passing:
+            del self.ids[p], self.text[p]
         return ids, decoded
 
 

@@ -32,13 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from medialoom.llm.bpe import LETTERS, NUMBERS, SPACES, chunks, vocabulary
-from medialoom.llm.common import documents_of, file_system, fresh_path, parts_for, saved, text_bytes
+from medialoom.llm.bpe import LETTERS, NUMBERS, SPACES, chunks, vocabulary, words_to_learn
+from medialoom.llm.common import documents_of, file_system, fresh_path, parts_for, saved, shuffle_partitions, text_bytes
 
 MAGIC = b"MLDAC001"
 BLOCK = 512
 PART_BYTES = 32_000_000
-CACHE = 800_000
 _RARE = re.compile("[^\x00-ſ]")
 _PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
@@ -130,26 +129,27 @@ class Reader:
 class LibraryIds:
     """Ids of texts by the tokenizers library; a text whose split is known here is looked up word by word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
+        """ordinary: special tokens' strings in a text are ordinary text."""
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = ordinary
+        self.special = [] if ordinary else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Each text's ids and the end id, as little-endian uint32."""
         plain = [None if not t else _PIECES.findall(t) if (t.isascii() or not _RARE.search(t)) and not any(s in t for s in self.special) else False for t in texts]
-        lists = [p for p in plain if p]
-        new = set().union(*lists).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*lists)
-        new = list(new)
+        words = set().union(*[p for p in plain if p])
+        new, passing = words_to_learn(words, self.known)
         for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else []):
             self.known[p] = np.array(e.ids, "<u4").tobytes()
         end, get = struct.pack("<I", end_id), self.known.__getitem__
-        return [end if p is None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end if p is False else b"".join(map(get, p)) + end for p, t in zip(plain, texts)]
+        out = [end if p is None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end if p is False else b"".join(map(get, p)) + end for p, t in zip(plain, texts)]
+        for p in passing:
+            del self.known[p]
+        return out
 
 
 _LIBRARY: dict[str, LibraryIds] = {}
@@ -199,7 +199,7 @@ def _make_folder(uri: str) -> None:
 
 def read_corpus(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """For each document, from the files: doc_id, start, n_tokens and the ids as little-endian uint32 (ids)."""
-    files = manifest.select("file", "first_id").repartition(F.col("file"))
+    files = manifest.select("file", "first_id").repartition(shuffle_partitions(spark), "file")
 
     def run(batches):
         for batch in batches:

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.llm import bpe, dac, neardup, pii, quality, repeats, secrets, topk
+from medialoom.llm import bpe, dac, mixing, neardup, pii, quality, repeats, secrets, tokencount, topk
 from medialoom.session import table
 
 
+def op1_token_counts(spark, sf_dir):
+    return tokencount.token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+def op2_mixing(spark, sf_dir):
+    out = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    shares = [F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
+    return out.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
 def op3_substring_dedup(spark, sf_dir):
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
@@ -68,6 +78,8 @@ def op10_quality_rules(spark, sf_dir):
 
 def queries():
     return {
+        "op1_token_counts": op1_token_counts,
+        "op2_mixing": op2_mixing,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_bpe": op4_bpe,
         "op5_pii": op5_pii,
