@@ -1,3 +1,56 @@
+"""The corpus pipeline: quality rules, near-dedup, personal data, mixing, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept;
+all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from medialoom.llm import bpe, common, mixing, neardup, pii, quality
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go."""
+    return quality.filtered(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest doc_id."""
+    return neardup.deduplicated(docs, shingle=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by the name of its kind."""
+    return pii.redacted(docs)
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as the rates fitted to the domains' weights say."""
+    return mixing.resampled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (decimal, joined by a space), and the text decoded from them."""
+    return bpe.encode(docs, "word_bpe_49k.json")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-dedup", near_dedup),
+    ("personal data", personal_data),
+    ("mixing", mixing_weights),
+    ("BPE encoding", encode),
+]
+
+#: SQL expresses neither the classifier's fit nor the encoding.
 ORACLE_SQL = None
-run = None
-STAGES = []
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a data folder; what a stage returns is written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = common.saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
