@@ -236,7 +236,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.filter("blocks = 1 or mine <> other")  # two different blocks hold all pairs within each as well
     placed = placed.select("doc_id", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    texts = docs.join(placed, "doc_id").select("cluster", "i", "j", F.col("doc_id").alias("node"), "text")
+    texts = docs.join(placed.hint("merge"), "doc_id").select("cluster", "i", "j", F.col("doc_id").alias("node"), "text")
     found = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verified(shingle, percent), "a long, b long")
     linked = connected_components(found)
 
