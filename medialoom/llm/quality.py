@@ -155,4 +155,7 @@ def filtered(docs: DataFrame) -> DataFrame:
     own = [f"c{i}" for i in range(len(docs.columns))]  # other columns can be called anything, q_kept included
     named = docs.toDF(*own)
     text = own[docs.columns.index("text")]
-    return judged(named, text=text).filter("q_kept").select(*own).toDF(*docs.columns)
+    # The row number is always >= 0.  As it is not deterministic, the filter stays above the projection;
+    # pushed below, it would hold every metric's expression again, nested, for each use of it.
+    df = judged(named, text=text).withColumn("q_row", F.monotonically_increasing_id())
+    return df.filter(F.col("q_kept") & (F.col("q_row") >= 0)).select(*own).toDF(*docs.columns)
