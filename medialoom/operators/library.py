@@ -67,7 +67,7 @@ def retry_failed(media: DataFrame, libs: list[int] | None = None, everything: bo
     again = F.lit(True) if everything else F.col("state") == 2
     if libs is not None:
         again = again & F.col("lib").isin(*libs)
-    return media.withColumn("state", F.when(again, 0).otherwise(F.col("state"))).withColumn("err", F.when(again, None).otherwise(F.col("err")))
+    return media.withColumns({"state": F.when(again, 0).otherwise(F.col("state")), "err": F.when(~again, F.col("err"))})
 
 
 def rate(media: DataFrame, ids: DataFrame, rating: int | None = None, fav: bool | None = None) -> DataFrame:
