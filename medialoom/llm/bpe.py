@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from medialoom.llm.common import documents_of
+from medialoom.llm.common import claim, documents_of, keeps
 
-CACHE = 700_000
+CACHE, PAIRS = 400_000, 400_000
 CHUNK_CHARS = 1_000_000
 
 #: Letters, numbers and white space below U+0180, as the tokenizers' patterns see them.
@@ -35,14 +35,14 @@ _RARE = re.compile("[^\x00-įı-ſ]")
 _PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
-def words_to_learn(words: set, known: dict) -> tuple[list, list]:
+def words_to_learn(words: set, known: dict, most: int = CACHE) -> tuple[list, list]:
     """The words that `known` lacks, and those of them to forget after use.
 
-    Once CACHE words are known, new ones pass: what was met first is what is frequent.  If
+    Once `most` words are known, new ones pass: what was met first is what is frequent.  If
     most words of a batch are unknown then, the texts have changed, and `known` starts anew.
     """
     new = words.difference(known)
-    if len(known) + len(new) <= CACHE:
+    if len(known) + len(new) <= most:
         return list(new), []
     if 2 * len(new) > len(words):
         known.clear()
@@ -171,7 +171,7 @@ class SpeculativeBPE:
         inside = word[1:] == word[:-1]
         codes = (flat[:-1] * self.width + flat[1:])[inside]
         unique, place = np.unique(codes, return_inverse=True)
-        if len(self.ok_pair) > 4 * CACHE:
+        if len(self.ok_pair) > PAIRS:
             self.ok_pair.clear()
         verdict = np.empty(len(unique), bool)
         for i, code in enumerate(unique.tolist()):
@@ -247,6 +247,7 @@ class SpeculativeBPE:
 
 
 _ENCODERS: dict[str, SpeculativeBPE] = {}
+keeps("bpe", _ENCODERS.clear)
 
 
 def encoder(path: str) -> SpeculativeBPE:
@@ -280,6 +281,7 @@ def encode(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
     """doc_id, n_tokens, ids (decimal, joined by a space) and the text decoded from them, for each row of docs."""
 
     def run(batches):
+        claim("bpe")
         enc = encoder(vocabulary(name))
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -69,21 +70,42 @@ def binary_array(values: list[bytes]) -> pa.Array:
 
 # ---------------------------------------------------------------- words and their hashes
 
+#: What each kind of operator keeps in a Python worker between tasks: name -> how to let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, forget: Callable[[], None]) -> None:
+    _KEPT[name] = forget
+
+
+def claim(name: str) -> None:
+    """Called when an operator begins in a worker: what other kinds of operators have kept there goes, so that a job of many stages needs no more memory than its largest."""
+    for other, forget in _KEPT.items():
+        if other != name:
+            forget()
+
+
 class _WordHashes(dict):
-    """64-bit hash of each word met so far; emptied before it grows past its bound, so memory stays bounded."""
+    """64-bit hash of each word met so far, up to LIMIT words; it starts anew after as many misses again and more, when the texts have changed."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
+    passed = 0
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
         h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
+        if len(self) < self.LIMIT:
+            if len(word) <= 64:
+                self[word] = h
+        else:
+            self.passed += 1
+            if self.passed > 20 * self.LIMIT:
+                self.clear()
+                self.passed = 0
         return h
 
 
 _HASHES = _WordHashes()
+keeps("hashes", _HASHES.clear)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

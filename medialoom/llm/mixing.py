@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import ascii_lower, documents_of, saved, word_hashes
+from medialoom.llm.common import ascii_lower, claim, documents_of, saved, word_hashes
 
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of tokens in the mix.
@@ -119,6 +119,7 @@ def posteriors(docs: DataFrame, classifier: Classifier, tokens: str | None = Non
     shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.bias))  # FEATURES x domains numbers
 
     def run(batches):
+        claim("hashes")
         c = Classifier(*shared.value)
         for batch in batches:
             ps, ns = [], []

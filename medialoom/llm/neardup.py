@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import ascii_lower, documents_of, gram_hashes, saved, word_hashes
+from medialoom.llm.common import ascii_lower, claim, documents_of, gram_hashes, saved, word_hashes
 from medialoom.llm.graph import connected_components
 
 M, BANDS, ROWS, MANTISSA = 128, 32, 4, 10
@@ -86,6 +86,7 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (16 bytes) and registers, for each row."""
 
     def run(batches):
+        claim("hashes")
         for batch in batches:
             texts = batch.column(1)
             sizes, digests, regs = [], [], []
@@ -197,6 +198,7 @@ def _verified(n: int, percent: int):
         return _stars(_parts(len(sets), linked), nodes)
 
     def run(batches):
+        claim("hashes")
         for t, cuts in _groups(batches, ["cluster", "i", "j"]):
             if cuts[-1] != t.num_rows:
                 cuts = np.append(cuts, t.num_rows)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import documents_of, gram_hashes, mixed, parts_for, shuffle_partitions, text_bytes, word_hashes
+from medialoom.llm.common import claim, documents_of, gram_hashes, mixed, parts_for, shuffle_partitions, text_bytes, word_hashes
 
 WINDOW, BLOCK = 20, 10
 SHARD_BYTES = 8_000_000
@@ -43,6 +43,7 @@ class _Shard:
     """The documents of a shard in their order, and the hashes of their words one after another."""
 
     def __init__(self, t: pa.Table):
+        claim("hashes")
         ids = t.column("doc_id").to_pylist()
         texts = t.column("text").to_pylist()
         order = sorted(range(len(ids)), key=lambda i: (_NULL_ID if ids[i] is None else ids[i], texts[i] is not None, texts[i] or ""))
