@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medialoom.llm.bpe import LETTERS, NUMBERS, SPACES, chunks, vocabulary, words_to_learn
-from medialoom.llm.common import documents_of, file_system, fresh_path, parts_for, saved, shuffle_partitions, text_bytes
+from medialoom.llm.common import claim, documents_of, file_system, fresh_path, keeps, parts_for, saved, shuffle_partitions, text_bytes
 
 MAGIC = b"MLDAC001"
 BLOCK = 512
+CACHE, CHUNK_CHARS = 700_000, 3_000_000
 PART_BYTES = 32_000_000
 _RARE = re.compile("[^\x00-ſ]")
+_SPACED = re.compile(f"[{SPACES}]")
 _PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
 
 
@@ -136,15 +138,31 @@ class LibraryIds:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = ordinary
         self.special = [] if ordinary else [t.content for t in self.library.get_added_tokens_decoder().values()]
+        end = self.library.encode("\n", add_special_tokens=False).ids
+        self.line_end = end[0] if len(end) == 1 else None
         self.known: dict[str, bytes] = {}
 
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words without white space, but for one space before them, go as lines of
+        one text: the split takes the line ends out as words of their own, so their id parts the rest."""
+        lines = [w for w in words if not _SPACED.search(w, 1 if w[0] == " " else 0) and len(w) > (w[0] == " ")]
+        out = {}
+        if lines and self.line_end is not None:
+            ids = np.array(self.library.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == self.line_end), len(ids))
+            if len(ends) == len(lines):
+                raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                out = dict(zip(lines, (raw[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], cuts))))
+        rest = [w for w in words if w not in out]
+        out |= zip(rest, (np.array(e.ids, "<u4").tobytes() for e in (self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else [])))
+        return [out[w] for w in words]
+
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Each text's ids and the end id, as little-endian uint32."""
         plain = [None if not t else _PIECES.findall(t) if (t.isascii() or not _RARE.search(t)) and not any(s in t for s in self.special) else False for t in texts]
         words = set().union(*[p for p in plain if p])
-        new, passing = words_to_learn(words, self.known)
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            self.known[p] = np.array(e.ids, "<u4").tobytes()
+        new, passing = words_to_learn(words, self.known, CACHE)
+        self.known.update(zip(new, self._of_words(new)))
         end, get = struct.pack("<I", end_id), self.known.__getitem__
         out = [end if p is None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end if p is False else b"".join(map(get, p)) + end for p, t in zip(plain, texts)]
         for p in passing:
@@ -152,13 +170,16 @@ class LibraryIds:
         return out
 
 
-_LIBRARY: dict[str, LibraryIds] = {}
+_LIBRARY: dict[tuple[str, bool], LibraryIds] = {}
+keeps("library", _LIBRARY.clear)
 
 
-def library_ids(path: str) -> LibraryIds:
-    if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryIds(path)
-    return _LIBRARY[path]
+def library_ids(path: str, ordinary: bool = False) -> LibraryIds:
+    claim("library")
+    if (path, ordinary) not in _LIBRARY:
+        _LIBRARY.clear()
+        _LIBRARY[path, ordinary] = LibraryIds(path, ordinary)
+    return _LIBRARY[path, ordinary]
 
 
 # ---------------------------------------------------------------- writing and reading a corpus
@@ -176,7 +197,7 @@ def write_corpus(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json",
         for batch in batches:
             texts = batch.column(1).to_pylist()
             doc_ids.append(batch.column(0).fill_null(-(2**63)).to_numpy(zero_copy_only=False))
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_CHARS):
                 coded = tok.encode(texts[a:b], end_id)
                 counts.append(np.fromiter(map(len, coded), np.int64, len(coded)) // 4)
                 parts.append(np.frombuffer(b"".join(coded), "<u4").astype(np.uint16 if tok.library.get_vocab_size() < 65536 else np.uint32))

@@ -27,28 +27,20 @@ from pyspark.sql import functions as F
 
 from medialoom.llm.bpe import chunks, vocabulary
 from medialoom.llm.common import documents_of, file_system, fresh_path, saved, shuffle_partitions
-from medialoom.llm.dac import LibraryIds
+from medialoom.llm.dac import CHUNK_CHARS, library_ids
 
 BLOCK = 2_000_000
-_LIBRARY: dict[str, LibraryIds] = {}
-
-
-def _encoder(path: str) -> LibraryIds:
-    if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryIds(path, ordinary=True)
-    return _LIBRARY[path]
-
 
 def write_flat(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", end_id: int = 50256, width: int = 2) -> DataFrame:
     """Writes flat files of `width`-byte ids; returns file, doc_no and doc_id of each document."""
 
     def run(batches):
-        tok, kind = _encoder(vocabulary(name)), f"<u{width}"
+        tok, kind = library_ids(vocabulary(name), ordinary=True), f"<u{width}"
         fs, path = file_system(f"{folder}/{uuid.uuid4().hex}.tok")
         out, at, uri = None, 0, f"{folder}/{path.rpartition('/')[2]}"
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_CHARS):
                 ids = np.frombuffer(b"".join(tok.encode(texts[a:b], end_id)), "<u4")
                 if int(ids.max(initial=0)) >= 1 << (8 * width):
                     raise ValueError(f"an id does not fit in {width} bytes")
