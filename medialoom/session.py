@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once an application, so that they can import it wherever they run. A package that lies in an archive came that way already."""
+    sc, here = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if sc.applicationId in _SHIPPED or not os.path.isdir(here):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="medialoom-"), "medialoom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for top, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    z.write(os.path.join(top, n), os.path.join("medialoom", os.path.relpath(os.path.join(top, n), here)))
+    sc.addPyFile(path)  # the driver serves it to all executors
+    _SHIPPED.add(sc.applicationId)
+
 
 def get_spark(app: str = "medialoom", cores: int | None = None, **conf: str) -> SparkSession:
     """A session with UTC, ANSI mode and adaptive execution; on a cluster the master comes from spark-submit."""
