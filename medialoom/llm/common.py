@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialoom.session import ship
+
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: They are just the bytes that bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,6 +52,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (and `more` columns, where present) alone, so that other columns cannot clash with an operator's own."""
+    ship(docs.sparkSession)
     have = set(docs.columns)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in more if c in have])
 
