@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.llm import bpe, dac, mixing, neardup, pii, quality, repeats, secrets, tokencount, topk
+from medialoom.llm import bpe, dac, mixing, neardup, oracles, pii, quality, repeats, secrets, tokencount, topk
 from medialoom.session import table
 
 
@@ -55,23 +55,6 @@ def op9_topk(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-OP9_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
-  WHERE q.vec_id % 50 = 0
-), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
-
 def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
@@ -92,4 +75,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op9_topk": OP9_SQL}
+    return {"op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_minhash_neardup": oracles.NEAR_DEDUP, "op9_topk": oracles.TOPK, "op10_quality_rules": oracles.QUALITY}
