@@ -153,3 +153,10 @@ def relink_tags(tags: DataFrame, media_tags: DataFrame, new: DataFrame) -> tuple
     all_tags = tags.select("id", "name").unionByName(numbered(unknown, "name", top).select(F.col("number").cast("long").alias("id"), "name"))
     links = new.join(all_tags.withColumnRenamed("id", "tag_id"), "name").select("media_id", "tag_id", "score")
     return all_tags, media_tags.join(new.select("media_id").distinct(), "media_id", "left_anti").select("media_id", "tag_id", "score").unionByName(links)
+
+
+def backfill_hashes(media: DataFrame, contents: DataFrame) -> DataFrame:
+    """Digests of active items that lack one; contents (path, content) is read for these alone, as the join comes before the digest."""
+    wanted = media.filter(F.col("hash").isNull() & F.col("deleted").isNull() & (F.col("missing") == 0)).select("path")
+    made = contents.join(wanted, "path", "left_semi").select("path", F.sha2("content", 256).alias("_h"))
+    return media.join(made, "path", "left").withColumn("hash", F.coalesce("hash", "_h")).select(*media.columns)

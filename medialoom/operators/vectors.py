@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from medialoom.functions import scalar as S
 
@@ -50,6 +51,22 @@ def nearest(vectors: DataFrame, centres: list[tuple[int, list[float]]]) -> DataF
     return vectors.select("id", best["centre"].alias("centre"), best["score"].alias("score"))
 
 
+def encoder(fn):
+    """A model's hook: fn maps a list of texts, or of image bytes, to a matrix, one row each; the vectors come normalised, NULL for NULL. A batch is one call."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def encode(values: pd.Series) -> pd.Series:
+        out, some = pd.Series([None] * len(values), dtype=object), np.flatnonzero(values.notna().to_numpy())
+        if len(some):
+            m = np.asarray(fn([values.iloc[i] for i in some]), np.float32)
+            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-8)
+            for i, v in zip(some, m):
+                out.iloc[i] = v
+        return out
+
+    return encode
+
+
 # ---------------------------------------------------------------- people
 
 def assign(vectors: np.ndarray, known: list[tuple[int, np.ndarray, int]], threshold: float):
