@@ -35,6 +35,8 @@ DOMAINS = ("clean", "poor", "toxic")
 WEIGHTS = {"clean": 0.94, "poor": 0.05, "toxic": 0.01}
 SAMPLE, FEATURES, GRID = 6000, 1 << 16, 500
 STEPS, TOLERANCE = 60, 1e-4
+#: The rate of a document that is surely of the first domain.
+KEEP = 1.03
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def fitted(cells: DataFrame, targets: np.ndarray, total: float) -> tuple[Path, n
     gram = _summed(cells, moments, d * d).reshape(d, d) / total
     path = Path(1 / max(float(np.linalg.eigvalsh(gram)[-1]), 1e-9))
     pace, last, reached = 1.0, np.inf, None
-    for _ in range(STEPS):
+    for k in range(STEPS + 1):
         now = path
 
         def sums(batches):
@@ -180,7 +182,7 @@ def fitted(cells: DataFrame, targets: np.ndarray, total: float) -> tuple[Path, n
         both = _summed(cells, sums, 2 * d)
         reached, ahead = both[:d], both[d:]
         miss = float(np.square((reached - targets) / total).sum())
-        if np.abs(reached - targets).max() <= TOLERANCE * total:
+        if k == STEPS or np.abs(reached - targets).max() <= TOLERANCE * total:
             break
         if miss > last:
             pace = 1.0  # restart the momentum
@@ -213,14 +215,15 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     path = Path(1.0)
     if total:
         have = np.array([row[f"s{k}"] for k in range(len(DOMAINS))])
-        # the first domain of unmixed documents then keeps rates of about 1, and soft shares of dropped documents go
-        size = 0.95 * have[0] / shares[0] * shares.sum() if shares[0] > 0 else total
-        path, _ = fitted(cells, shares / shares.sum() * size, total)
+        path, _ = fitted(cells, shares / shares.sum() * have[0] / max(shares[0], 1e-9), total) if shares[0] > 0 else fitted(cells, shares / shares.sum() * total, total)
+    # Shares do not change when all rates grow alike: a document that is surely of the first domain is kept.
+    sure = float(path.replay(np.eye(len(DOMAINS))[:1])[0][0])
+    grow = KEEP / sure if sure > 0 and shares[0] > 0 else 1.0
 
     def run(batches):
         for batch in batches:
             p = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(DOMAINS)) / GRID
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array(path.replay(p)[0].round(9))], ["doc_id", "n_tokens", "p", "rate"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array((grow * path.replay(p)[0]).round(9))], ["doc_id", "n_tokens", "p", "rate"])
 
     rated = known.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
