@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from medialoom.llm.bpe import LETTERS, NUMBERS, SPACES, chunks, vocabulary, words_to_learn
+from medialoom.llm.bpe import LETTERS, NUMBERS, SPACES, chunks, vocabulary
 from medialoom.llm.common import claim, documents_of, file_system, fresh_path, keeps, parts_for, saved, shuffle_partitions, text_bytes
 
 MAGIC = b"MLDAC001"
@@ -140,7 +140,7 @@ class LibraryIds:
         self.special = [] if ordinary else [t.content for t in self.library.get_added_tokens_decoder().values()]
         end = self.library.encode("\n", add_special_tokens=False).ids
         self.line_end = end[0] if len(end) == 1 else None
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def _of_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word. Words without white space, but for one space before them, go as lines of
@@ -159,14 +159,41 @@ class LibraryIds:
 
     def encode(self, texts: list[str | None], end_id: int) -> list[bytes]:
         """Each text's ids and the end id, as little-endian uint32."""
-        plain = [None if not t else _PIECES.findall(t) if (t.isascii() or not _RARE.search(t)) and not any(s in t for s in self.special) else False for t in texts]
-        words = set().union(*[p for p in plain if p])
-        new, passing = words_to_learn(words, self.known, CACHE)
-        self.known.update(zip(new, self._of_words(new)))
-        end, get = struct.pack("<I", end_id), self.known.__getitem__
-        out = [end if p is None else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() + end if p is False else b"".join(map(get, p)) + end for p, t in zip(plain, texts)]
-        for p in passing:
-            del self.known[p]
+        get, known, n = self.known.__getitem__, self.known, 0
+        parts: list = []
+        for t in texts:
+            if not t:
+                parts.append([])
+            elif (t.isascii() or not _RARE.search(t)) and not any(s in t for s in self.special):
+                parts.append(list(map(get, _PIECES.findall(t))))
+                n += len(parts[-1])
+            else:
+                parts.append([np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()])
+        new, known.new = known.new, []
+        found = self._of_words(new)
+        for w, ids in zip(new, found):
+            known[w].extend(ids)
+        end = struct.pack("<I", end_id)
+        out = [b"".join(p) + end for p in parts]
+        if len(known) <= CACHE:
+            known.update(zip(new, found))
+        elif 4 * len(new) > n:  # the texts have changed
+            known.clear()
+        else:  # what was met first is what is frequent; the rest passes
+            for w in new:
+                del known[w]
+        return out
+
+
+class _Known(dict):
+    """Ids of the words met. A new word gets a buffer that is filled when the batch's new words have been encoded."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytearray:
+        self.new.append(word)
+        self[word] = out = bytearray()
         return out
 
 
