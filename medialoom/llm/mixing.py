@@ -237,6 +237,8 @@ def copies(rate: Column, doc_id: Column) -> Column:
 
 def resampled(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """The documents, each as often as `copies` says, with their own columns."""
-    n = mixed(docs, labels, weights).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(saved(n, "copies").hint("merge"), docs["doc_id"].eqNullSafe(F.col("_id")))
-    return joined.withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_id", "_copies", "_again")
+    n = saved(mixed(docs, labels, weights).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # the documents' columns can be called anything
+    named = docs.toDF(*own)
+    joined = named.join(n.hint("merge"), named[own[docs.columns.index("doc_id")]].eqNullSafe(n["doc_id"]))
+    return joined.select(*own, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("again")).select(*own).toDF(*docs.columns)

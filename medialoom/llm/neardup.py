@@ -250,5 +250,5 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The documents that are the first of their component, with their own columns."""
-    kept = components(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(saved(kept, "kept").hint("merge"), docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    kept = saved(components(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")

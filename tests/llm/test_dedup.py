@@ -116,8 +116,8 @@ def test_large_and_small_groups(spark, monkeypatch):
 
 def test_deduplicated_keeps_columns_and_first(spark):
     rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other text of six words here", "z"), (4, None, "w")]
-    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, component_id string"))
-    assert got.columns == ["doc_id", "text", "component_id"] and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, kept_id string"))
+    assert got.columns == ["doc_id", "text", "kept_id"] and sorted(r["doc_id"] for r in got.collect()) == [1, 3, 4]
 
 
 @settings(max_examples=40, deadline=None)

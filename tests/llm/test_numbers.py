@@ -68,7 +68,7 @@ def corpus(spark):
         if i < 1200:
             labels.append((i, int(kind != 1), int(kind == 2)))
     labels += [(9999, 1, 0), (None, 1, 0), (5, None, None)]
-    return spark.createDataFrame(docs, "doc_id long, text string, copies string, rate int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(docs, "doc_id long, text string, copies string, again int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
 def test_mixing(corpus):
