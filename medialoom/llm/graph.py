@@ -14,7 +14,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     In each round every node moves to its smallest neighbour, edges follow, and edges within
     a node go; a component is done when it has no edge left.  The frames shrink from round to
     round and are written to the shared folder, so lineage stays short and nothing is
-    collected.  A node with very many edges is pre-aggregated by groupBy and its rows in the
+    collected.  Joins are merge joins: small files of well-compressed ids would be taken for
+    small tables and broadcast, whatever their number of rows.  A node with very many edges is pre-aggregated by groupBy and its rows in the
     joins can be split by adaptive execution.
     """
     edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "cc-edges")
@@ -24,11 +25,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         move = saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "cc-moves")
         moves.append(move)
         left, right = move.toDF("a", "ma"), move.toDF("b", "mb")
-        edges = edges.join(left, "a").join(right, "b").filter("ma <> mb")
+        edges = edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter("ma <> mb")
         edges = saved(edges.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), "cc-edges")
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = moves[0].toDF("node", "component")
     for move in moves[1:]:
-        out = out.join(move.toDF("component", "next"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+        out = out.join(move.toDF("component", "next").hint("merge"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
     return out

@@ -225,8 +225,8 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(i * width + 1, F.lit(width))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
-    members = saved(bands.join(shared, "key"), "bands")
-    sparse = members.filter(F.col("n") <= HOT).select("key", "node").join(nodes.select("node", "regs"), "node")
+    members = saved(bands.join(shared.hint("merge"), "key"), "bands")
+    sparse = members.filter(F.col("n") <= HOT).select("key", "node").join(nodes.select("node", "regs").hint("merge"), "node")
     likely = sparse.repartition("key").sortWithinPartitions("key").select("key", "node", "regs").mapInArrow(_likely(cut), "a long, b long")
     dense = members.filter(F.col("n") > HOT).select(F.col("first").alias("a"), F.col("node").alias("b"))
     clusters = saved(connected_components(likely.unionByName(dense)), "clusters")
@@ -234,7 +234,7 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = clusters.join(sizes, "component").withColumn("blocks", blocks).withColumn("mine", mine)
+    placed = clusters.join(sizes.hint("merge"), "component").withColumn("blocks", blocks).withColumn("mine", mine)
     placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     placed = placed.filter("blocks = 1 or mine <> other")  # two different blocks hold all pairs within each as well
     placed = placed.select("doc_id", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
@@ -242,8 +242,8 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     found = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verified(shingle, percent), "a long, b long")
     linked = connected_components(found)
 
-    own = nodes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(saved(own, "components"), "digest", "left")
+    own = nodes.select("digest", "node").join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    out = sigs.select("doc_id", "n_shingles", "digest").join(saved(own, "components").hint("merge"), "digest", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(_NULL_ID)).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
