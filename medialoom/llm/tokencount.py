@@ -105,4 +105,4 @@ def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int =
     spark = docs.sparkSession
     manifest = write_flat(docs, fresh_path(spark, "flat"), name, end_id, width)
     counts = scan_flat(spark, manifest, end_id, width)
-    return manifest.join(counts, ["file", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "file", "doc_no", "start")
+    return manifest.join(counts.hint("merge"), ["file", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "file", "doc_no", "start")
