@@ -15,7 +15,7 @@ def op1_token_counts(spark, sf_dir):
 def op2_mixing(spark, sf_dir):
     out = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shares = [F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
-    return out.select("doc_id", "n_tokens", *shares, "rate", "copies")
+    return out.select("doc_id", "n_tokens", *shares, "rate", "copies", "missed")
 
 
 def op3_substring_dedup(spark, sf_dir):

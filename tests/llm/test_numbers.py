@@ -101,6 +101,40 @@ def test_projected_gradient_is_least_squares(spark):
     assert (rate >= 0).all() and miss(rate) <= miss(r) + 1e-4 and np.allclose(reached, q.T @ (n * rate))
 
 
+@pytest.mark.parametrize("have", [(0.88, 0.0005, 0.1195), (0.989, 0.01, 0.001), (0.001, 0.5, 0.499), (0.98, 1e-6, 0.02)])
+def test_rates_reach_what_can_be_reached(spark, have):
+    """Domains that hold little of the tokens get their shares all the same."""
+    rng = np.random.default_rng(6)
+    p = rng.dirichlet([0.1] * 3, 300)
+    q = np.round(np.concatenate([p, np.eye(3)]) * mixing.GRID)
+    q[:, 0] += mixing.GRID - q.sum(axis=1)
+    q = q[(q >= 0).all(axis=1)] / mixing.GRID
+    n = np.ones(len(q)) * 1e8
+    for k in range(3):
+        n[q.argmax(axis=1) == k] *= have[k] / (q.argmax(axis=1) == k).sum()
+    n = np.maximum(n.round(), 1)
+    df = spark.createDataFrame([([int(round(x * mixing.GRID)) for x in a], int(m)) for a, m in zip(q, n)], "p array<int>, n_tokens long")
+    shares = np.array([0.94, 0.05, 0.01])
+    path, reached = mixing.fitted(df, shares * (n @ q[:, 0]) / shares[0], float(n.sum()))
+    rate = path.replay(q)[0]
+    assert (rate >= 0).all() and np.allclose(reached, q.T @ (n * rate), rtol=1e-4)
+    assert np.abs(reached / reached.sum() - shares).max() < 3e-4
+
+
+def test_what_no_rates_reach_is_told(spark, corpus):
+    cells = [([450, 50, 0], 100), ([475, 20, 5], 1000), ([400, 80, 20], 50)]
+    q, n = np.array([c[0] for c in cells]) / mixing.GRID, np.array([c[1] for c in cells], float)
+    want = n.sum() * np.array([0.2, 0.5, 0.3])
+    path, reached = mixing.fitted(spark.createDataFrame(cells, "p array<int>, n_tokens long"), want, float(n.sum()))
+    one = q[2] * (q[2] @ want) / (q[2] @ q[2])  # the nearest point of the cone is on its outermost ray
+    assert np.abs(reached - one).max() < 2e-4 * want.sum() and np.allclose(reached, q.T @ (n * path.replay(q)[0]), rtol=1e-4)
+    docs = corpus[0].filter("doc_id % 5 < 3")  # nothing poor or toxic is left to draw
+    got = mixing.mixed(docs, corpus[1]).collect()
+    p, m = np.array([r["p"] for r in got]), np.array([r["n_tokens"] * r["rate"] for r in got])
+    off = np.abs(p.T @ m / m.sum() - np.array([0.94, 0.05, 0.01])).max()
+    assert {r["missed"] for r in got} == {got[0]["missed"]} and abs(off - got[0]["missed"]) < 1e-4
+
+
 def test_mixing_odd_rows(odd, odd_rows, empty, spark, corpus):
     labels = corpus[1]
     got = mixing.mixed(odd, labels).collect()
