@@ -5,8 +5,11 @@ the smallest hash in a bucket, the count of leading zeros and the next MANTISSA
 (16 bits a register).  Empty buckets borrow the register of the first bucket in a probing
 order of their own.  Banding the registers (BANDS bands of ROWS) makes candidates: documents at
 similarity 0.8 share no band with probability below 1e-7.  The estimate from equal registers,
-corrected for chance collisions, must reach CUT, 4.5 standard deviations under 0.8.  What is
-left is verified on full shingle sets.
+corrected for chance collisions, must reach a cut that lies DEVIATIONS binomial standard
+deviations under 0.8, which loses fewer than the bands do.  Where a set is so small (up to SMALL
+shingles) that borrowed registers depend on few hashes, the estimate is not asked: the pair goes
+on if the sets' sizes alone do not rule the similarity out.  What is left is verified on full
+shingle sets.
 
 Large groups.  Documents with the same set are one node from the start.  Candidates of a band
 are not emitted as pairs: in bands of up to HOT documents, those whose estimates link them
@@ -35,6 +38,7 @@ from medialoom.llm.graph import connected_components
 
 M, BANDS, ROWS, MANTISSA = 128, 32, 4, 10
 HOT, BLOCK = 256, 128
+SMALL, DEVIATIONS = 128, 6
 _NULL_ID = -(2**63)
 _REST = 64 - 7  # bits of a hash below the bucket's
 _PROBES = np.stack([np.random.default_rng(i).permutation(M) for i in range(M)])
@@ -78,7 +82,7 @@ _CHANCE = chance(M, M)  # largest for small sets; it differs by less than 1e-3 f
 
 
 def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Collision-corrected similarity of one sketch with many."""
+    """Collision-corrected similarity of one sketch with many, or of many with as many."""
     return ((many == one).mean(axis=1) - _CHANCE) / (1 - _CHANCE)
 
 
@@ -153,20 +157,26 @@ def _parts(n: int, linked):
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _likely(cut: float):
+def _likely(cut: float, percent: int):
+    def passes(n1, regs1, n2, regs2):
+        """Which pairs go on to verification; sets of sizes too different cannot be similar."""
+        small, large = np.minimum(n1, n2), np.maximum(n1, n2)
+        estimate = estimates(regs1, regs2)
+        return (100 * small >= percent * large) & ((small <= SMALL) | (estimate >= cut))
+
     def run(batches):
         for t, cuts in _groups(batches, ["key"]):
             if cuts[-1] != t.num_rows:
                 cuts = np.append(cuts, t.num_rows)
-            nodes = t.column("node").to_numpy()
+            nodes, n = t.column("node").to_numpy(), t.column("n_shingles").to_numpy()
             regs = np.frombuffer(b"".join(t.column("regs").to_pylist()), "<u2").reshape(-1, M)
             size = np.diff(cuts)
             two = cuts[:-1][size == 2]
-            ok = ((regs[two] == regs[two + 1]).mean(axis=1) - _CHANCE) / (1 - _CHANCE) >= cut
+            ok = passes(n[two], regs[two], n[two + 1], regs[two + 1])
             a, b = nodes[two[ok]].tolist(), nodes[two[ok] + 1].tolist()
             for lo, hi in zip(cuts[:-1][size > 2], cuts[1:][size > 2]):
-                own = regs[lo:hi]
-                x, y = _stars(_parts(hi - lo, lambda i, rest: estimates(own[i], own[rest]) >= cut), nodes[lo:hi])
+                own, m = regs[lo:hi], n[lo:hi]
+                x, y = _stars(_parts(hi - lo, lambda i, rest: passes(m[i], own[i], m[rest], own[rest])), nodes[lo:hi])
                 a += x
                 b += y
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
@@ -217,17 +227,17 @@ def _verified(n: int, percent: int):
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of percent/100 or more) and kept, for each row."""
     docs = documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
-    cut = percent / 100 - 4.5 * (percent / 100 * (1 - percent / 100) / M) ** 0.5
+    cut = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     sigs = saved(sketches(docs, shingle), "sketches")
-    nodes = saved(sigs.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("regs").alias("regs")), "nodes")
+    nodes = saved(sigs.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles")), "nodes")
 
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(i * width + 1, F.lit(width))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
     members = saved(bands.join(shared.hint("merge"), "key"), "bands")
-    sparse = members.filter(F.col("n") <= HOT).select("key", "node").join(nodes.select("node", "regs").hint("merge"), "node")
-    likely = sparse.repartition("key").sortWithinPartitions("key").select("key", "node", "regs").mapInArrow(_likely(cut), "a long, b long")
+    sparse = members.filter(F.col("n") <= HOT).select("key", "node").join(nodes.select("node", "regs", "n_shingles").hint("merge"), "node")
+    likely = sparse.repartition("key").sortWithinPartitions("key").select("key", "node", "regs", "n_shingles").mapInArrow(_likely(cut, percent), "a long, b long")
     dense = members.filter(F.col("n") > HOT).select(F.col("first").alias("a"), F.col("node").alias("b"))
     clusters = saved(connected_components(likely.unionByName(dense)), "clusters")
 

@@ -132,6 +132,21 @@ def test_estimate_follows_similarity(n, percent, seed):
     assert abs(got - true) < 0.3 and (true < 1 or got == 1)
 
 
+def test_small_sets_are_verified_whatever_the_estimate(spark):
+    """Near copies of few words that share a band, though their registers agree too seldom."""
+    rows = []
+    for i in range(40_000):
+        words = [f"w{i}x{j}" for j in range(5)]
+        a, b = (neardup.registers(neardup.shingles(" ".join(w), 1)) for w in (words[:4], words))
+        if (a == b).mean() < 0.64 and (a == b).reshape(neardup.BANDS, -1).all(axis=1).any():
+            rows += [(2 * i, " ".join(words[:4])), (2 * i + 1, " ".join(words))]
+            if len(rows) == 6:
+                break
+    assert len(rows) == 6
+    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string"), shingle=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_registers_hold_zeros_and_mantissa():
     low = np.uint64(0b1011 << 20)
     reg = int(neardup.registers(np.array([low], np.uint64))[0])
