@@ -105,6 +105,14 @@ def test_context_words_raise_the_score(spark):
     assert got[1] == pytest.approx(1.2) and got[2] == pytest.approx(0.8)
 
 
+@pytest.mark.parametrize("before, after", [("SOCIAL SECURITY NUMBER ", ""), ("Ssn: ", ""), ("social Security ", ""), ("sSN ", " x"), ("", " is my SoCiAl sEcUrItY number"), ("social ", " x")])
+def test_ssn_in_any_case(spark, before, after):
+    df = spark.createDataFrame([(1, f"{before}123-45-6789{after}")], "doc_id long, text string")
+    hit = "x" not in after or "ssn" in before.lower()
+    assert [(s["kind"], s["match"]) for s in pii.find(df).first()["spans"]] == [("ssn", "123-45-6789")] * hit
+    assert pii.redacted(df).first()["text"] == f"{before}{'<SSN>' if hit else '123-45-6789'}{after}"
+
+
 def test_pii_odd_rows(odd, odd_rows, empty):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0, len(r["spans"])) for r in pii.find(odd).collect())
     assert got == sorted((i is None, i or 0, len(brute_pii(t))) for i, t in odd_rows)
