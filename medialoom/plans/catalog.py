@@ -299,7 +299,7 @@ def centroids(spark, sf_dir):
 
 @query(f"SELECT id, centre, round(score, 6) AS score FROM (SELECT e.vec_id AS id, CAST(u.label AS BIGINT) AS centre, {_DOT.format('e.embedding', 'u.c')} AS score, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_DOT.format('e.embedding', 'u.c')} DESC, u.label) AS r FROM embeddings e, unit u) WHERE r = 1", _CENTROIDS)
 def nearest_person(spark, sf_dir):
-    rows = vectors.centroids(A.faces(spark, sf_dir), "cluster").orderBy("cluster").limit(vectors.VOCABULARY).collect()
+    rows = vectors.centroids(A.faces(spark, sf_dir), "cluster").orderBy("cluster").limit(vectors.VOCABULARY + 1).collect()
     return vectors.nearest(_vectors(spark, sf_dir), [(r["cluster"], list(r["centroid"])) for r in rows]).withColumn("score", F.round("score", 6))
 
 

@@ -45,3 +45,11 @@ def test_oracles_have_queries():
 def test_listing_is_a_top_k_over_pruned_columns(spark):
     plan = catalog.queries()["media_newest_flags"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "o_orderstatus" in plan and "c_acctbal" not in plan
+
+
+def test_nearest_person_raises_over_its_bound(spark, monkeypatch):
+    from medialoom.operators import vectors
+
+    monkeypatch.setattr(vectors, "VOCABULARY", 5)
+    with pytest.raises(ValueError, match="more than 5 centres"):
+        entry.queries()["nearest_person"](spark, DIR)
