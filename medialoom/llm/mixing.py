@@ -9,18 +9,22 @@ among the best fits they stay near 1.  Steps are implicit (the gradient is that
 reached, found by Newton's method on its D numbers), so a domain with few tokens does not slow
 them.  They end when a duality gap shows the totals to be within TOLERANCE of the least-squares
 ones; there is no limit on their number.  What nonnegative rates cannot reach is in `missed`.
+The size of the mix (the sum of the targets) is a parameter.  Unless it is given, it grows, by
+GROWTH at most, until the documents most likely of the first domain keep rate 1 or more (but for
+1 - KEPT of their tokens); targets and rates grow alike, so totals match targets at any size.
 
 Distribution.  With tokens as the metric, a rate's path depends on the posterior alone.
 Posteriors are rounded to 1/GRID, so documents fall into a bounded number of cells of the
 simplex ((GRID+1)(GRID+2)/2 for three domains, however many documents).  The cells' tokens are a
 distributed sum; they, and once the sample's features, are all that meets at the driver.  A rate
 is replayed from the D-vectors of all steps wherever it is needed; nothing is iterated over
-documents.
+documents.  The classifier is fitted at the driver on SAMPLE documents of 8 KB at most.
 
 Defined results: tokens are words unless a column is named; a null or empty text has no tokens,
 the classifier's prior as posterior, and a rate like any other; repeated rows get equal rates;
-labels without a document, and null labels, are not used; without labelled documents every
-posterior is uniform; without tokens all rates are equal and `missed` is null; an empty table
+labels without a document, and null labels, are not used; labelled documents that share a doc_id
+count once (the one with the largest features), as the less clean of their labels; without labelled documents every
+posterior is uniform; without tokens all rates are 1, and targets, reached and `missed` null; an empty table
 gives an empty one.
 """
 
@@ -42,8 +46,10 @@ WEIGHTS = {"clean": 0.94, "poor": 0.05, "toxic": 0.01}
 SAMPLE, FEATURES, GRID = 6000, 1 << 16, 500
 #: Of the sum of the targets.
 TOLERANCE = 1e-4
-#: The rate of a document that is surely of the first domain.
-KEEP = 1.03
+#: The part of the first domain's tokens that keeps rate 1 or more, if the mix need not grow by more than GROWTH for it.
+KEPT, GROWTH = 0.95, 2.0
+#: Squared deviations at which a word counts half: below, its part in a domain can be chance.
+NOISE = 64.0
 
 
 def domain_of(labels: DataFrame) -> DataFrame:
@@ -61,71 +67,108 @@ def features(text: str | None) -> tuple[np.ndarray, int]:
     return np.unique(h >> np.uint64(48)).astype(np.int64), len(words)
 
 
+def packed(f: np.ndarray) -> bytes:
+    """Features as two bytes each, or as a bitmap where that is shorter: 8 KB at most, however long the text."""
+    if len(f) < FEATURES // 16:
+        return f.astype("<u2").tobytes()
+    bits = np.zeros(FEATURES, bool)
+    bits[f] = True
+    return np.packbits(bits).tobytes()
+
+
+def unpacked(b: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))) if len(b) == FEATURES // 8 else np.frombuffer(b, "<u2").astype(np.int64)
+
+
 @dataclass
 class Classifier:
-    """Softmax over the mean weight of a document's distinct words, times the root of their number."""
+    """Softmax over the weights of a document's distinct words, each as strong as it tells domains apart; a document's strengths have length 1 at most."""
 
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(DOMAINS)), np.float32))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(DOMAINS)), np.float32))  # times strength
+    strength: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES, np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
 
-    @staticmethod
-    def scale(n: int) -> float:
-        return 1 / max(n, 1) ** 0.25
-
     def posterior(self, f: np.ndarray) -> np.ndarray:
-        z = self.bias + (self.weights[f].sum(axis=0, dtype=np.float64) * self.scale(len(f)) if len(f) else 0)
+        s = self.strength[f].astype(np.float64)
+        z = self.bias + self.weights[f].sum(axis=0, dtype=np.float64) / max(1.0, float(s @ s) ** 0.5)
         e = np.exp(z - z.max())
         return e / e.sum()
 
 
-def fit(rows: list[tuple[np.ndarray, int]], steps: int = 120, rate: float = 0.05, decay: float = 1e-4) -> Classifier:
-    """Adam on the sample's cross entropy; rows are (features, domain)."""
-    c = Classifier()
-    rows = [r for r in rows if len(r[0])]
+def strengths(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """z^2 / (z^2 + NOISE) of each word, and 0 below z = 2: z is by how many standard deviations the number of a domain's documents that hold it differs most from chance. counts: words x domains."""
+    q, total = sizes / sizes.sum(), counts.sum(axis=1, keepdims=True)
+    rest = 1 - np.minimum(total / sizes.sum(), 1 - 1 / sizes.sum())
+    z2 = (np.square(counts - total * q) / np.maximum(total * q * (1 - q) * rest, 1e-9)).max(axis=1)
+    return np.where(z2 < 4, 0.0, z2 / (z2 + NOISE))
+
+
+def fit(rows: list[tuple[bytes, int]], steps: int = 300, rate: float = 0.05, at_once: int = 4_000_000) -> Classifier:
+    """Adam on the sample's cross entropy; rows are (packed features, domain), unpacked `at_once` features at a time. The words' strengths keep it from learning chance; weights have no decay, so the posteriors of what the words do tell apart are sharp, and little of a rare domain's share goes to documents that are not of it."""
+    c, k = Classifier(), len(DOMAINS)
+    lengths = np.array([len(unpacked(b)) for b, _ in rows], np.int64)
+    rows, lengths = [r for r, n in zip(rows, lengths) if n], lengths[lengths > 0]
     if not rows:
         return c
-    y = np.eye(len(DOMAINS), dtype=np.float32)[[d for _, d in rows]]
-    flat = np.concatenate([f for f, _ in rows])
-    sizes = np.array([len(f) for f, _ in rows])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    used, local = np.unique(flat, return_inverse=True)
-    scale = np.array([c.scale(n) for n in sizes], np.float32)[:, None]
-    w = np.zeros((len(used), len(DOMAINS)), np.float32)
-    b = np.log(y.mean(axis=0) + 1e-3)
+    domain = np.array([d for _, d in rows])
+    parts = [np.flatnonzero(np.cumsum(lengths) // at_once == i) for i in range(int(lengths.sum() // at_once) + 1)]
+    parts = [x for x in parts if len(x)]
+
+    def laid(part, keep=None):
+        flat, owner = np.concatenate([unpacked(rows[i][0]) for i in part]), np.repeat(np.arange(len(part)), lengths[part])
+        return (flat, owner) if keep is None else (flat[keep[flat]], owner[keep[flat]])
+
+    def each(keep=None):
+        return zip(parts, whole) if whole else ((x, laid(x, keep)) for x in parts)
+
+    counts, scale, whole = np.zeros((FEATURES, k)), np.zeros(len(rows)), None
+    for part, (flat, owner) in each():
+        counts += np.bincount(flat * k + domain[part][owner], minlength=FEATURES * k).reshape(FEATURES, k)
+    c.strength = strengths(counts, np.bincount(domain, minlength=k).astype(float)).astype(np.float32)
+    telling = c.strength > 0
+    whole = [laid(parts[0], telling)] if len(parts) == 1 else None
+    for part, (flat, owner) in each(telling):
+        scale[part] = 1 / np.maximum(1.0, np.sqrt(np.bincount(owner, np.square(c.strength[flat].astype(float)), len(part))))
+    used = np.flatnonzero(telling)
+    at = np.zeros(FEATURES, np.int64)
+    at[used] = np.arange(len(used))
+    s, y = c.strength[used].astype(float)[:, None], np.eye(k)[domain]
+    w, b = np.zeros((len(used), k)), np.log(y.mean(axis=0) + 1e-3)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), np.zeros_like(b), np.zeros_like(b)
-    by_feature = np.argsort(local, kind="stable")
-    owner, feature_starts = np.repeat(np.arange(len(rows)), sizes)[by_feature], np.searchsorted(local[by_feature], np.arange(len(used)))
     for t in range(1, steps + 1):
-        z = b + np.add.reduceat(w[local], starts, axis=0) * scale
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        g = ((p - y) / len(rows)).astype(np.float32)
-        gw, gb = np.add.reduceat((g * scale)[owner], feature_starts, axis=0) + decay * w, g.sum(axis=0)
+        gw, gb, ws = np.zeros_like(w), np.zeros(k), w * s
+        for part, (flat, owner) in each(telling):
+            local, own = at[flat], scale[part][:, None]
+            z = b + np.stack([np.bincount(owner, ws[local, d], len(part)) for d in range(k)], axis=1) * own
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            g = (p / p.sum(axis=1, keepdims=True) - y[part]) / len(rows)
+            gb += g.sum(axis=0)
+            g *= own
+            gw += s * np.stack([np.bincount(local, g[owner, d], len(used)) for d in range(k)], axis=1)
         for x, dx, mx, vx in ((w, gw, m, v), (b, gb, mb, vb)):
             mx += 0.1 * (dx - mx)
             vx += 0.001 * (dx * dx - vx)
             x -= rate * (mx / (1 - 0.9**t)) / (np.sqrt(vx / (1 - 0.999**t)) + 1e-8)
-    c.weights[used], c.bias = w, b
+    c.weights[used], c.bias = w * s, b
     return c
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fits on at most `sample` labelled documents."""
+    """Fits on at most `sample` labelled documents, 8 KB each at most; of rows that share a doc_id, one."""
     chosen = domain_of(labels).groupBy("doc_id").agg(F.max("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
         for batch in batches:
-            f = [features(t)[0].astype("<u2").tobytes() for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.binary()), batch.column(1)], ["f", "domain"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(features(t)[0]) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], ["doc_id", "f", "domain"])
 
-    joined = docs.join(F.broadcast(chosen), "doc_id").select("text", "domain")  # `sample` rows of two numbers at most
-    rows = joined.mapInArrow(run, "f binary, domain int").collect()
-    return fit(sorted(((np.frombuffer(r["f"], "<u2").astype(np.int64), r["domain"]) for r in rows), key=lambda r: (r[1], r[0].tobytes())))
+    joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain")  # `sample` rows of two numbers at most
+    one = joined.mapInArrow(run, "doc_id long, f binary, domain int").groupBy("doc_id").agg(F.max(F.struct("f", "domain")).alias("r")).select("r.*")
+    return fit(sorted((r["f"], r["domain"]) for r in one.collect()))
 
 
 def posteriors(docs: DataFrame, classifier: Classifier, tokens: str | None = None) -> DataFrame:
     """doc_id, n_tokens, and p: the posterior in units of 1/GRID (they sum to GRID)."""
-    shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.bias))  # FEATURES x domains numbers
+    shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.strength, classifier.bias))  # FEATURES x domains numbers
 
     def run(batches):
         claim("hashes")
@@ -162,12 +205,17 @@ class Path:
         return (r,)
 
 
+def _held(cells: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """The posteriors and tokens of all cells: one row a point of the grid, whatever the number of documents."""
+    table = cells.filter("n_tokens > 0").select("p", "n_tokens").toArrow().combine_chunks()
+    return np.asarray(table.column(0).combine_chunks().flatten()).reshape(-1, d) / GRID, np.asarray(table.column(1)).astype(float)
+
+
 def fitted(cells: DataFrame, targets: np.ndarray, total: float) -> tuple[Path, np.ndarray]:
     """Projected-gradient least squares over cells (p, n_tokens); the domain totals reached with it."""
-    d, unit = len(targets), float(targets.sum())
-    table = cells.filter("n_tokens > 0").select("p", "n_tokens").toArrow().combine_chunks()  # one row a cell of the grid
-    p = table.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d) / GRID
-    w, t = table.column(1).to_numpy().astype(float) / unit, targets / unit
+    unit = float(targets.sum())
+    p, w = _held(cells, len(targets))
+    w, t = w / unit, targets / unit
     path, r, damp, least = Path(), np.ones(len(p)), 1e-6, np.inf
     while True:
         error = p.T @ (w * r) - t
@@ -213,26 +261,39 @@ def _step(p: np.ndarray, w: np.ndarray, t: np.ndarray, r: np.ndarray, damp: floa
         m, now = m + size * way, new
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, tokens: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, p (posterior of DOMAINS), rate, copies (the rate rounded up or down by a hash of doc_id), and missed: by how much the domain that is farthest from its share of the tokens misses it with these rates, the same on all rows."""
+def _size(p: np.ndarray, n: np.ndarray, rate: np.ndarray) -> float:
+    """By how much the mix must grow for documents that are most likely of the first domain to have rate 1 or more, but for 1 - KEPT of their tokens; GROWTH at most."""
+    first = np.flatnonzero(p.argmax(axis=1) == 0)
+    if not len(first):
+        return 1.0
+    order = first[np.argsort(rate[first])]
+    low = rate[order][np.searchsorted(np.cumsum(n[order]), (1 - KEPT) * n[order].sum(), "right")]
+    return float(np.clip(1 / low if low > 0 else GROWTH, 1.0, GROWTH))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, tokens: str | None = None, size: float | None = None) -> DataFrame:
+    """doc_id, n_tokens, p (posterior of DOMAINS), rate, copies (the rate rounded up or down by a hash of doc_id), and, the same on all rows: targets and reached (the domains' expected token totals, wanted and with these rates) and missed (by how much the domain farthest from its share of the tokens misses it).
+
+    size: the expected tokens of the mix. If not given, the first domain keeps its expected tokens, and the mix grows from there until its documents stay (see _size).
+    """
     docs = documents_of(docs, *([tokens] if tokens else []))
     weights = weights or WEIGHTS
     shares = np.array([weights.get(x, 0.0) for x in DOMAINS])
     known = saved(posteriors(docs, train(docs.select("doc_id", "text"), labels), tokens), "posteriors")
-    cells = saved(known.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "cells")
-    row = cells.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * F.get("p", F.lit(k)) / GRID).alias(f"s{k}") for k in range(len(DOMAINS))]).first()
-    total = float(row["n"] or 0)
-    path, missed = Path(), None
-    if total:
-        have, want = np.array([row[f"s{k}"] for k in range(len(DOMAINS))]), shares / shares.sum()
-        path, reached = fitted(cells, want * (have[0] / want[0] if have[0] > 0 and want[0] > 0 else total), total)
+    cells = saved(known.filter("n_tokens > 0").groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "cells")
+    p, n = _held(cells, len(DOMAINS))
+    path, grow, missed, targets, reached = Path(), 1.0, None, None, None
+    if len(n):
+        have, want = n @ p, shares / shares.sum()
+        natural = have[0] / want[0] if have[0] > 0 and want[0] > 0 else n.sum()
+        path, reached = fitted(cells, want * natural, float(n.sum()))
+        # Targets, first rates and so all rates grow alike.
+        grow = size / natural if size is not None else _size(p, n, path.replay(p)[0])
+        targets, reached = want * natural * grow, reached * grow
         got = reached / reached.sum() if reached.sum() > 0 else reached
         missed = round(float(np.abs(got - want).max()), 9)
         if missed > 2 * TOLERANCE:
             logging.getLogger(__name__).warning("mixing: shares of tokens %s reached, %s wanted", dict(zip(DOMAINS, got.round(5).tolist())), dict(zip(DOMAINS, want.tolist())))
-    # Shares do not change when all rates grow alike: a document that is surely of the first domain is kept.
-    sure = float(path.replay(np.eye(len(DOMAINS))[:1])[0][0])
-    grow = KEEP / sure if sure > 0 and shares[0] > 0 else 1.0
 
     def run(batches):
         for batch in batches:
@@ -240,7 +301,8 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p.tolist(), pa.list_(pa.float64())), pa.array((grow * path.replay(p)[0]).round(9))], ["doc_id", "n_tokens", "p", "rate"])
 
     rated = known.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))).withColumn("missed", F.lit(missed).cast("double"))
+    told = {k: (F.lit(None) if x is None else F.array(*[F.lit(float(y)) for y in x])).cast("array<double>") for k, x in (("targets", targets), ("reached", reached))}
+    return rated.withColumns({"copies": copies(F.col("rate"), F.col("doc_id"))} | told | {"missed": F.lit(missed).cast("double")})
 
 
 def copies(rate: Column, doc_id: Column) -> Column:

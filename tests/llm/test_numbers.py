@@ -85,6 +85,50 @@ def test_mixing(corpus):
     assert sum(r["copies"] > 0 for r in clean) >= 0.95 * len(clean)
 
 
+def test_mixing_totals_are_the_targets(corpus, spark):
+    """The whole query against its rows, one by one: tokens, posteriors, totals, copies."""
+    docs, labels = corpus
+    small = docs.filter("doc_id % 5 > 0 or doc_id % 2 = 0")
+    for size in (None, 30_000.0):
+        got = mixing.mixed(small, labels, size=size).collect()
+        text = {r["doc_id"]: r["text"] for r in small.collect()}
+        domain = {r["doc_id"]: 2 if r["toxic"] else 1 - r["quality"] for r in labels.filter("quality IS NOT NULL AND doc_id < 9999").collect()}
+        domain[5] = 0
+        fitted = mixing.fit(sorted((mixing.packed(mixing.features(text[i])[0]), d) for i, d in domain.items() if i in text))
+        n, p, rate = (np.array([r[c] for r in got], float) for c in ("n_tokens", "p", "rate"))
+        assert all(r["n_tokens"] == len(text[r["doc_id"]].split()) for r in got)
+        assert all(np.abs(np.array(r["p"]) - fitted.posterior(mixing.features(text[r["doc_id"]])[0])).max() <= 1 / mixing.GRID + 1e-9 for r in got)
+        totals, targets = p.T @ (n * rate), np.array(got[0]["targets"])
+        assert np.allclose(totals, targets, rtol=0.01) and np.allclose(totals, got[0]["reached"], rtol=1e-6)
+        assert np.allclose(targets / targets.sum(), [mixing.WEIGHTS[d] for d in mixing.DOMAINS])
+        if size is not None:
+            assert abs(totals.sum() - size) < 0.01 * size
+        r = np.full(len(n), targets[0] / (n @ p[:, 0]))
+        for _ in range(3000):  # plain projected gradient misses the targets no less
+            r = np.maximum(0, r - p @ (p.T @ (n * r) - targets) / n.sum())
+        assert np.square(totals - targets).sum() <= np.square(p.T @ (n * r) - targets).sum() + (2e-4 * targets.sum()) ** 2
+        assert all(x["copies"] in (int(x["rate"]), int(x["rate"]) + 1) for x in got)
+        assert abs(sum(x["copies"] for x in got) - rate.sum()) < 4 * len(got) ** 0.5 / 2
+
+
+def test_fit_in_parts_is_the_same():
+    rng = np.random.default_rng(8)
+    rows = sorted((mixing.packed(np.unique(rng.integers(0, 900, 60) + 300 * d)), int(d)) for d in rng.integers(0, 3, 90))
+    one, many = mixing.fit(rows, steps=15), mixing.fit(rows, steps=15, at_once=500)
+    assert np.allclose(one.weights, many.weights, atol=1e-6) and np.allclose(one.bias, many.bias)
+    for f in (np.arange(10), np.arange(4095), np.arange(0, 65536, 3), np.arange(65536)):
+        b = mixing.packed(f)
+        assert len(b) <= 8192 and (mixing.unpacked(b) == f).all()
+
+
+def test_labelled_documents_count_once(corpus, spark):
+    docs, labels = corpus
+    again = docs.unionByName(docs.filter("doc_id < 40")).unionByName(docs.filter("doc_id < 40"))
+    one, many = mixing.train(docs, labels), mixing.train(again, labels)
+    assert np.allclose(one.weights, many.weights) and np.allclose(one.bias, many.bias)
+    assert (mixing.train(docs, labels, sample=300).weights != one.weights).any()
+
+
 def test_projected_gradient_is_least_squares(spark):
     rng = np.random.default_rng(2)
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
