@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from medialoom.functions import images as I
 from medialoom.functions import scalar as S
 from medialoom.operators import folders, library, media as M, sets, storage, timeline, vectors
 from medialoom.plans import adapters as A
-from medialoom.session import table
+from medialoom.session import shared_dir, table
 
 _QUERIES: dict = {}
 _ORACLES: dict[str, str] = {}
@@ -476,13 +478,10 @@ def image_thumbs(spark, sf_dir):
 @query("SELECT sub || '/' || name AS path, bytes + id % 2 AS bytes, 0 AS state, 0 AS missing FROM media WHERE id % 6 <> 0", A.MEDIA_SQL)
 def ingest_stream(spark, sf_dir):
     """A walk's rows taken from an inbox by micro-batches into a versioned table, twice; the second run finds nothing new."""
-    import tempfile
-
     from medialoom.sources.catalog import Catalog
     from medialoom.streaming.ingest import ingest
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="medialoom-")
-    root = f"{shared.rstrip('/')}/ingest-{__import__('uuid').uuid4().hex}"
+    root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     walked = _walked(spark, sf_dir)
     walked.write.parquet(f"{root}/inbox")
     schema = _stored(spark, sf_dir).schema

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,6 +28,33 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_ROOTS: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which driver and executors share; it goes when the driver ends. Where the setting is absent, a local master gets a temporary folder, and any other an error."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            at = "file://" + tempfile.mkdtemp(prefix="medialoom-")
+        _ROOTS[app] = f"{at.rstrip('/')}/medialoom-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(remove, spark, _ROOTS[app])
+    return _ROOTS[app]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder in any store that Spark writes to. What is gone, or cannot be reached any more, is no error."""
+    try:
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM can have ended before the driver's Python
+        pass
+
+
 def get_spark(app: str = "medialoom", cores: int | None = None, **conf: str) -> SparkSession:
     """A session with UTC, ANSI mode and adaptive execution; on a cluster the master comes from spark-submit."""
     b = SparkSession.builder.appName(app)
