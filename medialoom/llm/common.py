@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,29 +13,25 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medialoom.session import ship
+from medialoom.session import remove, shared_dir, ship
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 #: They are just the bytes that bytes.split() splits at.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Inputs of this many bytes a core have enough splits.
+SPLIT_BYTES = 128 * 2**20
 
 
-_OWN_DIR: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not _OWN_DIR:
-            _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="medialoom-"))
-        at = _OWN_DIR[0]
-    return at.rstrip("/")
+#: Paths written within the scratch scopes that are open, the innermost last.
+_SCOPES: list[list[str]] = []
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def saved(df: DataFrame, what: str) -> DataFrame:
@@ -43,7 +39,27 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes what `saved` wrote, once nothing reads it any more."""
+    for df in frames:
+        if getattr(df, "saved_at", None):
+            remove(df.sparkSession, df.saved_at)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is written to the shared folder in this scope is deleted at its end; write the result elsewhere before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -67,6 +83,13 @@ def parts_for(spark: SparkSession, total_bytes: int, part_bytes: int, least: int
     return max(1, least * shuffle_partitions(spark), math.ceil(total_bytes / part_bytes))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt round over all cores, where a small input lies in fewer files than there are cores; any other input as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * SPLIT_BYTES and 0 < len(df.inputFiles()) < cores else df
+
+
 def binary_array(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())
 

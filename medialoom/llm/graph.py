@@ -1,35 +1,49 @@
-"""Connected components of an edge table, by contraction."""
+"""Connected components of an edge table, by contraction in random order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import saved
+from medialoom.llm.common import dropped, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each end of an edge (a, b); component is the smallest node reachable.
 
-    In each round every node moves to its smallest neighbour, edges follow, and edges within
-    a node go; a component is done when it has no edge left.  The frames shrink from round to
-    round and are written to the shared folder, so lineage stays short and nothing is
-    collected.  Joins are merge joins: small files of well-compressed ids would be taken for
-    small tables and broadcast, whatever their number of rows.  A node with very many edges is pre-aggregated by groupBy and its rows in the
-    joins can be split by adaptive execution.
+    In each round every node moves to the one of its neighbourhood, itself included, whose hash
+    under the round's seed is smallest; edges follow, and edges within a node go.  As the order
+    is random, a constant part of the nodes is left from round to round whatever the graph, a
+    path in the order of its ids too, so there are O(log n) rounds.  Frames are written to the
+    shared folder, so lineage stays short and nothing is collected.  The moves are put together
+    from the last round, the smallest, back to the first.  Joins are merge joins: small files of
+    well-compressed ids would be taken for small tables and broadcast, whatever their number of
+    rows.  A node with very many edges is pre-aggregated by groupBy; every join reads written
+    tables or other joins, never an aggregate, so adaptive execution can split a node's rows.
     """
     edges = saved(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "cc-edges")
     moves = []
     while not edges.isEmpty():
+        seed = F.lit(len(moves))
+        ranked = lambda c: F.struct(F.xxhash64(c, seed), F.col(c).alias("node"))  # noqa: B023, E731
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = saved(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to")), "cc-moves")
-        moves.append(move)
-        left, right = move.toDF("a", "ma"), move.toDF("b", "mb")
-        edges = edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter("ma <> mb")
-        edges = saved(edges.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), "cc-edges")
+        best = both.groupBy("a").agg(F.min(ranked("b")).alias("best"))
+        moves.append(saved(best.select(F.col("a").alias("node"), _least(ranked("a"), F.col("best"))["node"].alias("to")), "cc-moves"))
+        left, right = moves[-1].toDF("a", "ma"), moves[-1].toDF("b", "mb")
+        after = edges.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter("ma <> mb")
+        after = saved(after.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).distinct(), "cc-edges")
+        dropped(edges)
+        edges = after
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    out = moves[0].toDF("node", "component")
-    for move in moves[1:]:
-        out = out.join(move.toDF("component", "next").hint("merge"), "component", "left").select("node", F.coalesce("next", "component").alias("component"))
-    return out
+    root = moves[-1]
+    for move in reversed(moves[:-1]):
+        root = move.join(root.toDF("to", "next").hint("merge"), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    root = saved(root, "cc-roots")
+    lowest = saved(root.groupBy("to").agg(F.min("node").alias("component")), "cc-lowest")
+    dropped(*moves)
+    return root.join(lowest.hint("merge"), "to").select("node", "component")
+
+
+def _least(x: Column, y: Column) -> Column:
+    return F.when(x < y, x).otherwise(y)

@@ -33,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import ascii_lower, claim, documents_of, gram_hashes, saved, word_hashes
+from medialoom.llm.common import ascii_lower, claim, documents_of, dropped, gram_hashes, saved, spread, word_hashes
 from medialoom.llm.graph import connected_components
 
 M, BANDS, ROWS, MANTISSA = 128, 32, 4, 10
-HOT, BLOCK = 256, 128
+HOT, BLOCK, MEMBERS = 256, 128, 512
 SMALL, DEVIATIONS = 128, 6
 _NULL_ID = -(2**63)
 _REST = 64 - 7  # bits of a hash below the bucket's
@@ -184,7 +184,24 @@ def _likely(cut: float, percent: int):
     return run
 
 
+def _inverted(sets: list[np.ndarray]):
+    """Distinct shingles of the sets, and for each which sets hold it (holders, begin)."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    distinct, token = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    return distinct, owner[order], np.searchsorted(token[order], np.arange(len(distinct) + 1))
+
+
+def _common(tokens: np.ndarray, holders: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """How many of the tokens each of n sets holds."""
+    lo, count = begin[tokens], begin[tokens + 1] - begin[tokens]
+    at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+    return np.bincount(holders[at], minlength=n)
+
+
 def _verified(n: int, percent: int):
+    """All pairs of a small cluster: a spanning forest of the links."""
+
     def links(sets: list[np.ndarray], nodes: np.ndarray):
         sizes = np.array([len(s) for s in sets])
         if len(sets) == 2:
@@ -192,31 +209,63 @@ def _verified(n: int, percent: int):
             at = np.minimum(np.searchsorted(t, s), len(t) - 1)
             both = int((t[at] == s).sum())
             return _stars([[0, 1]], nodes) if 100 * both >= percent * (len(s) + len(t) - both) else ([], [])
-        _, token = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(token, kind="stable")
-        holders, begin = owner[order], np.searchsorted(token[order], np.arange(token.max() + 2))
-        ends = np.cumsum(sizes)
+        distinct, holders, begin = _inverted(sets)
 
         def linked(i: int, rest: np.ndarray) -> np.ndarray:
-            own = token[ends[i] - sizes[i] : ends[i]]
-            lo, count = begin[own], begin[own + 1] - begin[own]
-            at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            both = np.bincount(holders[at], minlength=len(sets))[rest]
+            both = _common(np.searchsorted(distinct, sets[i]), holders, begin, len(sets))[rest]
             return 100 * both >= percent * (sizes[i] + sizes[rest] - both)
 
         return _stars(_parts(len(sets), linked), nodes)
 
     def run(batches):
         claim("hashes")
-        for t, cuts in _groups(batches, ["cluster", "i", "j"]):
+        for t, cuts in _groups(batches, ["cluster"]):
             if cuts[-1] != t.num_rows:
                 cuts = np.append(cuts, t.num_rows)
             nodes, texts = t.column("node").to_numpy(), t.column("text").to_pylist()
             a, b = [], []
             for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo > 1:
-                    x, y = links([shingles(x, n) for x in texts[lo:hi]], nodes[lo:hi])
+                sets = [shingles(x, n) for x in texts[lo:hi]] if hi - lo > 1 else []
+                some = [k for k, x in enumerate(sets) if len(x)]  # another row of the doc_id can be without words
+                if len(some) > 1:
+                    x, y = links([sets[k] for k in some], nodes[lo:hi][some])
+                    a += x
+                    b += y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
+
+    return run
+
+
+def _against_pivots(percent: int):
+    """Rows of (cluster, pivots, members): every member against every pivot of the group: a spanning forest of the links that involve a pivot."""
+
+    def forest(sets: list[np.ndarray], nodes: np.ndarray, n_pivots: int):
+        distinct, holders, begin = _inverted(sets[:n_pivots])
+        sizes, root, a, b = np.array([len(s) for s in sets[:n_pivots]]), np.arange(n_pivots), [], []
+        for i, s in enumerate(sets):
+            at = np.minimum(np.searchsorted(distinct, s), len(distinct) - 1)
+            both = _common(at[distinct[at] == s], holders, begin, n_pivots)
+            hits = np.flatnonzero(100 * both >= percent * (sizes + len(s) - both))
+            hits = hits[hits != i]
+            if i < n_pivots:
+                hits = hits[root[hits] != root[i]]
+            roots, first = np.unique(root[hits], return_index=True)
+            a += nodes[hits[first]].tolist()
+            b += [int(nodes[i])] * len(first)
+            if len(roots):
+                root[np.isin(root, roots) | ((root == root[i]) if i < n_pivots else False)] = roots[0]
+        return a, b
+
+    def run(batches):
+        for t, cuts in _groups(batches, ["cluster", "pivots", "members"]):
+            if cuts[-1] != t.num_rows:
+                cuts = np.append(cuts, t.num_rows)
+            nodes, n_pivots = t.column("node").to_numpy(), np.add.reduceat(t.column("pivot").to_numpy().astype(int), cuts[:-1])
+            sets = [np.frombuffer(x, "<u8") for x in t.column("set").to_pylist()]
+            a, b = [], []
+            for lo, hi, k in zip(cuts, cuts[1:], n_pivots):
+                if k:
+                    x, y = forest(sets[lo:hi], nodes[lo:hi], int(k))
                     a += x
                     b += y
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
@@ -224,41 +273,113 @@ def _verified(n: int, percent: int):
     return run
 
 
+def _linked_by_pivots(big: DataFrame, percent: int) -> DataFrame | None:
+    """(a, b): a spanning forest of the links in large clusters; big: cluster, node, set.
+
+    In a round, each cluster that is not settled takes pivots among the documents that are in
+    question, and every document in question is verified against all of them.  A pivot then knows all
+    its links and is out of question.  A cluster is settled when the documents still in question
+    are in one component: pairs left could only link what is linked.  Components but the largest
+    give the next pivots, twice as many in each round.  So a cluster of near copies of one text is
+    settled in a round or two, linear in its documents.
+    """
+    open_ = saved(big.select("cluster", "node", F.col("node").alias("component")).distinct(), "in-question")
+    links, pivots = [], BLOCK
+    while True:
+        counts = saved(open_.groupBy("cluster", "component").agg(F.count("*").alias("n")), "counts")
+        active = counts.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main")).filter("parts > 1")
+        giving = F.col("size") - (F.col("main.n") if links else F.lit(0))
+        active = active.select("cluster", "size", F.col("main.component").alias("main"), giving.alias("giving"), F.ceil(F.least(giving, F.lit(pivots)) / BLOCK).cast("int").alias("spans"))
+        active = saved(active.withColumn("blocks", F.ceil(F.col("size") / MEMBERS).cast("int")), "active")
+        dropped(counts)
+        if active.isEmpty():
+            return union(links)
+        # At first all documents can give pivots, then those outside the largest part. About `pivots` do, by hash, so nothing is ranked.
+        dealt = lambda n, what: F.pmod(F.xxhash64("node", F.lit(what), F.lit(pivots)), n).cast("int")  # noqa: B023, E731
+        gives = (dealt(F.col("giving"), "pivot") < pivots) & (F.lit(not links) | (F.col("component") != F.col("main")))
+        rows = open_.join(active.hint("merge"), "cluster").select("cluster", "node", "spans", "blocks", dealt(F.col("blocks"), "members").alias("members"), F.when(gives, dealt(F.col("spans"), "block")).alias("own"))
+        mine = saved(rows.join(big.select("node", "set").hint("merge"), "node"), "sets")
+        # Each document goes once to every block of pivots but its own, each pivot to every block of members.
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        as_member = mine.select("cluster", every("spans").alias("pivots"), "members", F.lit(False).alias("pivot"), "node", "set", "own").filter("own IS NULL OR own <> pivots")
+        as_pivot = mine.filter("own IS NOT NULL").select("cluster", F.col("own").alias("pivots"), every("blocks").alias("members"), F.lit(True).alias("pivot"), "node", "set", "own")
+        keys = ["cluster", "pivots", "members"]
+        met = as_member.unionByName(as_pivot).drop("own").repartition(*keys).sortWithinPartitions(*keys, F.desc("pivot"))
+        found = saved(met.mapInArrow(_against_pivots(percent), "a long, b long"), "links")
+        links.append(found)
+        # What is linked now joins the components there were; no link of an earlier round is looked at again.
+        part = open_.select("node", "component")
+        ends = found.join(part.toDF("a", "pa").hint("merge"), "a").join(part.toDF("b", "pb").hint("merge"), "b").select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+        joined = connected_components(ends).toDF("component", "new")
+        left = open_.join(mine.filter("own IS NULL").select("node").distinct().hint("merge"), "node", "left_semi")
+        after = saved(left.join(joined.hint("merge"), "component", "left").select("cluster", "node", F.coalesce("new", "component").alias("component")), "in-question")
+        dropped(open_, active, mine)
+        open_, pivots = after, 2 * pivots
+
+
+def union(frames: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for df in frames:
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def _sets(n: int):
+    def run(batches):
+        claim("hashes")
+        for batch in batches:
+            sets = [shingles(t, n).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["cluster", "node", "set"])
+
+    return run
+
+
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of percent/100 or more) and kept, for each row."""
     docs = documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
     cut = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / M) ** 0.5
-    sigs = saved(sketches(docs, shingle), "sketches")
+    sigs = saved(sketches(spread(docs), shingle), "sketches")
     nodes = saved(sigs.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles")), "nodes")
 
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(i * width + 1, F.lit(width))))
     bands = nodes.select("node", F.explode(keys).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1")
+    # Counts are written before they are joined: a join straight above an aggregate of the same key could not be split where a key is hot.
+    shared = saved(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("first")).filter("n > 1"), "shared")
     members = saved(bands.join(shared.hint("merge"), "key"), "bands")
     sparse = members.filter(F.col("n") <= HOT).select("key", "node").join(nodes.select("node", "regs", "n_shingles").hint("merge"), "node")
     likely = sparse.repartition("key").sortWithinPartitions("key").select("key", "node", "regs", "n_shingles").mapInArrow(_likely(cut, percent), "a long, b long")
     dense = members.filter(F.col("n") > HOT).select(F.col("first").alias("a"), F.col("node").alias("b"))
     clusters = saved(connected_components(likely.unionByName(dense)), "clusters")
-
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = clusters.join(sizes.hint("merge"), "component").withColumn("blocks", blocks).withColumn("mine", mine)
-    placed = placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "blocks", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = placed.filter("blocks = 1 or mine <> other")  # two different blocks hold all pairs within each as well
-    placed = placed.select("doc_id", "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    texts = docs.join(placed.hint("merge"), "doc_id").select("cluster", "i", "j", F.col("doc_id").alias("node"), "text")
-    found = texts.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(_verified(shingle, percent), "a long, b long")
+    dropped(shared, members)
+
+    sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    placed = clusters.join(sizes.hint("merge"), "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), (F.col("size") <= BLOCK).alias("small"))
+    # One row a node: of rows that share its doc_id, all have a part in the cluster.
+    texts = saved(docs.join(placed.hint("merge"), "doc_id").select("cluster", "small", F.col("doc_id").alias("node"), "text"), "texts")
+    found = texts.filter("small").select("cluster", "node", "text").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_verified(shingle, percent), "a long, b long")
+    large = texts.filter("not small").select("cluster", "node", "text")
+    if not large.isEmpty():
+        big = saved(large.mapInArrow(_sets(shingle), "cluster long, node long, set binary").filter("octet_length(set) > 0"), "large")
+        found = union([found, *filter(None, [_linked_by_pivots(big, percent)])])
     linked = connected_components(found)
 
     own = nodes.select("digest", "node").join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "digest").join(saved(own, "components").hint("merge"), "digest", "left")
     component = F.coalesce("component_id", "doc_id")
+    dropped(nodes, clusters, sizes, texts)
     return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(_NULL_ID)).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are the first of their component, with their own columns."""
-    kept = saved(components(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    """The documents that are the first of their component, with their own columns; of rows that repeat a doc_id and a text, one."""
+    kept = components(docs, shingle, percent).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("times"))
+    kept = saved(kept, "kept")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # the documents' columns can be called anything
+    at = {c: own[docs.columns.index(c)] for c in ("doc_id", "text")}
+    named = docs.toDF(*own)
+
+    def rows(times: str) -> DataFrame:
+        return named.join(kept.filter(times).hint("merge"), named[at["doc_id"]].cast("long").eqNullSafe(kept["kept_id"])).select(*own)
+
+    return rows("times = 1").unionByName(rows("times > 1").dropDuplicates([at["doc_id"], at["text"]])).toDF(*docs.columns)

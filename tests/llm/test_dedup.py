@@ -106,6 +106,7 @@ def family(r, size, length, change):
 def test_large_and_small_groups(spark, monkeypatch):
     monkeypatch.setattr(neardup, "HOT", 20)  # the paths of large bands and of clusters of several blocks
     monkeypatch.setattr(neardup, "BLOCK", 16)
+    monkeypatch.setattr(neardup, "MEMBERS", 24)
     r = random.Random(3)
     texts = [t for size, length, change in ((90, 60, 2), (6, 5, 1), (40, 30, 1), (3, 400, 10), (25, 12, 1)) for t in family(r, size, length, change)] + ["copy of a text"] * 30
     r.shuffle(texts)
@@ -114,6 +115,33 @@ def test_large_and_small_groups(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows, 4))
 
 
+def test_a_loose_cluster_takes_several_rounds(spark, monkeypatch):
+    """Families of a few documents each around shared text under the threshold: one cluster, many components."""
+    monkeypatch.setattr(neardup, "HOT", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "MEMBERS", 8)
+    taken = []
+    rounds = neardup._against_pivots
+    monkeypatch.setattr(neardup, "_against_pivots", lambda percent: taken.append(1) or rounds(percent))
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(60)]
+    texts = []
+    for _ in range(14):
+        own = common + [f"v{r.randint(0, 10**6)}" for _ in range(25)]
+        texts += [" ".join(own), " ".join(own[:-1]), " ".join(own[:-2])][: r.randint(1, 3)]
+    rows = list(enumerate(texts))
+    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=4).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_components(rows, 4))
+    assert 1 < len(taken) < 6
+
+
+def test_repeated_rows_leave_one(spark):
+    base = "one two three four five six seven"
+    rows = [(1, base, 0), (1, base, 0), (2, "eight nine ten eleven twelve", 1), (3, "", 2), (3, "", 2), (4, base, 3), (None, "some other words of a null id", 4), (None, "some other words of a null id", 4), (5, "a", 5), (5, None, 5)]
+    got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, times int")).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted({(i, t) for i, t, _ in rows if i != 4}, key=str)
+
+
 def test_deduplicated_keeps_columns_and_first(spark):
     rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (3, "other text of six words here", "z"), (4, None, "w")]
     got = neardup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, kept_id string"))
@@ -153,6 +181,18 @@ def test_registers_hold_zeros_and_mantissa():
     assert reg >> neardup.MANTISSA == 57 - 24 and reg & 1023 == 0b0110000000
 
 
+@pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(1000)], [(i, i + 1) for i in range(1000, 0, -1)] + [(5000, i) for i in range(5001, 5400)]])
+def test_long_paths_take_few_rounds(spark, edges, monkeypatch):
+    """A path in the order of its ids, and a star beside it."""
+    rounds = []
+    keep = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df, what: rounds.append(what) or keep(df, what))
+    got = {x["node"]: x["component"] for x in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    low = min(min(e) for e in edges)
+    assert got == {x: 5000 if x >= 5000 else low for e in edges for x in e}
+    assert rounds.count("cc-moves") < 15
+
+
 def test_connected_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(r.randint(200, 300), r.randint(200, 300)) for _ in range(60)] + [(7, 7)]
