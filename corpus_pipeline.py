@@ -49,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a data folder; what a stage returns is written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a data folder; what a stage returns is written as Parquet and read again. A stage's own tables, and its input, are deleted once its output is written."""
+    docs = given = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = common.saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        path = common.fresh_path(spark, "stage-" + name.replace(" ", "-"))
+        with common.scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        if docs is not given:
+            common.dropped(docs)
+        docs = spark.read.schema(out.schema).parquet(path)
+        docs.saved_at = path
     return STAGES[-1][1](spark, docs, sf_dir)
