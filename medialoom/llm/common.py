@@ -139,6 +139,33 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+_SEPARATES = np.zeros(256, bool)
+_SEPARATES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: How much of an 8-byte load belongs to a word of 0..8 bytes.
+_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+_LONG = 64
+
+
+def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, and its 64-bit hash: eight bytes of all words at a time; words over _LONG bytes one by one."""
+    x = np.frombuffer(text, np.uint8)
+    edge = np.diff((~_SEPARATES[x]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    length = end - start
+    h = mixed(length.astype(np.uint64) + np.uint64(0x51ED270B))
+    loads = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    left = np.flatnonzero(length <= _LONG)
+    for at in range(0, _LONG, 8):
+        left = left[length[left] > at]
+        if not len(left):
+            break
+        part = loads[start[left] + at] & _KEEP[np.minimum(length[left] - at, 8)]
+        h[left] = mixed(h[left] ^ part)
+    for i in np.flatnonzero(length > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(text[start[i] : end[i]])
+    return start, end, h
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Finaliser: spreads the information of each 64-bit value over all its bits."""
     with np.errstate(over="ignore"):

@@ -27,48 +27,69 @@ looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import ascii_lower, claim, documents_of, dropped, gram_hashes, saved, spread, word_hashes
+from medialoom.llm.bpe import chunks
+from medialoom.llm.common import ascii_lower, documents_of, dropped, gram_hashes, saved, spread, words_of
 from medialoom.llm.graph import connected_components
 
 M, BANDS, ROWS, MANTISSA = 128, 32, 4, 10
 HOT, BLOCK, MEMBERS = 256, 128, 512
 SMALL, DEVIATIONS = 128, 6
+#: Texts whose words are hashed together.
+CHUNK_CHARS = 1_000_000
 _NULL_ID = -(2**63)
 _REST = 64 - 7  # bits of a hash below the bucket's
 _PROBES = np.stack([np.random.default_rng(i).permutation(M) for i in range(M)])
-_BOUNDS = np.arange(M, dtype=np.uint64) << np.uint64(_REST)
 
 
 def shingles(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-word shingles of a text in ASCII lower case; of the whole sequence if it is shorter."""
-    words = ascii_lower(text.encode()).split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    h = word_hashes(words)
-    return np.unique(gram_hashes(h, n)) if len(h) >= n else gram_hashes(h, len(h), seed=2 + len(h))
+    return next(shingle_sets([text], n))
+
+
+def shingle_sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
+    """The shingles of each text; the words of many texts are found and hashed together."""
+    for lo, hi in chunks(texts, CHUNK_CHARS):
+        raw = [x.encode() if x else b"" for x in texts[lo:hi]]
+        at, _, h = words_of(ascii_lower(b"\n".join(raw) + b"\n"))
+        starts = np.searchsorted(at, np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])).tolist()
+        grams = gram_hashes(h, n)
+        for x, y in zip(starts, starts[1:]):
+            yield np.unique(grams[x : y - n + 1]) if y - x >= n else gram_hashes(h[x:y], y - x, seed=2 + y - x) if y > x else np.empty(0, np.uint64)
 
 
 def registers(s: np.ndarray) -> np.ndarray:
     """The HyperMinHash registers of sorted distinct hashes."""
-    at = np.searchsorted(s, _BOUNDS)
-    filled = np.zeros(M, bool)
-    ends = np.append(at[1:], len(s))
-    filled = ends > at
-    low = s[np.minimum(at, len(s) - 1)] & np.uint64((1 << _REST) - 1)
+    return sketched([s])[0]
+
+
+def sketched(sets: list[np.ndarray]) -> np.ndarray:
+    """The registers of each of some sets that are not empty: a row of M."""
+    s = np.concatenate(sets)
+    cell = np.repeat(np.arange(len(sets)) * M, [len(x) for x in sets]) + (s >> np.uint64(_REST)).astype(np.int64)
+    first = np.flatnonzero(np.diff(cell, prepend=-1))  # hashes rise, so the first of a bucket is its smallest
+    low = s[first] & np.uint64((1 << _REST) - 1)
     length = np.frexp((low >> np.uint64(5)).astype(np.float64))[1] + 5  # bits from the leading one on; below 32, exact bits do not matter
     length = np.where(low < 32, np.frexp(low.astype(np.float64))[1], length)
     zeros = np.minimum(_REST - length, 63)
     mantissa = (low << np.minimum(zeros + 1, 63).astype(np.uint64)) & np.uint64((1 << _REST) - 1)
-    reg = (zeros.astype(np.uint16) << MANTISSA) | (mantissa >> np.uint64(_REST - MANTISSA)).astype(np.uint16)
-    if not filled.all():
-        reg = reg[np.where(filled, np.arange(M), _PROBES[np.arange(M), np.argmax(filled[_PROBES], axis=1)])]
-    return reg.astype("<u2")
+    reg, filled = np.zeros(len(sets) * M, "<u2"), np.zeros(len(sets) * M, bool)
+    reg[cell[first]] = (zeros.astype(np.uint16) << MANTISSA) | (mantissa >> np.uint64(_REST - MANTISSA)).astype(np.uint16)
+    filled[cell[first]] = True
+    reg, filled = reg.reshape(-1, M), filled.reshape(-1, M)
+    short = np.flatnonzero(~filled.all(axis=1))
+    for k in range(0, len(short), 256):
+        rows = short[k : k + 256]
+        lender = _PROBES[np.arange(M), np.argmax(filled[rows][:, _PROBES], axis=2)]
+        reg[rows] = np.where(filled[rows], reg[rows], np.take_along_axis(reg[rows], lender, axis=1))
+    return reg
 
 
 def chance(n1: float, n2: float) -> float:
@@ -90,15 +111,15 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (16 bytes) and registers, for each row."""
 
     def run(batches):
-        claim("hashes")
         for batch in batches:
-            texts = batch.column(1)
-            sizes, digests, regs = [], [], []
-            for i in range(len(texts)):
-                s = shingles(texts[i].as_py(), n)
-                sizes.append(len(s))
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                regs.append(registers(s).tobytes() if len(s) else None)
+            texts, sizes, digests, regs = batch.column(1).to_pylist(), [], [], []
+            for lo, hi in chunks(texts, CHUNK_CHARS):
+                sets = list(shingle_sets(texts[lo:hi], n))
+                some = [x for x in sets if len(x)]
+                rows = iter(sketched(some) if some else ())
+                sizes += map(len, sets)
+                digests += [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+                regs += [next(rows).tobytes() if len(x) else None for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary")
@@ -218,14 +239,13 @@ def _verified(n: int, percent: int):
         return _stars(_parts(len(sets), linked), nodes)
 
     def run(batches):
-        claim("hashes")
         for t, cuts in _groups(batches, ["cluster"]):
             if cuts[-1] != t.num_rows:
                 cuts = np.append(cuts, t.num_rows)
             nodes, texts = t.column("node").to_numpy(), t.column("text").to_pylist()
             a, b = [], []
             for lo, hi in zip(cuts, cuts[1:]):
-                sets = [shingles(x, n) for x in texts[lo:hi]] if hi - lo > 1 else []
+                sets = list(shingle_sets(texts[lo:hi], n)) if hi - lo > 1 else []
                 some = [k for k, x in enumerate(sets) if len(x)]  # another row of the doc_id can be without words
                 if len(some) > 1:
                     x, y = links([sets[k] for k in some], nodes[lo:hi][some])
@@ -326,9 +346,8 @@ def union(frames: list[DataFrame]) -> DataFrame | None:
 
 def _sets(n: int):
     def run(batches):
-        claim("hashes")
         for batch in batches:
-            sets = [shingles(t, n).astype("<u8").tobytes() for t in batch.column(2).to_pylist()]
+            sets = [x.astype("<u8").tobytes() for x in shingle_sets(batch.column(2).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], ["cluster", "node", "set"])
 
     return run
