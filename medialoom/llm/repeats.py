@@ -9,12 +9,15 @@ words' own 64-bit hashes), the earliest keeps its words, and the windows found e
 elsewhere join to maximal exact repeats, which are removed.
 
 Distribution.  Documents are dealt into shards by hash (one shuffle of the text, which the
-three passes over it share).  A shard sends the index, for each bucket of hashes, its distinct
-window hashes once, with two bits each (is a block; occurs twice here): 5 bytes a window,
-packed in one binary row a bucket.  So a passage that millions of documents share
-arrives at its bucket once from each shard.  The reply is one bit a window.  The same way
-candidates go to buckets and come back as one bit each.  No pairs are made anywhere: work and
-traffic are linear in the words.
+three passes over it share).  A shard sends its distinct window hashes once, sorted, in packs:
+one binary row for each slot of the hash space that it has any in, FAN slots at most, 4 bytes
+a window and one of flags (is a block; occurs twice here).  While the corpus needs no more
+than FAN buckets, a slot is a bucket.  Beyond that, packs of the same slot from FAN shards at a
+time meet in a relay, which merges them and sends on to the buckets of the slot; replies come
+back the same way.  So nobody sends more than FAN rows, however large the corpus, and a
+passage that millions of documents share arrives at its bucket once from each shard or relay.
+The reply is one bit a window.  Candidates go to buckets and come back as one bit each in the
+same manner.  No pairs are made anywhere: work and traffic are linear in the words.
 
 Defined results: words are split at space, \\t, \\n, \\v, \\f, \\r; a null text has no words;
 documents with fewer than WINDOW words lose nothing; null doc_ids count as smallest; rows that
@@ -24,117 +27,223 @@ other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import claim, documents_of, gram_hashes, mixed, parts_for, shuffle_partitions, text_bytes, word_hashes
+from medialoom.llm.common import documents_of, gram_hashes, mixed, parts_for, shuffle_partitions, text_bytes, words_of
 
 WINDOW, BLOCK = 20, 10
 SHARD_BYTES = 8_000_000
 #: Windows that one bucket should see: bytes of text for each bucket.
 BUCKET_BYTES = 12_000_000
+#: Rows that a shard, a relay or a bucket's sender sends at most.
+FAN = 4096
 _LOW = np.uint64(0xFFFFFFFF)
 _NULL_ID = -(2**63)
 
 
+@dataclass(frozen=True)
+class Layout:
+    """How many shards, slots of the hash space, and buckets in a slot there are (powers of two, but the shards)."""
+
+    shards: int
+    slots: int
+    per_slot: int
+
+    @property
+    def relayed(self) -> bool:
+        return self.per_slot > 1
+
+    @property
+    def kind(self) -> str:
+        """The number type of a hash on its way: 32 bits below the slot's, or all 64 where they are needed."""
+        return "<u8" if self.relayed else "<u4"
+
+    def slot_of(self, h: np.ndarray) -> np.ndarray:
+        bits = self.slots.bit_length() - 1
+        return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+
+    def sent(self, h: np.ndarray) -> np.ndarray:
+        return h.astype("<u8") if self.relayed else ((h >> np.uint64(32 - (self.slots.bit_length() - 1))) & _LOW).astype("<u4")
+
+    def bucket_of(self, h: np.ndarray) -> np.ndarray:
+        """Within the slot."""
+        skip, bits = self.slots.bit_length() - 1, self.per_slot.bit_length() - 1
+        return ((h >> np.uint64(64 - skip - bits)) & np.uint64(self.per_slot - 1)).astype(np.int64)
+
+
+def layout(docs: DataFrame) -> Layout:
+    spark = docs.sparkSession
+    total = text_bytes(docs)
+    buckets = 1 << (max(2 * shuffle_partitions(spark), parts_for(spark, total, BUCKET_BYTES)) - 1).bit_length()
+    slots = min(buckets, FAN)
+    return Layout(parts_for(spark, total, SHARD_BYTES, least=2), slots, buckets // slots)
+
+
 class _Shard:
     """The documents of a shard in their order, and the hashes of their words one after another."""
 
     def __init__(self, t: pa.Table):
-        claim("hashes")
-        ids = t.column("doc_id").to_pylist()
-        texts = t.column("text").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (_NULL_ID if ids[i] is None else ids[i], texts[i] is not None, texts[i] or ""))
-        self.shard = t.column("shard")[0].as_py() if len(ids) else 0
-        self.doc_ids = [ids[i] for i in order]
-        self.texts = [texts[i] for i in order]
-        hashes = [word_hashes(self.words(k)) for k in range(len(order))]
-        self.counts = np.fromiter(map(len, hashes), np.int64, len(hashes))
-        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        self.h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        self.begin = np.repeat(self.starts[:-1], self.counts)  # of each word's document
-        self.end = np.repeat(self.starts[1:], self.counts)
-
-    def words(self, k: int) -> list[bytes]:
-        return self.texts[k].encode().split() if self.texts[k] else []
+        t = t.select(["shard", "doc_id", "text"])
+        t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")], null_placement="at_start"))
+        self.shard = t.column("shard")[0].as_py() if t.num_rows else 0
+        self.doc_ids = t.column("doc_id").fill_null(_NULL_ID).to_numpy().astype("<i8")
+        texts = [x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()]
+        self.text = b"\n".join(texts) + b"\n"
+        first = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])]).astype(np.int64)  # byte of each document
+        del texts, t
+        self.at, self.to, self.h = words_of(self.text)
+        self.first = first
+        self.starts = np.searchsorted(self.at, first)  # word of each document
+        counts = np.diff(self.starts)
+        self.begin = np.repeat(self.starts[:-1], counts)  # of each word's document
+        self.end = np.repeat(self.starts[1:], counts)
 
     def places(self, n: int) -> np.ndarray:
         """Where windows of n words start that lie in one document."""
         return np.flatnonzero(np.arange(len(self.h)) + n <= self.end)
 
 
-def _buckets(h: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of each hash; rises with the hash."""
-    return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+def _grouped(h: np.ndarray, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """An order of h, and which places of it begin another value. Unless `exact`, values count as equal that agree in all bits but those that number the places: the sort is then one of plain numbers."""
+    if not len(h):
+        return np.empty(0, np.int64), np.empty(0, bool)
+    bits = np.uint64(max(1, (len(h) - 1).bit_length()))
+    if exact or bits > 24:
+        order = np.argsort(h, kind="stable")
+        value = h[order]
+    else:
+        packed = np.sort(((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64))
+        order, value = (packed & np.uint64((1 << int(bits)) - 1)).astype(np.int64), packed >> bits
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = value[1:] != value[:-1]
+    return order, fresh
+
+
+def _anchors(s: _Shard, exact: bool):
+    """Rolling windows: their places in the order of the hashes, the distinct hashes, the flags of each, and for each place in that order which one it is."""
+    at = s.places(BLOCK)
+    h = gram_hashes(s.h, BLOCK)[at] if len(at) else np.empty(0, np.uint64)
+    order, fresh = _grouped(h, exact)
+    which = np.cumsum(fresh) - 1
+    at = at[order]
+    first = np.flatnonzero(fresh)
+    flags = (np.diff(np.append(first, len(h))) > 1).astype(np.uint8) << 1
+    flags[which[(at - s.begin[at]) % BLOCK == 0]] |= 1
+    return at, h[order][first], flags, which
 
 
-def _cuts(sorted_buckets: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(sorted_buckets, np.arange(n + 1, dtype=np.uint64))
+_PACK = "slot int, shard int, kind int, hashes binary, more binary, ids binary, starts binary"
+_PACKS = pa.schema([("slot", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())])
+_REPLY = "shard int, slot int, bits binary"
+_REPLIES = pa.schema([("shard", pa.int32()), ("slot", pa.int32()), ("bits", pa.binary())])
 
 
-def _anchors(s: _Shard):
-    """Distinct rolling windows (sorted hashes), the flags of each, and for each place which one it is."""
-    at = s.places(BLOCK)
-    unique, place, counts = np.unique(gram_hashes(s.h, BLOCK)[at] if len(at) else np.empty(0, np.uint64), return_inverse=True, return_counts=True)
-    flags = (counts > 1).astype(np.uint8) << 1
-    flags[place[(at - s.begin[at]) % BLOCK == 0]] |= 1
-    return at, unique, flags, place
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
+
 
+def _runs(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a rising array and where each begins (and, last, where all end): no step for values it has not."""
+    cut = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[cut], np.append(cut, len(part))
 
-_ROW = "bucket int, shard int, kind int, hashes binary, more binary, ids binary, starts binary"
-_ROWS = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary()), ("more", pa.binary()), ("ids", pa.binary()), ("starts", pa.binary())])
-_REPLY = "shard int, bucket int, bits binary"
-_REPLIES = pa.schema([("shard", pa.int32()), ("bucket", pa.int32()), ("bits", pa.binary())])
 
+def _packs(sender: int, part: np.ndarray, *columns: np.ndarray) -> list[tuple]:
+    """A row (part, sender, kind, ...) for each value of `part`, which rises."""
+    values, cuts = _runs(part)
+    rest = [b""] * (4 - len(columns))
+    return [(int(v), sender, 0, *(c[x:y].tobytes() for c in columns), *rest) for v, x, y in zip(values, cuts, cuts[1:])]
 
-def _index(n_buckets: int):
+
+def _read(replies: pa.Table, part: np.ndarray) -> np.ndarray:
+    """Bits of all packs, one after another as their values were."""
+    out = np.zeros(len(part), bool)
+    values, cuts = _runs(part)
+    slots = replies.column("slot").to_numpy()
+    at = np.searchsorted(values, slots)
+    for k, bits in zip(at.tolist(), replies.column("bits").to_pylist()):
+        x, y = cuts[k], cuts[k + 1]
+        out[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
+    return out
+
+
+def _joined(t: pa.Table, column: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all packs, one after another, and how many each has."""
+    parts = t.column(column).to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.array([len(x) // np.dtype(kind).itemsize for x in parts], np.int64)
+
+
+def _answers(t: pa.Table, bits: np.ndarray, sizes: np.ndarray) -> pa.Table:
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    packed = [np.packbits(bits[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+    return pa.Table.from_arrays([t.column("shard").combine_chunks(), t.column("slot").combine_chunks(), pa.array(packed, pa.binary())], schema=_REPLIES)
+
+
+# ---------------------------------------------------------------- blocks and probes
+
+def _index(how: Layout):
     def run(t: pa.Table) -> pa.Table:
         s = _Shard(t)
-        _, unique, flags, _ = _anchors(s)
-        cuts = _cuts(_buckets(unique, n_buckets), n_buckets)
-        low = (unique & _LOW).astype("<u4")
-        rows = [(b, s.shard, 0, low[x:y].tobytes(), flags[x:y].tobytes(), b"", b"") for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_ROWS), _ROWS)], schema=_ROWS)
+        _, unique, flags, _ = _anchors(s, how.relayed)
+        return _table(_packs(s.shard, how.slot_of(unique), how.sent(unique), flags), _PACKS)
 
     return run
 
 
-def _probe(t: pa.Table) -> pa.Table:
-    """In a bucket: which of the windows sent hit a block elsewhere, or a block here that occurs again."""
-    hashes = t.column("hashes").to_pylist()
-    sizes = [len(x) // 4 for x in hashes]
-    h = np.frombuffer(b"".join(hashes), "<u4")
-    f = np.frombuffer(b"".join(t.column("more").to_pylist()), np.uint8)
-    _, place, counts = np.unique(h, return_inverse=True, return_counts=True)
-    block, again = np.zeros(len(counts), bool), counts > 1
-    block[place[f & 1 > 0]] = True
-    again[place[f & 2 > 0]] = True
-    hit = (block & again)[place]
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    bits = [np.packbits(hit[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.Table.from_arrays([t.column("shard").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(bits, pa.binary())], schema=_REPLIES)
+def _merged(t: pa.Table, kind: str):
+    """The distinct hashes of some packs, their flags, which one each sent hash is, and the packs' sizes."""
+    h, sizes = _joined(t, "hashes", kind)
+    flags, _ = _joined(t, "more", "u1")
+    unique, place, counts = np.unique(h, return_inverse=True, return_counts=True)
+    out = (counts > 1).astype(np.uint8) << 1
+    for bit in (1, 2):
+        out[place[flags & bit > 0]] |= bit
+    return unique, out, place, sizes
 
 
-def _read_bits(replies: pa.Table, cuts: np.ndarray) -> np.ndarray:
-    """Bits of all buckets in the order of the sorted hashes; a bucket without reply has none set."""
-    out = np.zeros(int(cuts[-1]), bool)
-    for b, bits in zip(replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()):
-        n = int(cuts[b + 1] - cuts[b])
-        out[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-    return out
+def _probe(kind: str):
+    def run(t: pa.Table) -> pa.Table:
+        """In a bucket: which of the windows sent hit a block elsewhere, or a block that occurs again where it is."""
+        _, flags, place, sizes = _merged(t, kind)
+        return _answers(t, (flags == 3)[place], sizes)
+
+    return run
 
 
+def _relay_windows(how: Layout):
+    def run(t: pa.Table) -> pa.Table:
+        unique, flags, _, _ = _merged(t, how.kind)
+        sender = t.column("relay")[0].as_py() if t.num_rows else 0
+        return _table(_packs(sender, how.bucket_of(unique), unique, flags), _PACKS)
+
+    return run
+
+
+def _relay_hits(how: Layout):
+    def run(t: pa.Table, replies: pa.Table) -> pa.Table:
+        unique, _, place, sizes = _merged(t, how.kind)
+        return _answers(t, _read(replies, how.bucket_of(unique))[place], sizes)
+
+    return run
+
+
+# ---------------------------------------------------------------- candidates
+
 def _candidates(s: _Shard, near: np.ndarray):
     """Sequences at the places `near`: hashes sorted, the places in that order, and which are the first in this shard."""
     a = b = np.zeros(len(near), np.uint64)
     with np.errstate(over="ignore"):
         for j in range(WINDOW):
             w = s.h[near + j]
-            a = mixed(a * np.uint64(0x9E3779B97F4A7C15) + w)
+            a = (a ^ (a >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w
             b = (b ^ (b >> np.uint64(29))) * np.uint64(0xD1342543DE82EF95) + w
-    b = mixed(b) & _LOW
+    a, b = mixed(a), mixed(b) & _LOW
     order = np.lexsort((b, a))  # stable: the earlier place comes first
     a, b, near = a[order], b[order], near[order]
     first = np.ones(len(a), bool)
@@ -142,104 +251,160 @@ def _candidates(s: _Shard, near: np.ndarray):
     return a, b, near, first
 
 
-def _extend(n_buckets: int):
+def _extend(how: Layout):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         s = _Shard(t)
-        at, unique, _, place = _anchors(s)
-        hit = _read_bits(replies, _cuts(_buckets(unique, n_buckets), n_buckets))[place] if len(unique) else np.empty(0, bool)
-        marks = np.zeros(len(s.h) + 1, np.int64)
-        marks[at[hit] + 1] = 1
+        at, unique, _, which = _anchors(s, how.relayed)
+        marks = np.zeros(len(s.h) + 1, np.int32)
+        marks[at[_read(replies, how.slot_of(unique))[which]] + 1] = 1
         marks = np.cumsum(marks)
+        del at, unique, which
         windows = s.places(WINDOW)
         near = windows[marks[windows + WINDOW - BLOCK + 1] > marks[windows]]  # a hit lies within the window
         here = np.zeros(len(s.h), bool)
         here[near] = True
-        rows = [(s.shard % n_buckets, s.shard, 1, np.packbits(here).tobytes(), b"", b"", b"")]
+        # Where the candidates are goes through a slot and back, beside them.
+        rows = [(s.shard % how.slots, s.shard, 1, np.packbits(here).tobytes(), b"", b"", b"")] if len(near) else []
         a, b, near, first = _candidates(s, near)
         a, b, near = a[first], b[first], near[first]
-        cuts = _cuts(_buckets(a, n_buckets), n_buckets)
         doc = np.searchsorted(s.starts, near, "right") - 1
-        ids = np.array([_NULL_ID if x is None else x for x in s.doc_ids], "<i8")[doc] if len(doc) else np.empty(0, "<i8")
-        start = (near - s.starts[doc]).astype("<u4") if len(doc) else np.empty(0, "<u4")
-        a, b = a.astype("<u8"), b.astype("<u4")
-        rows += [(k, s.shard, 0, a[x:y].tobytes(), b[x:y].tobytes(), ids[x:y].tobytes(), start[x:y].tobytes()) for k, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ROWS)], schema=_ROWS)
+        rows += _packs(s.shard, how.slot_of(a), a.astype("<u8"), b.astype("<u4"), s.doc_ids[doc], (near - s.starts[doc]).astype("<u4"))
+        return _table(rows, _PACKS)
 
     return run
 
 
+def _sequences(t: pa.Table):
+    """The sequences of some packs: their columns, their senders, the order by sequence and then place, and which in that order begin another."""
+    cols = [_joined(t, c, k)[0] for c, k in (("hashes", "<u8"), ("more", "<u4"), ("ids", "<i8"), ("starts", "<u4"))]
+    sizes = _joined(t, "hashes", "<u8")[1]
+    sender = np.repeat(t.column("shard").to_numpy().astype(np.int64), sizes)
+    order = np.lexsort((cols[3], sender, cols[2], cols[1], cols[0]))
+    fresh = np.ones(len(order), bool)
+    for k, x in enumerate(cols[:2]):
+        y = x[order]
+        fresh[1:] = (fresh[1:] if k else False) | (y[1:] != y[:-1])
+    return cols, sizes, order, fresh
+
+
+def _split(t: pa.Table) -> tuple[pa.Table, list[tuple]]:
+    """The packs, and the replies to rows that only pass through."""
+    kind = t.column("kind")
+    through = t.filter(pc.equal(kind, 1))
+    return t.filter(pc.equal(kind, 0)), [(x, -1, y) for x, y in zip(through.column("shard").to_pylist(), through.column("hashes").to_pylist())]
+
+
 def _earliest(t: pa.Table) -> pa.Table:
-    """In a bucket: which of the sequences sent start earlier in another shard. Rows of kind 1 go back as they came."""
-    rows = t.select(["shard", "bucket", "kind", "hashes", "more", "ids", "starts"]).to_pylist()
-    own = [r for r in rows if r["kind"] == 0]
-    a = np.frombuffer(b"".join(r["hashes"] for r in own), "<u8")
-    b = np.frombuffer(b"".join(r["more"] for r in own), "<u4")
-    ids = np.frombuffer(b"".join(r["ids"] for r in own), "<i8")
-    start = np.frombuffer(b"".join(r["starts"] for r in own), "<u4")
-    sizes = [len(r["hashes"]) // 8 for r in own]
-    shard = np.repeat(np.array([r["shard"] for r in own], np.int64), sizes)
-    order = np.lexsort((start, shard, ids, b, a))
-    later = np.zeros(len(a), bool)
-    x, y = a[order], b[order]
-    later[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    out = [(r["shard"], r["bucket"], np.packbits(later[i:j]).tobytes()) for r, i, j in zip(own, cuts, cuts[1:])]
-    out += [(r["shard"], -1, r["hashes"]) for r in rows if r["kind"] == 1]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _REPLIES)], schema=_REPLIES)
+    """In a bucket: which of the sequences sent start earlier elsewhere."""
+    t, through = _split(t)
+    _, sizes, order, fresh = _sequences(t)
+    later = np.zeros(len(order), bool)
+    later[order] = ~fresh
+    return pa.concat_tables([_answers(t, later, sizes), _table(through, _REPLIES)])
 
 
-_RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
-_RESULTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+def _relay_sequences(how: Layout):
+    def run(t: pa.Table) -> pa.Table:
+        sender = t.column("relay")[0].as_py() if t.num_rows else 0
+        t, _ = _split(t)
+        cols, _, order, fresh = _sequences(t)
+        own = order[fresh]
+        return _table(_packs(sender, how.bucket_of(cols[0][own]), *(c[own] for c in cols)), _PACKS)
+
+    return run
 
 
-def _remove(n_buckets: int):
+def _relay_later(how: Layout):
+    def run(t: pa.Table, replies: pa.Table) -> pa.Table:
+        t, through = _split(t)
+        cols, sizes, order, fresh = _sequences(t)
+        later = np.zeros(len(order), bool)
+        later[order] = ~fresh
+        own = order[fresh]
+        later[own] = _read(replies, how.bucket_of(cols[0][own]))
+        return pa.concat_tables([_answers(t, later, sizes), _table(through, _REPLIES)])
+
+    return run
+
+
+# ---------------------------------------------------------------- what is left
+
+_RESULT = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_RESULTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("spans", _SPANS)])
+
+
+def _kept(s: _Shard, removed: np.ndarray) -> pa.Array:
+    """The words that stay, joined by a space, for each document: the bytes of the words and of one space before each but a document's first."""
+    stay = np.flatnonzero(~removed)
+    doc = np.searchsorted(s.starts, stay, "right") - 1
+    inner = np.ones(len(stay), bool)
+    inner[1:] = doc[1:] == doc[:-1]
+    inner[:1] = False
+    size = s.to[stay] - s.at[stay] + inner
+    ends = np.cumsum(size)
+    # from byte to byte the source goes on by one; at a word's first byte it jumps to the word (and to the byte before it, for the space)
+    step = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    begins = ends - size
+    source = s.at[stay] - inner
+    step[begins] = np.diff(source, prepend=0) - np.concatenate([[0], size[:-1] - 1])
+    out = np.frombuffer(s.text, np.uint8)[np.cumsum(step)] if len(step) else np.empty(0, np.uint8)
+    out[begins[inner]] = 0x20
+    cuts = np.concatenate([[0], ends])[np.searchsorted(doc, np.arange(len(s.doc_ids) + 1))]
+    return pa.Array.from_buffers(pa.large_string(), len(s.doc_ids), [None, pa.py_buffer(cuts.astype("<i8")), pa.py_buffer(out)]).cast(pa.string())
+
+
+def _remove(how: Layout):
     def run(t: pa.Table, replies: pa.Table) -> pa.Table:
         s = _Shard(t)
-        gone = np.zeros(len(s.h) + 1, np.int64)
-        buckets, bits = replies.column("bucket").to_pylist(), replies.column("bits").to_pylist()
-        here = np.zeros(len(s.h), bool)
-        if -1 in buckets:
-            here = np.unpackbits(np.frombuffer(bits[buckets.index(-1)], np.uint8), count=len(s.h)).astype(bool)
+        slots, here = replies.column("slot").to_numpy(), np.zeros(len(s.h), bool)
+        for k in np.flatnonzero(slots == -1).tolist():
+            here = np.unpackbits(np.frombuffer(replies.column("bits")[k].as_py(), np.uint8), count=len(s.h)).astype(bool)
         a, _, near, first = _candidates(s, np.flatnonzero(here))
         later = ~first
-        later[first] = _read_bits(replies.filter(pa.compute.greater_equal(replies.column("bucket"), 0)), _cuts(_buckets(a[first], n_buckets), n_buckets))
-        gone[near[later]] += 1
-        gone[near[later] + WINDOW] -= 1  # places differ, so no index repeats; starts and ends are summed apart
-        removed = np.cumsum(gone)[:-1] > 0 if len(s.h) else np.empty(0, bool)
-        edges = np.diff(np.concatenate([[0], removed.astype(np.int8), [0]])) if len(s.h) else np.empty(0, np.int8)
-        begins, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        out = []
-        for k, doc_id in enumerate(s.doc_ids):
-            lo, hi = int(s.starts[k]), int(s.starts[k + 1])
-            i, j = np.searchsorted(begins, (lo, hi))
-            # a repeat that ends a document can touch one that begins the next
-            spans, p = [], max(0, int(i) - 1)
-            while p < j:
-                x, y = max(lo, int(begins[p])), min(hi, int(ends[p]))
-                if x < y:
-                    spans.append((x - lo, y - lo))
-                p += 1
-            words, kept, at = s.words(k), [], 0
-            for x, y in spans:
-                kept += words[at:x]
-                at = y
-            kept = b" ".join(kept + words[at:] if spans else words).decode()
-            out.append((doc_id, hi - lo, sum(y - x for x, y in spans), kept, [{"start": x, "end": y} for x, y in spans]))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, _RESULTS)], schema=_RESULTS)
+        later[first] = _read(replies.filter(pa.array(slots >= 0)), how.slot_of(a[first]))
+        gone = np.zeros(len(s.h) + 1, np.int32)
+        gone[near[later]] += 1  # places differ, so no index repeats; starts and ends are summed apart
+        gone[near[later] + WINDOW] -= 1
+        removed = np.cumsum(gone)[:-1] > 0
+        # A run of removed words ends at its document's end too.
+        doc = np.repeat(np.arange(len(s.doc_ids)), np.diff(s.starts))
+        edge = np.ones(len(removed), bool)
+        edge[1:] = doc[1:] != doc[:-1]
+        begins = np.flatnonzero(removed & (edge | ~np.concatenate([[False], removed[:-1]])))
+        ends = np.flatnonzero(removed & (np.append(edge[1:], True) | ~np.append(removed[1:], False))) + 1
+        base = s.starts[doc[begins]]
+        spans = pa.StructArray.from_arrays([pa.array((begins - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], ["start", "end"])
+        cuts = pa.array(np.searchsorted(begins, s.starts).astype(np.int32))
+        n_removed = np.diff(np.concatenate([[0], np.cumsum(removed)])[s.starts])
+        ids = pa.array(s.doc_ids, mask=s.doc_ids == _NULL_ID)
+        return pa.Table.from_arrays([ids, pa.array(np.diff(s.starts)), pa.array(n_removed), _kept(s, removed), pa.ListArray.from_arrays(cuts, spans)], schema=_RESULTS)
 
     return run
 
 
+def _exchange(packs: DataFrame, how: Layout, bucket, relay_out, relay_back) -> DataFrame:
+    """The replies of the buckets to the shards' packs, through relays where a slot has several buckets."""
+    if not how.relayed:
+        return packs.groupBy("slot").applyInArrow(bucket, _REPLY)
+    groups = -(-how.shards // FAN)
+    # A relay serves one slot and FAN shards.
+    at: Column = (F.pmod("shard", F.lit(groups)) * how.slots + F.col("slot")).cast("int")
+    met = packs.withColumn("relay", at).groupBy("relay")
+    sent = met.applyInArrow(relay_out(how), _PACK)
+    # What a relay sends to is a bucket of its slot.
+    placed = sent.withColumn("bucket", F.pmod("shard", F.lit(how.slots)).cast("long") * how.per_slot + F.col("slot"))
+    answers = placed.groupBy("bucket").applyInArrow(bucket, _REPLY)
+    return met.cogroup(answers.withColumnRenamed("shard", "relay").groupBy("relay")).applyInArrow(relay_back(how), _REPLY)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """For each document: n_words, n_removed, the kept words joined by a space, and the maximal repeats removed (word positions)."""
     docs = documents_of(docs)
-    spark = docs.sparkSession
-    total, n = text_bytes(docs), shuffle_partitions(spark)
-    n_shards = parts_for(spark, total, SHARD_BYTES, least=2)
-    n_buckets = max(n, parts_for(spark, total, BUCKET_BYTES))
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_shards)).cast("int"))
-    index = dealt.groupBy("shard").applyInArrow(_index(n_buckets), _ROW)
-    hits = index.groupBy("bucket").applyInArrow(_probe, _REPLY)
-    near = dealt.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_extend(n_buckets), _ROW)
-    later = near.groupBy("bucket").applyInArrow(_earliest, _REPLY)
-    return dealt.groupBy("shard").cogroup(later.groupBy("shard")).applyInArrow(_remove(n_buckets), _RESULT)
+    how = layout(docs)
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(how.shards)).cast("int"))
+    index = dealt.groupBy("shard").applyInArrow(_index(how), _PACK)
+    hits = _exchange(index, how, _probe(how.kind), _relay_windows, _relay_hits)
+    near = dealt.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_extend(how), _PACK)
+    later = _exchange(near, how, _earliest, _relay_sequences, _relay_later)
+    return dealt.groupBy("shard").cogroup(later.groupBy("shard")).applyInArrow(_remove(how), _RESULT)

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,7 +114,7 @@ def _task(k: int):
         empty = _OUT.empty_table()
         if not candidates.num_rows or not queries.num_rows:
             return empty
-        width = max(int(pa.compute.max(pa.compute.list_value_length(t.column("v"))).as_py()) for t in (candidates, queries))
+        width = max(int(pc.max(pc.list_value_length(t.column("v"))).as_py()) for t in (candidates, queries))
         c, q = _matrix(candidates.column("v"), width), _matrix(queries.column("v"), width)
         q_ids = queries.column("vec_id").to_numpy()
         found = search_shard(q, q_ids, c, candidates.column("vec_id").to_numpy(), k)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from medialoom.llm import graph, neardup, repeats
+from medialoom.llm import common, graph, neardup, repeats
 
 
 def brute_repeats(rows, n=repeats.WINDOW):
@@ -41,7 +41,12 @@ def test_repeats(odd, odd_rows, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
-def test_repeats_at_random(spark):
+@pytest.mark.parametrize("fan", [4096, 4])
+def test_repeats_at_random(spark, fan, monkeypatch):
+    """Straight to the buckets, and through relays."""
+    monkeypatch.setattr(repeats, "FAN", fan)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 12_000)
     r = random.Random(7)
     words = [f"w{i}" for i in range(300)]
     passages = [" ".join(r.choices(words, k=k)) for k in (19, 20, 21, 35, 60, 200)]
@@ -52,10 +57,35 @@ def test_repeats_at_random(spark):
         r.shuffle(parts)
         rows.append((i * 5, r.choice([" ", "\n", "\t\x0b "]).join(parts)))
     rows += [(5000 + i, "a b a b " * r.randint(1, 20)) for i in range(10)]
-    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    how = repeats.layout(docs)
+    assert how.relayed == (fan == 4) and how.shards > fan or fan > 4
+    got = repeats.remove_repeats(docs).collect()
     assert sorted(tuple(x[:4]) for x in got) == brute_repeats(rows)
 
 
+def test_a_shard_sends_no_more_rows_than_slots():
+    """However many buckets there are; and the packs hold every window once."""
+    import pyarrow as pa
+
+    text = " ".join(f"w{random.Random(1).randint(0, 9)}x{i}" for i in range(30_000))
+    shard = pa.table({"shard": pa.array([3], pa.int32()), "doc_id": [1], "text": [text]})
+    for slots, per_slot in ((64, 1), (64, 64), (64, 1 << 20)):
+        how = repeats.Layout(1 << 20, slots, per_slot)
+        sent = repeats._index(how)(shard)
+        assert sent.num_rows <= slots
+        assert sum(len(x) for x in sent.column("hashes").to_pylist()) == np.dtype(how.kind).itemsize * (30_000 - repeats.BLOCK + 1)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "ab", "é", "漢字", "x" * 8, "y" * 64, "z" * 65, " ", "\n", "\t\x0b", "\x0c\r", "\u00a0", "\x1c"]), max_size=30))
+def test_words_of_a_text(parts):
+    text = "".join(parts).encode()
+    at, to, h = common.words_of(text)
+    assert [text[a:b] for a, b in zip(at, to)] == text.split()
+    assert len(set(h.tolist())) == len(set(text.split()))
+
+
 def shingle_set(t, n):
     w = (t or "").encode().lower().split() if (t or "").isascii() else neardup.ascii_lower((t or "").encode()).split()
     return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
@@ -184,6 +214,7 @@ def test_registers_hold_zeros_and_mantissa():
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(1000)], [(i, i + 1) for i in range(1000, 0, -1)] + [(5000, i) for i in range(5001, 5400)]])
 def test_long_paths_take_few_rounds(spark, edges, monkeypatch):
     """A path in the order of its ids, and a star beside it."""
+    monkeypatch.setattr(graph, "FINISH", 0)
     rounds = []
     keep = graph.saved
     monkeypatch.setattr(graph, "saved", lambda df, what: rounds.append(what) or keep(df, what))
@@ -193,7 +224,10 @@ def test_long_paths_take_few_rounds(spark, edges, monkeypatch):
     assert rounds.count("cc-moves") < 15
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("finish", [0, 30, 1 << 18])
+def test_connected_components(spark, finish, monkeypatch):
+    """By rounds alone, by rounds and a last task, and by that alone."""
+    monkeypatch.setattr(graph, "FINISH", finish)
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 130)] + [(r.randint(200, 300), r.randint(200, 300)) for _ in range(60)] + [(7, 7)]
     parent = {x: x for e in edges for x in e}
