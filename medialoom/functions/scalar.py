@@ -83,6 +83,16 @@ def extension_of(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"[^.]\.([^.]*)$", 1))
 
 
+def stem_of(name: Column) -> Column:
+    """The name without its last dot and what follows; a leading dot is no extension's."""
+    return F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1)
+
+
+def suffix_of(name: Column) -> Column:
+    """The extension with its dot, or the empty string."""
+    return F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
+
+
 def plays_natively(ext: Column, vcodec: Column, acodec: Column) -> Column:
     v = F.coalesce(vcodec.isin("h264", "vp8", "vp9", "av1"), F.lit(False))
     a = F.coalesce(acodec.isin("aac", "mp3", "opus", "vorbis"), F.lit(True))
@@ -110,10 +120,28 @@ def dated_folder(taken: Column, now: Column) -> Column:
 
 
 def excludes_list(text: Column) -> Column:
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.trim(F.trim(x), F.lit("\r")), F.lit("/")))
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""), F.lit("/")))
     return F.filter(lines, lambda x: x != "")
 
 
+def capped(content: Column, cap: int) -> Column:
+    """At most the first `cap` bytes."""
+    return F.substring(content, 1, cap)
+
+
+def escape_html(text: Column) -> Column:
+    """The four characters that markup gives a meaning to."""
+    for c, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(c), F.lit(name))
+    return text
+
+
+def program_version(text: Column) -> Column:
+    """What a program's first line tells of its version: without its name before and the copyright after."""
+    line = F.substring_index(F.substring_index(text, "\n", 1), " Copyright", 1)
+    return F.trim(F.regexp_replace(line, "^(ffmpeg version )+", ""))
+
+
 # ---------------------------------------------------------------- flags
 
 def pack_flags(kind: Column, fav: Column, rating: Column, state: Column, native: Column) -> Column:
@@ -294,6 +322,19 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return r * 0.2126 + g * 0.7152 + b * 0.0722
 
 
+def hex_to_hsl(text: Column) -> Column:
+    """Hue in degrees, saturation and lightness of #rrggbb; 224, 0.6, 0.5 for anything else."""
+    ok = F.coalesce(text.rlike("^#?[0-9A-Fa-f]{6}$"), F.lit(False))
+    digits = F.when(ok, F.right(text, F.lit(6))).otherwise("000000")
+    r, g, b = (F.conv(F.substring(digits, i, 2), 16, 10).cast("double") / 255 for i in (1, 3, 5))
+    top, low = F.greatest(r, g, b), F.least(r, g, b)
+    d, light = top - low, (top + low) / 2
+    sixth = F.when(d == 0, 0.0).when(top == r, ((g - b) / d) % 6).when(top == g, (b - r) / d + 2).otherwise((r - g) / d + 4) * 60
+    hue = F.when(sixth < 0, sixth + 360).otherwise(sixth)
+    sat = F.when(d == 0, 0.0).otherwise(d / (1 - F.abs(light * 2 - 1)))
+    return F.struct(*[F.when(ok, x).otherwise(F.lit(y)).alias(k) for k, x, y in (("h", hue, 224.0), ("s", sat, 0.6), ("l", light, 0.5))])
+
+
 def _smooth(lo: float, hi: float, x: Column) -> Column:
     t = F.least(F.greatest((x - lo) / (hi - lo), F.lit(0.0)), F.lit(1.0))
     return t * t * (3.0 - t * 2.0)

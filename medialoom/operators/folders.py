@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from medialoom.functions import scalar as S
+
 
 def prefixes(sub: Column) -> Column:
     """a/b/c -> [a, a/b, a/b/c]; none for the root."""
@@ -24,6 +26,14 @@ def rollup(counts: DataFrame, keys: list[str] = ["lib"]) -> DataFrame:
     return total.withColumn("depth", F.size(F.split("folder", "/")))
 
 
+def children(folders: DataFrame, keys: list[str] = ["lib"]) -> DataFrame:
+    """Each folder of a roll-up with its parent, its name and its place among the parent's children, by name without regard to case (then by name)."""
+    name, parent = S.name_of(F.col("folder")), S.parent_of(F.col("folder"))
+    df = folders.withColumn("parent", parent).withColumn("name", name)
+    order = Window.partitionBy(*keys, "parent").orderBy(F.lower("name"), "name")
+    return df.withColumn("place", F.row_number().over(order))
+
+
 def listed_folders(folders: DataFrame, media: DataFrame, excludes: list[str], depth: int = 3, limit: int = 2000) -> DataFrame:
     """Folders of up to `depth` levels with the items in each subtree and whether it is excluded: one prefix aggregate in place of a query a folder."""
     totals = rollup(folder_counts(media), ["lib"]).select("lib", F.col("folder").alias("rel"), "total")

@@ -6,45 +6,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
+from medialoom.session import materialised
 
 #: What a new walk overwrites; the other columns of a known path are kept.
 WALKED = ("lib", "rel", "sub", "bytes", "mtime")
 
 
+def newest(seen: DataFrame) -> DataFrame:
+    """One row a path: the one with the latest mtime, ties to the largest in the order of the other columns."""
+    rest = [c for c in seen.columns if c not in ("path", "mtime")]
+    return seen.groupBy("path").agg(F.max(F.struct("mtime", *rest)).alias("r")).select(*[F.col("path") if c == "path" else F.col(f"r.{c}") for c in seen.columns])
+
+
 def upsert(old: DataFrame, seen: DataFrame, now: int) -> DataFrame:
-    """Files met by a walk into the media table, by path: one full outer join. A changed size or time resets state; ids of new rows follow the largest."""
-    n = seen.select(F.col("path"), *[F.col(c).alias(f"n_{c}") for c in seen.columns if c != "path"], F.lit(True).alias("n_met"))
-    df = old.join(n, "path", "full_outer")
-    met, known = F.col("n_met").isNotNull(), F.col("id").isNotNull()
-    changed = met & ((F.col("bytes") != F.col("n_bytes")) | (F.col("mtime") != F.col("n_mtime")))
+    """Files met by a walk into the media table, by path: known ones by a left join, new ones by an anti join over the same shuffles. A changed size or time resets state; ids of new rows follow the largest, in the order of paths; a path met twice counts once, with its newest row."""
+    seen = newest(seen)
+    met = seen.select(F.col("path"), *[F.col(c).alias(f"n_{c}") for c in seen.columns if c != "path"], F.lit(True).alias("n_met"))
     top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    fresh = seen.join(old.select("path"), "path", "left_anti").select("path")
-    ids = numbered(fresh, "path", top).select("path", F.col("number").alias("new_id"))
-    defaults = {"rating": F.lit(0), "fav": F.lit(0), "state": F.lit(0), "added_at": F.lit(now), "facedone": F.lit(0), "orient": F.lit(1)}
+    fresh = numbered(seen.join(old.select("path"), "path", "left_anti"), [F.col("path")], top)
+    defaults = {"id": F.col("number"), "rating": F.lit(0), "fav": F.lit(0), "state": F.lit(0), "missing": F.lit(0), "added_at": F.lit(now), "facedone": F.lit(0), "orient": F.lit(1)}
+    hit = F.col("n_met").isNotNull()
+    changed = hit & ((F.col("bytes") != F.col("n_bytes")) | (F.col("mtime") != F.col("n_mtime")))
 
-    def value(c: str) -> Column:
-        if c in ("path", "id"):
-            return F.coalesce("id", "new_id") if c == "id" else F.col("path")
+    def kept(c: str) -> Column:
         if c == "missing":
-            return F.when(met, F.lit(0)).otherwise(F.col("missing"))
+            return F.when(hit, F.lit(0)).otherwise(F.col(c))
         if c == "state":
-            return F.when(~known | changed, F.lit(0)).otherwise(F.col("state"))
-        if c in WALKED and f"n_{c}" in n.columns:
-            return F.when(met, F.col(f"n_{c}")).otherwise(F.col(c))
-        own = F.col(f"n_{c}") if f"n_{c}" in n.columns else defaults.get(c, F.lit(None))
-        return F.when(known, F.col(c)).otherwise(own)
+            return F.when(changed, F.lit(0)).otherwise(F.col(c))
+        return F.when(hit, F.col(f"n_{c}")).otherwise(F.col(c)) if c in WALKED and c in seen.columns else F.col(c)
 
-    joined = df.join(ids, "path", "left")
-    return joined.select(*[value(c).cast(old.schema[c].dataType).alias(c) for c in old.columns])
+    def made(c: str) -> Column:
+        return F.col(c) if c in seen.columns and c != "id" else defaults.get(c, F.lit(None))
 
+    typed = lambda value: [value(c).cast(old.schema[c].dataType).alias(c) for c in old.columns]
+    return old.join(met, "path", "left").select(*typed(kept)).unionByName(fresh.select(*typed(made)))
 
-def numbered(df: DataFrame, key: str, after: int) -> DataFrame:
-    """number: after+1, after+2, ... by key. The rows are ranked in range partitions, and these by their sizes, so no task sees them all."""
-    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).withColumn("part", F.spark_partition_id())
-    parts = parts.withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy(key)))
-    ahead = parts.groupBy("part").agg(F.count("*").alias("n"), F.min(key).alias("low"))
-    ahead = ahead.select("part", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    return parts.join(F.broadcast(ahead), "part").withColumn("number", F.col("k") + F.col("ahead") + after).drop("part", "k", "ahead")
+
+def numbered(df: DataFrame, order: list[Column], after: int = 0) -> DataFrame:
+    """number: after+1, after+2, ... in the order given. The rows are sorted in range partitions and written, so that places and sizes come from one evaluation; partitions are then ranked by their sizes, so no task sees all rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = materialised(placed, "numbered")  # the id has the partition above bit 33, the row in it below
+    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("k", F.col("at").bitwiseAND((1 << 33) - 1) + 1)
+    sizes = placed.groupBy("part").agg(F.max("k").alias("n"))
+    ahead = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # one row a partition
+    return placed.join(F.broadcast(ahead), "part").withColumn("number", F.col("k") + F.col("ahead") + after).drop("at", "part", "k", "ahead")
 
 
 def mark_missing(media: DataFrame, seen: DataFrame, lib: int) -> DataFrame:
@@ -120,6 +126,34 @@ def prune_orphans(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+# The colours that libraries take in turn.
+LIBRARY_COLOURS = ["#4B79E4", "#E8A33D", "#B48CE0", "#3FA98A", "#5AA9E6", "#E86A9C"]
+
+
+def add_libraries(libraries: DataFrame, new: DataFrame, now: int) -> DataFrame:
+    """new: path, name (blank or NULL: the folder's). A known path takes the new name; others get ids after the largest and the next colours."""
+    path = F.rtrim(F.translate("path", "\\", "/"), F.lit("/"))
+    named = new.select(path.alias("path"), F.coalesce(F.when(F.trim("name") != "", F.col("name")), F.when(S.name_of(path) != "", S.name_of(path)), path).alias("n_name"))
+    named = named.groupBy("path").agg(F.max("n_name").alias("n_name"))
+    have = libraries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"), F.count("*").alias("n")).first()
+    fresh = numbered(named.join(libraries.select("path"), "path", "left_anti"), [F.col("path")])
+    colour = F.element_at(F.array(*map(F.lit, LIBRARY_COLOURS)), ((F.col("number") - 1 + have["n"]) % len(LIBRARY_COLOURS) + 1).cast("int"))
+    made = {"id": F.col("number") + have["top"], "path": F.col("path"), "name": F.col("n_name"), "color": colour, "added_at": F.lit(now)}
+    rows = fresh.select(*[made.get(c, F.lit(None)).cast(libraries.schema[c].dataType).alias(c) for c in libraries.columns])
+    known = libraries.join(named, "path", "left").withColumn("name", F.coalesce("n_name", "name")).select(*libraries.columns)
+    return known.unionByName(rows)
+
+
+def library_of(paths: DataFrame, libraries: DataFrame) -> DataFrame:
+    """path and lib: the library that holds each path, the deepest if one lies in another; NULL if none does. Each path meets libraries by its own prefixes, so it is a join on equality."""
+    parts = F.split("path", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    own = paths.select("path").distinct()
+    hits = own.select("path", F.explode(prefixes).alias("root")).join(libraries.select(F.col("path").alias("root"), F.col("id").alias("lib")), "root")
+    best = hits.groupBy("path").agg(F.max_by("lib", F.struct(F.length("root"), "root")).alias("lib"))
+    return own.join(best, "path", "left").select("path", "lib")
+
+
 def without_library(t: dict[str, DataFrame], lib: int) -> dict[str, DataFrame]:
     return prune_orphans(t | {"media": t["media"].filter(F.col("lib") != lib), "libraries": t["libraries"].filter(F.col("id") != lib)})
 
@@ -150,11 +184,53 @@ def relink_tags(tags: DataFrame, media_tags: DataFrame, new: DataFrame) -> tuple
     """new: media_id, name, score. Unknown names join the dictionary; an item's links are replaced."""
     top = tags.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
     unknown = new.select("name").distinct().join(tags, "name", "left_anti")
-    all_tags = tags.select("id", "name").unionByName(numbered(unknown, "name", top).select(F.col("number").cast("long").alias("id"), "name"))
+    all_tags = tags.select("id", "name").unionByName(numbered(unknown, [F.col("name")], top).select(F.col("number").cast("long").alias("id"), "name"))
     links = new.join(all_tags.withColumnRenamed("id", "tag_id"), "name").select("media_id", "tag_id", "score")
     return all_tags, media_tags.join(new.select("media_id").distinct(), "media_id", "left_anti").select("media_id", "tag_id", "score").unionByName(links)
 
 
+def reset_models(t: dict[str, DataFrame], what: str) -> dict[str, DataFrame]:
+    """What models found, forgotten so that they run again: `faces` (faces, people and their marks), `tags` (vectors and tag links), or `people` (the groups alone)."""
+    if what == "faces":
+        return t | {"faces": t["faces"].filter("false"), "people": t["people"].filter("false"), "media": t["media"].withColumn("facedone", F.lit(0).cast(t["media"].schema["facedone"].dataType))}
+    if what == "tags":
+        return t | {"clip": t["clip"].filter("false"), "media_tags": t["media_tags"].filter("false")}
+    if what == "people":
+        return t | {"faces": t["faces"].withColumn("cluster", F.lit(None).cast(t["faces"].schema["cluster"].dataType)), "people": t["people"].filter("false")}
+    raise ValueError(what)
+
+
+def replace_originals(media: DataFrame, made: DataFrame, now: int) -> DataFrame:
+    """made: id, bytes, and w, h where known: originals replaced by smaller files (which are not taken if they are not smaller). Size and time follow, hashes go, and the item waits for its metadata again."""
+    cols = [c for c in ("w", "h") if c in made.columns]
+    n = made.groupBy("id").agg(F.min_by(F.struct(F.col("bytes").alias("n_bytes"), *[F.col(c).alias(f"n_{c}") for c in cols]), "bytes").alias("n")).select("id", "n.*")
+    df = media.join(n, "id", "left")
+    hit = F.coalesce((F.col("n_bytes") < F.col("bytes")) & F.col("deleted").isNull(), F.lit(False))
+    new = {"bytes": F.col("n_bytes"), "mtime": F.lit(now), "state": F.lit(0), "hash": F.lit(None), "dhash": F.lit(None)} | {c: F.coalesce(f"n_{c}", c) for c in cols}
+    return df.select(*[(F.when(hit, new[c]).otherwise(F.col(c)) if c in new else F.col(c)).cast(media.schema[c].dataType).alias(c) for c in media.columns])
+
+
+def edited_copies(media: DataFrame, edits: DataFrame, now: int) -> DataFrame:
+    """edits: id, bytes: each edit becomes an item of its own beside the original, named stem-edited.ext, or stem-edited (n).ext where that name is taken in its folder."""
+    made = edits.join(media.drop("bytes"), "id").withColumn("plain", F.concat(S.stem_of(F.col("name")), F.lit("-edited"), S.suffix_of(F.col("name"))))
+    made = made.withColumn("turn", F.row_number().over(Window.partitionBy("lib", "sub", "plain").orderBy("id")))
+    stem, suffix = F.concat(S.stem_of(F.col("plain"))), S.suffix_of(F.col("plain"))
+    # How many of plain, plain (1), plain (2), ... are taken without a gap.
+    taken = media.select("lib", "sub", "name").withColumn("plain", F.regexp_replace("name", r" \((\d+)\)(\.[^.]*)?$", "$2"))
+    taken = taken.withColumn("n", F.coalesce(F.regexp_extract("name", r" \((\d+)\)(\.[^.]*)?$", 1).try_cast("int"), F.lit(0)))
+    used = taken.groupBy("lib", "sub", "plain").agg(F.array_sort(F.collect_set("n")).alias("used"))
+    free = F.filter(F.sequence(F.lit(0), F.coalesce(F.size("used"), F.lit(0)) + F.col("turn")), lambda i: ~F.coalesce(F.array_contains("used", i), F.lit(False)))
+    named = made.join(used, ["lib", "sub", "plain"], "left").withColumn("n", F.element_at(free, F.col("turn")))
+    name = F.when(F.col("n") == 0, F.col("plain")).otherwise(F.concat(stem, F.lit(" ("), F.col("n").cast("string"), F.lit(")"), suffix))
+    rows = named.withColumn("name", name).withColumn("mtime", F.lit(now)).withColumn("state", F.lit(0)).drop("id", "plain", "turn", "used", "n")
+    if "path" in media.columns:
+        rows = rows.withColumns({c: F.concat(S.parent_of(F.col(c)), F.when(S.parent_of(F.col(c)) != "", "/").otherwise(""), F.col("name")) for c in ("path", "rel") if c in media.columns})
+    top = media.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    new = numbered(rows, [F.col("lib"), F.col("sub"), F.col("name")], top).withColumn("id", F.col("number"))
+    fresh = {"hash": F.lit(None), "dhash": F.lit(None), "fav": F.lit(0), "rating": F.lit(0), "added_at": F.lit(now), "facedone": F.lit(0)}
+    return media.unionByName(new.select(*[fresh.get(c, F.col(c)).cast(media.schema[c].dataType).alias(c) for c in media.columns]))
+
+
 def backfill_hashes(media: DataFrame, contents: DataFrame) -> DataFrame:
     """Digests of active items that lack one; contents (path, content) is read for these alone, as the join comes before the digest."""
     wanted = media.filter(F.col("hash").isNull() & F.col("deleted").isNull() & (F.col("missing") == 0)).select("path")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
+from medialoom.operators.library import numbered
 
+#: Fixed value: how many items a grid asks for.
 LIST_LIMIT = 400_000
 
 
@@ -52,7 +54,7 @@ def sort_keys(sort: str) -> list[Column]:
 
 @dataclass
 class MediaQuery:
-    """The listing: all conditions are optional and conjunctive; they become filters of one plan."""
+    """The listing: all conditions are optional and conjunctive; they become filters of one plan. limit: none, or how many items there are at most (a grid asks for LIST_LIMIT)."""
 
     bin: bool = False
     lib: int | None = None
@@ -62,7 +64,7 @@ class MediaQuery:
     filter: str | None = None
     text: str | None = None
     sort: str = "newest"
-    limit: int = LIST_LIMIT
+    limit: int | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)  # collection_items, faces, tags, media_tags
 
     def rows(self, media: DataFrame) -> DataFrame:
@@ -94,17 +96,22 @@ class MediaQuery:
 
     def listing(self, media: DataFrame) -> DataFrame:
         """id, ts, fl, dur, w, h: what a grid draws, in order. orderBy and limit plan as one top-k."""
-        native = S.plays_natively(F.col("ext"), F.col("vcodec"), F.col("acodec"))
-        fl = S.pack_flags(F.col("kind"), F.col("fav"), F.col("rating"), F.col("state"), native)
-        ordered = self.rows(media).orderBy(*sort_keys(self.sort)).limit(self.limit)
-        return ordered.select("id", effective_time().alias("ts"), fl.alias("fl"), F.round(F.coalesce("dur", F.lit(0.0))).cast("long").alias("dur"), "w", "h")
+        ordered = self.rows(media).orderBy(*sort_keys(self.sort))
+        return drawn(ordered if self.limit is None else ordered.limit(self.limit))
+
+
+def drawn(media: DataFrame) -> DataFrame:
+    """What a grid draws of each item."""
+    native = S.plays_natively(F.col("ext"), F.col("vcodec"), F.col("acodec"))
+    fl = S.pack_flags(F.col("kind"), F.col("fav"), F.col("rating"), F.col("state"), native)
+    return media.select("id", effective_time().alias("ts"), fl.alias("fl"), F.round(F.coalesce("dur", F.lit(0.0))).cast("long").alias("dur"), "w", "h")
 
 
 def columnar(listing: DataFrame, order: str = "pos") -> DataFrame:
-    """One row of parallel arrays from a listing with a position column."""
+    """One row of parallel arrays from a listing with a position column, and their length (total). It is one value, so the listing must have a limit."""
     packed = F.array_sort(F.collect_list(F.struct(order, *[c for c in listing.columns if c != order])))
     one = listing.agg(packed.alias("rows"))
-    return one.select(*[F.col(f"rows.{c}").alias(c) for c in listing.columns if c != order])
+    return one.select(F.size("rows").alias("total"), *[F.col(f"rows.{c}").alias(c) for c in listing.columns if c != order])
 
 
 # ---------------------------------------------------------------- counters
@@ -166,7 +173,12 @@ def people_stats(people: DataFrame, faces: DataFrame) -> DataFrame:
     """Visible people with distinct items and faces; rank: unnamed last, then by items."""
     n = faces.groupBy("cluster").agg(F.countDistinct("media").alias("items"), F.count("*").alias("faces"))
     out = people.filter("hidden = 0").join(n, people["id"] == n["cluster"]).select("id", "name", "items", "faces")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy((F.col("name") == "").asc(), F.desc("items"), F.asc("id"))))  # one row a person
+    return numbered(out, [(F.col("name") == "").asc(), F.desc("items"), F.asc("id")]).withColumnRenamed("number", "rank")
+
+
+def pending(media: DataFrame, clip: DataFrame, what: str, limit: int) -> DataFrame:
+    """The next items of a backlog: for thumbnails the newest files first, for models the newest items."""
+    return backlog(media, clip, what).orderBy(*([F.desc("mtime"), F.desc("id")] if what == "thumb" else [F.desc("id")])).limit(limit)
 
 
 def backlog(media: DataFrame, clip: DataFrame, what: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +25,7 @@ def create(collections: DataFrame, names: DataFrame, now: int) -> DataFrame:
     """New names get ids after the largest; blank and known names are ignored."""
     new = names.select(F.trim("name").alias("name")).filter("name <> ''").distinct().join(collections, "name", "left_anti")
     top = collections.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    rows = numbered(new, "name", top).select(F.col("number").cast("long").alias("id"), "name", F.lit(None).cast("string").alias("note"), F.lit(now).cast("long").alias("created"), F.lit(None).cast("long").alias("cover"))
+    rows = numbered(new, [F.col("name")], top).select(F.col("number").cast("long").alias("id"), "name", F.lit(None).cast("string").alias("note"), F.lit(now).cast("long").alias("created"), F.lit(None).cast("long").alias("cover"))
     return collections.unionByName(rows.select(*collections.columns))
 
 
@@ -53,10 +57,35 @@ def export_manifest(items: DataFrame, media: DataFrame) -> DataFrame:
     df = items.join(media.filter(F.col("deleted").isNull()).select(F.col("id").alias("media"), "name"), "media")
     order = [F.col("ord"), F.col("added"), F.col("media")]
     again = F.row_number().over(Window.partitionBy("coll", "name").orderBy(*order)) > 1
-    stem, ext = F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract("name", r"^(.+?)(\.[^.]*)?$", 2)
+    stem, ext = S.stem_of(F.col("name")), S.suffix_of(F.col("name"))
     df = df.withColumn("entry", F.when(again, F.concat(stem, F.lit(" ("), F.col("media").cast("string"), F.lit(")"), ext)).otherwise(F.col("name")))
     return df.select("coll", "media", "entry", F.row_number().over(Window.partitionBy("coll").orderBy(*order)).alias("position"))
 
 
+def archive_bytes(items: DataFrame, media: DataFrame) -> DataFrame:
+    """Entries and bytes of each collection's archive (stored, not deflated)."""
+    df = items.join(media.filter(F.col("deleted").isNull()).select(F.col("id").alias("media"), "bytes"), "media")
+    return df.groupBy("coll").agg(F.count("*").alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def archives(manifest: DataFrame, contents: DataFrame) -> DataFrame:
+    """coll and archive: one stored zip for each collection. manifest: coll, media, entry, position; contents: media, content. A collection's archive is one value, so it must fit in a task."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, content in zip(*(pdf.sort_values("position")[c] for c in ("entry", "content"))):
+                z.writestr(zipfile.ZipInfo(name), bytes(content))
+        return pd.DataFrame({"coll": [pdf["coll"].iloc[0]], "archive": [out.getvalue()]})
+
+    met = manifest.join(contents, "media").select("coll", "entry", "position", "content")
+    return met.groupBy("coll").applyInPandas(pack, "coll long, archive binary")
+
+
+def stale_exports(files: DataFrame, now: int, age: int = 3600) -> DataFrame:
+    """Of files (path, name, mtime), the exports older than `age` seconds: what a sweep deletes."""
+    return files.filter(F.startswith("name", F.lit("export-")) & F.endswith("name", F.lit(".zip")) & (F.col("mtime") < now - age))
+
+
 def archive_name(name):
     return F.concat(S.safe_export_name(name), F.lit(".zip"))

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medialoom.functions import scalar as S
+from medialoom.operators import media as M
+from medialoom.operators.library import numbered, reset_models
+from medialoom.session import materialised
 
-SEARCH_LIMIT = 800
-#: A literal of this many numbers at most goes into an expression; vocabularies are no larger.
-VOCABULARY = 4096
+# The floors and bands of a search and of tags, and how many hits and tags there are.
+SEARCH_FLOOR, SEARCH_LOW, SEARCH_BAND, SEARCH_LIMIT = 0.20, 0.195, 0.030, 800
+TAG_FLOOR, TAG_BAND, TAGS = 0.21, 0.035, 6
+#: Bytes of a matrix that is sent to every executor at once; more goes in blocks.
+MATRIX_BYTES = 64 * 2**20
 
 
-def search(vectors: DataFrame, query: list[float], floor: float = 0.20, low: float = 0.195, band: float = 0.030, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """id, score: nothing if the best is below floor; else what is within band of the best and not below low, best first. vectors: id, vec."""
+def search(vectors: DataFrame, query: list[float], floor: float = SEARCH_FLOOR, low: float = SEARCH_LOW, band: float = SEARCH_BAND, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """id, score, rank: nothing if the best is below floor; else what is within band of the best and not below low, the best `limit` of it, best first. vectors: id, vec."""
     scored = vectors.select("id", S.dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
     top = scored.orderBy(F.desc("score"), "id").limit(limit)  # the cut can only shorten it
     best = F.max("score").over(Window.partitionBy(F.lit(0)))  # over `limit` rows
@@ -24,15 +30,45 @@ def search(vectors: DataFrame, query: list[float], floor: float = 0.20, low: flo
     return kept.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
 
 
-def zero_shot_tags(vectors: DataFrame, vocabulary: list[tuple[str, list[float]]], k: int = 6, floor: float = 0.21, band: float = 0.035) -> DataFrame:
-    """id, tag, score, rank: of the k best terms those over floor and within band of the best. The vocabulary is a literal, so no join and no shuffle."""
-    if len(vocabulary) > VOCABULARY:
-        raise ValueError(f"more than {VOCABULARY} terms")
-    terms = F.array(*[F.struct((-S.dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in v]))).alias("minus"), F.lit(i).alias("pos"), F.lit(name).alias("tag")) for i, (name, v) in enumerate(vocabulary)])
-    ranked = vectors.select("id", F.slice(F.array_sort(terms), 1, k).alias("top")).select("id", "top", F.posexplode("top").alias("p", "t"))
-    best = -F.get("top", F.lit(0))["minus"]
-    score = -F.col("t.minus")
-    return ranked.filter((score > floor) & (score > best - band)).select("id", F.col("t.tag").alias("tag"), score.alias("score"), (F.col("p") + 1).alias("rank"))
+def search_library(clip: DataFrame, media: DataFrame, query: list[float], **cut) -> DataFrame:
+    """The listing of the active items that a query finds, with rank and score: inactive ones are out before the cut, so they take no place. clip: media, vec."""
+    ok = media.filter(M.active())
+    hits = search(clip.withColumnRenamed("media", "id").join(ok.select("id"), "id", "left_semi"), query, **cut)
+    return hits.join(M.drawn(ok), "id").select("rank", "id", "score", "ts", "fl", "dur", "w", "h").orderBy("rank")
+
+
+def _product(rows: pa.Array, matrix: np.ndarray) -> np.ndarray:
+    """Products of each vector with each row of the matrix; the shorter length counts, a null vector has none (NaN)."""
+    if rows.null_count == 0 and len(rows) and (np.diff(rows.offsets.to_numpy()) == matrix.shape[1]).all():
+        flat = rows.flatten()
+        if flat.null_count == 0:
+            return flat.to_numpy().astype(float).reshape(-1, matrix.shape[1]) @ matrix.T
+    out = np.full((len(rows), len(matrix)), np.nan)
+    for i, r in enumerate(rows.to_pylist()):
+        if r is not None and None not in r:
+            n = min(len(r), matrix.shape[1])
+            out[i] = matrix[:, :n] @ np.array(r[:n], float)
+    return out
+
+
+def zero_shot_tags(vectors: DataFrame, vocabulary: list[tuple[str, list[float]]], k: int = TAGS, floor: float = TAG_FLOOR, band: float = TAG_BAND) -> DataFrame:
+    """id, tag, score, rank: of the k best terms (ties to the earlier one) those over floor and within band of the best. The vocabulary, which the caller holds, goes to the executors as one matrix of MATRIX_BYTES at most; no join and no shuffle."""
+    names, matrix = [n for n, _ in vocabulary], np.array([v for _, v in vocabulary], float)
+    if matrix.nbytes > MATRIX_BYTES:
+        raise ValueError(f"a vocabulary of more than {MATRIX_BYTES} bytes")
+    shared = vectors.sparkSession.sparkContext.broadcast((names, matrix))
+
+    def run(batches):
+        names, matrix = shared.value
+        for batch in batches:
+            scores = np.nan_to_num(_product(batch.column(1), matrix), nan=-np.inf) if len(matrix) else np.empty((batch.num_rows, 0))
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(scores, order, axis=1)
+            ok = (best > floor) & (best > best[:, :1] - band)
+            row, place = np.nonzero(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array([names[t] for t in order[ok]], pa.string()), pa.array(best[ok]), pa.array(place.astype(np.int32) + 1)], ["id", "tag", "score", "rank"])
+
+    return vectors.select("id", "vec").mapInArrow(run, "id long, tag string, score double, rank int")
 
 
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
@@ -42,13 +78,58 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
     return whole.select(key, S.l2_normalise(F.col("v")).alias("centroid"))
 
 
-def nearest(vectors: DataFrame, centres: list[tuple[int, list[float]]]) -> DataFrame:
-    """id, nearest centre and score (ties to the earlier centre): a bounded list of centres as a literal."""
-    if len(centres) > VOCABULARY:
-        raise ValueError(f"more than {VOCABULARY} centres")
-    scored = F.array(*[F.struct(S.dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in c])).alias("score"), F.lit(-i).alias("order"), F.lit(k).alias("centre")) for i, (k, c) in enumerate(centres)])
-    best = F.array_max(scored)
-    return vectors.select("id", best["centre"].alias("centre"), best["score"].alias("score"))
+def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """id, centre and score: the nearest of any number of centres (id, vec), ties to the smaller id; a vector that is null or holds a null has none.
+
+    Centres go in blocks of MATRIX_BYTES: every vector meets every block, and the best of the blocks
+    counts. One block, the usual case, is sent to the executors and costs no shuffle.
+    """
+    width = centres.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    blocks = max(1, -(-width["n"] * max(width["d"] or 0, 1) * 8 // MATRIX_BYTES))
+    out = "id long, centre long, score double"
+
+    def best(ids: pa.Array, vecs: pa.Array, keys: np.ndarray, matrix: np.ndarray):
+        scores = _product(vecs, matrix)
+        at = np.argmax(np.nan_to_num(scores, nan=-np.inf), axis=1)
+        score = scores[np.arange(len(at)), at]
+        ok = ~np.isnan(score)
+        return [ids.filter(pa.array(ok)), pa.array(keys[at[ok]], pa.int64()), pa.array(score[ok])]
+
+    if blocks == 1:
+        rows = centres.orderBy("id").collect()  # MATRIX_BYTES at most
+        keys, d = np.array([r["id"] for r in rows], np.int64), width["d"] or 0
+        shared = vectors.sparkSession.sparkContext.broadcast((keys, _padded([r["vec"] for r in rows], d)))
+
+        def run(batches):
+            keys, matrix = shared.value
+            for batch in batches:
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays(best(batch.column(0), batch.column(1), keys, matrix), ["id", "centre", "score"])
+
+        return vectors.select("id", "vec").mapInArrow(run, out)
+
+    def met(vecs: pa.Table, block: pa.Table) -> pa.Table:
+        block = block.sort_by("id")
+        if not vecs.num_rows or not block.num_rows:
+            return pa.schema([("id", pa.int64()), ("centre", pa.int64()), ("score", pa.float64())]).empty_table()
+        lists = block.column("vec").to_pylist()
+        cols = best(vecs.column("id").combine_chunks(), vecs.column("vec").combine_chunks(), block.column("id").to_numpy(), _padded(lists, max(map(len, lists))))
+        return pa.Table.from_arrays(cols, ["id", "centre", "score"])
+
+    shards = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), every(blocks).alias("block"))
+    theirs = centres.select("id", "vec", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    near = mine.groupBy("shard", "block").cogroup(theirs.groupBy("shard", "block")).applyInArrow(met, out)
+    first = near.groupBy("id").agg(F.max(F.struct("score", (-F.col("centre")).alias("minus"))).alias("b"))
+    return first.select("id", (-F.col("b.minus")).alias("centre"), F.col("b.score").alias("score"))
+
+
+def _padded(vectors: list, width: int) -> np.ndarray:
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        out[i, : len(v)] = v
+    return out
 
 
 def encoder(fn):
@@ -71,7 +152,7 @@ def encoder(fn):
 
 def assign(vectors: np.ndarray, known: list[tuple[int, np.ndarray, int]], threshold: float):
     """Greedy: each vector in turn joins the centre with the largest product over the threshold (known ones win ties), which moves to the running mean; else it begins a new centre. Returns for each vector the index of its centre, known ones first."""
-    dim = vectors.shape[1] if len(vectors) else 0
+    dim = vectors.shape[1] if len(vectors) else len(known[0][1]) if known else 0
     centres = np.zeros((len(known) + len(vectors), dim))
     counts = np.zeros(len(centres))
     n = len(known)
@@ -114,14 +195,39 @@ def cluster(faces: DataFrame, people: DataFrame, threshold: float = 0.42, block:
         return pd.DataFrame({"block": pdf["_block"].iloc[0], "id": rest["id"].to_numpy(), "cluster": pd.array([x for x, _ in label], "Int64"), "fresh": [y for _, y in label]})
 
     placed = blocked.select(F.col("_block").cast("long").alias("_block"), "id", "cluster", "vec").groupBy("_block").applyInPandas(run, "block long, id long, cluster long, fresh int")
-    top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    new = placed.filter("fresh > 0").select("block", "fresh").distinct()
-    new = new.withColumn("n", F.row_number().over(Window.orderBy("block", "fresh")))  # one row a new person
-    new = new.withColumn("one", F.lit(1)).join(top.withColumn("one", F.lit(1)), "one").select("block", "fresh", (F.col("top") + F.col("n")).alias("new_id"))
-    joined = placed.join(new, ["block", "fresh"], "left").select("id", F.coalesce("cluster", "new_id").alias("cluster"))
+    placed = materialised(placed, "clustered")  # read twice below, and the rule is costly
+    top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    new = numbered(placed.filter("fresh > 0").select("block", "fresh").distinct(), [F.col("block"), F.col("fresh")], top)
+    joined = placed.join(new, ["block", "fresh"], "left").select("id", F.coalesce("cluster", "number").alias("cluster"))
     return faces.filter("cluster IS NOT NULL").select("id", "cluster").unionByName(joined)
 
 
+def recluster(t: dict[str, DataFrame], threshold: float = 0.42, block: str | None = None) -> dict[str, DataFrame]:
+    """People found anew from all faces: old groups, names and merges are lost; each new person has a row, without a name, and a cover."""
+    t = reset_models(t, "people")
+    found = cluster(t["faces"], t["people"], threshold, block).withColumnRenamed("cluster", "n_cluster")
+    faces = t["faces"].join(found, "id").withColumn("cluster", F.col("n_cluster")).select(*t["faces"].columns)
+    faces = materialised(faces, "faces")
+    made = covers(faces).select(F.col("cluster").alias("id"), F.lit("").alias("name"), "cover", F.lit(0).alias("hidden"))
+    return t | {"faces": faces, "people": made}
+
+
+def rename_person(people: DataFrame, person: int, name: str) -> DataFrame:
+    return people.withColumn("name", F.when(F.col("id") == person, F.lit(name.strip())).otherwise(F.col("name")))
+
+
+def large_enough(faces: DataFrame, pixels: float = 32) -> DataFrame:
+    """Faces whose box (x, y, w, h as parts of the image, image_w in pixels) is wide enough to be told apart."""
+    return faces.filter(F.col("w") * F.col("image_w") >= pixels)
+
+
+def refreshed_covers(people: DataFrame, faces: DataFrame) -> DataFrame:
+    """people with the best face as cover where they have none, or one that is no longer theirs."""
+    own = faces.filter("cluster IS NOT NULL").select(F.col("cluster").alias("id"), F.col("id").alias("cover"), F.lit(True).alias("_valid")).distinct()
+    out = people.join(own, ["id", "cover"], "left").join(covers(faces).select(F.col("cluster").alias("id"), F.col("cover").alias("_best")), "id", "left")
+    return out.withColumn("cover", F.when(F.col("_valid"), F.col("cover")).otherwise(F.col("_best"))).select(*people.columns)
+
+
 def covers(faces: DataFrame) -> DataFrame:
     """Each person's best face."""
     return faces.filter("cluster IS NOT NULL").groupBy("cluster").agg(F.max_by("id", F.struct("score", (-F.col("id")).alias("i"))).alias("cover"))

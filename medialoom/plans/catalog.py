@@ -182,7 +182,7 @@ def collection_stats(spark, sf_dir):
     return sets.collection_stats(heads, items, A.media(spark, sf_dir))
 
 
-@query("""SELECT id, name, n AS items, f AS faces, CAST(row_number() OVER (ORDER BY name = '', n DESC, id) AS INTEGER) AS rank FROM people JOIN (SELECT cluster, count(DISTINCT media) AS n, count(*) AS f FROM faces GROUP BY cluster) ON cluster = id WHERE hidden = 0""", A.PEOPLE_SQL)
+@query("""SELECT id, name, n AS items, f AS faces, row_number() OVER (ORDER BY name = '', n DESC, id) AS rank FROM people JOIN (SELECT cluster, count(DISTINCT media) AS n, count(*) AS f FROM faces GROUP BY cluster) ON cluster = id WHERE hidden = 0""", A.PEOPLE_SQL)
 def people_stats(spark, sf_dir):
     return M.people_stats(A.people(spark, sf_dir), A.faces(spark, sf_dir))
 
@@ -276,7 +276,7 @@ _DOT = "list_inner_product({}::DOUBLE[], {}::DOUBLE[])"
 
 
 @query(f"""SELECT id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM (SELECT e.vec_id AS id, {_DOT.format('e.embedding', 'q.embedding')} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q)
-QUALIFY score >= max(score) OVER () - 0.8 AND score >= 0.195""")
+QUALIFY score >= max(score) OVER () - 0.8 AND score >= 0.195 ORDER BY score DESC, id LIMIT 800""")
 def knn_relative_cut(spark, sf_dir):
     found = vectors.search(_vectors(spark, sf_dir), _first(spark, sf_dir, 1)[0][1], band=0.8)
     return found.withColumn("score", F.round("score", 9))
@@ -301,14 +301,28 @@ def centroids(spark, sf_dir):
 
 @query(f"SELECT id, centre, round(score, 6) AS score FROM (SELECT e.vec_id AS id, CAST(u.label AS BIGINT) AS centre, {_DOT.format('e.embedding', 'u.c')} AS score, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_DOT.format('e.embedding', 'u.c')} DESC, u.label) AS r FROM embeddings e, unit u) WHERE r = 1", _CENTROIDS)
 def nearest_person(spark, sf_dir):
-    rows = vectors.centroids(A.faces(spark, sf_dir), "cluster").orderBy("cluster").limit(vectors.VOCABULARY + 1).collect()
-    return vectors.nearest(_vectors(spark, sf_dir), [(r["cluster"], list(r["centroid"])) for r in rows]).withColumn("score", F.round("score", 6))
+    people = vectors.centroids(A.faces(spark, sf_dir), "cluster").toDF("id", "vec")
+    return vectors.nearest(_vectors(spark, sf_dir), people).withColumn("score", F.round("score", 6))
 
 
-@query()
+_FACES = "f AS (SELECT vec_id AS id, vec_id // 3 % 8 AS block, CASE WHEN vec_id % 4 = 0 THEN CAST(label AS BIGINT) END AS cluster, embedding::DOUBLE[] AS vec FROM embeddings)"
+#: One step a loose face and block: the centres so far, their sizes and the faces' places in them; `at` is the best centre, if it is over the threshold.
+_GREEDY = """own AS (SELECT block, cluster, list(s ORDER BY pos) AS v, any_value(n) AS n FROM (SELECT block, cluster, pos, sum(x) AS s, count(*) AS n FROM (SELECT block, cluster, unnest(range(1, len(vec) + 1)) AS pos, unnest(vec) AS x FROM f WHERE cluster IS NOT NULL) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+known AS (SELECT block, list(list_transform(v, lambda x: x / greatest(sqrt(list_inner_product(v, v)), 1e-8)) ORDER BY cluster) AS cs, list(n ORDER BY cluster) AS ns, list(cluster ORDER BY cluster) AS names FROM own GROUP BY block),
+loose AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY id) AS k FROM f WHERE cluster IS NULL),
+step AS (SELECT b.block, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS slot, coalesce(cs, []) AS cs, coalesce(ns, []) AS ns FROM (SELECT DISTINCT block FROM f) b LEFT JOIN known USING (block)
+UNION ALL SELECT block, k, id, slot, CASE WHEN slot > len(cs) THEN list_append(cs, vec) ELSE list_transform(cs, lambda c, i: CASE WHEN i = slot THEN m ELSE c END) END, CASE WHEN slot > len(cs) THEN list_append(ns, 1) ELSE list_transform(ns, lambda c, i: CASE WHEN i = slot THEN c + 1 ELSE c END) END
+FROM (SELECT *, list_transform(mean, lambda x: x / greatest(sqrt(list_inner_product(mean, mean)), 1e-8)) AS m FROM (SELECT *, CASE WHEN slot > len(cs) THEN vec ELSE list_transform(list_zip(cs[slot], vec), lambda p: (p[1] * ns[slot] + p[2]) / (ns[slot] + 1)) END AS mean FROM (
+SELECT *, CASE WHEN len(cs) > 0 AND list_max(sc) > 0.3 THEN list_position(sc, list_max(sc)) ELSE len(cs) + 1 END AS slot FROM (SELECT s.block, l.k, l.id, l.vec, cs, ns, list_transform(cs, lambda c: list_inner_product(c, l.vec)) AS sc FROM step s JOIN loose l ON l.block = s.block AND l.k = s.k + 1))))),
+placed AS (SELECT s.block, id, slot, len(coalesce(names, [])) AS known, names[slot] AS name, count(*) OVER (PARTITION BY s.block, slot) AS size FROM step s LEFT JOIN known USING (block) WHERE id IS NOT NULL),
+fresh AS (SELECT block, slot, row_number() OVER (ORDER BY block, slot) AS n FROM (SELECT DISTINCT block, slot FROM placed WHERE slot > known AND size > 1))"""
+
+
+@query("""SELECT id, cluster FROM f WHERE cluster IS NOT NULL UNION ALL SELECT id, CASE WHEN slot <= known THEN name WHEN n IS NOT NULL THEN (SELECT max(id) FROM people) + n END AS cluster FROM placed LEFT JOIN fresh USING (block, slot)""", "RECURSIVE " + A.PEOPLE_SQL, _FACES, _GREEDY)
 def greedy_cluster(spark, sf_dir):
-    f = A.faces(spark, sf_dir).withColumn("cluster", F.when(F.col("id") % 4 == 0, F.col("cluster")))
-    return vectors.cluster(f, A.people(spark, sf_dir), threshold=0.3)
+    """Faces of eight libraries, a quarter of them assigned: each library is a block of its own."""
+    f = A.faces(spark, sf_dir).withColumn("cluster", F.when(F.col("id") % 4 == 0, F.col("cluster"))).withColumn("lib", F.floor(F.col("id") / 3) % 8)
+    return vectors.cluster(f, A.people(spark, sf_dir), threshold=0.3, block="lib")
 
 
 @query("SELECT cluster, arg_max(id, (score, -id)) AS cover FROM faces GROUP BY cluster", A.PEOPLE_SQL)
@@ -333,14 +347,15 @@ def _stored(spark, sf_dir) -> DataFrame:
 def _walked(spark, sf_dir) -> DataFrame:
     """What a walk meets: files with odd ids have grown, those with id % 6 = 0 are gone."""
     m = A.media(spark, sf_dir).filter(F.col("id") % 6 != 0)
+    m = m.unionByName(m.filter(F.col("id") % 7 == 0).withColumn("mtime", F.col("mtime") - 5).withColumn("bytes", F.col("bytes") + 9))  # met twice, the older one elsewhere
     path = F.concat_ws("/", "sub", "name")
     return m.select(path.alias("path"), "lib", path.alias("rel"), "sub", "name", "ext", "kind", (F.col("bytes") + F.col("id") % 2).alias("bytes"), "mtime")
 
 
-@query("""SELECT path, lib, bytes, state, rating, missing FROM (SELECT sub || '/' || name AS path, lib, CASE WHEN id % 6 <> 0 THEN bytes + id % 2 ELSE bytes END AS bytes, CASE WHEN id % 10 = 9 OR id % 6 <> 0 AND id % 2 = 1 THEN 0 ELSE state END AS state,
+@query("""SELECT path, lib, bytes, state, rating, missing, CASE WHEN id % 10 = 9 THEN (SELECT max(id) FROM media WHERE id % 10 <> 9) + row_number() OVER (PARTITION BY id % 10 = 9 ORDER BY path) ELSE id END AS id FROM (SELECT id, sub || '/' || name AS path, lib, CASE WHEN id % 6 <> 0 THEN bytes + id % 2 ELSE bytes END AS bytes, CASE WHEN id % 10 = 9 OR id % 6 <> 0 AND id % 2 = 1 THEN 0 ELSE state END AS state,
 CASE WHEN id % 10 = 9 THEN 0 ELSE rating END AS rating, CASE WHEN id % 6 <> 0 THEN 0 ELSE missing END AS missing FROM media WHERE id % 10 <> 9 OR id % 6 <> 0)""", A.MEDIA_SQL)
 def upsert_changes(spark, sf_dir):
-    return library.upsert(_stored(spark, sf_dir), _walked(spark, sf_dir), NOW).select("path", "lib", "bytes", "state", "rating", F.coalesce("missing", F.lit(0)).alias("missing"))
+    return library.upsert(_stored(spark, sf_dir), _walked(spark, sf_dir), NOW).select("path", "lib", "bytes", "state", "rating", "missing", "id")
 
 
 @query("SELECT id, CASE WHEN lib = 1 AND deleted IS NULL AND id % 6 = 0 THEN 1 ELSE missing END AS missing FROM media WHERE id % 10 <> 9", A.MEDIA_SQL)
@@ -420,7 +435,10 @@ def box_overlap(spark, sf_dir):
     return li.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("k"), F.round(S.iou(box, F.array(*map(F.lit, (10.0, 10.0, 35.0, 30.0)))), 9).alias("iou"))
 
 
-@query()
+@query(f"""SELECT l_orderkey, any_value(n) AS boxes, CAST(len(arg_max(kept, k)) AS INTEGER) AS kept FROM t GROUP BY l_orderkey""",
+    f"""RECURSIVE d AS (SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice + l_partkey * 1e-4 DESC) AS BIGINT) AS k, CAST(count(*) OVER (PARTITION BY l_orderkey) AS INTEGER) AS n, {_BOX} AS b FROM lineitem)""",
+    """t AS (SELECT l_orderkey, k, n, [b] AS kept FROM d WHERE k = 1 UNION ALL SELECT d.l_orderkey, d.k, d.n, CASE WHEN len(list_filter(kept, lambda a: greatest(least(a[3], b[3]) - greatest(a[1], b[1]), 0) * greatest(least(a[4], b[4]) - greatest(a[2], b[2]), 0)
+/ greatest((a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - greatest(least(a[3], b[3]) - greatest(a[1], b[1]), 0) * greatest(least(a[4], b[4]) - greatest(a[2], b[2]), 0), 1e-6) > 0.4)) > 0 THEN kept ELSE list_append(kept, b) END FROM t JOIN d ON d.l_orderkey = t.l_orderkey AND d.k = t.k + 1)""")
 def box_suppression(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     x, y = F.col("l_partkey") % 40, F.col("l_suppkey") % 40
@@ -455,9 +473,8 @@ def colour_pipeline(spark, sf_dir):
     return df.select("k", *[F.round(c, 9).alias(c) for c in "rgb"])
 
 
-@query()
-def image_thumbs(spark, sf_dir):
-    """Generated images: decoded, hashed and made thumbnails of."""
+def _drawn(spark, sf_dir) -> DataFrame:
+    """Generated images, one a part: as many tasks as there are cores, whatever the file's splits."""
     import numpy as np
 
     def draw(batches):
@@ -470,11 +487,26 @@ def image_thumbs(spark, sf_dir):
                 out.append(I.encode_png(np.stack([(x * int(i)) % 256, (y * 9) % 256, (x + y) % 256], axis=2).astype(np.uint8)))
             yield pd.DataFrame({"id": pdf["p_partkey"], "content": out})
 
-    drawn = table(spark, sf_dir, "part").select("p_partkey", "p_size").mapInPandas(draw, "id long, content binary")
-    made = drawn.select("id", S.sniff(F.col("content")).alias("type"), I.thumbnail("content", F.lit(16)).alias("t"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(2 * spark.sparkContext.defaultParallelism)
+    return parts.mapInPandas(draw, "id long, content binary")
+
+
+@query()
+def image_thumbs(spark, sf_dir):
+    """Generated images: decoded, hashed and made thumbnails of."""
+    made = _drawn(spark, sf_dir).select("id", S.sniff(F.col("content")).alias("type"), I.thumbnail("content", F.lit(16)).alias("t"))
     return made.select("id", "type", "t.w", "t.h", "t.dhash", F.octet_length("t.thumb").alias("thumb_bytes"), "t.err")
 
 
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 7 > 0 THEN 'png' END AS type, CASE WHEN p_partkey % 7 > 0 THEN 16 + p_size END AS w, CASE WHEN p_partkey % 7 > 0 THEN 24 END AS h, p_partkey % 7 = 0 AS failed FROM part")
+def image_sizes(spark, sf_dir):
+    """Generated images, every seventh one broken: type, size, and whether it could not be read."""
+    c = F.col("content")
+    d = _drawn(spark, sf_dir).select("id", F.when(F.col("id") % 7 == 0, F.substring(c, 2, 100)).otherwise(c).alias("content"))
+    made = d.select("id", S.sniff(c).alias("type"), I.thumbnail("content", F.lit(16)).alias("t"))
+    return made.select("id", "type", "t.w", "t.h", F.col("t.err").isNotNull().alias("failed"))
+
+
 @query("SELECT sub || '/' || name AS path, bytes + id % 2 AS bytes, 0 AS state, 0 AS missing FROM media WHERE id % 6 <> 0", A.MEDIA_SQL)
 def ingest_stream(spark, sf_dir):
     """A walk's rows taken from an inbox by micro-batches into a versioned table, twice; the second run finds nothing new."""
@@ -488,4 +520,7 @@ def ingest_stream(spark, sf_dir):
     catalog = Catalog(spark, f"{root}/index")
     for _ in range(2):
         ingest(spark, f"{root}/inbox", walked.schema, catalog, schema, f"{root}/progress", NOW)
-    return catalog.read("media").select("path", "bytes", "state", F.coalesce("missing", F.lit(0)).alias("missing"))
+    return catalog.read("media").select("path", "bytes", "state", "missing")
+
+
+from medialoom.plans import more  # noqa: E402, F401  registers its queries

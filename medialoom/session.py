@@ -45,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def materialised(df, what: str):
+    """The frame written to the shared folder and read back: evaluated once, whatever reads it, and kept when executors are lost."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder in any store that Spark writes to. What is gone, or cannot be reached any more, is no error."""
     try:

@@ -43,13 +43,45 @@ def test_oracles_have_queries():
 
 
 def test_listing_is_a_top_k_over_pruned_columns(spark):
-    plan = catalog.queries()["media_newest_flags"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    from medialoom.operators.media import MediaQuery
+    from medialoom.plans import adapters
+
+    plan = MediaQuery(limit=400_000).listing(adapters.media(spark, DIR))._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "o_orderstatus" in plan and "c_acctbal" not in plan
 
 
-def test_nearest_person_raises_over_its_bound(spark, monkeypatch):
+@pytest.mark.parametrize("bound", [1, 2000, 64 << 20])
+def test_nearest_person_has_no_bound(spark, sql, monkeypatch, bound):
+    """Centres that do not fit in one matrix go in blocks; nothing changes."""
     from medialoom.operators import vectors
 
-    monkeypatch.setattr(vectors, "VOCABULARY", 5)
-    with pytest.raises(ValueError, match="more than 5 centres"):
-        entry.queries()["nearest_person"](spark, DIR)
+    monkeypatch.setattr(vectors, "MATRIX_BYTES", bound)
+    df = entry.queries()["nearest_person"](spark, DIR)
+    want = sql.sql(entry.oracle_sql()["nearest_person"])
+    assert rows(map(tuple, df.collect()), df.columns) == rows(want.fetchall(), want.columns)
+
+
+def test_hot_duplicates_can_be_split(spark):
+    """A key with a third of the rows: the join back to the groups is split."""
+    from pyspark.sql import functions as F
+
+    from medialoom.operators import storage
+
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 300_000
+        m = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 100_000).cast("string")).alias("hash"), F.col("id").alias("bytes"), F.col("id").alias("mtime"), F.lit(None).cast("long").alias("deleted"), F.lit(0).alias("missing")).repartition(8)
+        df = storage.duplicates(m)
+        assert df.filter("hash = 'hot' and keep").collect()[0]["id"] == n - 3
+        df.write.format("noop").mode("overwrite").save()
+        got = df.groupBy("hash").agg(F.count("*").alias("n"), F.count_if("keep").alias("k"), F.max("n").alias("m"))
+        assert got.filter("n <> m or k <> 1").isEmpty()
+        rows_ = df.collect()
+        assert len(rows_) == sum(1 for i in range(n) if i % 3 == 0) + sum(1 for r in rows_ if r["hash"] != "hot")
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)

@@ -255,3 +255,88 @@ def test_routing(spark):
 
 def test_excludes(spark):
     assert spark.range(1).select(S.excludes_list(F.lit(" a/ \n\n/b/c\r\n")).alias("x")).first()["x"] == ["a", "b/c"]
+
+
+def test_paths_met_twice_count_once(spark):
+    old = frame(spark, item(1), item(2))
+    seen = walked(spark, [("a/1.jpg", 101, 1), ("a/1.jpg", 555, 9), ("a/1.jpg", 7, 3), ("a/n.jpg", 1, 1), ("a/n.jpg", 2, 2), ("a/n.jpg", 2, 2)])
+    got = {r["path"]: (r["id"], r["bytes"], r["mtime"]) for r in library.upsert(old, seen, 5).collect()}
+    assert got == {"a/1.jpg": (1, 555, 9), "a/2.jpg": (2, 102, 2), "a/n.jpg": (3, 2, 2)} and library.upsert(old, seen, 5).count() == 3
+
+
+def test_numbers_are_distinct_with_further_columns(spark):
+    n = 50_000
+    df = spark.range(n, numPartitions=7).select(F.sha2(F.col("id").cast("string"), 256).alias("path"), F.col("id").alias("other"), F.repeat(F.lit("x"), 20).alias("third"))
+    got = library.numbered(df, [F.col("path")], 100).select("path", "number", "other").orderBy("path").collect()
+    assert [r["number"] for r in got] == list(range(101, 101 + n)) and sorted(r["other"] for r in got) == list(range(n))
+    assert library.numbered(df.limit(0), [F.col("path")]).count() == 0
+
+
+def test_edits_take_free_names(spark):
+    m = frame(spark, item(1, name="p.jpg", path="a/p.jpg", rel="a/p.jpg"), item(2, name="p-edited.jpg", path="a/p-edited.jpg", rel="a/p-edited.jpg"), item(3, name="p-edited (2).jpg"), item(4, name="q", path="a/q", rel="a/q", rating=4))
+    edits = spark.createDataFrame([(1, 50), (4, 60)], "id long, bytes long")
+    got = {r["id"]: (r["name"], r["path"], r["bytes"], r["rating"], r["state"]) for r in library.edited_copies(m, edits, 9).collect()}
+    assert len(got) == 6 and got[5] == ("p-edited (1).jpg", "a/p-edited (1).jpg", 50, 0, 0) and got[6] == ("q-edited", "a/q-edited", 60, 0, 0)
+
+
+def test_archives_hold_the_files(spark):
+    import io
+    import zipfile
+
+    items = spark.createDataFrame([(1, 2, 1, 0), (1, 1, 0, 0), (1, 3, 2, 0), (2, 1, 0, 0), (2, 9, 1, 0)], "coll long, media long, ord long, added long")
+    m = frame(spark, item(1, name="x.jpg"), item(2, name="x.jpg"), item(3, name="y.jpg", deleted=1), item(9, name="z"))
+    contents = spark.createDataFrame([(i, b"c%d" % i) for i in (1, 2, 3, 9)], "media long, content binary")
+    got = {r["coll"]: zipfile.ZipFile(io.BytesIO(r["archive"])) for r in sets.archives(sets.export_manifest(items, m), contents).collect()}
+    assert {k: [(n, z.read(n)) for n in z.namelist()] for k, z in got.items()} == {1: [("x.jpg", b"c1"), ("x (2).jpg", b"c2")], 2: [("x.jpg", b"c1"), ("z", b"c9")]}
+    assert sorted(map(tuple, sets.archive_bytes(items, m).collect())) == [(1, 2, 203), (2, 2, 210)]
+    files_ = spark.createDataFrame([("t/export-1.zip", "export-1.zip", 10), ("t/export-2.zip", "export-2.zip", 9000), ("t/a.zip", "a.zip", 1)], "path string, name string, mtime long")
+    assert [r["name"] for r in sets.stale_exports(files_, 9100).collect()] == ["export-1.zip"]
+
+
+def test_libraries_join_and_hold(spark):
+    libs = spark.createDataFrame([(4, "/p/one", "One", "#0", 0, None)], "id long, path string, name string, color string, added_at long, excludes string")
+    new = spark.createDataFrame([("/p/one/", "Uno"), ("C:\\photos\\", None), ("C:/photos", " "), ("/", "")], "path string, name string")
+    got = {r["path"]: (r["id"], r["name"], r["color"]) for r in library.add_libraries(libs, new, 3).collect()}
+    assert got["/p/one"] == (4, "Uno", "#0") and got["C:/photos"][1:] == ("photos", "#B48CE0") and len(got) == 3
+    inner = libs.unionByName(spark.createDataFrame([(7, "/p/one/in", "In", "#1", 0, None)], libs.schema))
+    paths = spark.createDataFrame([("/p/one/a.jpg",), ("/p/one/in/b.jpg",), ("/p/one2/c.jpg",), ("/p/one",)], "path string")
+    assert {r["path"]: r["lib"] for r in library.library_of(paths, inner).collect()} == {"/p/one/a.jpg": 4, "/p/one/in/b.jpg": 7, "/p/one2/c.jpg": None, "/p/one": 4}
+
+
+def test_models_are_reset_and_people_found_anew(spark):
+    r = np.random.default_rng(1)
+    base = r.normal(size=(3, 8))
+    rows = [(i, i, None if i % 2 else 50, (base[i % 3] + 0.01 * r.normal(size=8)).tolist(), i / 20) for i in range(12)] + [(99, 99, 50, r.normal(size=8).tolist(), 0.1)]
+    unit = lambda v: (np.array(v) / np.linalg.norm(v)).tolist()
+    f = spark.createDataFrame([(i, m, c, unit(v), s) for i, m, c, v, s in rows], "id long, media long, cluster long, vec array<float>, score double")
+    p = spark.createDataFrame([(50, "Mixed", 2, 0)], "id long, name string, cover long, hidden int")
+    out = vectors.recluster({"faces": f, "people": p, "media": frame(spark, item(1))}, threshold=0.9)
+    got = by_id(out["faces"], "cluster")
+    assert len({got[i] for i in range(12)}) == 3 and all(got[i] == got[i % 3] for i in range(12)) and got[99] is None
+    assert by_id(out["people"], "name", "cover") == {got[k]: ("", 9 + k) for k in range(3)}
+    reset = library.reset_models({"faces": f, "people": p, "media": frame(spark, item(1, facedone=1))}, "faces")
+    assert reset["faces"].count() == reset["people"].count() == 0 and by_id(reset["media"], "facedone") == {1: 0}
+    with pytest.raises(ValueError):
+        library.reset_models({}, "x")
+
+
+def test_clustering_of_assigned_faces_alone(spark):
+    f = spark.createDataFrame([(1, 3, [1.0, 0.0]), (2, 3, [0.0, 1.0])], "id long, cluster long, vec array<float>")
+    assert by_id(vectors.cluster(f, spark.createDataFrame([(3,)], "id long")), "cluster") == {1: 3, 2: 3}
+
+
+def test_search_leaves_out_what_is_not_active(spark):
+    m = frame(spark, item(1, taken=10), item(2, deleted=1), item(3, missing=1), item(4, taken=40, dur=2.6))
+    clip = spark.createDataFrame([(i, [s, 0.0]) for i, s in ((1, 0.31), (2, 0.9), (3, 0.9), (4, 0.32), (5, 0.8))], "media long, vec array<float>")
+    got = [tuple(r)[:2] + (r["ts"], r["dur"]) for r in vectors.search_library(clip, m, [1.0, 0.0]).collect()]
+    assert got == [(1, 4, 40, 3), (2, 1, 10, 0)]
+    assert vectors.search_library(clip, m, [0.5, 0.0]).count() == 0  # the best is under the floor
+
+
+def test_nearest_of_odd_vectors(spark, monkeypatch):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 2.0, 9.0]), (4, [1.0])], "id long, vec array<float>")
+    c = spark.createDataFrame([(9, [0.0, 1.0]), (5, [1.0, 0.0]), (7, [1.0, 0.0])], "id long, vec array<double>")
+    for bound in (64 << 20, 20):
+        monkeypatch.setattr(vectors, "MATRIX_BYTES", bound)
+        assert by_id(vectors.nearest(v, c), "centre", "score") == {1: (5, 1.0), 3: (9, 2.0), 4: (5, 1.0)}
+    assert vectors.nearest(v, c.limit(0)).count() == 0
