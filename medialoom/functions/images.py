@@ -1,7 +1,8 @@
 """Pixel functions on numpy rasters, and pandas UDFs over image bytes.
 
 A raster is height x width x 3, RGB, uint8.  Decoders here: PNG (8-bit, not interlaced) and
-binary PPM; anything else is an error row, never a failed job.
+binary PPM; JPEG, GIF and BMP come through Spark's image source (see sources.files.pictures);
+anything else is an error row, never a failed job.
 """
 
 from __future__ import annotations
@@ -81,24 +82,36 @@ def _decode_png(data: bytes) -> np.ndarray:
         at += 12 + n
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[colour]
     raw = np.frombuffer(zlib.decompress(idat), np.uint8).reshape(h, 1 + w * n)
-    out, above = np.zeros((h, w * n), np.uint8), np.zeros(w * n, np.int64)
-    for y in range(h):
-        line, f = raw[y, 1:].astype(np.int64), raw[y, 0]
-        if f == 2:
-            line = line + above
-        elif f in (1, 3, 4):
-            cur = [0] * (w * n)
-            for x in range(w * n):
-                a, b, c = cur[x - n] if x >= n else 0, int(above[x]), int(above[x - n]) if x >= n else 0
-                p = a + b - c
-                guess = a if f == 1 else (a + b) // 2 if f == 3 else min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-                cur[x] = (int(line[x]) + guess) & 255
-            line = np.array(cur)
-        out[y] = above = line & 255
-    px = out.reshape(h, w, n)
+    px = _unfiltered(raw[:, 0], raw[:, 1:].reshape(h, w, n))
     return palette[px[..., 0]] if colour == 3 else np.repeat(px[..., :1], 3, axis=2) if n < 3 else px[..., :3]
 
 
+def _unfiltered(kinds: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """PNG's line filters undone. Lines that look up or left alone are sums; where others occur, pixels are taken by diagonals, as none needs another of its own diagonal."""
+    h, w, n = raw.shape
+    out = np.zeros((h + 1, w + 1, n), np.uint8)  # a border of zeros above and on the left
+    if not np.isin(kinds, (3, 4)).any():
+        for y in range(h):
+            line = np.cumsum(raw[y], axis=0, dtype=np.uint8) if kinds[y] == 1 else raw[y]
+            out[y + 1, 1:] = line + out[y, 1:] if kinds[y] == 2 else line
+        return out[1:, 1:]
+    for d in range(h + w - 1):
+        y = np.arange(max(0, d - w + 1), min(h, d + 1))
+        x = d - y
+        a, b, c = (out[y + i, x + j].astype(np.int16) for i, j in ((1, 0), (0, 1), (0, 0)))  # left, above, above left
+        p = a + b - c
+        pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+        paeth = np.where((pa <= pb) & (pa <= pc), a, np.where(pb <= pc, b, c))
+        out[y + 1, x + 1] = raw[y, x] + np.choose(kinds[y][:, None], [np.zeros_like(a), a, b, (a + b) // 2, paeth]).astype(np.uint8)
+    return out[1:, 1:]
+
+
+def raster_of(data: bytes, h: int, w: int, channels: int) -> np.ndarray:
+    """A raster from the fields of Spark's image type (lines of B, G, R, or grey, or with alpha)."""
+    px = np.frombuffer(data, np.uint8).reshape(h, w, channels)
+    return np.repeat(px, 3, axis=2) if channels == 1 else px[..., 2::-1]
+
+
 # ---------------------------------------------------------------- geometry and resizing
 
 def oriented(img: np.ndarray, orientation: int) -> np.ndarray:
@@ -300,8 +313,8 @@ _EXIF_NUMBER = {0x0112: "orient", 0x8827: "iso", 0x829A: "expo", 0x829D: "fnum",
 
 def read_exif(data: bytes) -> dict:
     """Tags of the TIFF block in a JPEG (or of bare TIFF bytes); a broken entry is skipped, the others count."""
-    at = data.find(b"Exif\0\0", 0, 131072)
-    block = data[at + 6 :] if at >= 0 else data
+    at, png = data.find(b"Exif\0\0", 0, 131072), data.find(b"eXIf", 0, 131072) if data[:4] == b"\x89PNG" else -1
+    block = data[at + 6 :] if at >= 0 else data[png + 4 :] if png >= 0 else data
     end = {b"II": "<", b"MM": ">"}.get(block[:2])
     out: dict = {}
     if end is None:
@@ -357,13 +370,14 @@ def _fields(**kinds) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
 
 
-@F.pandas_udf(_fields(w=T.IntegerType(), h=T.IntegerType(), dhash=T.LongType(), thumb=T.BinaryType(), err=T.StringType()))
-def thumbnail(content: pd.Series, edge: pd.Series) -> pd.DataFrame:
-    """Size, difference hash and square PNG thumbnail of image bytes; err for what cannot be read."""
+_THUMB = _fields(w=T.IntegerType(), h=T.IntegerType(), dhash=T.LongType(), thumb=T.BinaryType(), err=T.StringType())
+
+
+def _thumbs(makers, edges) -> pd.DataFrame:
     rows = []
-    for data, e in zip(content, edge):
+    for make, e in zip(makers, edges):
         try:
-            img = decode(bytes(data))
+            img = make()
             rows.append((img.shape[1], img.shape[0], difference_hash(img), encode_png(square_thumb(img, int(e))), None))
         except Exception as x:
             rows.append((None, None, None, None, f"{type(x).__name__}: {x}"[:200]))
@@ -371,6 +385,80 @@ def thumbnail(content: pd.Series, edge: pd.Series) -> pd.DataFrame:
     return out.astype({"w": "Int32", "h": "Int32", "dhash": "Int64"})
 
 
+def upright(data: bytes) -> np.ndarray:
+    """The raster of image bytes, turned as its EXIF orientation says; where the file itself has no decoder, its largest embedded preview of 160 pixels a side or more."""
+    turn = read_exif(data).get("orient", 1)
+    try:
+        return oriented(decode(data), turn)
+    except ValueError as first:
+        for a, b in embedded_jpegs(data):
+            try:
+                img = decode(data[a:b])
+            except ValueError:
+                continue
+            if min(img.shape[:2]) >= 160:
+                return oriented(img, turn)
+        raise first
+
+
+@F.pandas_udf(_THUMB)
+def thumbnail(content: pd.Series, edge: pd.Series) -> pd.DataFrame:
+    """Size, difference hash and square PNG thumbnail of image bytes, turned upright; err for what cannot be read."""
+    return _thumbs([lambda d=d: upright(bytes(d)) for d in content], edge)
+
+
+@F.pandas_udf(_THUMB)
+def thumbnail_of_raster(data: pd.Series, h: pd.Series, w: pd.Series, channels: pd.Series, orient: pd.Series, edge: pd.Series) -> pd.DataFrame:
+    """The same of an image that Spark has decoded."""
+
+    def make(d, y, x, n, o):
+        def img():
+            if y is None or pd.isna(y) or y <= 0:
+                raise ValueError("no decoder for these bytes")
+            return oriented(raster_of(bytes(d), int(y), int(x), int(n)), 1 if o is None or pd.isna(o) else int(o))
+
+        return img
+
+    return _thumbs([make(*r) for r in zip(data, h, w, channels, orient)], edge)
+
+
+def raster_function(fn, returns: T.DataType):
+    """A pandas UDF over image bytes and one more column: fn(upright raster, value); NULL for what cannot be read."""
+
+    @F.pandas_udf(returns)
+    def run(content: pd.Series, value: pd.Series) -> pd.Series:
+        out = []
+        for data, v in zip(content, value):
+            try:
+                out.append(fn(upright(bytes(data)), v))
+            except Exception:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+_FLOATS = T.ArrayType(T.FloatType())
+#: PNG of the image with no edge longer than the value; the encoder's input of that edge; the detector's, fitted in a square; the face in a box.
+preview = raster_function(lambda img, edge: encode_png(fit_thumb(img, int(edge))), T.BinaryType())
+encoder_tensor = raster_function(lambda img, edge: encoder_input(img, int(edge)).ravel().astype(np.float32), _FLOATS)
+detector_tensor = raster_function(lambda img, edge: letterbox(img, int(edge))[0].ravel().astype(np.float32), _FLOATS)
+face_png = raster_function(lambda img, box: encode_png(face_crop(img, list(box))), T.BinaryType())
+aligned_png = raster_function(lambda img, marks: encode_png(np.rint(aligned_face(img, np.reshape(list(marks), (5, 2)))).astype(np.uint8)), T.BinaryType())
+
+
+def edited(**adjustments):
+    """A pandas UDF: PNG of the image after crop, turns and colour; adjustments as in `adjusted` and `transformed`. The value column is not looked at."""
+    moves = {k: adjustments.pop(k) for k in ("crop", "quarter_turns", "flip", "angle") if k in adjustments}
+    return raster_function(lambda img, _: encode_png(adjusted(transformed(img, **moves), **adjustments)), T.BinaryType())
+
+
+@F.pandas_udf(T.ArrayType(_fields(start=T.IntegerType(), end=T.IntegerType())))
+def embedded(content: pd.Series) -> pd.Series:
+    """Where JPEG previews lie in file bytes, longest first."""
+    return content.map(lambda d: None if d is None else [{"start": a, "end": b} for a, b in embedded_jpegs(bytes(d))])
+
+
 @F.pandas_udf(_fields(**dict.fromkeys(("make", "model", "lens", "expo", "taken"), T.StringType()), **dict.fromkeys(("orient", "iso"), T.IntegerType()), **dict.fromkeys(("fnum", "focal"), T.DoubleType())))
 def exif(content: pd.Series) -> pd.DataFrame:
     """EXIF fields of image bytes; the capture time as text, the moment of the shot before that of the file."""

@@ -210,21 +210,27 @@ def replace_originals(media: DataFrame, made: DataFrame, now: int) -> DataFrame:
     return df.select(*[(F.when(hit, new[c]).otherwise(F.col(c)) if c in new else F.col(c)).cast(media.schema[c].dataType).alias(c) for c in media.columns])
 
 
+def free_names(new: DataFrame, taken: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
+    """new with `name` made free among the names of the same keys (a folder) in `taken` and in new itself: name, stem (1).ext, stem (2).ext, ... in the order given."""
+    turn = F.row_number().over(Window.partitionBy(*keys, "name").orderBy(order))
+    pattern = r" \((\d+)\)(\.[^.]*)?$"
+    plain = F.col("name")
+    have = taken.select(*keys, plain.alias("_plain"), F.lit(0).alias("_n"))
+    every = taken.select(*keys, "name").unionByName(new.select(*keys, "name"))  # new ones can have a number too
+    counted = every.select(*keys, F.regexp_replace(plain, pattern, "$2").alias("_plain"), F.regexp_extract(plain, pattern, 1).try_cast("int").alias("_n")).filter("_n is not null")
+    used = have.unionByName(counted).groupBy(*keys, "_plain").agg(F.collect_set("_n").alias("_used"))
+    rows = new.withColumn("_turn", turn).withColumn("_plain", plain).join(used, [*keys, "_plain"], "left")
+    free = F.filter(F.sequence(F.lit(0), F.coalesce(F.size("_used"), F.lit(0)) + F.col("_turn")), lambda i: ~F.coalesce(F.array_contains("_used", i), F.lit(False)))
+    n = F.element_at(free, F.col("_turn"))
+    name = F.when(n == 0, plain).otherwise(F.concat(S.stem_of(plain), F.lit(" ("), n.cast("string"), F.lit(")"), S.suffix_of(plain)))
+    return rows.withColumn("name", name).select(*new.columns)
+
+
 def edited_copies(media: DataFrame, edits: DataFrame, now: int) -> DataFrame:
-    """edits: id, bytes: each edit becomes an item of its own beside the original, named stem-edited.ext, or stem-edited (n).ext where that name is taken in its folder."""
-    made = edits.join(media.drop("bytes"), "id").withColumn("plain", F.concat(S.stem_of(F.col("name")), F.lit("-edited"), S.suffix_of(F.col("name"))))
-    made = made.withColumn("turn", F.row_number().over(Window.partitionBy("lib", "sub", "plain").orderBy("id")))
-    stem, suffix = F.concat(S.stem_of(F.col("plain"))), S.suffix_of(F.col("plain"))
-    # How many of plain, plain (1), plain (2), ... are taken without a gap.
-    taken = media.select("lib", "sub", "name").withColumn("plain", F.regexp_replace("name", r" \((\d+)\)(\.[^.]*)?$", "$2"))
-    taken = taken.withColumn("n", F.coalesce(F.regexp_extract("name", r" \((\d+)\)(\.[^.]*)?$", 1).try_cast("int"), F.lit(0)))
-    used = taken.groupBy("lib", "sub", "plain").agg(F.array_sort(F.collect_set("n")).alias("used"))
-    free = F.filter(F.sequence(F.lit(0), F.coalesce(F.size("used"), F.lit(0)) + F.col("turn")), lambda i: ~F.coalesce(F.array_contains("used", i), F.lit(False)))
-    named = made.join(used, ["lib", "sub", "plain"], "left").withColumn("n", F.element_at(free, F.col("turn")))
-    name = F.when(F.col("n") == 0, F.col("plain")).otherwise(F.concat(stem, F.lit(" ("), F.col("n").cast("string"), F.lit(")"), suffix))
-    rows = named.withColumn("name", name).withColumn("mtime", F.lit(now)).withColumn("state", F.lit(0)).drop("id", "plain", "turn", "used", "n")
-    if "path" in media.columns:
-        rows = rows.withColumns({c: F.concat(S.parent_of(F.col(c)), F.when(S.parent_of(F.col(c)) != "", "/").otherwise(""), F.col("name")) for c in ("path", "rel") if c in media.columns})
+    """edits: id, bytes: each edit becomes an item of its own beside the original, named stem-edited.ext, or the next free name."""
+    made = edits.join(media.drop("bytes"), "id").withColumn("name", F.concat(S.stem_of(F.col("name")), F.lit("-edited"), S.suffix_of(F.col("name"))))
+    rows = free_names(made, media, ["lib", "sub"]).withColumn("mtime", F.lit(now)).withColumn("state", F.lit(0)).drop("id")
+    rows = rows.withColumns({c: F.concat(S.parent_of(F.col(c)), F.when(S.parent_of(F.col(c)) != "", "/").otherwise(""), F.col("name")) for c in ("path", "rel") if c in media.columns})
     top = media.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
     new = numbered(rows, [F.col("lib"), F.col("sub"), F.col("name")], top).withColumn("id", F.col("number"))
     fresh = {"hash": F.lit(None), "dhash": F.lit(None), "fav": F.lit(0), "rating": F.lit(0), "added_at": F.lit(now), "facedone": F.lit(0)}

@@ -2,29 +2,105 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medialoom.functions import images as I
 from medialoom.functions import scalar as S
+from medialoom.session import materialised
 
 #: Folders that are never media: the bin, system folders, and names that begin with $.
 SKIPPED = r"(^|/)(\$[^/]*|System Volume Information|\.[^/]*bin|\.trash)(/|$)"
 
 
-def walk(spark: SparkSession, root: str, lib: int, excludes: list[str] = [], bare: bool = False) -> DataFrame:
-    """Files below a root as rows for an upsert: path, lib, rel, sub, name, ext, kind, bytes, mtime. `content` is not read. Empty files, unknown extensions, skipped and excluded folders are left out.
-
-    Spark's readers pass over names that begin with a dot or an underscore; `bare` keeps files of every extension.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "modificationTime", "length")
-    base = F.lit(root if "://" in root or root.startswith("file:") else "file:" + root)
-    rel = S.relative_path(F.col("path"), base)
-    df = raw.withColumn("rel", F.url_decode(rel)).filter(F.col("length") > 0).filter(~F.col("rel").rlike(SKIPPED))
+def walk(spark: SparkSession, root: str, lib: int, excludes: list[str] = [], bare: bool = False, own: list[str] = []) -> DataFrame:
+    """Files below a root as rows for an upsert: path, lib, rel, sub, name, ext, kind, bytes, mtime. No content is read. Empty files, unknown extensions, skipped and excluded folders, and folders of our own (`own`, paths below the root, case ignored) are left out; `bare` keeps files of every extension."""
+    df = listed(spark, root).filter(F.col("length") > 0).filter(~F.col("rel").rlike(SKIPPED))
     for x in excludes:
         df = df.filter(~S.in_subtree(F.col("rel"), x))
+    for x in own:
+        df = df.filter(~S.in_subtree(F.lower("rel"), x.lower()))
     df = df.withColumn("name", S.name_of(F.col("rel"))).withColumn("ext", S.extension_of(F.col("name"))).withColumn("kind", S.kind_of_extension(F.col("ext")))
     df = df if bare else df.filter(F.col("kind").isNotNull())
-    return df.select("path", F.lit(lib).cast("long").alias("lib"), "rel", S.parent_of(F.col("rel")).alias("sub"), "name", "ext", "kind", F.col("length").alias("bytes"), F.unix_timestamp("modificationTime").alias("mtime"))
+    return df.select("path", F.lit(lib).cast("long").alias("lib"), "rel", S.parent_of(F.col("rel")).alias("sub"), "name", "ext", "kind", F.col("length").alias("bytes"), "mtime")
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path, rel, length and mtime of every file below a root, names that begin with a dot or an underscore included (Spark's own readers pass over them). Folders are listed level by level, each by a task of its own, so a tree of any width spreads over the executors; links are not followed."""
+    base = (root if "://" in root or root.startswith("file:") else "file://" + root).rstrip("/")
+    levels, n = [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dirs = spark.createDataFrame([("",)], "rel string")
+    while True:
+        found = materialised(dirs.repartition(n, "rel").mapInArrow(_entries(base), "rel string, folder boolean, length long, mtime long"), "listed")
+        levels.append(found.filter("not folder"))
+        dirs = found.filter("folder").select("rel")
+        if dirs.isEmpty():
+            break
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more)
+    return out.select(F.concat(F.lit(base + "/"), "rel").alias("path"), "rel", "length", "mtime")
+
+
+def _entries(base: str):
+    def run(batches):
+        from pyarrow import fs
+
+        at, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                rows = []
+                for e in at.get_file_info(fs.FileSelector(f"{top}/{rel}" if rel else top)):
+                    if at.type_name == "local" and os.path.islink(e.path):
+                        continue
+                    rows.append((f"{rel}/{e.base_name}" if rel else e.base_name, e.type == fs.FileType.Directory, e.size or 0, int(e.mtime.timestamp()) if e.mtime else 0))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.bool_(), pa.int64(), pa.int64()))], ["rel", "folder", "length", "mtime"])
+
+    return run
+
+
+def browse(spark: SparkSession, folder: str) -> DataFrame:
+    """name and path of the folders in a folder, by name without regard to case: what a folder picker shows."""
+    base = (folder if "://" in folder or folder.startswith("file:") else "file://" + folder).rstrip("/")
+    rows = spark.createDataFrame([("",)], "rel string").coalesce(1).mapInArrow(_entries(base), "rel string, folder boolean, length long, mtime long")
+    shown = rows.filter("folder").filter(~F.col("rel").rlike(SKIPPED))
+    return shown.select(F.col("rel").alias("name"), F.concat(F.lit(base + "/"), "rel").alias("path")).orderBy(F.lower("name"), "name")
+
+
+def pictures(spark: SparkSession, root: str, edge: int = 320) -> DataFrame:
+    """path, w, h, dhash, thumb, err and the EXIF fields of the images below a root that the JVM decodes (JPEG, PNG, GIF, BMP), upright. Of each file's bytes only the first 128 KB are carried, for its EXIF; what has no decoder has err."""
+    where = {"recursiveFileLookup": "true"}
+    raw = spark.read.format("binaryFile").options(**where).load(root).select("path", S.capped(F.col("content"), 131072).alias("head"))
+    seen = spark.read.format("image").options(**where, dropInvalid="true").load(root).select("image.*")
+    same = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")  # noqa: E731  one reader writes file:/, the other file:///
+    df = raw.withColumn("exif", I.exif("head")).join(seen, same("path") == same("origin"), "left")
+    thumb = I.thumbnail_of_raster("data", "height", "width", "nChannels", "exif.orient", F.lit(edge))
+    return df.select("path", "exif", thumb.alias("t")).select("path", "t.*", "exif.make", "exif.model", "exif.taken", "exif.orient")
+
+
+def stored(uploads: DataFrame, root: str) -> DataFrame:
+    """Uploads (sub, name, content) written below a root; path and bytes of each. Names must be free (see library.free_names); a task that runs again writes the same file again."""
+    base = (root if "://" in root or root.startswith("file:") else "file://" + root).rstrip("/")
+
+    def run(batches):
+        from pyarrow import fs
+
+        at, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            paths, sizes = [], []
+            for sub, name, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                folder = "/".join(x for x in (top, sub) if x)
+                at.create_dir(folder, recursive=True)
+                with at.open_output_stream(f"{folder}/{name}") as f:
+                    f.write(content or b"")
+                paths.append("/".join(x for x in (base, sub, name) if x))
+                sizes.append(len(content or b""))
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "bytes"])
+
+    return uploads.select("sub", "name", "content").mapInArrow(run, "path string, bytes long")
 
 
 def folder_bytes(spark: SparkSession, root: str) -> DataFrame:

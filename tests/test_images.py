@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from medialoom.functions import images as I
 from medialoom.functions import scalar as S
+from medialoom.sources import files
 
 
 def ramp(w=32, h=24):
@@ -117,3 +118,82 @@ def test_bad_bytes_are_error_rows(spark):
     assert rows[0]["w"] == 32 and rows[0]["err"] is None and rows[1]["err"] and rows[2]["err"]
     blob = df.select(I.vector_of_bytes(F.lit(struct.pack("<2f", 1, 2) + b"x")).alias("v")).select("v", I.bytes_of_vector("v").alias("b")).first()
     assert blob["v"] == [1.0, 2.0] and bytes(blob["b"]) == struct.pack("<2f", 1, 2)
+
+
+def png_with(img, kinds):
+    """A PNG whose lines have the filters given."""
+    import zlib
+
+    h, w, n = img.shape
+    out, above = b"", np.zeros((w, n), int)
+    for y, k in zip(range(h), kinds):
+        line = img[y].astype(int)
+        left, corner = np.vstack([np.zeros((1, n), int), line[:-1]]), np.vstack([np.zeros((1, n), int), above[:-1]])
+        p = left + above - corner
+        d = [np.abs(p - v) for v in (left, above, corner)]
+        paeth = np.where((d[0] <= d[1]) & (d[0] <= d[2]), left, np.where(d[1] <= d[2], above, corner))
+        out += bytes([k]) + ((line - [0, left, above, (left + above) // 2, paeth][k]) % 256).astype(np.uint8).tobytes()
+        above = line
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[n]
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(out)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("kinds", [(0,), (1,), (2,), (1, 2, 0), (3,), (4,), (0, 1, 2, 3, 4)])
+@pytest.mark.parametrize("n", [1, 3, 4])
+def test_png_filters(kinds, n):
+    img = np.random.default_rng(n).integers(0, 256, (11, 17, n), dtype=np.uint8)
+    img[3:7] = 200  # even parts too
+    got = I.decode(png_with(img, [kinds[y % len(kinds)] for y in range(11)]))
+    assert (got == (np.repeat(img, 3, axis=2) if n == 1 else img[..., :3])).all()
+
+
+def turned(png: bytes, orientation: int) -> bytes:
+    """The PNG with an EXIF chunk."""
+    block = b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHIHH", 0x0112, 3, 1, orientation, 0) + b"\0\0\0\0"
+    return png[:-12] + struct.pack(">I", len(block)) + b"eXIf" + block + b"\0\0\0\0" + png[-12:]
+
+
+def test_thumbnails_are_upright_and_previews_found(spark):
+    img = ramp(200, 170)
+    plain, lying = I.encode_png(img), turned(I.encode_png(np.rot90(img, 1).copy()), 6)
+    rows = [(1, plain), (2, lying), (3, b"RAW!" + b"\xff\xd8\xff" + b"0" * 2000 + b"\xff\xd9"), (4, None), (5, b"")]
+    df = spark.createDataFrame(rows, "id int, content binary")
+    got = {r["id"]: r["t"] for r in df.select("id", I.thumbnail("content", F.lit(16)).alias("t")).collect()}
+    assert (got[1]["w"], got[1]["h"], got[1]["dhash"], got[1]["thumb"]) == (got[2]["w"], got[2]["h"], got[2]["dhash"], got[2]["thumb"]) and got[1]["w"] == 200
+    assert all(got[i]["err"] and got[i]["w"] is None for i in (3, 4, 5))
+    spans = {r["id"]: r["e"] for r in df.select("id", I.embedded("content").alias("e")).collect()}
+    assert [tuple(s) for s in spans[3]] == [(4, 2009)] and spans[1] == [] and spans[4] is None
+
+
+def test_raster_functions(spark):
+    img = ramp(64, 48)
+    df = spark.createDataFrame([(I.encode_png(img),), (b"junk",)], "content binary")
+    row, junk = df.select(I.preview("content", F.lit(32)).alias("p"), I.encoder_tensor("content", F.lit(8)).alias("e"), I.detector_tensor("content", F.lit(16)).alias("d"), I.face_png("content", F.array(*map(F.lit, (10.0, 10.0, 30.0, 30.0)))).alias("f"),
+        I.aligned_png("content", F.array(*map(F.lit, (I.FACE_TEMPLATE / 3).ravel().tolist()))).alias("a"), I.edited(mono=1, quarter_turns=1)("content", F.lit(0)).alias("x")).collect()
+    assert I.decode(bytes(row["p"])).shape == (24, 32, 3) and len(row["e"]) == 3 * 8 * 8 and len(row["d"]) == 3 * 16 * 16
+    assert np.allclose(np.reshape(row["e"], (3, 8, 8)), I.encoder_input(img, 8), atol=1e-6)
+    assert I.decode(bytes(row["f"])).shape == (192, 192, 3) and I.decode(bytes(row["a"])).shape == (112, 112, 3)
+    edited = I.decode(bytes(row["x"]))
+    assert edited.shape == (64, 48, 3) and (edited[..., 0] == edited[..., 1]).all()
+    assert all(v is None for v in junk)
+
+
+def test_pictures_of_other_formats(spark, tmp_path):
+    """JPEG, GIF and BMP, written by the JVM, as the listing of a folder; a broken file is an error row."""
+    jvm, img = spark._jvm, ramp(64, 48)
+    for kind in ("jpg", "gif", "bmp", "png"):
+        picture = jvm.java.awt.image.BufferedImage(64, 48, 1)
+        for y in range(48):
+            for x in range(64):
+                picture.setRGB(x, y, int(img[y, x, 0]) << 16 | int(img[y, x, 1]) << 8 | 40)
+        assert jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(f"{tmp_path}/a.{kind}"))
+    (tmp_path / "broken.jpg").write_bytes(b"\xff\xd8\xff junk")
+    data = (tmp_path / "a.jpg").read_bytes()
+    block = b"Exif\0\0MM\0*\0\0\0\x08\0\x01" + struct.pack(">HHIHH", 0x0112, 3, 1, 6, 0) + b"\0\0\0\0"
+    (tmp_path / "turned.jpg").write_bytes(data[:2] + b"\xff\xe1" + struct.pack(">H", len(block) + 2) + block + data[2:])
+    got = {r["path"].rpartition("/")[2]: r for r in files.pictures(spark, str(tmp_path), 16).collect()}
+    assert len(got) == 6 and all((got[f"a.{k}"]["w"], got[f"a.{k}"]["h"], got[f"a.{k}"]["err"]) == (64, 48, None) for k in ("jpg", "gif", "bmp", "png"))
+    assert (got["turned.jpg"]["w"], got["turned.jpg"]["h"], got["turned.jpg"]["orient"]) == (48, 64, 6) and got["broken.jpg"]["err"]
+    small = I.decode(bytes(got["a.png"]["thumb"])).astype(int)
+    assert np.abs(I.decode(bytes(got["a.jpg"]["thumb"])).astype(int) - small).mean() < 6 and got["a.bmp"]["thumb"] == got["a.png"]["thumb"]

@@ -10,7 +10,7 @@ from medialoom.functions import scalar as S
 from medialoom.operators import folders, library, media as M, sets, storage, vectors
 from medialoom.sources import files
 from medialoom.sources.catalog import Catalog
-from medialoom.streaming.ingest import ingest, routed
+from medialoom.streaming.ingest import ingest, routed, take_uploads
 
 MEDIA = "id long, lib long, path string, rel string, sub string, name string, ext string, kind int, bytes long, mtime long, taken long, rating int, fav int, deleted long, binpath string, hash string, dhash long, state int, err string, added_at long, missing int, facedone int, w int, h int, vcodec string, acodec string, dur double"
 WALK = "path string, lib long, rel string, sub string, name string, ext string, kind int, bytes long, mtime long"
@@ -340,3 +340,27 @@ def test_nearest_of_odd_vectors(spark, monkeypatch):
         monkeypatch.setattr(vectors, "MATRIX_BYTES", bound)
         assert by_id(vectors.nearest(v, c), "centre", "score") == {1: (5, 1.0), 3: (9, 2.0), 4: (5, 1.0)}
     assert vectors.nearest(v, c.limit(0)).count() == 0
+
+
+def test_walk_meets_hidden_names_but_not_our_own(spark, tmp_path):
+    for p in (".hidden.jpg", "_under/x.png", ".dot/y.png", ".mybin/z.png", "Data/cache.png", "deep/1/2/3/4/5/w.jpg", "ü ber%20/é #1.jpg"):
+        f = tmp_path / p
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(b"data")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    got = {r["rel"] for r in files.walk(spark, str(tmp_path), 1, own=["data"]).collect()}
+    assert got == {".hidden.jpg", "_under/x.png", ".dot/y.png", "deep/1/2/3/4/5/w.jpg", "ü ber%20/é #1.jpg"}
+    assert [r["name"] for r in files.browse(spark, str(tmp_path)).collect()] == [".dot", "_under", "Data", "deep", "ü ber%20"]
+    (tmp_path / "none").mkdir()
+    assert files.walk(spark, f"{tmp_path}/none", 1).count() == 0
+
+
+def test_uploads_are_written_under_free_names(spark, tmp_path):
+    up = spark.createDataFrame([(1, "a.jpg", b"one", 0), (2, "a.jpg", b"two", 0), (3, "b:c.jpg", b"three", 86400 * 40), (4, "a (2).jpg", b"four", 0)], "id long, name string, content binary, taken long")
+    taken = spark.createDataFrame([("1970-01", "a.jpg")], "sub string, name string")
+    done = take_uploads(up, taken, str(tmp_path), now=0)
+    assert sorted(r["bytes"] for r in done.collect()) == [3, 3, 4, 5]
+    got = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*.jpg")}
+    assert got == {"1970-01/a (1).jpg": b"one", "1970-01/a (3).jpg": b"two", "1970-02/b_c.jpg": b"three", "1970-01/a (2).jpg": b"four"}
+    met = {r["rel"] for r in files.walk(spark, str(tmp_path), 1).collect()}
+    assert met == set(got)
