@@ -42,6 +42,16 @@ def test_oracles_have_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("hidden, core_alone", [("medialoom.llm", True), ("corpus_pipeline", True), ("xxhash", True), ("medialoom.functions.scalar", False)])
+def test_entry_without_what_the_corpus_queries_need(hidden, core_alone):
+    import subprocess
+    import sys
+
+    code = f"import sys; sys.modules['{hidden}'] = None; import __spark_entry__ as e; print(len(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=entry.__file__.rpartition("/")[0])
+    assert (done.stdout.strip() == str(len(catalog.queries()))) == core_alone, done.stderr
+
+
 def test_listing_is_a_top_k_over_pruned_columns(spark):
     from medialoom.operators.media import MediaQuery
     from medialoom.plans import adapters
