@@ -13,7 +13,7 @@ from medialoom.llm import bpe, common, mixing, neardup, pii, quality
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.filtered(docs)
+    return quality.filtered(common.spread(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
