@@ -26,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medialoom.llm.bpe import chunks, vocabulary
-from medialoom.llm.common import documents_of, file_system, fresh_path, saved, shuffle_partitions
+from medialoom.llm.common import documents_of, dropped, file_system, fresh_path, saved, shuffle_partitions, spread
 from medialoom.llm.dac import CHUNK_CHARS, library_ids
+from medialoom.session import remove
 
 BLOCK = 2_000_000
 
+
 def write_flat(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", end_id: int = 50256, width: int = 2) -> DataFrame:
     """Writes flat files of `width`-byte ids; returns file, doc_no and doc_id of each document."""
 
@@ -54,7 +56,7 @@ def write_flat(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json", en
 
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
-    return saved(documents_of(docs).mapInArrow(run, "file string, doc_no long, doc_id long"), "flat-manifest")
+    return saved(spread(documents_of(docs)).mapInArrow(run, "file string, doc_no long, doc_id long"), "flat-manifest")
 
 
 def scan_flat(spark: SparkSession, files: DataFrame, end_id: int, width: int = 2, block: int = BLOCK) -> DataFrame:
@@ -100,9 +102,16 @@ def scan_flat(spark: SparkSession, files: DataFrame, end_id: int, width: int = 2
     return docs.select("file", (F.col("docs_before") + F.col("k")).alias("doc_no"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), (F.col("end") < F.col("n_ids")).alias("ended"))
 
 
-def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 50256, width: int = 2) -> DataFrame:
-    """doc_id and n_tokens of each row: flat files are written, scanned, and the counts brought to the documents."""
+def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 50256, width: int = 2, folder: str | None = None) -> DataFrame:
+    """doc_id and n_tokens of each row: flat files are written, scanned, and the counts brought to the documents. With a folder, the files stay there, and file, doc_no and start tell where each document lies; else they go once the counts are written."""
     spark = docs.sparkSession
-    manifest = write_flat(docs, fresh_path(spark, "flat"), name, end_id, width)
+    at = folder or fresh_path(spark, "flat")
+    manifest = write_flat(docs, at, name, end_id, width)
     counts = scan_flat(spark, manifest, end_id, width)
-    return manifest.join(counts.hint("merge"), ["file", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "file", "doc_no", "start")
+    out = manifest.join(counts.hint("merge"), ["file", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "file", "doc_no", "start")
+    if folder:
+        return out
+    out = saved(out.select("doc_id", "n_tokens"), "counts")
+    dropped(manifest)
+    remove(spark, at)
+    return out
