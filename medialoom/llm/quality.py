@@ -80,15 +80,15 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     at = F.col("q_at")
     gaps = F.transform(at, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - i, F.lit(3))))
     n_repeat = F.when(at.isNull(), F.lit(0)).otherwise(F.aggregate(gaps, F.lit(0), lambda a, x: a + x))
-    lines = F.split(t, "\n", -1)
+    df = df.withColumn("q_lines", F.filter(F.split(t, "\n", -1), _has_word))
     return df.select(
         *[F.col(c) for c in docs.columns],
         F.size("q_words").cast("long").alias("q_n_words"),
         F.length(F.array_join("q_words", "")).cast("long").alias("q_word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long").alias("q_n_symbols"),
         n_repeat.cast("long").alias("q_n_repeat_words"),
-        F.size(F.filter(lines, _has_word)).cast("long").alias("q_n_lines"),
-        F.size(F.array_distinct(F.filter(lines, _has_word))).cast("long").alias("q_n_own_lines"),
+        F.size("q_lines").cast("long").alias("q_n_lines"),
+        F.size(F.array_distinct("q_lines")).cast("long").alias("q_n_own_lines"),
         F.size(F.array_intersect(F.transform("q_words", F.lower), F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)]))).cast("long").alias("q_n_stop_words"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[A-Z]+", ""))).cast("long").alias("q_n_capitals"),
     )
