@@ -300,18 +300,17 @@ def _linked_by_pivots(big: DataFrame, percent: int) -> DataFrame | None:
     question, and every document in question is verified against all of them.  A pivot then knows all
     its links and is out of question.  A cluster is settled when the documents still in question
     are in one component: pairs left could only link what is linked.  Components but the largest
-    give the next pivots, twice as many in each round.  So a cluster of near copies of one text is
+    give the next pivots, four times as many in each round.  So a cluster of near copies of one text is
     settled in a round or two, linear in its documents.
     """
     open_ = saved(big.select("cluster", "node", F.col("node").alias("component")).distinct(), "in-question")
     links, pivots = [], BLOCK
     while True:
-        counts = saved(open_.groupBy("cluster", "component").agg(F.count("*").alias("n")), "counts")
+        counts = open_.groupBy("cluster", "component").agg(F.count("*").alias("n"))
         active = counts.groupBy("cluster").agg(F.count("*").alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("main")).filter("parts > 1")
         giving = F.col("size") - (F.col("main.n") if links else F.lit(0))
         active = active.select("cluster", "size", F.col("main.component").alias("main"), giving.alias("giving"), F.ceil(F.least(giving, F.lit(pivots)) / BLOCK).cast("int").alias("spans"))
         active = saved(active.withColumn("blocks", F.ceil(F.col("size") / MEMBERS).cast("int")), "active")
-        dropped(counts)
         if active.isEmpty():
             return union(links)
         # At first all documents can give pivots, then those outside the largest part. About `pivots` do, by hash, so nothing is ranked.
@@ -334,7 +333,7 @@ def _linked_by_pivots(big: DataFrame, percent: int) -> DataFrame | None:
         left = open_.join(mine.filter("own IS NULL").select("node").distinct().hint("merge"), "node", "left_semi")
         after = saved(left.join(joined.hint("merge"), "component", "left").select("cluster", "node", F.coalesce("new", "component").alias("component")), "in-question")
         dropped(open_, active, mine)
-        open_, pivots = after, 2 * pivots
+        open_, pivots = after, 4 * pivots
 
 
 def union(frames: list[DataFrame]) -> DataFrame | None:
