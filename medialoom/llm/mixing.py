@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import ascii_lower, claim, documents_of, saved, word_hashes
+from medialoom.llm.common import ascii_lower, claim, documents_of, saved, spread, word_hashes
 
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of tokens in the mix.
@@ -279,7 +279,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     docs = documents_of(docs, *([tokens] if tokens else []))
     weights = weights or WEIGHTS
     shares = np.array([weights.get(x, 0.0) for x in DOMAINS])
-    known = saved(posteriors(docs, train(docs.select("doc_id", "text"), labels), tokens), "posteriors")
+    known = saved(posteriors(spread(docs), train(docs.select("doc_id", "text"), labels), tokens), "posteriors")
     cells = saved(known.filter("n_tokens > 0").groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     p, n = _held(cells, len(DOMAINS))
     path, grow, missed, targets, reached = Path(), 1.0, None, None, None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from medialoom.llm import bpe, dac, mixing, neardup, oracles, pii, quality, repeats, secrets, tokencount, topk
+from medialoom.llm.common import spread
 from medialoom.session import table
 
 
@@ -25,12 +26,12 @@ def op3_substring_dedup(spark, sf_dir):
 
 
 def op4_bpe(spark, sf_dir):
-    enc = bpe.encode(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
+    enc = bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "word_bpe_49k.json")
     return enc.select("doc_id", "n_tokens", F.sha2(F.col("ids"), 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 def op5_pii(spark, sf_dir):
-    df = pii.find(table(spark, sf_dir, "documents"))
+    df = pii.find(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("spans", lambda s: s["rank"] < 4)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return df.select("doc_id", *map(count, ("email", "ip", "card", "phone")), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
@@ -46,7 +47,7 @@ def op7_token_files(spark, sf_dir):
 
 
 def op8_secret_scan(spark, sf_dir):
-    df = secrets.find(table(spark, sf_dir, "documents"))
+    df = secrets.find(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base = F.filter("spans", lambda s: s["rank"] < 3)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return df.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
@@ -57,7 +58,7 @@ def op9_topk(spark, sf_dir):
 
 
 def op10_quality_rules(spark, sf_dir):
-    return quality.quality_report(table(spark, sf_dir, "documents"))
+    return quality.quality_report(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries():

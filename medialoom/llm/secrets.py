@@ -19,8 +19,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import cached_property
-from re import _constants as C
-from re import _parser
+
+try:  # where Python keeps the parser of its patterns
+    from re import _constants as C
+    from re import _parser
+except ImportError:
+    import sre_constants as C
+    import sre_parse as _parser
 
 import numpy as np
 import pyarrow as pa

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.llm.common import shuffle_partitions
+from medialoom.session import ship
 
 SHARD, QUERIES, BUCKET = 8192, 2048, 512
 #: From this least cosine on, coordinate pruning; FOCUS coordinates are multiplied first.
@@ -128,8 +129,9 @@ def _task(k: int):
 
 def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best of every query (rows of `vectors` where the condition holds) among all other rows."""
-    vecs = whole_vectors(vectors)
     spark = vectors.sparkSession
+    ship(spark)
+    vecs = whole_vectors(vectors)
     size = vecs.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
     shards, blocks = max(shuffle_partitions(spark), -(-size["n"] // SHARD)), max(1, -(-size["q"] // QUERIES))
     mine = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
