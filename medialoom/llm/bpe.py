@@ -6,7 +6,9 @@ token's own text, and each adjacent pair is what they make of the pair's text; s
 of all new words of a batch are checked at once, as integer codes against a table of pairs
 already judged, and only words with a failing pair go through the exact merges.
 
-Words repeat, so a worker keeps the encodings of the first CACHE words it meets.
+Words repeat, so a worker numbers the words it meets and keeps the encodings of the first CACHE;
+a text is then one look-up a word, and its ids and its decoded text are gathered and joined
+by Arrow.
 
 Defined results: a null text is an empty one (no ids, empty decoded text); empty texts give
 no ids; repeated rows are encoded one by one; an empty table gives an empty one; columns
@@ -16,17 +18,22 @@ other than doc_id and text are not looked at.
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from medialoom.llm.common import claim, documents_of, keeps
 
 CACHE, PAIRS = 400_000, 400_000
 CHUNK_CHARS = 1_000_000
+#: Words of this many symbols at most are merged many at a time.
+MATRIX = 48
+_NO_RANK = 1 << 40
 
 #: Letters, numbers and white space below U+0180, as the tokenizers' patterns see them.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -74,12 +81,14 @@ class SpeculativeBPE:
         for rank, (a, b) in enumerate(model["merges"]):
             self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[a + b]))
         self.width = len(self.names) + 1
+        codes = np.array([a * self.width + b for a, b in self.ranks], np.int64)
+        order = np.argsort(codes)
+        self.merge_codes, (self.merge_ranks, self.merge_new) = codes[order], np.array(list(self.ranks.values()), np.int64).reshape(-1, 2)[order].T
         self.longest = max(map(len, self.vocab))
         self.alphabet = byte_alphabet()
-        self.ok_pair: dict[int, bool] = {}
+        self.pairs, self.ok = np.empty(0, np.int64), np.empty(0, bool)  # pairs judged so far, in order, and the verdicts
         self.ok_token: dict[int, bool] = {}
-        self.ids: dict[str, str] = {}
-        self.text: dict[str, str] = {}
+        self.forget()
         self.library = Tokenizer.from_file(path)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -94,7 +103,7 @@ class SpeculativeBPE:
     def merged(self, ids: list[int]) -> list[int]:
         """The exact merges: lowest rank first, then leftmost."""
         ranks = self.ranks
-        if len(ids) > 48:
+        if len(ids) > MATRIX:
             return self._merged_long(ids)
         while len(ids) > 1:
             best, at = None, -1
@@ -107,6 +116,38 @@ class SpeculativeBPE:
             ids = [*ids[:at], best[1], *ids[at + 2 :]]
         return ids
 
+    def merged_many(self, words: list[list[int]]) -> list[list[int]]:
+        """The exact merges of many words at once: in a step each word that has a pair to merge merges its first one of the lowest rank."""
+        out: list = [None] * len(words)
+        short = []
+        for i, ids in enumerate(words):
+            if len(ids) > MATRIX:
+                out[i] = self._merged_long(ids)
+            elif len(ids) > 1:
+                short.append(i)
+            else:
+                out[i] = list(ids)
+        short.sort(key=lambda i: len(words[i]))
+        for lo in range(0, len(short), 4096):  # of about equal lengths
+            rows = np.array(short[lo : lo + 4096], np.int64)
+            x = np.full((len(rows), len(words[rows[-1]])), -1, np.int64)
+            for k, i in enumerate(rows.tolist()):
+                x[k, : len(words[i])] = words[i]
+            while len(rows):
+                codes = np.where(x[:, 1:] >= 0, x[:, :-1] * self.width + x[:, 1:], -1)
+                at = np.minimum(np.searchsorted(self.merge_codes, codes), len(self.merge_codes) - 1)
+                rank = np.where(self.merge_codes[at] == codes, self.merge_ranks[at], _NO_RANK)
+                best = np.argmin(rank, axis=1) if rank.shape[1] else np.zeros(len(rows), np.int64)
+                some = rank[np.arange(len(rows)), best] < _NO_RANK if rank.shape[1] else np.zeros(len(rows), bool)
+                for i, ids in zip(rows[~some].tolist(), x[~some].tolist()):
+                    out[i] = [t for t in ids if t >= 0]
+                rows, x, best, at = rows[some], x[some], best[some], at[some]
+                if len(rows):
+                    every = np.arange(len(rows))
+                    x[every, best] = self.merge_new[at[every, best]]
+                    x = np.take_along_axis(x, np.arange(x.shape[1] - 1) + (np.arange(x.shape[1] - 1) > best[:, None]), axis=1)
+        return out
+
     def _merged_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, for long words."""
         n, ranks = len(ids), self.ranks
@@ -148,12 +189,34 @@ class SpeculativeBPE:
 
     # ---- many words
 
-    def _judge_pair(self, code: int) -> bool:
-        a, b = divmod(code, self.width)
-        for t in (a, b):
-            if t not in self.ok_token:
-                self.ok_token[t] = self.merged(self._of_tokens(t)) == [t]
-        return self.ok_token[a] and self.ok_token[b] and self.merged([*self._of_tokens(a), *self._of_tokens(b)]) == [a, b]
+    def _own(self, tokens: list[int]) -> None:
+        """Judges tokens not met before: whether the merges of a token's own text give that token."""
+        new = [t for t in dict.fromkeys(tokens) if t not in self.ok_token]
+        self.ok_token.update((t, ids == [t]) for t, ids in zip(new, self.merged_many([self._of_tokens(t) for t in new])))
+
+    def _judge_pairs(self, codes: np.ndarray) -> np.ndarray:
+        a, b = (x.tolist() for x in np.divmod(codes, self.width))
+        self._own(a + b)
+        out = np.array([self.ok_token[x] and self.ok_token[y] for x, y in zip(a, b)], bool)
+        at = np.flatnonzero(out).tolist()
+        merged = self.merged_many([[*self._of_tokens(a[i]), *self._of_tokens(b[i])] for i in at])
+        out[at] = [ids == [a[i], b[i]] for i, ids in zip(at, merged)]
+        return out
+
+    def _judged(self, codes: np.ndarray) -> np.ndarray:
+        """Which of some distinct pairs, in order, are what the merges make of them: all are looked up at once, the new ones judged and kept."""
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.ok = np.empty(0, np.int64), np.empty(0, bool)
+        at = np.searchsorted(self.pairs, codes)
+        known = np.zeros(len(codes), bool)
+        inner = at < len(self.pairs)
+        known[inner] = self.pairs[at[inner]] == codes[inner]
+        out = np.empty(len(codes), bool)
+        out[known] = self.ok[at[known]]
+        new = codes[~known]
+        out[~known] = self._judge_pairs(new)
+        self.pairs, self.ok = np.insert(self.pairs, at[~known], new), np.insert(self.ok, at[~known], out[~known])
+        return out
 
     def _of_tokens(self, t: int) -> list[int]:
         name = self.names[t]
@@ -171,23 +234,13 @@ class SpeculativeBPE:
         inside = word[1:] == word[:-1]
         codes = (flat[:-1] * self.width + flat[1:])[inside]
         unique, place = np.unique(codes, return_inverse=True)
-        if len(self.ok_pair) > PAIRS:
-            self.ok_pair.clear()
-        verdict = np.empty(len(unique), bool)
-        for i, code in enumerate(unique.tolist()):
-            ok = self.ok_pair.get(code)
-            if ok is None:
-                ok = self.ok_pair[code] = self._judge_pair(code)
-            verdict[i] = ok
-        failing = set(word[1:][inside][~verdict[place]].tolist()) if len(unique) else set()
-        for i in np.flatnonzero(counts == 1).tolist():  # a lone token has no pair to judge it by
-            t = out[i][0]
-            if t not in self.ok_token:
-                self.ok_token[t] = self.merged(self._of_tokens(t)) == [t]
-            if not self.ok_token[t]:
-                failing.add(i)
-        for i in failing:
-            out[i] = self.merged(self.symbols(words[i]))
+        failing = set(word[1:][inside][~self._judged(unique)[place]].tolist())
+        lone = np.flatnonzero(counts == 1).tolist()  # a lone token has no pair to judge it by
+        self._own([out[i][0] for i in lone])
+        failing.update(i for i in lone if not self.ok_token[out[i][0]])
+        at = sorted(failing)
+        for i, ids in zip(at, self.merged_many([self.symbols(words[i]) for i in at])):
+            out[i] = ids
         return out
 
     # ---- texts
@@ -202,48 +255,60 @@ class SpeculativeBPE:
         normal = self.library.normalizer.normalize_str(text)
         return [p.encode() for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def _learn(self, lists: list[list[str | bytes]]) -> list[str | bytes]:
-        """Learns the new words; returns those that are to be forgotten after use."""
-        new, passing = words_to_learn(set().union(*lists), self.ids)
-        if not self.ids:
-            self.text.clear()
+    def forget(self) -> None:
+        self.words = _Numbers()
+        self.id_text, self.token_text, self.sizes, self.passed = pa.array([], pa.string()), pa.array([], pa.string()), np.empty(0, np.int64), 0
+
+    def _learn(self) -> None:
+        """Encodes the words that have a number and no entry yet."""
+        new = [p for p in itertools.islice(self.words, len(self.sizes), None)]
+        plain = [p for p in new if not isinstance(p, tuple)]
+        coded = iter(self.encode_words([p.decode() if isinstance(p, bytes) else self._mapped(p) for p in plain]))
+        ids = [[self.special[p[0]]] if isinstance(p, tuple) else next(coded) for p in new]
         names = self.names
-        for p, ids in zip(new, self.encode_words([p.decode() if isinstance(p, bytes) else self._mapped(p) for p in new])):
-            self.ids[p] = " ".join(map(str, ids))
-            self.text[p] = " ".join(map(names.__getitem__, ids))
-        return passing
+        self.id_text = pa.concat_arrays([self.id_text, pa.array([" ".join(map(str, x)) for x in ids], pa.string())])
+        self.token_text = pa.concat_arrays([self.token_text, pa.array([" ".join(map(names.__getitem__, x)) for x in ids], pa.string())])
+        self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
 
-    def encode_texts(self, texts: list[str | None]) -> tuple[list[str], list[str]]:
-        """For each text its ids, and the decoded text (this vocabulary's decoder joins token strings by a space)."""
-        parts: list[list] = []
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For each text the number of its ids, the ids, and the decoded text (this vocabulary's decoder joins token strings by a space)."""
+        lists: list[list] = []
         for t in texts:
             if not t:
-                parts.append([])
+                lists.append([])
             elif self.split_special and "<|" in t:
-                parts.append([("", x) if i % 2 else (self.pieces(x), None) for i, x in enumerate(self.split_special.split(t)) if x])
+                lists.append([w for i, x in enumerate(self.split_special.split(t)) for w in ([(x,)] if i % 2 else self.pieces(x))])
             else:
-                parts.append([(self.pieces(t), None)])
-        passing = self._learn([ps for segments in parts for ps, special in segments if special is None])
-        get_id, get_text, ids, decoded = self.ids.__getitem__, self.text.__getitem__, [], []
-        for segments in parts:
-            if len(segments) == 1 and segments[0][1] is None:
-                ps = segments[0][0]
-                ids.append(" ".join(map(get_id, ps)))
-                decoded.append(" ".join(map(get_text, ps)))
-                continue
-            a, b = [], []
-            for ps, special in segments:
-                if special is not None:
-                    a.append(str(self.special[special]))
-                    b.append(special)
-                elif ps:
-                    a.extend(map(get_id, ps))
-                    b.extend(map(get_text, ps))
-            ids.append(" ".join(a))
-            decoded.append(" ".join(b))
-        for p in passing:
-            del self.ids[p], self.text[p]
-        return ids, decoded
+                lists.append(self.pieces(t))
+        kept = len(self.sizes)
+        ends = np.cumsum([0, *map(len, lists)])
+        at = np.fromiter(map(self.words.__getitem__, itertools.chain.from_iterable(lists)), np.int64, int(ends[-1]))
+        if len(self.words) > kept:
+            self._learn()
+        n = np.diff(np.concatenate([[0], np.cumsum(self.sizes[at])])[ends])
+        offsets, take = pa.array(ends, pa.int32()), pa.array(at)
+        joined = [pc.binary_join(pa.ListArray.from_arrays(offsets, x.take(take)), " ") for x in (self.id_text, self.token_text)]
+        if len(self.words) > CACHE:  # what was met first is what is frequent; if ever more does not fit, the texts have changed
+            self.passed += len(self.words) - kept
+            if kept == 0 or self.passed > 4 * CACHE:
+                self.forget()
+            else:
+                for _ in range(len(self.words) - kept):
+                    self.words.popitem()
+                self.id_text, self.token_text, self.sizes = self.id_text[:kept], self.token_text[:kept], self.sizes[:kept]
+        return n, *joined
+
+    def encode_texts(self, texts: list[str | None]) -> tuple[list[str], list[str]]:
+        _, ids, decoded = self.encoded(texts)
+        return ids.to_pylist(), decoded.to_pylist()
+
+
+class _Numbers(dict):
+    """0, 1, 2, ... for words in the order in which they are met."""
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 _ENCODERS: dict[str, SpeculativeBPE] = {}
@@ -286,8 +351,7 @@ def encode(docs: DataFrame, name: str = "word_bpe_49k.json") -> DataFrame:
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in chunks(texts):
-                ids, decoded = enc.encode_texts(texts[a:b])
-                n = [x.count(" ") + 1 if x else 0 for x in ids]
-                yield pa.RecordBatch.from_arrays([doc_ids[a:b], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                n, ids, decoded = enc.encoded(texts[a:b])
+                yield pa.RecordBatch.from_arrays([doc_ids[a:b], pa.array(n), ids, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return documents_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids string, decoded string")

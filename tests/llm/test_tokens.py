@@ -45,6 +45,9 @@ def test_failing_pairs_are_merged_exactly():
     enc = bpe.encoder(bpe.vocabulary("word_bpe_49k.json"))
     words = [w[:9] for w in "tothether aninging erreding thathes untion ofthe ingand".split()]
     assert [enc.merged(enc.symbols(w)) for w in words] == enc.encode_words(words)
+    rng = np.random.default_rng(9)
+    many = ["".join(rng.choice(list("aeinrstho"), n)) for n in rng.integers(1, 70, 500)]
+    assert enc.merged_many([enc.symbols(w) for w in many]) == [enc.merged(enc.symbols(w)) for w in many]
     long = "anthinger" * 40
     assert enc._merged_long(enc.symbols(long)) == enc.encode_words([long])[0]
 
@@ -59,6 +62,23 @@ def test_encode_rows(spark, odd, odd_rows, empty, word):
     assert bpe.encode(empty).count() == 0
 
 
+def test_cached_words_are_bounded(word, monkeypatch):
+    """Words over the bound are forgotten, and the encodings stay the same; a change of texts starts anew."""
+    monkeypatch.setattr(bpe, "CACHE", 50)
+    monkeypatch.setattr(bpe, "PAIRS", 60)
+    enc = bpe.SpeculativeBPE(bpe.vocabulary("word_bpe_49k.json"))
+    rng = np.random.default_rng(3)
+    names = sorted(t.replace("</w>", "") for t in word.get_vocab() if t.isascii())
+    for k in range(12):
+        texts = [" ".join(names[i] for i in rng.integers(k * 500, k * 500 + 400, 12)) + (" <|endoftext|>" if j % 3 == 0 else "") for j in range(6)] + [None, ""]
+        n, ids, decoded = enc.encoded(texts)
+        want = [word.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.to_pylist() == [" ".join(map(str, e)) for e in want] and n.tolist() == list(map(len, want))
+        assert decoded.to_pylist() == [word.decode(e, skip_special_tokens=False) for e in want]
+        assert len(enc.words) <= 50 and len(enc.words) == len(enc.sizes) == len(enc.id_text)
+        assert (np.diff(enc.pairs) > 0).all()
+
+
 def test_known_words_start_anew():
     known = {w: 1 for w in range(10)}
     assert bpe.words_to_learn({1, 2, 11}, known, 10) == ([11], [11])
