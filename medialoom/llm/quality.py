@@ -95,7 +95,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _has_word(line: Column) -> Column:
-    return F.length(F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))) > 0
+    return line.rlike(r"[^ \t\x0B\f\r]")
 
 
 def _value(metric: str) -> Column:
