@@ -7,7 +7,7 @@ the query skips the bucket and, as lengths fall, all later ones.  If it is high,
 pruning is chosen: the query's largest coordinates give a partial product, the rest is
 bounded by the lengths of the remainders, and only vectors whose bound reaches the score are
 multiplied out.  Otherwise length pruning: the bucket's vectors that are long enough.  All
-scores that count are exact integer products.
+scores that count are exact integer products, in doubles where these hold them.
 
 Queries go in blocks of QUERIES to every shard, shards to every block: the exact search of a
 stated query set, in blocks of bounded size.  Each task returns its own k best of a query,
@@ -17,11 +17,15 @@ Defined results: vectors that are null, or hold a null or a component that is no
 no part; shorter vectors count as filled with zeros; a query has no candidate of its own
 vec_id; rows that repeat a vec_id are separate candidates, and as queries are answered
 together; ties go to the smaller vec_id; null vec_ids take no part; an empty table gives an
-empty one; scores are exact while below 2^53.
+empty one; scores are exact (those that a double might not hold come from Python's integers),
+and count as the ends of a long's range beyond it.
 """
 
 from __future__ import annotations
 
+import heapq
+import operator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -107,6 +111,17 @@ def search_shard(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
     return found
 
 
+def search_exactly(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
+    """The same by Python's integers, where a product need not be exact as a double; scores beyond a long's range count as its ends."""
+    rows, found = [list(map(int, v)) for v in c], []
+    for v, i in zip(q, q_ids.tolist()):
+        own = list(map(int, v))
+        scores = ((max(-(2**63), min(2**63 - 1, sum(map(operator.mul, own, r)))), j) for r, j in zip(rows, c_ids.tolist()) if j != i)
+        best = heapq.nsmallest(k, ((-s, j) for s, j in scores))
+        found.append(([-s for s, _ in best], np.array([j for _, j in best], np.int64)))
+    return found
+
+
 _OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -118,11 +133,12 @@ def _task(k: int):
         width = max(int(pc.max(pc.list_value_length(t.column("v"))).as_py()) for t in (candidates, queries))
         c, q = _matrix(candidates.column("v"), width), _matrix(queries.column("v"), width)
         q_ids = queries.column("vec_id").to_numpy()
-        found = search_shard(q, q_ids, c, candidates.column("vec_id").to_numpy(), k)
+        find = search_exactly if float(np.abs(q).sum(axis=1).max()) * float(np.abs(c).max(initial=0)) >= 2**53 else search_shard
+        found = find(q, q_ids, c, candidates.column("vec_id").to_numpy(), k)
         n = [len(ids) for _, ids in found]
         if not sum(n):
             return empty
-        return pa.Table.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([ids for _, ids in found])), pa.array(np.concatenate([s for s, _ in found]).astype(np.int64))], schema=_OUT)
+        return pa.Table.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([ids for _, ids in found])), pa.array(np.concatenate([np.asarray(s, np.int64) for s, _ in found]))], schema=_OUT)
 
     return run
 
@@ -134,7 +150,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     vecs = whole_vectors(vectors)
     size = vecs.agg(F.count("*").alias("n"), F.count_if(queries).alias("q")).first()
     shards, blocks = max(shuffle_partitions(spark), -(-size["n"] // SHARD)), max(1, -(-size["q"] // QUERIES))
-    mine = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
+    # The row's number spreads rows that are equal too.
+    mine = lambda n: F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     c = vecs.select("vec_id", "v", mine(shards).alias("shard")).withColumn("block", numbers(blocks))
     q = vecs.filter(queries).select("vec_id", "v", mine(blocks).alias("block")).withColumn("shard", numbers(shards))

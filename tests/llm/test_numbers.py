@@ -1,5 +1,7 @@
 """Top-k search, mixing and the pipeline."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,13 +13,13 @@ from .conftest import prose
 
 
 def brute_top(rows, k, every):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.array([int(math.floor(256 * x)) for x in v], object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     width = max((len(v) for _, v in ok), default=0)
-    pad = lambda v: np.concatenate([v, np.zeros(width - len(v), int)])
+    pad = lambda v: np.concatenate([v, np.array([0] * (width - len(v)), object)])
     out = []
     for q, v in ok:
         if q % every == 0:
-            best = sorted(((-int(pad(v) @ pad(c)), i) for i, c in ok if i != q))[:k]
+            best = sorted(((-max(-(2**63), min(2**63 - 1, int(pad(v) @ pad(c)))), i) for i, c in ok if i != q))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -26,7 +28,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
 
 
-@pytest.mark.parametrize("kind", ["unit", "lengths", "ties", "odd", "few"])
+@pytest.mark.parametrize("kind", ["unit", "lengths", "ties", "odd", "few", "huge"])
 def test_topk(spark, kind, monkeypatch):
     monkeypatch.setattr(topk, "BUCKET", 16)
     rng = np.random.default_rng(4)
@@ -43,6 +45,8 @@ def test_topk(spark, kind, monkeypatch):
         rows += [(1000, None), (1010, [1.0, None]), (1020, [float("nan")] * 12), (1030, [float("inf")] * 12), (1040, []), (1050, [0.5, -0.25]), (None, [1.0] * 12)]
     if kind == "few":
         rows = rows[:3]
+    if kind == "huge":  # products beyond what doubles hold, and two beyond a long
+        rows = [(i, [x * 2.0**20 for x in v]) for i, v in rows] + [(2000, [3e38] * 12), (2001, [-3e38] * 12)]
     got = topk.search(frame(spark, rows), F.col("vec_id") % 10 == 0, k=5).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, 5, 10)
 
