@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from medialoom.llm import mixing, queries, topk
+from medialoom.llm import mixing, quality, queries, topk
 
 from .conftest import prose
+from .test_dedup import brute_components
+from .test_rules import brute_pii, brute_quality
 
 
 def brute_top(rows, k, every):
@@ -214,6 +216,68 @@ def test_pipeline(spark, tmp_path):
     assert all("email" in r["decoded"] for r in got if r["doc_id"] == 3)
 
 
+def brute_kept(text):
+    """The threshold table, word by word."""
+    i, n, chars, symbols, dup_lines, repeat, _ = brute_quality(0, text)
+    words = (text or "").encode().split()
+    lines = sum(bool(x.split()) for x in (text or "").encode().split(b"\n"))
+    stops = {w.decode().lower() for w in words} & set(quality.STOP_WORDS)
+    capitals = sum("A" <= c <= "Z" for c in text or "")
+    m = max(n, 1)
+    return n >= 50 and repeat <= 0.5 * m and 2 <= chars / m <= 15 and symbols <= 0.1 * m and len(stops) >= 2 and dup_lines <= 0.6 * max(lines, 1) and capitals <= 0.5 * max(chars, 1)
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage again, document by document; the classifier and the rates alone come from the operator."""
+    import collections
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = []
+    for i in range(120):
+        words = prose(70, i % 100).split()  # 100 to 119 repeat 0 to 19
+        if i >= 110:
+            words[3] = "changed"  # near copies
+        text = " ".join(w if k % 9 else "the and" for k, w in enumerate(words))
+        text += ["", " mail a.b@example.com now", " from 10.0.0.7:", " pay 4111 1111 1111 1111", " call +1 (509) 555-6973"][i % 5]
+        if i % 13 == 5:
+            text = text.replace(" ", " ### ")
+        if i % 17 == 3:
+            text = text.upper()
+        if i % 19 == 4:
+            text = text[:100]
+        rows.append((i, text, "en", "s", len(text)))
+    rows += [(200, None, "en", "s", None), (201, "", "en", "s", 0), rows[7]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), int(i % 11 == 0)) for i in range(90)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    left = list({(i, t) for i, t, *_ in rows if brute_kept(t)})
+    first = {i: c == i for i, _, c, _ in brute_components(left, 5)}
+    left = sorted((i, t) for i, t in left if first[i])
+    assert 40 < len(left) < 100
+
+    def hidden(text):
+        spans = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in brute_pii(text)))
+        out, at = "", 0
+        for a, b, k in spans:
+            assert a >= at
+            out, at = out + text[at:a] + f"<{k.upper()}>", b
+        return out + text[at:]
+
+    left = [(i, hidden(t)) for i, t in left]
+    mix = mixing.mixed(spark.createDataFrame(left, "doc_id long, text string").coalesce(1), labels)
+    times = {r["doc_id"]: r["copies"] for r in mix.collect()}
+    word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = collections.Counter()
+    for i, t in left:
+        e = word.encode(t, add_special_tokens=False).ids
+        want[i, len(e), " ".join(map(str, e)), word.decode(e, skip_special_tokens=False)] += times[i]
+    got = collections.Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "n_tokens", "ids", "decoded").collect()))
+    assert got == +want and sum(got.values()) > 30
+
+
 def test_pipeline_of_nothing(spark, tmp_path, empty):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
