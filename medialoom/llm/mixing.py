@@ -24,7 +24,8 @@ Defined results: tokens are words unless a column is named; a null or empty text
 the classifier's prior as posterior, and a rate like any other; repeated rows get equal rates;
 labels without a document, and null labels, are not used; labelled documents that share a doc_id
 count once (the one with the largest features), as the less clean of their labels; without labelled documents every
-posterior is uniform; without tokens all rates are 1, and targets, reached and `missed` null; an empty table
+posterior is uniform; without these, or without tokens, all rates are 1, and targets, reached
+and `missed` null; an empty table
 gives an empty one.
 """
 
@@ -87,6 +88,7 @@ class Classifier:
     weights: np.ndarray = field(default_factory=lambda: np.zeros((FEATURES, len(DOMAINS)), np.float32))  # times strength
     strength: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES, np.float32))
     bias: np.ndarray = field(default_factory=lambda: np.zeros(len(DOMAINS)))
+    learned: bool = False  # from any labelled document
 
     def posterior(self, f: np.ndarray) -> np.ndarray:
         s = self.strength[f].astype(np.float64)
@@ -149,7 +151,7 @@ def fit(rows: list[tuple[bytes, int]], steps: int = 300, rate: float = 0.05, at_
             mx += 0.1 * (dx - mx)
             vx += 0.001 * (dx * dx - vx)
             x -= rate * (mx / (1 - 0.9**t)) / (np.sqrt(vx / (1 - 0.999**t)) + 1e-8)
-    c.weights[used], c.bias = w * s, b
+    c.weights[used], c.bias, c.learned = w * s, b, True
     return c
 
 
@@ -279,11 +281,12 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     docs = documents_of(docs, *([tokens] if tokens else []))
     weights = weights or WEIGHTS
     shares = np.array([weights.get(x, 0.0) for x in DOMAINS])
-    known = saved(posteriors(spread(docs), train(docs.select("doc_id", "text"), labels), tokens), "posteriors")
+    classifier = train(docs.select("doc_id", "text"), labels)
+    known = saved(posteriors(spread(docs), classifier, tokens), "posteriors")
     cells = saved(known.filter("n_tokens > 0").groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     p, n = _held(cells, len(DOMAINS))
     path, grow, missed, targets, reached = Path(), 1.0, None, None, None
-    if len(n):
+    if len(n) and classifier.learned:
         have, want = n @ p, shares / shares.sum()
         natural = have[0] / want[0] if have[0] > 0 and want[0] > 0 else n.sum()
         path, reached = fitted(cells, want * natural, float(n.sum()))

@@ -190,7 +190,7 @@ def test_mixing_odd_rows(odd, odd_rows, empty, spark, corpus):
     got = mixing.mixed(odd, labels).collect()
     assert len(got) == len(odd_rows) and {r["n_tokens"] for r in got if r["doc_id"] in (6, 7, 8)} == {0}
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert all(max(r["p"]) < 0.35 for r in mixing.mixed(odd, none).collect())
+    assert all(max(r["p"]) < 0.35 and r["rate"] == 1 and r["targets"] is None for r in mixing.mixed(odd, none).collect())
     assert mixing.mixed(empty, labels).count() == 0
 
 
