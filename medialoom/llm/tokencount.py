@@ -26,9 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from medialoom.llm.bpe import chunks, vocabulary
-from medialoom.llm.common import documents_of, dropped, file_system, fresh_path, saved, shuffle_partitions, spread
+from medialoom.llm.common import documents_of, file_system, fresh_path, saved, shuffle_partitions, spread
 from medialoom.llm.dac import CHUNK_CHARS, library_ids
-from medialoom.session import remove
 
 BLOCK = 2_000_000
 
@@ -103,15 +102,8 @@ def scan_flat(spark: SparkSession, files: DataFrame, end_id: int, width: int = 2
 
 
 def token_counts(docs: DataFrame, name: str = "byte_bpe_50k.json", end_id: int = 50256, width: int = 2, folder: str | None = None) -> DataFrame:
-    """doc_id and n_tokens of each row: flat files are written, scanned, and the counts brought to the documents. With a folder, the files stay there, and file, doc_no and start tell where each document lies; else they go once the counts are written."""
+    """doc_id and n_tokens of each row, and file, doc_no and start, which tell where it lies: flat files are written, scanned, and the counts brought to the documents. The files are the caller's if a folder is given; else they lie in the shared folder until the application ends, as the counts are read from them."""
     spark = docs.sparkSession
-    at = folder or fresh_path(spark, "flat")
-    manifest = write_flat(docs, at, name, end_id, width)
+    manifest = write_flat(docs, folder or fresh_path(spark, "flat"), name, end_id, width)
     counts = scan_flat(spark, manifest, end_id, width)
-    out = manifest.join(counts.hint("merge"), ["file", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "file", "doc_no", "start")
-    if folder:
-        return out
-    out = saved(out.select("doc_id", "n_tokens"), "counts")
-    dropped(manifest)
-    remove(spark, at)
-    return out
+    return manifest.join(counts.hint("merge"), ["file", "doc_no"], "left").select("doc_id", F.coalesce("n_tokens", F.lit(0).cast("long")).alias("n_tokens"), "file", "doc_no", "start")
