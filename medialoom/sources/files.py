@@ -70,15 +70,26 @@ def browse(spark: SparkSession, folder: str) -> DataFrame:
     return shown.select(F.col("rel").alias("name"), F.concat(F.lit(base + "/"), "rel").alias("path")).orderBy(F.lower("name"), "name")
 
 
-def pictures(spark: SparkSession, root: str, edge: int = 320) -> DataFrame:
-    """path, w, h, dhash, thumb, err and the EXIF fields of the images below a root that the JVM decodes (JPEG, PNG, GIF, BMP), upright. Of each file's bytes only the first 128 KB are carried, for its EXIF; what has no decoder has err."""
+def decoded(spark: SparkSession, root: str) -> DataFrame:
+    """path, bytes, exif and the raster (data, height, width, nChannels) of the images below a root that the JVM decodes (JPEG, PNG, GIF, BMP); the raster is NULL for others. Of each file's bytes only the first 128 KB are carried, for its EXIF."""
     where = {"recursiveFileLookup": "true"}
-    raw = spark.read.format("binaryFile").options(**where).load(root).select("path", S.capped(F.col("content"), 131072).alias("head"))
+    raw = spark.read.format("binaryFile").options(**where).load(root).select("path", F.col("length").alias("bytes"), S.capped(F.col("content"), 131072).alias("head"))
     seen = spark.read.format("image").options(**where, dropInvalid="true").load(root).select("image.*")
     same = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")  # noqa: E731  one reader writes file:/, the other file:///
-    df = raw.withColumn("exif", I.exif("head")).join(seen, same("path") == same("origin"), "left")
+    joined = raw.withColumn("exif", I.exif("head")).join(seen, same("path") == same("origin"), "left")
+    return joined.select("path", "bytes", "exif", "data", "height", "width", "nChannels")
+
+
+def pictures(spark: SparkSession, root: str, edge: int = 320) -> DataFrame:
+    """path, w, h, dhash, thumb, err and EXIF fields of the images below a root, upright; what has no decoder has err."""
     thumb = I.thumbnail_of_raster("data", "height", "width", "nChannels", "exif.orient", F.lit(edge))
-    return df.select("path", "exif", thumb.alias("t")).select("path", "t.*", "exif.make", "exif.model", "exif.taken", "exif.orient")
+    return decoded(spark, root).select("path", "exif", thumb.alias("t")).select("path", "t.*", "exif.make", "exif.model", "exif.taken", "exif.orient")
+
+
+def recompressed(spark: SparkSession, root: str, quality: int = I.RECOMPRESS_QUALITY, edge: int = 4096) -> DataFrame:
+    """path, bytes and jpeg of the images below a root: what a recompression makes of each, NULL where it is not smaller."""
+    made = I.recompressed_raster("data", "height", "width", "nChannels", "exif.orient", "bytes", F.lit(quality), F.lit(edge))
+    return decoded(spark, root).select("path", "bytes", made.alias("jpeg"))
 
 
 def stored(uploads: DataFrame, root: str) -> DataFrame:

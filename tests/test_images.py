@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from medialoom.functions import images as I
 from medialoom.functions import scalar as S
+from medialoom.functions.jpeg import encode_jpeg
 from medialoom.sources import files
 
 
@@ -197,3 +198,39 @@ def test_pictures_of_other_formats(spark, tmp_path):
     assert (got["turned.jpg"]["w"], got["turned.jpg"]["h"], got["turned.jpg"]["orient"]) == (48, 64, 6) and got["broken.jpg"]["err"]
     small = I.decode(bytes(got["a.png"]["thumb"])).astype(int)
     assert np.abs(I.decode(bytes(got["a.jpg"]["thumb"])).astype(int) - small).mean() < 6 and got["a.bmp"]["thumb"] == got["a.png"]["thumb"]
+
+
+def jvm_decoded(spark, data: bytes) -> np.ndarray:
+    jvm = spark._jvm
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(data)))
+    w, h = picture.getWidth(), picture.getHeight()
+    px = np.array(list(picture.getRGB(0, 0, w, h, None, 0, w)), np.int64).reshape(h, w)
+    return np.stack([px >> 16 & 255, px >> 8 & 255, px & 255], axis=2)
+
+
+@pytest.mark.parametrize("quality, most", [(30, 4.0), (82, 1.5), (95, 1.0)])
+def test_jpeg(spark, quality, most):
+    """What another decoder makes of it is close, for sizes that blocks do not fit, and better with quality."""
+    for img in (ramp(67, 51), ramp(64, 64), ramp(67, 51)[:2, :9], np.full((8, 8, 3), 77, np.uint8), np.full((1, 1, 3), 200, np.uint8)):
+        got = jvm_decoded(spark, encode_jpeg(img, quality))
+        assert got.shape == img.shape and np.abs(got - img).mean() < most
+    noise = np.random.default_rng(2).integers(0, 256, (40, 33, 3), dtype=np.uint8)
+    assert np.abs(jvm_decoded(spark, encode_jpeg(noise, 100)) - noise).mean() < 1.5
+    assert len(encode_jpeg(noise, 95)) > len(encode_jpeg(noise, 30))
+    with pytest.raises(ValueError):
+        encode_jpeg(np.zeros((0, 5, 3), np.uint8))
+
+
+def test_recompression_is_taken_if_smaller(spark, tmp_path):
+    img = np.kron(np.random.default_rng(3).integers(0, 256, (20, 30, 3), dtype=np.uint8), np.ones((8, 8, 1), np.uint8)) + ramp(240, 160) // 16
+    (tmp_path / "a.png").write_bytes(I.encode_png(img))
+    (tmp_path / "small.jpg").write_bytes(encode_jpeg(img, 20))
+    (tmp_path / "broken.gif").write_bytes(b"GIF8 junk")
+    got = {r["path"].rpartition("/")[2]: r for r in files.recompressed(spark, str(tmp_path), edge=120).collect()}
+    assert jvm_decoded(spark, bytes(got["a.png"]["jpeg"])).shape == (80, 120, 3) and len(got["a.png"]["jpeg"]) < got["a.png"]["bytes"]
+    assert got["broken.gif"]["jpeg"] is None
+    assert {r["path"].rpartition("/")[2]: r["jpeg"] for r in files.recompressed(spark, str(tmp_path), quality=95).collect()}["small.jpg"] is None
+    row = spark.createDataFrame([(I.encode_png(img),)], "content binary").select(I.grid_jpeg("content", F.lit(32)).alias("g"), I.preview_jpeg("content", F.lit(60)).alias("p"), I.edited(quality=90, mono=1)("content", F.lit(0)).alias("e")).first()
+    assert jvm_decoded(spark, bytes(row["g"])).shape == (32, 32, 3) and jvm_decoded(spark, bytes(row["p"])).shape == (40, 60, 3)
+    grey = jvm_decoded(spark, bytes(row["e"]))
+    assert np.abs(grey[..., 0] - grey[..., 2]).mean() < 3
