@@ -125,3 +125,18 @@ def test_boxes(spark):
     assert one(spark, S.iou(box(0, 0, 2, 2), box(0, 0, 2, 2))) == 1.0 and one(spark, S.iou(box(0, 0, 1, 1), box(2, 2, 3, 3))) == 0.0
     boxes = F.array(*[F.struct(F.lit(s).alias("score"), box(*b).alias("box")) for s, b in ((0.5, (0, 0, 10, 10)), (0.9, (1, 1, 11, 11)), (0.7, (50, 50, 60, 60)))])
     assert [r["score"] for r in one(spark, S.non_maximum_suppression(boxes))] == [0.9, 0.7]
+
+
+def test_local_hours_that_come_twice_or_never(spark):
+    """Where clocks are set back the earlier offset counts, where they are set on the hour moves on."""
+    import datetime as dt
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.createDataFrame([("2024:11:03 01:30:00",), ("2024:03:10 02:30:00",), ("2024-07-01",)], "t string")
+        got = [r["x"] for r in rows.coalesce(1).select(S.parse_capture_date(F.col("t")).alias("x")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    utc = lambda *a: int(dt.datetime(*a, tzinfo=dt.timezone.utc).timestamp())
+    assert got == [utc(2024, 11, 3, 5, 30), utc(2024, 3, 10, 7, 30), utc(2024, 7, 1, 16)]
