@@ -227,8 +227,9 @@ def free_names(new: DataFrame, taken: DataFrame, keys: list[str], order: str = "
 
 
 def edited_copies(media: DataFrame, edits: DataFrame, now: int) -> DataFrame:
-    """edits: id, bytes: each edit becomes an item of its own beside the original, named stem-edited.ext, or the next free name."""
-    made = edits.join(media.drop("bytes"), "id").withColumn("name", F.concat(S.stem_of(F.col("name")), F.lit("-edited"), S.suffix_of(F.col("name"))))
+    """edits: id, bytes: each edit, a JPEG, becomes an item of its own beside the original, named stem-edited.jpg, or the next free name."""
+    made = edits.join(media.drop("bytes"), "id").withColumn("name", F.concat(S.stem_of(F.col("name")), F.lit("-edited.jpg")))
+    made = made.withColumns({c: v for c, v in (("ext", F.lit("jpg")), ("kind", F.lit(S.PHOTO))) if c in media.columns})
     rows = free_names(made, media, ["lib", "sub"]).withColumn("mtime", F.lit(now)).withColumn("state", F.lit(0)).drop("id")
     rows = rows.withColumns({c: F.concat(S.parent_of(F.col(c)), F.when(S.parent_of(F.col(c)) != "", "/").otherwise(""), F.col("name")) for c in ("path", "rel") if c in media.columns})
     top = media.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]

@@ -276,7 +276,7 @@ def test_edits_take_free_names(spark):
     m = frame(spark, item(1, name="p.jpg", path="a/p.jpg", rel="a/p.jpg"), item(2, name="p-edited.jpg", path="a/p-edited.jpg", rel="a/p-edited.jpg"), item(3, name="p-edited (2).jpg"), item(4, name="q", path="a/q", rel="a/q", rating=4))
     edits = spark.createDataFrame([(1, 50), (4, 60)], "id long, bytes long")
     got = {r["id"]: (r["name"], r["path"], r["bytes"], r["rating"], r["state"]) for r in library.edited_copies(m, edits, 9).collect()}
-    assert len(got) == 6 and got[5] == ("p-edited (1).jpg", "a/p-edited (1).jpg", 50, 0, 0) and got[6] == ("q-edited", "a/q-edited", 60, 0, 0)
+    assert len(got) == 6 and got[5] == ("p-edited (1).jpg", "a/p-edited (1).jpg", 50, 0, 0) and got[6] == ("q-edited.jpg", "a/q-edited.jpg", 60, 0, 0)
 
 
 def test_archives_hold_the_files(spark):
