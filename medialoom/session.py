@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="medialoom-")
         _ROOTS[app] = f"{at.rstrip('/')}/medialoom-{app}-{uuid.uuid4().hex[:8]}"
-        atexit.register(remove, spark, _ROOTS[app])
+        atexit.register(_deleter(spark), _ROOTS[app])
     return _ROOTS[app]
 
 
@@ -53,14 +53,23 @@ def materialised(df, what: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _deleter(spark: SparkSession):
+    """Deletes a path; holds what it needs, so it works when the session has been stopped."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def delete(path: str) -> None:
+        try:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the JVM can have ended before the driver's Python
+            pass
+
+    return delete
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder in any store that Spark writes to. What is gone, or cannot be reached any more, is no error."""
-    try:
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM can have ended before the driver's Python
-        pass
+    _deleter(spark)(path)
 
 
 def get_spark(app: str = "medialoom", cores: int | None = None, **conf: str) -> SparkSession:
