@@ -111,34 +111,6 @@ def claim(name: str) -> None:
             forget()
 
 
-class _WordHashes(dict):
-    """64-bit hash of each word met so far, up to LIMIT words; it starts anew after as many misses again and more, when the texts have changed."""
-
-    LIMIT = 400_000
-    passed = 0
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            if len(word) <= 64:
-                self[word] = h
-        else:
-            self.passed += 1
-            if self.passed > 20 * self.LIMIT:
-                self.clear()
-                self.passed = 0
-        return h
-
-
-_HASHES = _WordHashes()
-keeps("hashes", _HASHES.clear)
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash for each word."""
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: How much of an 8-byte load belongs to a word of 0..8 bytes.
@@ -146,11 +118,17 @@ _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _LONG = 64
 
 
-def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each word of a text begins and ends, and its 64-bit hash: eight bytes of all words at a time; words over _LONG bytes one by one."""
+def words_of(text: bytes, strip: bytes = b"") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, without the bytes of `strip` at either end, and its 64-bit hash: eight bytes of all words at a time; words over _LONG bytes one by one."""
     x = np.frombuffer(text, np.uint8)
     edge = np.diff((~_SEPARATES[x]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if strip:
+        off = np.isin(np.arange(256), list(strip))
+        for at, step, last in ((start, 1, 0), (end, -1, 1)):
+            some = np.arange(len(start))
+            while len(some := some[(start[some] < end[some]) & off[x[np.minimum(at[some] - last, len(x) - 1)]]]):
+                at[some] += step
     length = end - start
     h = mixed(length.astype(np.uint64) + np.uint64(0x51ED270B))
     loads = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))

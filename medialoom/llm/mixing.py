@@ -32,6 +32,7 @@ gives an empty one.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +40,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medialoom.llm.common import ascii_lower, claim, documents_of, saved, spread, word_hashes
+from medialoom.llm.bpe import chunks
+from medialoom.llm.common import ascii_lower, documents_of, saved, spread, words_of
 
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of tokens in the mix.
@@ -61,11 +63,24 @@ def domain_of(labels: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- the classifier
 
+_OUTER = b".,;:!?\"'()#*$%&|<>"
+
+
 def features(text: str | None) -> tuple[np.ndarray, int]:
     """Distinct hashed words of a text (ASCII lower case, outer punctuation off), and its word count."""
-    words = ascii_lower(text.encode()).split() if text else []
-    h = word_hashes([w.strip(b".,;:!?\"'()#*$%&|<>") for w in words])
-    return np.unique(h >> np.uint64(48)).astype(np.int64), len(words)
+    return next(feature_sets([text]))
+
+
+def feature_sets(texts: list[str | None]) -> Iterator[tuple[np.ndarray, int]]:
+    """The features of each text; the words of many texts are found and hashed together."""
+    for lo, hi in chunks(texts):
+        raw = [x.encode() if x else b"" for x in texts[lo:hi]]
+        at, _, h = words_of(ascii_lower(b"\n".join(raw) + b"\n"), _OUTER)
+        f = (h >> np.uint64(48)).astype(np.uint16)
+        # A word of outer characters alone is empty, but lies where it did.
+        starts = np.searchsorted(at, np.concatenate([[0], np.cumsum([len(x) + 1 for x in raw])])).tolist()
+        for x, y in zip(starts, starts[1:]):
+            yield np.unique(f[x:y]).astype(np.int64), y - x
 
 
 def packed(f: np.ndarray) -> bytes:
@@ -91,10 +106,23 @@ class Classifier:
     learned: bool = False  # from any labelled document
 
     def posterior(self, f: np.ndarray) -> np.ndarray:
-        s = self.strength[f].astype(np.float64)
-        z = self.bias + self.weights[f].sum(axis=0, dtype=np.float64) / max(1.0, float(s @ s) ** 0.5)
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        return self.posteriors([f])[0]
+
+    def posteriors(self, sets: list[np.ndarray]) -> np.ndarray:
+        """A row for each set of features."""
+        n, flat = len(sets), np.concatenate([np.empty(0, np.int64), *sets])
+        owner = np.repeat(np.arange(n), [len(f) for f in sets])
+        scale = np.sqrt(np.maximum(1.0, np.bincount(owner, np.square(self.strength[flat].astype(np.float64)), n)))
+        z = self.bias + np.stack([np.bincount(owner, self.weights[flat, d], n) for d in range(len(DOMAINS))], axis=1) / scale[:, None]
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+
+def on_grid(p: np.ndarray) -> np.ndarray:
+    """Posteriors in whole units of 1/GRID that sum to GRID: rounded down, what is left to the largest remainders."""
+    whole = np.floor(p * GRID).astype(np.int32)
+    rank = np.argsort(np.argsort(whole - p * GRID, axis=1, kind="stable"), axis=1, kind="stable")
+    return whole + (rank < (GRID - whole.sum(axis=1))[:, None])
 
 
 def strengths(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -161,7 +189,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(features(t)[0]) for t in batch.column(1).to_pylist()], pa.binary()), batch.column(2)], ["doc_id", "f", "domain"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(f) for f, _ in feature_sets(batch.column(1).to_pylist())], pa.binary()), batch.column(2)], ["doc_id", "f", "domain"])
 
     joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "domain")  # `sample` rows of two numbers at most
     one = joined.mapInArrow(run, "doc_id long, f binary, domain int").groupBy("doc_id").agg(F.max(F.struct("f", "domain")).alias("r")).select("r.*")
@@ -173,20 +201,17 @@ def posteriors(docs: DataFrame, classifier: Classifier, tokens: str | None = Non
     shared = docs.sparkSession.sparkContext.broadcast((classifier.weights, classifier.strength, classifier.bias))  # FEATURES x domains numbers
 
     def run(batches):
-        claim("hashes")
         c = Classifier(*shared.value)
         for batch in batches:
-            ps, ns = [], []
-            for t in batch.column(1):
-                f, n = features(t.as_py())
-                p = c.posterior(f) * GRID
-                whole = np.floor(p).astype(int)
-                for k in np.argsort(whole - p)[: GRID - whole.sum()]:
-                    whole[k] += 1
-                ps.append(whole.tolist())
-                ns.append(n)
+            texts, ps, ns = batch.column(1).to_pylist(), [np.empty((0, len(DOMAINS)), np.int32)], []
+            for lo, hi in chunks(texts):
+                found = list(feature_sets(texts[lo:hi]))
+                ps.append(on_grid(c.posteriors([f for f, _ in found])))
+                ns += [n for _, n in found]
+            p = np.concatenate(ps)
+            grid = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * len(DOMAINS), pa.int32()), pa.array(p.ravel().astype(np.int32)))
             n_tokens = pa.array(ns, pa.int64()) if tokens is None else batch.column(2).cast(pa.int64()).fill_null(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), n_tokens, pa.array(ps, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), n_tokens, grid], ["doc_id", "n_tokens", "p"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, p array<int>")
 

@@ -84,6 +84,10 @@ def test_words_of_a_text(parts):
     at, to, h = common.words_of(text)
     assert [text[a:b] for a, b in zip(at, to)] == text.split()
     assert len(set(h.tolist())) == len(set(text.split()))
+    at, to, h = common.words_of(text, b"ay\xe9")
+    bare = [w.strip(b"ay\xe9") for w in text.split()]
+    assert [text[a:b] for a, b in zip(at, to)] == bare and len(set(h.tolist())) == len(set(bare))
+    assert (np.diff(at) >= 0).all()
 
 
 def shingle_set(t, n):
