@@ -127,8 +127,12 @@ def words_of(text: bytes, strip: bytes = b"") -> tuple[np.ndarray, np.ndarray, n
         off = np.isin(np.arange(256), list(strip))
         for at, step, last in ((start, 1, 0), (end, -1, 1)):
             some = np.arange(len(start))
-            while len(some := some[(start[some] < end[some]) & off[x[np.minimum(at[some] - last, len(x) - 1)]]]):
+            for _ in range(_LONG):
+                some = some[(start[some] < end[some]) & off[x[np.minimum(at[some] - last, len(x) - 1)]]]
                 at[some] += step
+            for i in some.tolist():  # long runs, one by one
+                word = text[start[i] : end[i]]
+                at[i] += step * (len(word) - len(word.rstrip(strip) if last else word.lstrip(strip)))
     length = end - start
     h = mixed(length.astype(np.uint64) + np.uint64(0x51ED270B))
     loads = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))

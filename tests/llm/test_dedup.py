@@ -78,7 +78,7 @@ def test_a_shard_sends_no_more_rows_than_slots():
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.sampled_from(["a", "b", "ab", "é", "漢字", "x" * 8, "y" * 64, "z" * 65, " ", "\n", "\t\x0b", "\x0c\r", "\u00a0", "\x1c"]), max_size=30))
+@given(st.lists(st.sampled_from(["a", "b", "ab", "é", "漢字", "x" * 8, "y" * 64, "z" * 65, "y" * 200 + "b", "b" + "y" * 90, " ", "\n", "\t\x0b", "\x0c\r", "\u00a0", "\x1c"]), max_size=30))
 def test_words_of_a_text(parts):
     text = "".join(parts).encode()
     at, to, h = common.words_of(text)
