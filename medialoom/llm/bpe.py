@@ -42,21 +42,6 @@ _RARE = re.compile("[^\x00-įı-ſ]")
 _PIECES = re.compile(f"'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
-def words_to_learn(words: set, known: dict, most: int = CACHE) -> tuple[list, list]:
-    """The words that `known` lacks, and those of them to forget after use.
-
-    Once `most` words are known, new ones pass: what was met first is what is frequent.  If
-    most words of a batch are unknown then, the texts have changed, and `known` starts anew.
-    """
-    new = words.difference(known)
-    if len(known) + len(new) <= most:
-        return list(new), []
-    if 2 * len(new) > len(words):
-        known.clear()
-        return list(words), []
-    return list(new), list(new)
-
-
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable Latin-1, else the next code from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -79,13 +79,6 @@ def test_cached_words_are_bounded(word, monkeypatch):
         assert (np.diff(enc.pairs) > 0).all()
 
 
-def test_known_words_start_anew():
-    known = {w: 1 for w in range(10)}
-    assert bpe.words_to_learn({1, 2, 11}, known, 10) == ([11], [11])
-    new, passing = bpe.words_to_learn({20, 21, 22}, known, 10)
-    assert sorted(new) == [20, 21, 22] and passing == [] and not known
-
-
 @pytest.mark.parametrize("ids", [[], [2], [0, 255, 256, 65535, 65536, 2**32 - 1], list(range(0, 70000, 7))])
 def test_dac_round_trip(tmp_path, ids):
     ids = np.array(ids, np.uint32)
