@@ -69,7 +69,7 @@ _HSL = """hsl AS (SELECT id, r, g, b, greatest(r, g, b) AS mx, least(r, g, b) AS
 
 @query("""SELECT e.id, CASE WHEN z >= 1e12 THEN printf('%.2f TB', z / 1e12::DOUBLE) WHEN z >= 1e9 THEN printf('%.1f GB', z / 1e9::DOUBLE) WHEN z >= 1e6 THEN printf('%.1f MB', z / 1e6::DOUBLE) WHEN z >= 1000 THEN CAST(round(z / 1e3::DOUBLE) AS BIGINT) || ' KB' ELSE z || ' B' END AS size,
 CASE e.id % 5 WHEN 0 THEN 'Canon EOS ' || e.id WHEN 1 THEN 'SONY A' || e.id WHEN 2 THEN 'X' || e.id WHEN 3 THEN 'Canon' END AS camera, CASE WHEN e.id % 100 >= 92 THEN 20 WHEN e.id % 100 >= 84 THEN 24 WHEN e.id % 100 >= 74 THEN 27 ELSE 30 END AS crf,
-round(least(1600 / (e.id % 5000 + 1)::DOUBLE, 1200 / (e.id % 3000 + 1)::DOUBLE), 9) AS scale, CASE WHEN e.id % 3 = 0 AND e.id % 700 < 500 THEN e.id % 700 WHEN e.id % 3 = 1 AND e.id % 700 > 0 THEN greatest(500 - e.id % 700, 0) END AS first, CASE WHEN e.id % 3 = 0 AND e.id % 700 < 500 OR e.id % 3 = 1 AND e.id % 700 > 0 THEN 499 END AS last,
+round(least(1600 / (e.id % 5000 + 1)::DOUBLE, 1200 / (e.id % 3000 + 1)::DOUBLE), 9) AS scale, CASE WHEN e.id % 3 = 0 AND e.id % 700 < 500 THEN e.id % 700 WHEN e.id % 3 = 1 AND e.id % 700 > 0 THEN greatest(500 - e.id % 700, 0) END AS first, CASE WHEN e.id % 3 = 0 AND e.id % 700 < 500 OR e.id % 3 = 1 AND e.id % 700 > 0 THEN CAST(499 AS BIGINT) END AS last,
 '&lt;a href=&quot;' || e.id || '&quot;&gt;&amp;' AS html, e.id || '.1-full' AS version,
 round(CASE WHEN e.id % 10 = 9 THEN 224 WHEN mx = mn THEN 0 WHEN mx = r THEN CASE WHEN g < b THEN (g - b) / (mx - mn) * 60 + 360 ELSE (g - b) / (mx - mn) * 60 END WHEN mx = g THEN ((b - r) / (mx - mn) + 2) * 60 ELSE ((r - g) / (mx - mn) + 4) * 60 END::DOUBLE, 6) AS h,
 round(CASE WHEN e.id % 10 = 9 THEN 0.6 WHEN mx = mn THEN 0 ELSE (mx - mn) / (1 - abs(mx + mn - 1)) END::DOUBLE, 6) AS s, round(CASE WHEN e.id % 10 = 9 THEN 0.5 ELSE (mx + mn) / 2 END::DOUBLE, 6) AS l
