@@ -69,3 +69,91 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+def _crc_table() -> list[int]:
+    """The CRC-32 of each byte, before it is inverted."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+def _crc(hex_text: str) -> str:
+    """CRC-32 of the bytes whose upper-case hex digits are given."""
+    byte = f"CAST(strpos('0123456789ABCDEF', substr({hex_text}, 2 * i + 1, 1)) * 16 + strpos('0123456789ABCDEF', substr({hex_text}, 2 * i + 2, 1)) - 17 AS UBIGINT)"
+    listed = f"list_prepend(4294967295::UBIGINT, list_transform(range(CAST(length({hex_text}) // 2 AS BIGINT)), lambda i: {byte}))"
+    return f"xor(list_reduce({listed}, lambda c, b: xor(c >> 8, CAST({_crc_table()}[CAST(xor(c & 255, b) AS INTEGER) + 1] AS UBIGINT))), 4294967295::UBIGINT)"
+
+
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE o AS (SELECT row_number() OVER () AS id, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+k AS (SELECT o.*, {_crc("hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')))")} % 20 AS kind FROM o),
+d AS (SELECT id, conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS p, left(role, 1) AS c FROM d),
+f AS (SELECT *, lag(c) OVER w AS c0, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (c0 IS NOT NULL AND c0 || c NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+-- the least of 'cost audit' on the way to each state (a: nothing, s, u, v: after an assistant), insertions not yet counted at 0
+go AS (
+  SELECT conv_id, 0::BIGINT AS p, '00000000' AS a, '99999999' AS s, '00000002I' AS u, '00000004II' AS v FROM n
+  UNION ALL
+  SELECT conv_id, p, a, s, least(u, plus(v, 2, 'I'), plus(a, 2, 'I'), plus(s, 2, 'I')), least(v, plus(u, 2, 'I'), plus(plus(a, 2, 'I'), 2, 'I'), plus(plus(s, 2, 'I'), 2, 'I')) FROM (
+    SELECT f.conv_id, f.p, plus(a, 3, 'D') AS a,
+      least(plus(s, 3, 'D'), CASE WHEN ok AND c = 's' THEN plus(a, tr, 'K') ELSE '99999999' END) AS s,
+      least(plus(u, 3, 'D'), CASE WHEN ok AND c = 'u' THEN least(plus(a, tr, 'K'), plus(s, tr, 'K'), plus(v, tr, 'K')) WHEN ok THEN least(plus(a, 2 + tr, 'R'), plus(s, 2 + tr, 'R'), plus(v, 2 + tr, 'R')) ELSE '99999999' END) AS u,
+      least(plus(v, 3, 'D'), CASE WHEN ok AND c = 'a' THEN plus(u, tr, 'K') WHEN ok THEN plus(u, 2 + tr, 'R') ELSE '99999999' END) AS v
+    FROM go JOIN (SELECT *, fault IN (0, 3) AS ok, CASE WHEN fault = 3 THEN 1 ELSE 0 END AS tr FROM f) f ON f.conv_id IS NOT DISTINCT FROM go.conv_id AND f.p = go.p + 1)),
+e AS (SELECT n.*, CAST(left(least(a, v), 8) AS BIGINT) AS cost, substr(least(a, v), 9) AS audit FROM n JOIN go ON go.conv_id IS NOT DISTINCT FROM n.conv_id AND go.p = n.n),
+l AS (SELECT conv_id, j, substr(audit, CAST(j AS INTEGER), 1) AS x FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM e)),
+m AS (SELECT *, count(*) FILTER (x <> 'I') OVER w AS p, count(*) FILTER (x <> 'D') OVER w AS q FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+t AS (SELECT m.conv_id, j, q, x, f.role, f.c, CASE WHEN x = 'I' THEN '' ELSE f.text END AS text FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.p = m.p AND x <> 'I' WHERE x <> 'D'),
+z AS (SELECT conv_id, max(CASE WHEN q = 1 AND x = 'K' AND c = 's' THEN 1 ELSE 0 END) AS h FROM t GROUP BY conv_id),
+y AS (SELECT t.conv_id, string_agg((CASE WHEN x = 'K' THEN role WHEN (q - h) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || text, chr(10) ORDER BY j) AS out FROM t JOIN z ON z.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id)
+SELECT i.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(out, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM o) i LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN y ON y.conv_id IS NOT DISTINCT FROM i.conv_id
+"""
+
+
+def _inlined(sql: str) -> str:
+    """plus(x, cost, letter) written out: the cost added to the first eight digits of x, the letter at its end."""
+    while "plus(" in sql:
+        at = sql.rindex("plus(")
+        depth, cuts, i = 0, [], at + 4
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[i], 0)
+            if (sql[i] == "," and depth == 1) or depth == 0:
+                cuts.append(i)
+            if depth == 0:
+                break
+            i += 1
+        x, cost, letter = (sql[a + 1 : b].strip() for a, b in zip([at + 4, *cuts], cuts))
+        sql = f"{sql[:at]}(lpad(CAST(least(99999999, CAST(left({x}, 8) AS BIGINT) + {cost}) AS VARCHAR), 8, '0') || substr({x}, 9) || {letter}){sql[i + 1 :]}"
+    return sql
+
+
+CONVERSATION_REPAIR = _inlined(CONVERSATION_REPAIR)
+
+_FEATURES = """SELECT {key}, {hex} AS x, count(*) AS n FROM (
+  SELECT {key}, w, k, unnest(range(1, len(w) - k + 1)) AS i FROM (SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w, unnest(range(3)) AS k FROM {table})
+) GROUP BY ALL"""
+
+
+def _features(table: str, key: str) -> str:
+    return _FEATURES.format(table=table, key=key, upper=_UPPER, lower=_LOWER, hex="hex(encode(array_to_string(list_slice(w, i, i + k), ' ')))")
+
+
+IMPORTANCE_RESAMPLING = f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, text FROM documents),
+df AS MATERIALIZED ({_features("docs", "id")}),
+bf AS MATERIALIZED ({_features("benchmark", "item_id")}),
+x AS MATERIALIZED (SELECT x, {_crc("x")} % 10000 AS b FROM (SELECT x FROM df UNION SELECT x FROM bf)),
+raw AS (SELECT b, sum(n) AS s FROM df JOIN x USING (x) GROUP BY b),
+target AS (SELECT b, sum(n) AS t FROM bf JOIN x USING (x) GROUP BY b),
+al AS (SELECT (SELECT coalesce(sum(s), 0) FROM raw) AS s_all, (SELECT coalesce(sum(t), 0) FROM target) AS t_all),
+g AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(s_all + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(t_all + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM raw LEFT JOIN target USING (b), al),
+w AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM df JOIN x USING (x) JOIN g USING (b) GROUP BY id),
+c AS (SELECT docs.id, doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST('0x' || left(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) AS h FROM docs LEFT JOIN w USING (id)),
+sc AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score, n_features >= 57 AS fit FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS FIRST, n_features, id) AS r, count(*) OVER (PARTITION BY fit) AS fits FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= 5 * fits // 100 THEN CAST(r AS BIGINT) END AS rank FROM o
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from medialoom.llm import bpe, dac, mixing, neardup, oracles, pii, quality, repeats, secrets, tokencount, topk
+from medialoom.llm import bpe, dac, dialogue, mixing, neardup, oracles, pii, quality, repeats, resample, secrets, shards, tokencount, topk
 from medialoom.llm.common import spread
 from medialoom.session import table
 
@@ -61,6 +61,18 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_report(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_uniform_shards(spark, sf_dir):
+    return shards.report(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return dialogue.report(table(spark, sf_dir, "conversations"), damage=True)
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -73,8 +85,18 @@ def queries():
         "op8_secret_scan": op8_secret_scan,
         "op9_topk": op9_topk,
         "op10_quality_rules": op10_quality_rules,
+        "op11_uniform_shards": op11_uniform_shards,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
 def oracle_sql():
-    return {"op3_substring_dedup": oracles.SUBSTRING_DEDUP, "op6_minhash_neardup": oracles.NEAR_DEDUP, "op9_topk": oracles.TOPK, "op10_quality_rules": oracles.QUALITY}
+    return {
+        "op3_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op6_minhash_neardup": oracles.NEAR_DEDUP,
+        "op9_topk": oracles.TOPK,
+        "op10_quality_rules": oracles.QUALITY,
+        "op12_conversation_repair": oracles.CONVERSATION_REPAIR,
+        "op13_importance_resampling": oracles.IMPORTANCE_RESAMPLING,
+    }
