@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
+from medialoom.operators import scan
 
 
 def prefixes(sub: Column) -> Column:
@@ -34,11 +35,13 @@ def children(folders: DataFrame, keys: list[str] = ["lib"]) -> DataFrame:
     return df.withColumn("place", F.row_number().over(order))
 
 
-def listed_folders(folders: DataFrame, media: DataFrame, excludes: list[str], depth: int = 3, limit: int = 2000) -> DataFrame:
-    """Folders of up to `depth` levels with the items in each subtree and whether it is excluded: one prefix aggregate in place of a query a folder."""
+def listed_folders(folders: DataFrame, media: DataFrame, excludes: list[str], depth: int = 3, limit: int | None = None) -> DataFrame:
+    """Folders of up to `depth` levels with the items in each subtree and whether it is excluded: one prefix aggregate in place of a query a folder. limit: none, or how many folders of each library there are at most, the first by path."""
     totals = rollup(folder_counts(media), ["lib"]).select("lib", F.col("folder").alias("rel"), "total")
     out = False
     for x in excludes:
         out = (F.col("rel") == x) | F.startswith("rel", F.lit(x + "/")) | out
-    near = folders.filter(F.size(F.split("rel", "/")) <= depth).orderBy("rel").limit(limit)
+    near = folders.filter(F.size(F.split("rel", "/")) <= depth)
+    if limit is not None:
+        near = scan.places(near, ["lib"], [F.col("rel")], "_place").filter(F.col("_place") <= limit).drop("_place")
     return near.join(totals, ["lib", "rel"], "left").select("lib", "rel", F.coalesce("total", F.lit(0)).alias("items"), (out if excludes else F.lit(False)).alias("excluded"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
+from medialoom.operators import scan
 from medialoom.session import materialised
 
 #: What a new walk overwrites; the other columns of a known path are kept.
@@ -211,19 +212,26 @@ def replace_originals(media: DataFrame, made: DataFrame, now: int) -> DataFrame:
 
 
 def free_names(new: DataFrame, taken: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
-    """new with `name` made free among the names of the same keys (a folder) in `taken` and in new itself: name, stem (1).ext, stem (2).ext, ... in the order given."""
-    turn = F.row_number().over(Window.partitionBy(*keys, "name").orderBy(order))
-    pattern = r" \((\d+)\)(\.[^.]*)?$"
-    plain = F.col("name")
-    have = taken.select(*keys, plain.alias("_plain"), F.lit(0).alias("_n"))
+    """new with `name` made free among the names of the same keys (a folder) in `taken` and in new itself: name, stem (1).ext, stem (2).ext, ... in the order given.
+
+    The rows of one folder and name are numbered t = 0, 1, ...; the numbers in use u, in order, have
+    u - (those below) free ones below them. Row t takes the number t + (in use with at most t free
+    ones below): one more running count, over rows and numbers in use together. All three counts are segmented scans, so a folder of
+    any number of equal names costs no more than others. `order` tells rows apart; the other columns of new stay out of the scans.
+    """
+    group, pattern = [*keys, "_plain"], r" \(([1-9]\d*)\)(\.[^.]*)?$"
+    rows = new.select(*keys, order, F.col("name").alias("_plain"))
+    plain = F.col("name").alias("_plain")
     every = taken.select(*keys, "name").unionByName(new.select(*keys, "name"))  # new ones can have a number too
-    counted = every.select(*keys, F.regexp_replace(plain, pattern, "$2").alias("_plain"), F.regexp_extract(plain, pattern, 1).try_cast("int").alias("_n")).filter("_n is not null")
-    used = have.unionByName(counted).groupBy(*keys, "_plain").agg(F.collect_set("_n").alias("_used"))
-    rows = new.withColumn("_turn", turn).withColumn("_plain", plain).join(used, [*keys, "_plain"], "left")
-    free = F.filter(F.sequence(F.lit(0), F.coalesce(F.size("_used"), F.lit(0)) + F.col("_turn")), lambda i: ~F.coalesce(F.array_contains("_used", i), F.lit(False)))
-    n = F.element_at(free, F.col("_turn"))
-    name = F.when(n == 0, plain).otherwise(F.concat(S.stem_of(plain), F.lit(" ("), n.cast("string"), F.lit(")"), S.suffix_of(plain)))
-    return rows.withColumn("name", name).select(*new.columns)
+    counted = every.select(*keys, F.regexp_replace("name", pattern, "$2").alias("_plain"), F.regexp_extract("name", pattern, 1).try_cast("long").alias("_n")).filter("_n is not null")
+    used = taken.select(*keys, plain, F.lit(0).cast("long").alias("_n")).unionByName(counted)
+    used = used.join(rows.select(*group).distinct(), group, "left_semi").distinct()
+    free = scan.running(used, group, [F.col("_n")], F.lit(1), "_below").select(*group, (F.col("_n") - F.col("_below")).alias("_t"), F.lit(0).alias("_row"), F.lit(None).cast(new.schema[order].dataType).alias(order))
+    turns = scan.running(rows, group, [F.col(order)], F.lit(1), "_t").select(*group, "_t", F.lit(1).alias("_row"), order)
+    both = scan.running(free.unionByName(turns), group, [F.col("_t"), F.col("_row")], 1 - F.col("_row"), "_used").filter("_row = 1")
+    n, old = F.col("_t") + F.col("_used"), F.col("_plain")
+    name = F.when(n == 0, old).otherwise(F.concat(S.stem_of(old), F.lit(" ("), n.cast("string"), F.lit(")"), S.suffix_of(old)))
+    return new.join(both.select(order, name.alias("_name")), order).withColumn("name", F.col("_name")).select(*new.columns)
 
 
 def edited_copies(media: DataFrame, edits: DataFrame, now: int) -> DataFrame:

@@ -37,6 +37,10 @@ NAMED_FILTERS = {
 }
 
 
+#: What the orders look at besides id; any other order is by time.
+SORT_COLUMNS = {"name": ("name",), "name_desc": ("name",), "size": ("bytes",), "size_asc": ("bytes",), "rating": ("rating", "taken", "mtime"), "added": ("added_at",), "shuffle": ()}
+
+
 def sort_keys(sort: str) -> list[Column]:
     """Every order ends with id, so it is total."""
     t, i, name = effective_time(), F.col("id"), S.ascii_lower(F.col("name"))

@@ -1,33 +1,30 @@
-"""Ordered runs: day groups, grid layout, neighbours."""
+"""Ordered runs: day groups, grid layout, neighbours. `part`, where given, is a column within which each is counted (a library, a user); a part of any size is spread over tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
+from medialoom.operators import scan
+
+
+def _keys(part: str | None) -> list[str]:
+    return [part] if part else []
 
 
 def day_runs(listing: DataFrame, order: list[Column], part: str | None = None) -> DataFrame:
-    """Gaps and islands: a new run where the day changes along the order. part: a column within which runs are counted (a library, a user), so that the window is distributed."""
-    w = Window.partitionBy(part).orderBy(*order) if part else Window.orderBy(*order)
+    """Gaps and islands: a new run where the day changes along the order."""
     df = listing.withColumn("day", S.day_key(F.col("ts")))
-    df = df.withColumn("new", (F.coalesce(F.lag("day").over(w), F.lit(-1)) != F.col("day")).cast("int"))
-    df = df.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    keys = [part, "run"] if part else ["run"]
-    return df.groupBy(*keys).agg(F.first("day").alias("day"), F.count("*").alias("items"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return scan.runs(df, _keys(part), order, "day", "ts").withColumnsRenamed({"least": "first_ts", "most": "last_ts"})
 
 
 def grid_layout(runs: DataFrame, columns: int, row_height: int, head_height: int, part: str | None = None, gap: int = 6) -> DataFrame:
     """y of each run: the heights of all runs before it."""
-    w = Window.partitionBy(part).orderBy("run") if part else Window.orderBy("run")
     height = F.lit(head_height) + F.ceil(F.col("items") / columns) * row_height + gap
-    df = runs.withColumn("height", height.cast("long"))
-    return df.withColumn("y", F.coalesce(F.sum("height").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long"))
+    return scan.running(runs.withColumn("height", height.cast("long")), _keys(part), [F.col("run")], F.col("height"), "y")
 
 
 def neighbours(listing: DataFrame, order: list[Column], part: str | None = None, reach: int = 3) -> DataFrame:
     """Each id with the one before and after, and how many stand within reach on either side."""
-    w = Window.partitionBy(part).orderBy(*order) if part else Window.orderBy(*order)
-    cols = [part] if part else []
-    return listing.select(*cols, "id", F.lag("id").over(w).alias("prev_id"), F.lead("id").over(w).alias("next_id"), (F.count("*").over(w.rowsBetween(-reach, reach)) - 1).alias("near"))
+    return scan.beside(listing, _keys(part), order, "id", reach).withColumnsRenamed({"prev": "prev_id", "next": "next_id"})

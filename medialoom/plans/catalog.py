@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from medialoom.functions import images as I
 from medialoom.functions import scalar as S
-from medialoom.operators import folders, library, media as M, sets, storage, timeline, vectors
+from medialoom.operators import folders, library, media as M, scan, sets, storage, timeline, vectors
 from medialoom.plans import adapters as A
 from medialoom.session import shared_dir, table
 
@@ -90,8 +90,9 @@ def media_has_person(spark, sf_dir):
 
 
 def _ranked(df: DataFrame, sort: str, by: str) -> DataFrame:
-    """Place of each item within its library, so that the sort is distributed."""
-    return df.select(by, "id", F.row_number().over(Window.partitionBy(by).orderBy(*M.sort_keys(sort))).alias("place"))
+    """Place of each item within its library, by a scan over range partitions."""
+    need = [c for c in ("taken", "mtime", "name", "bytes", "rating", "added_at") if c in M.SORT_COLUMNS.get(sort, ("taken", "mtime"))]
+    return scan.places(df.select(by, "id", *need), [by], M.sort_keys(sort)).select(by, "id", F.col("place").cast("int").alias("place"))
 
 
 _ORDERS_SQL = {
