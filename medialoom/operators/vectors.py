@@ -5,11 +5,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medialoom.functions import scalar as S
+from medialoom.operators import clustering
 from medialoom.operators import media as M
 from medialoom.operators.library import numbered, reset_models
 from medialoom.session import materialised
@@ -71,11 +73,50 @@ def zero_shot_tags(vectors: DataFrame, vocabulary: list[tuple[str, list[float]]]
     return vectors.select("id", "vec").mapInArrow(run, "id long, tag string, score double, rank int")
 
 
+def sums(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """keys (longs), v (the sum of their vectors) and n, exact to 2**-40, so any order of rows gives the same: components are scaled to whole numbers, of which the low 32 bits and the rest are added up apart. A batch gives one row a key, and these are added up by key. Null vectors are left out, null components count as 0, shorter vectors as filled with zeros."""
+
+    def partial(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column("vec").is_valid())
+            if not batch.num_rows:
+                continue
+            scaled = np.rint(np.nan_to_num(_rows(batch.column("vec"))) * 2.0**40)
+            high = np.floor(scaled / 2.0**32)
+            at: dict[tuple, int] = {}
+            place = np.array([at.setdefault(k, len(at)) for k in zip(*(batch.column(c).to_pylist() for c in keys))])
+            total = np.zeros((len(at), 2, scaled.shape[1]), np.int64)
+            np.add.at(total, place, np.stack([high, scaled - high * 2.0**32], axis=1).astype(np.int64))
+            longest = np.zeros(len(at), np.int64)
+            np.maximum.at(longest, place, np.diff(batch.column("vec").offsets.to_numpy()))
+            named = [pa.array(c, pa.int64()) for c in zip(*at)]
+            both = (pa.array([x[j, :n] for x, n in zip(total, longest)], pa.list_(pa.int64())) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([*named, *both, pa.array(np.bincount(place))], [*keys, "high", "low", "n"])
+
+    def whole(t: pa.Table) -> pa.Table:
+        high, low = (_rows(t.column(c)).sum(axis=0) for c in ("high", "low"))
+        return pa.table([*(t.column(k).slice(0, 1) for k in keys), pa.array([(high * 2.0**32 + low) / 2.0**40]), pa.array([pc.sum(t.column("n")).as_py()])], [*keys, "v", "n"])
+
+    named = ", ".join(f"{k} long" for k in keys)
+    parts = vectors.select(*[F.col(k).cast("long").alias(k) for k in keys], "vec").mapInArrow(partial, f"{named}, high array<long>, low array<long>, n long")
+    return parts.groupBy(*keys).applyInArrow(whole, f"{named}, v array<double>, n long")
+
+
+def _rows(vecs) -> np.ndarray:
+    """Vectors as rows, filled with zeros to the longest; whole numbers stay so."""
+    vecs = vecs.combine_chunks() if isinstance(vecs, pa.ChunkedArray) else vecs
+    sizes = np.diff(vecs.offsets.to_numpy())
+    if len(sizes) and (sizes == sizes[0]).all():
+        return vecs.flatten().to_numpy(zero_copy_only=False).reshape(len(sizes), -1)
+    out = np.zeros((len(vecs), int(sizes.max(initial=0))), np.int64 if pa.types.is_integer(vecs.type.value_type) else float)
+    for i, r in enumerate(vecs.to_pylist()):
+        out[i, : len(r)] = [0 if x is None else x for x in r]
+    return out
+
+
 def centroids(vectors: DataFrame, key: str) -> DataFrame:
-    """Normalised sum of the vectors of each key, exact decimal sums (so any order of rows gives the same). Partial sums go before the shuffle."""
-    parts = vectors.select(key, F.posexplode("vec").alias("pos", "x")).groupBy(key, "pos").agg(F.sum(F.col("x").cast("double").cast("decimal(28,12)")).alias("s"))
-    whole = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda p: p["s"].cast("double")).alias("v"))
-    return whole.select(key, S.l2_normalise(F.col("v")).alias("centroid"))
+    """Normalised sum of the vectors of each key."""
+    return sums(vectors, [key]).select(key, S.l2_normalise(F.col("v")).alias("centroid"))
 
 
 def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
@@ -150,56 +191,25 @@ def encoder(fn):
 
 # ---------------------------------------------------------------- people
 
-def assign(vectors: np.ndarray, known: list[tuple[int, np.ndarray, int]], threshold: float):
-    """Greedy: each vector in turn joins the centre with the largest product over the threshold (known ones win ties), which moves to the running mean; else it begins a new centre. Returns for each vector the index of its centre, known ones first."""
-    dim = vectors.shape[1] if len(vectors) else len(known[0][1]) if known else 0
-    centres = np.zeros((len(known) + len(vectors), dim))
-    counts = np.zeros(len(centres))
-    n = len(known)
-    for i, (_, c, k) in enumerate(known):
-        centres[i], counts[i] = c, k
-    out = []
-    for v in vectors:
-        scores = centres[:n] @ v
-        at = int(scores.argmax()) if n else -1
-        if n and scores[at] > threshold:
-            mean = (centres[at] * counts[at] + v) / (counts[at] + 1)
-            centres[at] = mean / max(float(np.sqrt(mean @ mean)), 1e-8)
-            counts[at] += 1
-        else:
-            at, n = n, n + 1
-            centres[at], counts[at] = v, 1
-        out.append(at)
-    return out
-
+def cluster(faces: DataFrame, people: DataFrame, threshold: float = 0.42, block: str | None = None, batch: int = clustering.BATCH) -> DataFrame:
+    """id and cluster of every face: loose ones join people or each other, in id order; groups of two or more get new ids after the largest, singletons stay NULL; assigned faces never change. Faces whose vector is null or holds a null join nothing.
 
-def cluster(faces: DataFrame, people: DataFrame, threshold: float = 0.42, block: str | None = None) -> DataFrame:
-    """id and cluster of every face: loose ones join people or each other, in id order; groups of two or more get new ids after the largest, singletons stay NULL; assigned faces never change.
-
-    The rule depends on the order, so one block is one task (`block`: a column within which
-    people are told apart, such as a library); its state is people times dimensions.
+    block: a column within which people are told apart, such as a library; by default all faces are one block. A block of any size is spread over tasks (see `clustering`). The frame's `rounds` tells how many it took.
     """
-    blocked = faces.withColumn("_block", F.col(block) if block else F.lit(0))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        own = pdf["cluster"].notna()
-        known = []
-        for c, g in pdf[own].groupby("cluster", sort=True):
-            m = np.stack(g["vec"].to_list()).astype(float).sum(axis=0)
-            known.append((int(c), m / max(float(np.sqrt(m @ m)), 1e-8), len(g)))
-        rest = pdf[~own]
-        at = np.array(assign(np.stack(rest["vec"].to_list()).astype(float) if len(rest) else np.zeros((0, 1)), known, threshold), int)
-        sizes = np.bincount(at, minlength=len(known)) if len(at) else np.zeros(len(known), int)
-        label = [(known[i][0], 0) if i < len(known) else (None, int(i - len(known) + 1)) if sizes[i] > 1 else (None, 0) for i in at]
-        return pd.DataFrame({"block": pdf["_block"].iloc[0], "id": rest["id"].to_numpy(), "cluster": pd.array([x for x, _ in label], "Int64"), "fresh": [y for _, y in label]})
-
-    placed = blocked.select(F.col("_block").cast("long").alias("_block"), "id", "cluster", "vec").groupBy("_block").applyInPandas(run, "block long, id long, cluster long, fresh int")
-    placed = materialised(placed, "clustered")  # read twice below, and the rule is costly
+    own = F.coalesce(F.col(block).cast("long"), F.lit(-(2**63))) if block else F.lit(0).cast("long")
+    faces = faces.select("id", F.col("cluster").cast("long").alias("cluster"), "vec", own.alias("block"))
+    usable = F.col("vec").isNotNull() & ~F.exists("vec", lambda x: x.isNull())
+    known = sums(faces.filter("cluster IS NOT NULL").filter(usable), ["block", "cluster"]).select("block", F.col("cluster").alias("key"), S.l2_normalise(F.col("v")).alias("vec"), "n")
+    loose = faces.filter("cluster IS NULL")
+    found, rounds = clustering.greedy(loose.filter(usable).select("block", "id", "vec"), known, threshold, batch)
+    large = found.filter("fresh").groupBy("block", "key").count().filter("count > 1").select("block", "key")
     top = people.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    new = numbered(placed.filter("fresh > 0").select("block", "fresh").distinct(), [F.col("block"), F.col("fresh")], top)
-    joined = placed.join(new, ["block", "fresh"], "left").select("id", F.coalesce("cluster", "number").alias("cluster"))
-    return faces.filter("cluster IS NOT NULL").select("id", "cluster").unionByName(joined)
+    new = numbered(large, [F.col("block"), F.col("key")], top).withColumn("fresh", F.lit(True))
+    joined = found.join(new, ["block", "key", "fresh"], "left").select("id", F.when(F.col("fresh"), F.col("number")).otherwise(F.col("key")).alias("cluster"))
+    rest = faces.filter(F.col("cluster").isNotNull() | ~usable).select("id", "cluster")
+    out = rest.unionByName(joined)
+    out.rounds = rounds
+    return out
 
 
 def recluster(t: dict[str, DataFrame], threshold: float = 0.42, block: str | None = None) -> dict[str, DataFrame]:

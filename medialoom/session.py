@@ -50,7 +50,16 @@ def materialised(df, what: str):
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def dropped(*frames) -> None:
+    """Deletes what `materialised` wrote for these frames, once nothing reads it any more; other frames are left alone."""
+    for df in frames:
+        if getattr(df, "saved_at", None):
+            remove(df.sparkSession, df.saved_at)
 
 
 def _deleter(spark: SparkSession):

@@ -150,32 +150,6 @@ def test_listing_order_and_columns(spark):
 
 # ---------------------------------------------------------------- people
 
-def greedy(vs, known, threshold):
-    """The rule as a plain loop over lists."""
-    centres, out = [[list(c), n] for _, c, n in known], []
-    for v in vs:
-        scores = [sum(a * b for a, b in zip(c, v)) for c, _ in centres]
-        best = max(range(len(scores)), key=lambda i: (scores[i], -i), default=None)
-        if best is not None and scores[best] > threshold:
-            c, n = centres[best]
-            mean = [(a * n + b) / (n + 1) for a, b in zip(c, v)]
-            length = max(sum(x * x for x in mean) ** 0.5, 1e-8)
-            centres[best] = [[x / length for x in mean], n + 1]
-        else:
-            best = len(centres)
-            centres.append([list(v), 1])
-        out.append(best)
-    return out
-
-
-def test_assign_is_the_loop():
-    rng = np.random.default_rng(1)
-    v = rng.normal(size=(120, 6))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    known = [(7, v[0], 3), (9, v[1], 1)]
-    assert vectors.assign(v[2:], known, 0.6) == greedy(v[2:].tolist(), [(k, c.tolist(), n) for k, c, n in known], 0.6)
-
-
 def test_clustering_rules(spark):
     rows = [(i, None, [1.0, 0.01 * i]) for i in (1, 2, 3)] + [(4, None, [0.0, -1.0]), (5, 6, [-1.0, 0.0]), (6, None, [-1.0, 0.1])]
     faces = spark.createDataFrame(rows, "id long, cluster long, vec array<float>")
