@@ -216,7 +216,8 @@ def write_corpus(docs: DataFrame, folder: str, name: str = "byte_bpe_50k.json",
     docs = documents_of(docs)
     spark = docs.sparkSession
     n = parts_for(spark, text_bytes(docs), PART_BYTES)
-    spread = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
+    # the row's number spreads rows that are equal; their order does not show
+    spread = docs.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id()).repartitionByRange(n, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "text").drop("tie", "row")
 
     def run(batches):
         tok = library_ids(vocabulary(name))

@@ -10,12 +10,15 @@ reached, found by Newton's method on its D numbers), so a domain with few tokens
 them.  They end when a duality gap shows the totals to be within TOLERANCE of the least-squares
 ones; there is no limit on their number.  What nonnegative rates cannot reach is in `missed`.
 The size of the mix (the sum of the targets) is a parameter.  Unless it is given, it grows, by
-GROWTH at most, until the documents most likely of the first domain keep rate 1 or more (but for
-1 - KEPT of their tokens); targets and rates grow alike, so totals match targets at any size.
+`growth` at most, until the documents most likely of the first domain keep rate 1 or more (but for
+1 - `kept` of their tokens); targets and rates grow alike, so totals match targets at any size.
+What growth that needs, what was taken, and the largest rate of any document are in the result;
+where it needs more than `growth`, some of these documents are drawn less than once, and a warning says so.
 
 Distribution.  With tokens as the metric, a rate's path depends on the posterior alone.
 Posteriors are rounded to 1/GRID, so documents fall into a bounded number of cells of the
-simplex ((GRID+1)(GRID+2)/2 for three domains, however many documents).  The cells' tokens are a
+simplex, CELLS at most however many documents there are; more domains get a coarser grid (500
+units for three, 89 for four).  The cells' tokens are a
 distributed sum; they, and once the sample's features, are all that meets at the driver.  A rate
 is replayed from the D-vectors of all steps wherever it is needed; nothing is iterated over
 documents.  The classifier is fitted at the driver on SAMPLE documents of 8 KB at most.
@@ -32,6 +35,7 @@ gives an empty one.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -46,7 +50,17 @@ from medialoom.llm.common import ascii_lower, documents_of, saved, spread, words
 DOMAINS = ("clean", "poor", "toxic")
 #: Shares of tokens in the mix.
 WEIGHTS = {"clean": 0.94, "poor": 0.05, "toxic": 0.01}
-SAMPLE, FEATURES, GRID = 6000, 1 << 16, 500
+SAMPLE, FEATURES = 6000, 1 << 16
+#: Cells of the simplex that the driver takes: 4 MB.
+CELLS = 125_751
+
+
+def grid(d: int) -> int:
+    """Into how many units a posterior of d domains is rounded: 500 at most, and no more than make CELLS cells."""
+    return max(g for g in range(1, 501) if g == 1 or math.comb(g + d - 1, d - 1) <= CELLS)
+
+
+GRID = grid(len(DOMAINS))
 #: Of the sum of the targets.
 TOLERANCE = 1e-4
 #: The part of the first domain's tokens that keeps rate 1 or more, if the mix need not grow by more than GROWTH for it.
@@ -288,20 +302,20 @@ def _step(p: np.ndarray, w: np.ndarray, t: np.ndarray, r: np.ndarray, damp: floa
         m, now = m + size * way, new
 
 
-def _size(p: np.ndarray, n: np.ndarray, rate: np.ndarray) -> float:
-    """By how much the mix must grow for documents that are most likely of the first domain to have rate 1 or more, but for 1 - KEPT of their tokens; GROWTH at most."""
+def _wanted(p: np.ndarray, n: np.ndarray, rate: np.ndarray, kept: float) -> float:
+    """By how much the mix must grow for documents that are most likely of the first domain to have rate 1 or more, but for 1 - kept of their tokens; infinite if it cannot."""
     first = np.flatnonzero(p.argmax(axis=1) == 0)
     if not len(first):
         return 1.0
     order = first[np.argsort(rate[first])]
-    low = rate[order][np.searchsorted(np.cumsum(n[order]), (1 - KEPT) * n[order].sum(), "right")]
-    return float(np.clip(1 / low if low > 0 else GROWTH, 1.0, GROWTH))
+    low = rate[order][np.searchsorted(np.cumsum(n[order]), (1 - kept) * n[order].sum(), "right")]
+    return max(1.0, 1 / float(low)) if low > 0 else math.inf
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, tokens: str | None = None, size: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, p (posterior of DOMAINS), rate, copies (the rate rounded up or down by a hash of doc_id), and, the same on all rows: targets and reached (the domains' expected token totals, wanted and with these rates) and missed (by how much the domain farthest from its share of the tokens misses it).
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, tokens: str | None = None, size: float | None = None, kept: float = KEPT, growth: float = GROWTH) -> DataFrame:
+    """doc_id, n_tokens, p (posterior of DOMAINS), rate, copies (the rate rounded up or down by a hash of doc_id), and, the same on all rows: targets and reached (the domains' expected token totals, wanted and with these rates), missed (by how much the domain farthest from its share of the tokens misses it), growth_wanted and growth_taken (see _wanted; wanted is null where a size is given) and largest_rate (of any document with tokens).
 
-    size: the expected tokens of the mix. If not given, the first domain keeps its expected tokens, and the mix grows from there until its documents stay (see _size).
+    size: the expected tokens of the mix. If not given, the first domain keeps its expected tokens, and the mix grows from there until its documents stay, `growth`-fold at most.
     """
     docs = documents_of(docs, *([tokens] if tokens else []))
     weights = weights or WEIGHTS
@@ -310,13 +324,18 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
     known = saved(posteriors(spread(docs), classifier, tokens), "posteriors")
     cells = saved(known.filter("n_tokens > 0").groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")), "cells")
     p, n = _held(cells, len(DOMAINS))
-    path, grow, missed, targets, reached = Path(), 1.0, None, None, None
+    path, grow, wanted, largest, missed, targets, reached = Path(), 1.0, None, 1.0, None, None, None
     if len(n) and classifier.learned:
         have, want = n @ p, shares / shares.sum()
         natural = have[0] / want[0] if have[0] > 0 and want[0] > 0 else n.sum()
         path, reached = fitted(cells, want * natural, float(n.sum()))
         # Targets, first rates and so all rates grow alike.
-        grow = size / natural if size is not None else _size(p, n, path.replay(p)[0])
+        rates = path.replay(p)[0]
+        wanted = None if size is not None else _wanted(p, n, rates, kept)
+        grow = size / natural if wanted is None else min(wanted, growth)
+        largest = grow * float(rates.max())
+        if wanted is not None and wanted > growth:
+            logging.getLogger(__name__).warning("mixing: the mix would have to grow %.4g-fold for documents of %s to stay, and grows %.4g-fold: some are drawn less than once", wanted, DOMAINS[0], growth)
         targets, reached = want * natural * grow, reached * grow
         got = reached / reached.sum() if reached.sum() > 0 else reached
         missed = round(float(np.abs(got - want).max()), 9)
@@ -330,7 +349,8 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None =
 
     rated = known.mapInArrow(run, "doc_id long, n_tokens long, p array<double>, rate double")
     told = {k: (F.lit(None) if x is None else F.array(*[F.lit(float(y)) for y in x])).cast("array<double>") for k, x in (("targets", targets), ("reached", reached))}
-    return rated.withColumns({"copies": copies(F.col("rate"), F.col("doc_id"))} | told | {"missed": F.lit(missed).cast("double")})
+    one = {"missed": missed, "growth_wanted": wanted, "growth_taken": grow, "largest_rate": largest}
+    return rated.withColumns({"copies": copies(F.col("rate"), F.col("doc_id"))} | told | {k: F.lit(x).cast("double") for k, x in one.items()})
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -339,9 +359,9 @@ def copies(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def resampled(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The documents, each as often as `copies` says, with their own columns."""
-    n = saved(mixed(docs, labels, weights).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
+def resampled(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, **how) -> DataFrame:
+    """The documents, each as often as `copies` says, with their own columns. how: as in `mixed`."""
+    n = saved(mixed(docs, labels, weights, **how).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
     own = [f"c{i}" for i in range(len(docs.columns))]  # the documents' columns can be called anything
     named = docs.toDF(*own)
     joined = named.join(n.hint("merge"), named[own[docs.columns.index("doc_id")]].eqNullSafe(n["doc_id"]))

@@ -17,7 +17,7 @@ def op2_mixing(spark, sf_dir):
     out = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     shares = [F.get("p", F.lit(k)).alias(f"p_{name}") for k, name in enumerate(mixing.DOMAINS)]
     told = [F.get(c, F.lit(k)).alias(f"{c}_{name}") for c in ("targets", "reached") for k, name in enumerate(mixing.DOMAINS)]
-    return out.select("doc_id", "n_tokens", *shares, "rate", "copies", *told, "missed")
+    return out.select("doc_id", "n_tokens", *shares, "rate", "copies", *told, "missed", "growth_wanted", "growth_taken", "largest_rate")
 
 
 def op3_substring_dedup(spark, sf_dir):

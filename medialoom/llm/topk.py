@@ -14,9 +14,10 @@ stated query set, in blocks of bounded size.  Each task returns its own k best o
 and these are ranked.
 
 Defined results: vectors that are null, or hold a null or a component that is not finite, take
-no part; shorter vectors count as filled with zeros; a query has no candidate of its own
-vec_id; rows that repeat a vec_id are separate candidates, and as queries are answered
-together; ties go to the smaller vec_id; null vec_ids take no part; an empty table gives an
+no part; shorter vectors count as filled with zeros; a query's candidates are all rows but
+its own; rows that repeat a vec_id are separate candidates and separate queries, each with
+its own k ranks, repeated rows too; very long vectors are taken whole; columns other than
+vec_id and embedding are not looked at, whatever their names; ties go to the smaller vec_id; null vec_ids take no part; an empty table gives an
 empty one; scores are exact (those that a double might not hold come from Python's integers),
 and count as the ends of a long's range beyond it.
 """
@@ -71,8 +72,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return scores[order], ids[order]
 
 
-def search_shard(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
-    """For each query its k best candidates: lists of (scores, ids)."""
+def search_shard(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
+    """For each query its k best rows, its own one too: lists of (scores, ids)."""
     c_len, q_len = np.sqrt((c * c).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
     order = np.argsort(-c_len, kind="stable")
     c, c_ids, c_len = c[order], c_ids[order], c_len[order]
@@ -103,7 +104,7 @@ def search_shard(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
             near = np.flatnonzero(head + c_rest * q_rest * slack + 1e-6 * q_len[i] * own_len >= least[i])
             parts.append((i, own[near] @ q[i], own_ids[near]))
         for i, scores, ids in parts:
-            keep = (scores >= least[i]) & (ids != q_ids[i])
+            keep = scores >= least[i]
             if keep.any():
                 found[i] = _best(np.concatenate([found[i][0], scores[keep]]), np.concatenate([found[i][1], ids[keep]]), k)
                 if len(found[i][0]) == k:
@@ -111,18 +112,22 @@ def search_shard(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndar
     return found
 
 
-def search_exactly(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
+def _exact(a: list[int], b: list[int]) -> int:
+    return max(-(2**63), min(2**63 - 1, sum(map(operator.mul, a, b))))
+
+
+def search_exactly(q: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
     """The same by Python's integers, where a product need not be exact as a double; scores beyond a long's range count as its ends."""
     rows, found = [list(map(int, v)) for v in c], []
-    for v, i in zip(q, q_ids.tolist()):
+    for v in q:
         own = list(map(int, v))
-        scores = ((max(-(2**63), min(2**63 - 1, sum(map(operator.mul, own, r)))), j) for r, j in zip(rows, c_ids.tolist()) if j != i)
+        scores = ((_exact(own, r), j) for r, j in zip(rows, c_ids.tolist()))
         best = heapq.nsmallest(k, ((-s, j) for s, j in scores))
         found.append(([-s for s, _ in best], np.array([j for _, j in best], np.int64)))
     return found
 
 
-_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_OUT = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("own", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _task(k: int):
@@ -130,15 +135,17 @@ def _task(k: int):
         empty = _OUT.empty_table()
         if not candidates.num_rows or not queries.num_rows:
             return empty
-        width = max(int(pc.max(pc.list_value_length(t.column("v"))).as_py()) for t in (candidates, queries))
-        c, q = _matrix(candidates.column("v"), width), _matrix(queries.column("v"), width)
-        q_ids = queries.column("vec_id").to_numpy()
-        find = search_exactly if float(np.abs(q).sum(axis=1).max()) * float(np.abs(c).max(initial=0)) >= 2**53 else search_shard
-        found = find(q, q_ids, c, candidates.column("vec_id").to_numpy(), k)
+        width = max(int(pc.max(pc.list_value_length(x)).as_py()) for x in (candidates.column("v"), queries.column("w")))
+        c, q = _matrix(candidates.column("v"), width), _matrix(queries.column("w"), width)
+        exactly = float(np.abs(q).sum(axis=1).max()) * max(float(np.abs(c).max(initial=0)), float(np.abs(q).max(initial=0))) >= 2**53
+        own = np.array([_exact(v, v) for v in (list(map(int, x)) for x in q)], np.int64) if exactly else (q * q).sum(axis=1).astype(np.int64)
+        # one more than k: the query's own row is taken out when all shards' lists are together
+        found = (search_exactly if exactly else search_shard)(q, c, candidates.column("vec_id").to_numpy(), k + 1)
         n = [len(ids) for _, ids in found]
         if not sum(n):
             return empty
-        return pa.Table.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate([ids for _, ids in found])), pa.array(np.concatenate([np.asarray(s, np.int64) for s, _ in found]))], schema=_OUT)
+        mine = [np.repeat(x, n) for x in (queries.column("query").to_numpy(), queries.column("query_id").to_numpy(), own)]
+        return pa.Table.from_arrays([*map(pa.array, mine), pa.array(np.concatenate([ids for _, ids in found])), pa.array(np.concatenate([np.asarray(s, np.int64) for s, _ in found]))], schema=_OUT)
 
     return run
 
@@ -154,7 +161,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 5) -> DataFrame:
     mine = lambda n: F.pmod(F.xxhash64("vec_id", "v", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     c = vecs.select("vec_id", "v", mine(shards).alias("shard")).withColumn("block", numbers(blocks))
-    q = vecs.filter(queries).select("vec_id", "v", mine(blocks).alias("block")).withColumn("shard", numbers(shards))
-    near = c.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(_task(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    q = vecs.filter(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"), mine(blocks).alias("block"), F.monotonically_increasing_id().alias("query")).withColumn("shard", numbers(shards))
+    near = c.groupBy("shard", "block").cogroup(q.groupBy("shard", "block")).applyInArrow(_task(k), "query long, query_id long, own long, vec_id long, score long")
+    # Of the rows that score as the query with itself and share its id, one is the query; which does not show.
+    same = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == F.col("own"))
+    near = near.withColumn("same", same).withColumn("turn", F.row_number().over(Window.partitionBy("query", "same").orderBy(F.desc("score"), "vec_id")))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    return near.filter("not same or turn > 1").withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

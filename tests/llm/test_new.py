@@ -281,3 +281,19 @@ def test_features():
 def test_crc_in_sql():
     for text in (b"", b"a", b"3:17", bytes(range(256))):
         assert duckdb.sql(f"SELECT {oracles._crc(f"'{text.hex().upper()}'")}").fetchall()[0][0] == zlib.crc32(text)
+
+
+# ---------------------------------------------------------------- rows that repeat
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_token_files_of_equal_rows(spark, tmp_path, doc_id):
+    """One row 20,000 times: no file holds more than twice the mean, and the corpus reads back whole."""
+    from medialoom.llm import dac
+
+    docs = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("one two").alias("text")).repartition(4)
+    manifest = dac.write_corpus(docs, f"file://{tmp_path}")
+    n = [r["n_docs"] for r in manifest.collect()]
+    assert sum(n) == 20_000 and len(n) > 1 and max(n) <= 2 * sum(n) / 4
+    back = dac.read_corpus(spark, manifest)
+    each = back.agg(F.max("n_tokens")).first()[0]
+    assert back.agg(F.countDistinct("start"), F.max("start")).first()[:] == (20_000, 19_999 * each)

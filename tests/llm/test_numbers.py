@@ -19,9 +19,9 @@ def brute_top(rows, k, every):
     width = max((len(v) for _, v in ok), default=0)
     pad = lambda v: np.concatenate([v, np.array([0] * (width - len(v)), object)])
     out = []
-    for q, v in ok:
+    for n, (q, v) in enumerate(ok):
         if q % every == 0:
-            best = sorted(((-max(-(2**63), min(2**63 - 1, int(pad(v) @ pad(c)))), i) for i, c in ok if i != q))[:k]
+            best = sorted(((-max(-(2**63), min(2**63 - 1, int(pad(v) @ pad(c)))), i) for m, (i, c) in enumerate(ok) if m != n))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
@@ -30,7 +30,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
 
 
-@pytest.mark.parametrize("kind", ["unit", "lengths", "ties", "odd", "few", "huge"])
+@pytest.mark.parametrize("kind", ["unit", "lengths", "ties", "odd", "few", "huge", "repeated", "repeated huge"])
 def test_topk(spark, kind, monkeypatch):
     monkeypatch.setattr(topk, "BUCKET", 16)
     rng = np.random.default_rng(4)
@@ -47,7 +47,9 @@ def test_topk(spark, kind, monkeypatch):
         rows += [(1000, None), (1010, [1.0, None]), (1020, [float("nan")] * 12), (1030, [float("inf")] * 12), (1040, []), (1050, [0.5, -0.25]), (None, [1.0] * 12)]
     if kind == "few":
         rows = rows[:3]
-    if kind == "huge":  # products beyond what doubles hold, and two beyond a long
+    if kind.startswith("repeated"):  # ids that come again, with the same vector or another
+        rows = [(i // 3, v) for i, v in rows[:60]] + rows[:20] + [(10, rows[0][1])] * 9
+    if kind.endswith("huge"):  # products beyond what doubles hold, and two beyond a long
         rows = [(i, [x * 2.0**20 for x in v]) for i, v in rows] + [(2000, [3e38] * 12), (2001, [-3e38] * 12)]
     got = topk.search(frame(spark, rows), F.col("vec_id") % 10 == 0, k=5).collect()
     assert sorted(map(tuple, got)) == brute_top(rows, 5, 10)
@@ -194,6 +196,28 @@ def test_mixing_odd_rows(odd, odd_rows, empty, spark, corpus):
     assert mixing.mixed(empty, labels).count() == 0
 
 
+def test_growth_is_told(corpus, caplog):
+    free = mixing.mixed(*corpus, growth=1e9).collect()
+    r = free[0]
+    assert r["growth_wanted"] == r["growth_taken"] and r["largest_rate"] == pytest.approx(max(x["rate"] for x in free if x["n_tokens"]), abs=1e-8)
+    if r["growth_wanted"] > 1:
+        cut = mixing.mixed(*corpus, growth=1.0).collect()[0]
+        assert cut["growth_taken"] == 1 and cut["growth_wanted"] == r["growth_wanted"] and "have to grow" in caplog.text
+    sized = mixing.mixed(*corpus, size=1e4).collect()[0]
+    assert sized["growth_wanted"] is None and sized["growth_taken"] > 0
+
+
+def test_wanted_growth():
+    p, n = np.array([[0.9, 0.1, 0], [0.8, 0.1, 0.1], [0.1, 0.9, 0]]), np.array([10.0, 90.0, 50.0])
+    assert mixing._wanted(p, n, np.array([0.1, 0.5, 0.01]), 0.95) == 10 and mixing._wanted(p, n, np.array([0.1, 0.5, 0.01]), 0.8) == 2
+    assert mixing._wanted(p, n, np.array([0.0, 2.0, 0.01]), 1.0) == math.inf and mixing._wanted(p[2:], n[2:], np.array([0.1]), 0.9) == 1
+
+
+def test_grids_are_bounded():
+    assert [mixing.grid(d) for d in (2, 3, 4)] == [500, 500, 89]
+    assert all(math.comb(mixing.grid(d) + d - 1, d - 1) <= mixing.CELLS for d in range(2, 60))
+
+
 def test_resampled_keeps_columns(corpus):
     got = mixing.resampled(*corpus)
     assert got.columns == corpus[0].columns and 0 < got.count() < 1500
