@@ -19,11 +19,11 @@ def newest(seen: DataFrame) -> DataFrame:
     return seen.groupBy("path").agg(F.max(F.struct("mtime", *rest)).alias("r")).select(*[F.col("path") if c == "path" else F.col(f"r.{c}") for c in seen.columns])
 
 
-def upsert(old: DataFrame, seen: DataFrame, now: int) -> DataFrame:
-    """Files met by a walk into the media table, by path: known ones by a left join, new ones by an anti join over the same shuffles. A changed size or time resets state; ids of new rows follow the largest, in the order of paths; a path met twice counts once, with its newest row."""
+def upsert(old: DataFrame, seen: DataFrame, now: int, top: int | None = None) -> DataFrame:
+    """Files met by a walk into the media table, by path: known ones by a left join, new ones by an anti join over the same shuffles. A changed size or time resets state; ids of new rows follow the largest (top, where that is known), in the order of paths; a path met twice counts once, with its newest row."""
     seen = newest(seen)
     met = seen.select(F.col("path"), *[F.col(c).alias(f"n_{c}") for c in seen.columns if c != "path"], F.lit(True).alias("n_met"))
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"] if top is None else top
     fresh = numbered(seen.join(old.select("path"), "path", "left_anti"), [F.col("path")], top)
     defaults = {"id": F.col("number"), "rating": F.lit(0), "fav": F.lit(0), "state": F.lit(0), "missing": F.lit(0), "added_at": F.lit(now), "facedone": F.lit(0), "orient": F.lit(1)}
     hit = F.col("n_met").isNotNull()

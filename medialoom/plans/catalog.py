@@ -511,17 +511,17 @@ def image_sizes(spark, sf_dir):
 @query("SELECT sub || '/' || name AS path, bytes + id % 2 AS bytes, 0 AS state, 0 AS missing FROM media WHERE id % 6 <> 0", A.MEDIA_SQL)
 def ingest_stream(spark, sf_dir):
     """A walk's rows taken from an inbox by micro-batches into a versioned table, twice; the second run finds nothing new."""
+    from medialoom.sources.buckets import Buckets
     from medialoom.sources.catalog import Catalog
     from medialoom.streaming.ingest import ingest
 
     root = f"{shared_dir(spark)}/ingest-{uuid.uuid4().hex}"
     walked = _walked(spark, sf_dir)
     walked.write.parquet(f"{root}/inbox")
-    schema = _stored(spark, sf_dir).schema
-    catalog = Catalog(spark, f"{root}/index")
+    media = Buckets(Catalog(spark, f"{root}/index"), "media", _stored(spark, sf_dir).schema, buckets=16)
     for _ in range(2):
-        ingest(spark, f"{root}/inbox", walked.schema, catalog, schema, f"{root}/progress", NOW)
-    return catalog.read("media").select("path", "bytes", "state", "missing")
+        ingest(spark, f"{root}/inbox", walked.schema, media, f"{root}/progress", NOW)
+    return media.read().select("path", "bytes", "state", "missing")
 
 
 from medialoom.plans import more  # noqa: E402, F401  registers its queries

@@ -21,7 +21,8 @@ class Catalog:
         path = jvm.org.apache.hadoop.fs.Path(self.root)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def version(self, name: str) -> tuple[int, str] | None:
+    def pointer(self, name: str) -> tuple[int, dict] | None:
+        """Number and content of the newest pointer."""
         fs, path = self._files()
         at = path(f"{self.root}/{name}/_pointers")
         if not fs.exists(at):
@@ -34,7 +35,19 @@ class Catalog:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return last[0], json.loads(text)["data"]
+        return last[0], json.loads(text)
+
+    def point(self, name: str, number: int, content: dict) -> int:
+        """Commits pointer `number`; fails if another writer took it meanwhile."""
+        fs, path = self._files()
+        out = fs.create(path(f"{self.root}/{name}/_pointers/{number:010d}.json"), False)  # no overwriting: the loser of a race gets an error
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        return number
+
+    def version(self, name: str) -> tuple[int, str] | None:
+        now = self.pointer(name)
+        return now and (now[0], now[1]["data"])
 
     def read(self, name: str, schema: StructType | None = None) -> DataFrame:
         """The current version; columns that the schema has and the data lack come as NULL."""
@@ -53,9 +66,4 @@ class Catalog:
         now = self.version(name)
         number, data = (now[0] + 1 if now else 1), f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{name}/{data}")
-        fs, path = self._files()
-        at = path(f"{self.root}/{name}/_pointers/{number:010d}.json")
-        out = fs.create(at, False)  # no overwriting: the loser of a race gets an error
-        out.write(bytearray(json.dumps({"data": data}).encode()))
-        out.close()
-        return number
+        return self.point(name, number, {"data": data})

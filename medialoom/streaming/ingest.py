@@ -10,17 +10,15 @@ from medialoom.functions import images as I
 from medialoom.functions import scalar as S
 from medialoom.operators import library
 from medialoom.sources import files
-from medialoom.sources.catalog import Catalog
+from medialoom.sources.buckets import Buckets
 
 
-def ingest(spark: SparkSession, inbox: str, schema: StructType, catalog: Catalog, media_schema: StructType, checkpoint: str, now: int) -> None:
-    """Reads walk rows (path, lib, rel, sub, name, ext, bytes, mtime) from Parquet files in an inbox and commits each batch as one snapshot. An upsert by path gives the same table if a batch runs again."""
+def ingest(spark: SparkSession, inbox: str, schema: StructType, table: Buckets, checkpoint: str, now: int) -> None:
+    """Reads walk rows (path, lib, rel, sub, name, ext, bytes, mtime) from Parquet files in an inbox and commits each batch as one version of a bucketed table; a batch writes the buckets of its paths alone. An upsert by path gives the same table if a batch runs again."""
 
     def batch(df: DataFrame, number: int) -> None:
-        old = catalog.read("media", media_schema)
         latest = df.groupBy("path").agg(F.max_by(F.struct(*[c for c in df.columns if c != "path"]), F.col("mtime")).alias("r")).select("path", "r.*")
-        latest = latest.withColumn("kind", S.kind_of_extension(F.col("ext"))).filter(F.col("kind").isNotNull())
-        catalog.commit("media", library.upsert(old, latest, now))
+        table.upsert(latest.withColumn("kind", S.kind_of_extension(F.col("ext"))).filter(F.col("kind").isNotNull()), now)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(inbox)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from medialoom.functions import scalar as S
 from medialoom.operators import folders, library, media as M, sets, storage, vectors
 from medialoom.sources import files
+from medialoom.sources.buckets import Buckets
 from medialoom.sources.catalog import Catalog
 from medialoom.streaming.ingest import ingest, routed, take_uploads
 
@@ -217,9 +218,47 @@ def test_snapshots_and_stream(spark, tmp_path):
     assert tuple(c.read("media", wider).first()) == (1, None)
 
     walked(spark, [("a/1.jpg", 101, 1), ("a/2.jpg", 5, 5)]).write.parquet(f"{tmp_path}/inbox")
+    media = Buckets(c, "bucketed", schema, 8)
     for _ in range(2):
-        ingest(spark, f"{tmp_path}/inbox", walked(spark, [("a/1.jpg", 1, 1)]).schema, c, schema, f"{tmp_path}/progress", 3)
-    assert by_id(c.read("media"), "path") == {1: "a/1.jpg", 2: "a/2.jpg"}
+        ingest(spark, f"{tmp_path}/inbox", walked(spark, [("a/1.jpg", 1, 1)]).schema, media, f"{tmp_path}/progress", 3)
+    assert by_id(media.read(), "path") == {1: "a/1.jpg", 2: "a/2.jpg"}
+
+
+def test_buckets_write_what_changed(spark, tmp_path, monkeypatch):
+    """Equal to the whole-table mutations after each step; only the buckets of what changed are written."""
+    from medialoom.sources import buckets
+
+    monkeypatch.setattr(buckets, "SPAN", 100)
+    schema = frame(spark, item(1)).schema
+    c = Catalog(spark, f"file://{tmp_path}/index")
+    media = Buckets(c, "media", schema, 64)
+    assert media.read().count() == 0 and media.upsert(walked(spark, []), 1) == []
+    files_ = [(f"d{k % 7}/{k}.jpg", k + 1, k) for k in range(500)]
+    assert len(media.upsert(walked(spark, files_), 1)) > 50
+    whole = library.upsert(spark.createDataFrame([], schema), walked(spark, files_), 1)
+    rows = lambda df: sorted(map(tuple, df.select(*schema.names).collect()), key=repr)
+    assert rows(media.read()) == rows(whole)
+    held = media.read()
+    before = rows(held)
+    ten = [(f"d{k % 7}/{k}.jpg", k + 1000, k) for k in range(0, 450, 50)] + [("new/1.jpg", 5, 5)]
+    known = spark.createDataFrame(before, schema)
+    assert 1 <= len(media.upsert(walked(spark, ten), 2)) <= 10  # ten paths: ten buckets at most
+    assert rows(media.read()) == rows(library.upsert(known, walked(spark, ten), 2)) and rows(held) == before
+    assert media.upsert(walked(spark, [x for x in files_ if x[0] not in dict((y[0], y) for y in ten)]), 3) == []  # a rescan that finds nothing new
+    known = spark.createDataFrame(rows(media.read()), schema)
+    some = walked(spark, files_[:490])
+    lib = known.first()["lib"]
+    touched = media.mark_missing(some, lib)
+    assert 1 <= len(touched) <= 11 and rows(media.read()) == rows(library.mark_missing(known, some, lib)) and media.mark_missing(some, lib) == []
+    known = spark.createDataFrame(rows(media.read()), schema)
+    ids = spark.createDataFrame([(3,), (250,), (501,), (9999,)], "id long")
+    stars = lambda df: df.withColumn("rating", F.when(F.col("id").isin(3, 250, 501), 5).otherwise(F.col("rating")).cast("int" if str(schema["rating"].dataType) == "IntegerType()" else "long"))
+    assert 1 <= len(media.change(ids, stars)) <= 3 and rows(media.read()) == rows(stars(known))
+    assert media.change(ids.filter("id = 9999"), stars) == []
+    gone = media.change(ids, lambda df: df.filter(~F.col("id").isin(3, 250, 501)))
+    assert len(gone) <= 3 and media.read().count() == 498
+    media.upsert(walked(spark, [("z/9.jpg", 1, 1)]), 4)
+    assert media.read().agg(F.max("id")).first()[0] == 502  # ids are not given twice
 
 
 def test_routing(spark):
