@@ -12,14 +12,15 @@ from medialoom.session import materialised
 VIDEO_WORTH = 4_000_000
 
 
-def _candidates(media: DataFrame, key: str) -> DataFrame:
+def candidates(media: DataFrame, key: str) -> DataFrame:
+    """Active items that have the key."""
     return media.filter(active() & F.col(key).isNotNull() & (F.lit(True) if key == "hash" else F.col(key) != 0))
 
 
 def duplicate_groups(media: DataFrame, key: str = "hash") -> DataFrame:
     """The groups of two or more active items that share a key (hash: equal files; dhash: equal looks): n, freed (bytes of all but the keeper) and keeper (the largest, then the newest, then the smallest id). What frees most comes first when ordered by (freed descending, key)."""
     best = F.max(F.struct("bytes", "mtime", (-F.col("id")).alias("minus_id")))
-    groups = _candidates(media, key).groupBy(key).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), best.alias("best")).filter("n > 1")
+    groups = candidates(media, key).groupBy(key).agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), best.alias("best")).filter("n > 1")
     return groups.select(key, "n", (F.col("b") - F.col("best.bytes")).alias("freed"), (-F.col("best.minus_id")).alias("keeper"))
 
 
@@ -31,7 +32,7 @@ def duplicates(media: DataFrame, key: str = "hash") -> DataFrame:
     an aggregate over the same key could not be split, one of two shuffles can.
     """
     groups = materialised(duplicate_groups(media, key), "duplicates")
-    out = _candidates(media, key).select(key, "id", "bytes").join(groups.hint("merge"), key)
+    out = candidates(media, key).select(key, "id", "bytes").join(groups.hint("merge"), key)
     return out.select(key, "id", "bytes", (F.col("id") == F.col("keeper")).alias("keep"), "n", "freed")
 
 

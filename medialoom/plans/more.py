@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
-from medialoom.operators import folders, library, media as M, sets, storage, vectors
+from medialoom.operators import folders, library, lookalikes, media as M, sets, storage, vectors
 from medialoom.plans import adapters as A
 from medialoom.plans.catalog import _OVER, _PHOTO_SAVING, _VIDEO_SAVING, NOW, _ranked, query
 from medialoom.session import table
@@ -170,6 +170,20 @@ def near_dup_groups(spark, sf_dir):
     return storage.duplicate_groups(_looked(spark, sf_dir), "dhash")
 
 
+_LOOKS = "media AS (SELECT * EXCLUDE (mtime), mtime % 1000 AS mtime, xor(id % 300 * 123456789012345, CASE WHEN id % 3 = 0 THEN CAST(1 AS BIGINT) << CAST(id % 50 AS INTEGER) ELSE 0 END) AS dhash FROM base)"
+_NEAR = f"""look AS (SELECT DISTINCT dhash AS h FROM media WHERE {A.ACTIVE_SQL} AND dhash <> 0), near AS (SELECT x.h AS a, y.h AS b FROM look x JOIN look y ON x.h <> y.h AND bit_count(xor(x.h, y.h)) <= 2),
+reach AS (SELECT h AS a, h AS b FROM look UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b), looked AS (SELECT a AS dhash, min(b) AS look FROM reach GROUP BY a)"""
+
+
+@query(f"SELECT id, look, count(*) OVER w AS n, CAST(sum(bytes) OVER w - max(bytes) OVER w AS BIGINT) AS freed, row_number() OVER (PARTITION BY look ORDER BY bytes DESC, mtime DESC, id) = 1 AS keep FROM media JOIN looked USING (dhash) WHERE {A.ACTIVE_SQL} WINDOW w AS (PARTITION BY look) QUALIFY n > 1", "RECURSIVE " + _BASE, _LOOKS, _NEAR)
+def look_alikes(spark, sf_dir):
+    """Items whose hashes lie within two bits of each other, or of one that does."""
+    i = F.col("id")
+    flip = F.when(i % 3 == 0, F.element_at(F.array(*[F.lit(1 << k) for k in range(50)]), (i % 50 + 1).cast("int"))).otherwise(F.lit(0))
+    m = A.media(spark, sf_dir).withColumn("dhash", (i % 300 * 123456789012345).bitwiseXOR(flip)).withColumn("mtime", F.col("mtime") % 1000)
+    return lookalikes.look_alikes(m, radius=2).select("id", "look", "n", "freed", "keep")
+
+
 @query(f"SELECT dhash, CAST(sum(bytes) - max(bytes) AS BIGINT) AS freed, CAST(row_number() OVER (ORDER BY sum(bytes) - max(bytes) DESC, dhash) AS INTEGER) AS place FROM media WHERE {A.ACTIVE_SQL} AND dhash <> 0 GROUP BY dhash HAVING count(*) > 1 QUALIFY place <= 100", _BASE, _DHASH)
 def dup_groups_by_freed(spark, sf_dir):
     """The 100 groups whose copies take most."""
