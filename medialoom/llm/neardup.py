@@ -11,7 +11,8 @@ shingles) that borrowed registers depend on few hashes, the estimate is not aske
 on if the sets' sizes alone do not rule the similarity out.  What is left is verified on full
 shingle sets.
 
-Large groups.  Documents with the same set are one node from the start.  Candidates of a band
+Large groups.  Documents with the same set are one node from the start; rows that share a doc_id
+are a node a set, linked in a star.  Candidates of a band
 are not emitted as pairs: in bands of up to HOT documents, those whose estimates link them
 become a star; larger bands become a star without estimates (a looser grouping loses nothing).
 Stars join to clusters, each cluster's sets are brought together in blocks of BLOCK documents,
@@ -20,9 +21,10 @@ documents of a cluster meet in a task, so no link between components is lost.  W
 cluster is quadratic in its blocks (see README for what this means for huge clusters).
 
 Defined results: a null or wordless text has no shingles, is linked with nothing and keeps its
-own id; null doc_ids count as the smallest id and come back null; rows that share a doc_id are
-one node; an empty table gives an empty one; columns other than doc_id and text are not
-looked at.
+own id; null doc_ids count as the smallest id and come back null; rows that share a doc_id, or
+have none, are linked with each other (those with words), however different; repeated rows count once in any comparison; very long texts are
+shingled whole; an empty table gives an empty one; columns other than doc_id and text are not
+looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -108,7 +110,7 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (16 bytes) and registers, for each row."""
+    """doc_id, n_shingles, digest of the set (16 bytes), registers and text_hash, for each row (doc_id, text, text_hash)."""
 
     def run(batches):
         for batch in batches:
@@ -120,9 +122,9 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
                 sizes += map(len, sets)
                 digests += [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
                 regs += [next(rows).tobytes() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "digest", "regs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary()), batch.column(2)], ["doc_id", "n_shingles", "digest", "regs", "text_hash"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, regs binary, text_hash long")
 
 
 def _groups(batches, keys: list[str]):
@@ -352,12 +354,26 @@ def _sets(n: int):
     return run
 
 
+def _same_documents(sigs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(a, b): links between the nodes of rows that share a doc_id, a star for each id; None if no id has two sets."""
+    own = sigs.filter("n_shingles > 0").select("doc_id", "digest", F.xxhash64("digest").alias("h"))
+    multi = saved(own.groupBy("doc_id").agg(F.min("h").alias("first"), F.max("h").alias("last")).filter("first <> last").select("doc_id", "first"), "shared-ids")
+    if multi.isEmpty():
+        return None
+    rows = own.join(multi.hint("merge"), "doc_id").select("doc_id", "digest", (F.col("h") == F.col("first")).alias("centre")).distinct()
+    placed = saved(rows.join(nodes.select("digest", "node").hint("merge"), "digest").select("doc_id", "node", "centre"), "rows-of-shared-ids")
+    centres = placed.filter("centre").groupBy("doc_id").agg(F.min("node").alias("a"))
+    return saved(placed.join(centres.hint("merge"), "doc_id").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "links-of-shared-ids")
+
+
 def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of percent/100 or more) and kept, for each row."""
-    docs = documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID)))
+    docs = documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_NULL_ID))).withColumn("text_hash", F.xxhash64("text"))
     cut = percent / 100 - DEVIATIONS * (percent / 100 * (1 - percent / 100) / M) ** 0.5
     sigs = saved(sketches(spread(docs), shingle), "sketches")
-    nodes = saved(sigs.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles")), "nodes")
+    # One node a set. Its text is that of its smallest doc_id; of rows that share this too, of the smallest hash.
+    own = sigs.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("of"), F.any_value("regs").alias("regs"), F.any_value("n_shingles").alias("n_shingles"))
+    nodes = saved(own.select("digest", "of.*", "regs", "n_shingles", F.monotonically_increasing_id().alias("node")), "nodes")
 
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("regs").substr(i * width + 1, F.lit(width))))
@@ -372,20 +388,28 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     dropped(shared, members)
 
     sizes = saved(clusters.groupBy("component").agg(F.count("*").alias("size")), "sizes")
-    placed = clusters.join(sizes.hint("merge"), "component").select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), (F.col("size") <= BLOCK).alias("small"))
-    # One row a node: of rows that share its doc_id, all have a part in the cluster.
-    texts = saved(docs.join(placed.hint("merge"), "doc_id").select("cluster", "small", F.col("doc_id").alias("node"), "text"), "texts")
-    found = texts.filter("small").select("cluster", "node", "text").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_verified(shingle, percent), "a long, b long")
-    large = texts.filter("not small").select("cluster", "node", "text")
-    if not large.isEmpty():
+    again = saved(sigs.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "text_hash", F.lit(True).alias("again")), "repeated-rows")
+    placed = clusters.join(sizes.hint("merge"), "component").select("node", F.col("component").alias("cluster"), (F.col("size") <= BLOCK).alias("small"))
+    placed = placed.join(nodes.select("node", "doc_id", "text_hash").hint("merge"), "node").join(again.hint("merge"), ["doc_id", "text_hash"], "left")
+    texts = saved(docs.join(placed.hint("merge"), ["doc_id", "text_hash"]).select("cluster", "small", "node", "text", F.coalesce("again", F.lit(False)).alias("again")), "texts")
+    # One row a node: those of rows that are repeated are put together before any shuffle.
+    repeated = texts.filter("again").groupBy("cluster", "small", "node").agg(F.any_value("text").alias("text"))
+    each = texts.filter("not again").drop("again").unionByName(repeated)
+    found = each.filter("small").select("cluster", "node", "text").repartition("cluster").sortWithinPartitions("cluster").mapInArrow(_verified(shingle, percent), "a long, b long")
+    large = each.filter("not small").select("cluster", "node", "text")
+    if not texts.filter("not small").isEmpty():
         big = saved(large.mapInArrow(_sets(shingle), "cluster long, node long, set binary").filter("octet_length(set) > 0"), "large")
         found = union([found, *filter(None, [_linked_by_pivots(big, percent)])])
-    linked = connected_components(found)
+    linked = connected_components(union([found, *filter(None, [_same_documents(sigs, nodes)])]))
 
-    own = nodes.select("digest", "node").join(linked.hint("merge"), "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    # The smallest doc_id of a component's nodes is its id.
+    firsts = saved(linked.join(nodes.select("node", "doc_id").hint("merge"), "node"), "firsts")
+    lowest = saved(firsts.groupBy("component").agg(F.min("doc_id").alias("lowest")), "lowest")
+    reached = firsts.join(lowest.hint("merge"), "component").select("node", "lowest")
+    own = nodes.select("digest", "node", "doc_id").join(reached.hint("merge"), "node", "left").select("digest", F.coalesce("lowest", "doc_id").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "digest").join(saved(own, "components").hint("merge"), "digest", "left")
     component = F.coalesce("component_id", "doc_id")
-    dropped(nodes, clusters, sizes, texts)
+    dropped(nodes, clusters, sizes, texts, again, firsts, lowest)
     return out.select(F.nullif("doc_id", F.lit(_NULL_ID)).alias("doc_id"), "n_shingles", F.nullif(component, F.lit(_NULL_ID)).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 

@@ -8,7 +8,7 @@ words around them are the candidates, their word sequences are compared (96-bit
 words' own 64-bit hashes), the earliest keeps its words, and the windows found earlier
 elsewhere join to maximal exact repeats, which are removed.
 
-Distribution.  Documents are dealt into shards by hash (one shuffle of the text, which the
+Distribution.  Rows are dealt into shards by a hash that includes the row's number, so equal rows spread (one shuffle of the text, which the
 three passes over it share).  A shard sends its distinct window hashes once, sorted, in packs:
 one binary row for each slot of the hash space that it has any in, FAN slots at most, 4 bytes
 a window and one of flags (is a block; occurs twice here).  While the corpus needs no more
@@ -21,8 +21,9 @@ same manner.  No pairs are made anywhere: work and traffic are linear in the wor
 
 Defined results: words are split at space, \\t, \\n, \\v, \\f, \\r; a null text has no words;
 documents with fewer than WINDOW words lose nothing; null doc_ids count as smallest; rows that
-share a doc_id are ordered by shard, then text; an empty table gives an empty one; columns
-other than doc_id and text are not looked at.
+share a doc_id are ordered by shard, then text, so of repeated rows one keeps its words; very
+long texts are taken whole; an empty table gives an empty one; columns other than doc_id and
+text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -402,7 +403,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """For each document: n_words, n_removed, the kept words joined by a space, and the maximal repeats removed (word positions)."""
     docs = documents_of(docs)
     how = layout(docs)
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(how.shards)).cast("int"))
+    # the row's number spreads rows that are equal
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(how.shards)).cast("int"))
     index = dealt.groupBy("shard").applyInArrow(_index(how), _PACK)
     hits = _exchange(index, how, _probe(how.kind), _relay_windows, _relay_hits)
     near = dealt.groupBy("shard").cogroup(hits.groupBy("shard")).applyInArrow(_extend(how), _PACK)

@@ -169,6 +169,34 @@ def test_a_loose_cluster_takes_several_rounds(spark, monkeypatch):
     assert 1 < len(taken) < 6
 
 
+def test_shared_ids_are_linked(spark):
+    """Rows that share a doc_id, or have none, are one document, also over the documents that their texts are near to."""
+    r = random.Random(9)
+    text = lambda: " ".join(f"t{r.randint(0, 10**6)}" for _ in range(30))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(5, a), (5, b), (3, a + " end"), (9, b), (9, c), (12, c), (20, d), (20, d), (21, text()), (21, text())]
+    rows += [(None, text()) for _ in range(40)] + [(None, a[:-1] + "x")] * 30
+    got = neardup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), shingle=4).collect()
+    assert sorted(map(tuple, got), key=order) == sorted(brute_components(rows, 4), key=order)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_one_row_very_often(spark, doc_id, monkeypatch):
+    """One row 20,000 times, beside a near copy: its texts meet as one."""
+    met = []
+    verified = neardup._verified
+    monkeypatch.setattr(neardup, "_verified", lambda *a: met.append(a) or verified(*a))
+    base = " ".join(f"u{k}" for k in range(40))
+    many = spark.range(20_000).selectExpr(f"cast({'null' if doc_id is None else doc_id} as long) as doc_id", f"'{base}' as text")
+    near = spark.createDataFrame([(1, base + " more")], "doc_id long, text string")
+    got = neardup.components(many.unionByName(near), shingle=4)
+    low = 1 if doc_id else None
+    assert got.count() == 20_001 and got.filter(f"not (component_id <=> {low if low else 'null'})").count() == 0 and len(met) == 1
+    out = repeats.remove_repeats(many.unionByName(near))
+    left = out.filter("n_removed < n_words")
+    assert out.count() == 20_001 and out.agg({"n_removed": "sum"}).first()[0] == 20_000 * 40 and left.count() == (2 if doc_id is None else 1)
+
+
 def test_repeated_rows_leave_one(spark):
     base = "one two three four five six seven"
     rows = [(1, base, 0), (1, base, 0), (2, "eight nine ten eleven twelve", 1), (3, "", 2), (3, "", 2), (4, base, 3), (None, "some other words of a null id", 4), (None, "some other words of a null id", 4), (5, "a", 5), (5, None, 5)]
