@@ -14,7 +14,7 @@ from medialoom.functions import scalar as S
 from medialoom.operators import clustering
 from medialoom.operators import media as M
 from medialoom.operators.library import numbered, reset_models
-from medialoom.session import materialised
+from medialoom.session import materialised, ship
 
 # The floors and bands of a search and of tags, and how many hits and tags there are.
 SEARCH_FLOOR, SEARCH_LOW, SEARCH_BAND, SEARCH_LIMIT = 0.20, 0.195, 0.030, 800
@@ -24,18 +24,37 @@ MATRIX_BYTES = 64 * 2**20
 
 
 def search(vectors: DataFrame, query: list[float], floor: float = SEARCH_FLOOR, low: float = SEARCH_LOW, band: float = SEARCH_BAND, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """id, score, rank: nothing if the best is below floor; else what is within band of the best and not below low, the best `limit` of it, best first. vectors: id, vec."""
-    scored = vectors.select("id", S.dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in query])).alias("score"))
+    """id, score, rank: nothing if the best is below floor; else what is within band of the best and not below low, the best `limit` of it, best first. vectors: id, vec. All vectors are read; a stored index (see `pivots`) reads those that can be near."""
+    return within(scores(vectors, np.array(query, float)), floor, low, band, limit)
+
+
+def scores(vectors: DataFrame, query: np.ndarray) -> DataFrame:
+    """id and score: the product of each vector (the shorter length counts) with the query; none for vectors that are null or hold a null."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column(1).is_valid())
+            m = _rows(batch.column(1)).astype(float)[:, : len(query)]
+            score = (np.pad(m, ((0, 0), (0, len(query) - m.shape[1]))) * query).sum(axis=1)  # row by row alike, whatever stands beside it: equal vectors tie
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["id", "score"])
+
+    ship(vectors.sparkSession)
+    ok = vectors.filter(~F.exists("vec", lambda x: x.isNull()))
+    return ok.select(F.col("id").cast("long").alias("id"), "vec").mapInArrow(run, "id long, score double")
+
+
+def within(scored: DataFrame, floor: float, low: float, band: float, limit: int) -> DataFrame:
+    """id, score, rank: the relative cut of a search."""
     top = scored.orderBy(F.desc("score"), "id").limit(limit)  # the cut can only shorten it
     best = F.max("score").over(Window.partitionBy(F.lit(0)))  # over `limit` rows
     kept = top.withColumn("best", best).filter((F.col("best") >= floor) & (F.col("score") >= F.col("best") - band) & (F.col("score") >= low))
     return kept.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
 
 
-def search_library(clip: DataFrame, media: DataFrame, query: list[float], **cut) -> DataFrame:
-    """The listing of the active items that a query finds, with rank and score: inactive ones are out before the cut, so they take no place. clip: media, vec."""
+def search_library(clip, media: DataFrame, query: list[float], **cut) -> DataFrame:
+    """The listing of the active items that a query finds, with rank and score: inactive ones are out before the cut, so they take no place. clip: a table (media, vec), or a PivotIndex of one."""
     ok = media.filter(M.active())
-    hits = search(clip.withColumnRenamed("media", "id").join(ok.select("id"), "id", "left_semi"), query, **cut)
+    hits = search(clip.withColumnRenamed("media", "id").join(ok.select("id"), "id", "left_semi"), query, **cut) if isinstance(clip, DataFrame) else clip.search(query, ok, **cut)
     return hits.join(M.drawn(ok), "id").select("rank", "id", "score", "ts", "fl", "dur", "w", "h").orderBy("rank")
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
 from medialoom.operators import folders, library, lookalikes, media as M, sets, storage, vectors
+from medialoom.operators.pivots import PivotIndex
 from medialoom.plans import adapters as A
 from medialoom.plans.catalog import _OVER, _PHOTO_SAVING, _VIDEO_SAVING, NOW, _ranked, query
-from medialoom.session import table
+from medialoom.session import shared_dir, table
 
 # ---------------------------------------------------------------- scalar functions
 
@@ -122,14 +125,30 @@ def _text_vector(spark, sf_dir) -> list[float]:
     return list(_clip(spark, sf_dir).filter("media = 0").first()["vec"])
 
 
-@query(f"""SELECT CAST(row_number() OVER (ORDER BY s DESC, id) AS INTEGER) AS rank, id, round(s, 9) AS score, ts, dur FROM (SELECT id, coalesce(taken, mtime) AS ts, CAST(round(coalesce(dur, 0)) AS BIGINT) AS dur, list_inner_product(vec::DOUBLE[], (SELECT vec FROM clip WHERE media = 0)::DOUBLE[]) AS s FROM media JOIN clip ON clip.media = id WHERE {A.ACTIVE_SQL})
-QUALIFY s >= max(s) OVER () - 0.5 AND s >= 0.195 ORDER BY s DESC, id LIMIT 800""", A.MEDIA_SQL, _ITEMS)
+_SEARCH = f"""SELECT CAST(row_number() OVER (ORDER BY s DESC, id) AS INTEGER) AS rank, id, round(s, 9) AS score, ts, dur FROM (SELECT id, coalesce(taken, mtime) AS ts, CAST(round(coalesce(dur, 0)) AS BIGINT) AS dur, list_inner_product(vec::DOUBLE[], (SELECT vec FROM clip WHERE media = 0)::DOUBLE[]) AS s FROM media JOIN clip ON clip.media = id WHERE {A.ACTIVE_SQL})
+QUALIFY s >= max(s) OVER () - 0.5 AND s >= 0.195 ORDER BY s DESC, id LIMIT 800"""
+
+
+@query(_SEARCH, A.MEDIA_SQL, _ITEMS)
 def semantic_search(spark, sf_dir):
     """A query vector over the active items alone, the relative cut, and the hits' rows in their rank."""
     hits = vectors.search_library(_clip(spark, sf_dir), A.media(spark, sf_dir), _text_vector(spark, sf_dir), band=0.5)
     return hits.select("rank", "id", F.round("score", 9).alias("score"), "ts", "dur")
 
 
+_INDEXES: dict[tuple[str, str], PivotIndex] = {}
+
+
+@query(_SEARCH, A.MEDIA_SQL, _ITEMS)
+def semantic_search_indexed(spark, sf_dir):
+    """The same through a pivot index, stored once for an application and a folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = PivotIndex.build(_clip(spark, sf_dir).withColumnRenamed("media", "id"), f"{shared_dir(spark)}/index-{uuid.uuid4().hex}")
+    hits = vectors.search_library(_INDEXES[key], A.media(spark, sf_dir), _text_vector(spark, sf_dir), band=0.5)
+    return hits.select("rank", "id", F.round("score", 9).alias("score"), "ts", "dur")
+
+
 @query("""SELECT 'thumb' AS what, id, CAST(row_number() OVER (ORDER BY mtime DESC, id DESC) AS INTEGER) AS place FROM media WHERE state = 0 AND missing = 0 QUALIFY place <= 200 UNION ALL
 SELECT 'face', id, CAST(row_number() OVER (ORDER BY id DESC) AS INTEGER) AS place FROM media WHERE deleted IS NULL AND missing = 0 AND state = 1 AND kind <> 1 AND facedone = 0 QUALIFY place <= 200""", A.MEDIA_SQL)
 def pending_next(spark, sf_dir):
