@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,8 +248,8 @@ def edited_copies(media: DataFrame, edits: DataFrame, now: int) -> DataFrame:
     return media.unionByName(new.select(*[fresh.get(c, F.col(c)).cast(media.schema[c].dataType).alias(c) for c in media.columns]))
 
 
-def backfill_hashes(media: DataFrame, contents: DataFrame) -> DataFrame:
-    """Digests of active items that lack one; contents (path, content) is read for these alone, as the join comes before the digest."""
-    wanted = media.filter(F.col("hash").isNull() & F.col("deleted").isNull() & (F.col("missing") == 0)).select("path")
-    made = contents.join(wanted, "path", "left_semi").select("path", F.sha2("content", 256).alias("_h"))
+def backfill_hashes(media: DataFrame, digests: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Digests of active items that lack one: `digests` maps (path, bytes) of these alone to (path, hash), as `ranges.digests` does; where it gives null, the item goes on lacking one."""
+    wanted = media.filter(F.col("hash").isNull() & F.col("deleted").isNull() & (F.col("missing") == 0)).select("path", "bytes")
+    made = materialised(digests(wanted).select("path", F.col("hash").alias("_h")), "digests")
     return media.join(made, "path", "left").withColumn("hash", F.coalesce("hash", "_h")).select(*media.columns)

@@ -13,6 +13,8 @@ from medialoom.operators.pivots import PivotIndex
 from medialoom.plans import adapters as A
 from medialoom.plans.catalog import _OVER, _PHOTO_SAVING, _VIDEO_SAVING, NOW, _ranked, query
 from medialoom.session import shared_dir, table
+from medialoom.sources import files, ranges
+from medialoom.streaming import ingest
 
 # ---------------------------------------------------------------- scalar functions
 
@@ -415,3 +417,19 @@ def covers_refreshed(spark, sf_dir):
     p = A.people(spark, sf_dir).join(own, "id").join(other, "id", "left")
     p = p.withColumn("cover", F.when(F.col("id") % 2 == 0, F.col("own")).when(F.col("id") % 3 == 0, F.col("other"))).select("id", "name", "hidden", "cover")
     return vectors.refreshed_covers(p, f).select("id", "cover")
+
+
+# ---------------------------------------------------------------- files
+
+@query("SELECT strftime(make_timestamp(doc_id * 432000 * 1000000), '%Y-%m') AS sub, octet_length(encode(text)) AS bytes, sha256(text) AS hash FROM documents WHERE text <> ''")
+def uploads_filed(spark, sf_dir):
+    """Texts as uploads of seven names: routed by date, given free names, written below a root, met by a walk, and digested from the files."""
+    root = f"{shared_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    i = F.col("doc_id")
+    up = table(spark, sf_dir, "documents").filter("text <> ''").select(i.alias("id"), F.concat(F.lit("scan"), (i % 7).cast("string"), F.lit(".jpg")).alias("name"), F.col("text").cast("binary").alias("content"), (i * 432_000).alias("taken"))
+    names = spark.createDataFrame([], "sub string, name string")
+    stored = ingest.take_uploads(up, names, root, NOW)
+    n = stored.agg(F.countDistinct("path")).first()[0]
+    walked = files.walk(spark, root, 1)
+    found = walked.join(ranges.digests(walked.select("path", "bytes")), "path").select("sub", "bytes", "hash")
+    return found.filter(F.lit(n) > 0)

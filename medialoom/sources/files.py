@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from medialoom.functions import images as I
 from medialoom.functions import scalar as S
 from medialoom.session import materialised
+from medialoom.sources import ranges
 
 #: Folders that are never media: the bin, system folders, and names that begin with $.
 SKIPPED = r"(^|/)(\$[^/]*|System Volume Information|\.[^/]*bin|\.trash)(/|$)"
@@ -70,11 +71,16 @@ def browse(spark: SparkSession, folder: str) -> DataFrame:
     return shown.select(F.col("rel").alias("name"), F.concat(F.lit(base + "/"), "rel").alias("path")).orderBy(F.lower("name"), "name")
 
 
+#: What the JVM decodes.
+DECODED = "*.{jpg,jpeg,png,gif,bmp,JPG,JPEG,PNG,GIF,BMP}"
+
+
 def decoded(spark: SparkSession, root: str) -> DataFrame:
-    """path, bytes, exif and the raster (data, height, width, nChannels) of the images below a root that the JVM decodes (JPEG, PNG, GIF, BMP); the raster is NULL for others. Of each file's bytes only the first 128 KB are carried, for its EXIF."""
+    """path, bytes, exif and the raster (data, height, width, nChannels) of the files below a root; the raster is NULL where the JVM does not decode a file (other than JPEG, PNG, GIF, BMP, by extension and content). Of files the first 128 KB are read, for their EXIF, and whole ones only with an extension that is decoded."""
     where = {"recursiveFileLookup": "true"}
-    raw = spark.read.format("binaryFile").options(**where).load(root).select("path", F.col("length").alias("bytes"), S.capped(F.col("content"), 131072).alias("head"))
-    seen = spark.read.format("image").options(**where, dropInvalid="true").load(root).select("image.*")
+    raw = spark.read.format("binaryFile").options(**where).load(root).select("path", F.col("length").alias("bytes"))  # content is not asked for, so it is not read
+    raw = raw.join(ranges.heads(raw), "path")
+    seen = spark.read.format("image").options(**where, dropInvalid="true", pathGlobFilter=DECODED).load(root).select("image.*")
     same = lambda c: F.regexp_replace(c, "^([a-z0-9]+:)/+", "$1/")  # noqa: E731  one reader writes file:/, the other file:///
     joined = raw.withColumn("exif", I.exif("head")).join(seen, same("path") == same("origin"), "left")
     return joined.select("path", "bytes", "exif", "data", "height", "width", "nChannels")

@@ -99,13 +99,6 @@ def test_replaced_not_appended(spark):
     assert sorted(map(tuple, library.upsert_keyed(kv, kv.filter("k = 'b'").withColumn("v", F.lit("3")), ["k"]).collect())) == [("a", "1"), ("b", "3")]
 
 
-def test_hashes_are_filled_in(spark):
-    m = frame(spark, item(1), item(2, hash="known"), item(3, deleted=1))
-    contents = spark.createDataFrame([(f"a/{k}.jpg", b"x") for k in (1, 2, 3)], "path string, content binary")
-    got = by_id(library.backfill_hashes(m, contents), "hash")
-    assert len(got[1]) == 64 and got[2] == "known" and got[3] is None
-
-
 def test_encoder_hook(spark):
     enc = vectors.encoder(lambda texts: [[len(t), 0.0] if t else [0.0, 0.0] for t in texts])
     got = [r["v"] for r in spark.createDataFrame([("abc",), (None,), ("",)], "t string").coalesce(1).select(enc("t").alias("v")).collect()]
