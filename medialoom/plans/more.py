@@ -11,9 +11,11 @@ from medialoom.functions import scalar as S
 from medialoom.operators import folders, library, lookalikes, media as M, sets, storage, vectors
 from medialoom.operators.pivots import PivotIndex
 from medialoom.plans import adapters as A
-from medialoom.plans.catalog import _OVER, _PHOTO_SAVING, _VIDEO_SAVING, NOW, _ranked, query
+from medialoom.plans.catalog import _OVER, _PHOTO_SAVING, _VIDEO_SAVING, NOW, _ranked, _stored, _walked, query
 from medialoom.session import shared_dir, table
 from medialoom.sources import files, ranges
+from medialoom.sources.buckets import Buckets
+from medialoom.sources.catalog import Catalog
 from medialoom.streaming import ingest
 
 # ---------------------------------------------------------------- scalar functions
@@ -433,3 +435,15 @@ def uploads_filed(spark, sf_dir):
     walked = files.walk(spark, root, 1)
     found = walked.join(ranges.digests(walked.select("path", "bytes")), "path").select("sub", "bytes", "hash")
     return found.filter(F.lit(n) > 0)
+
+
+@query("""SELECT lib, count(*) AS items, CAST(sum(bytes) AS BIGINT) AS bytes FROM (SELECT lib, CASE WHEN id % 6 <> 0 THEN bytes + id % 2 ELSE bytes END AS bytes, CASE WHEN id % 10 <> 9 THEN deleted END AS deleted, CASE WHEN id % 10 = 9 OR id % 6 <> 0 THEN 0 ELSE missing END AS missing FROM media WHERE id % 10 <> 9 OR id % 6 <> 0)
+WHERE deleted IS NULL AND missing = 0 GROUP BY lib""", A.MEDIA_SQL)
+def counters_kept(spark, sf_dir):
+    """Items and bytes of each library from counters that followed two commits: a table loaded, then a walk."""
+    old = _stored(spark, sf_dir)
+    media = Buckets(Catalog(spark, f"{shared_dir(spark)}/counted-{uuid.uuid4().hex}"), "media", old.schema, buckets=16)
+    media.replace(old)
+    media.upsert(_walked(spark, sf_dir), NOW)
+    n = media.counts().groupBy("lib").agg(F.sum("total").alias("items"), F.sum("bytes").alias("bytes"))
+    return n.filter("items <> 0")

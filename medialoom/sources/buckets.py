@@ -5,6 +5,9 @@ to a folder of its own and a new manifest that names it for them, so readers kee
 they began with, and a commit costs what its buckets hold, whatever the table does.  The largest id is in the
 manifest, so new rows get ids without a look at the table.  A second table, keys, tells the bucket
 of an id: its parts are ranges of SPAN ids, to which a commit adds the ids that it made; writes by id read the parts of their ids alone.
+
+Counters by library and folder are kept along (see operators.counters) where the table has the columns for them: a commit adds
+the differences between the old and new rows of its buckets, and every COMPACT commits these are added up anew.
 """
 
 from __future__ import annotations
@@ -16,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from medialoom.operators import library
+from medialoom.operators import counters, library
 from medialoom.session import dropped, materialised
 from medialoom.sources.catalog import Catalog
 
 #: Ids of one part of the key table.
 SPAN = 1 << 20
+#: Commits whose differences are read one by one.
+COMPACT = 16
 
 
 class Buckets:
@@ -31,9 +36,10 @@ class Buckets:
         self.catalog, self.spark, self.name, self.schema = catalog, catalog.spark, name, schema
         now = catalog.pointer(name)
         self.buckets = now[1]["buckets"] if now else buckets
+        self.counted = set(counters.COLUMNS) <= set(schema.names)
 
     def _now(self) -> tuple[int, dict]:
-        return self.catalog.pointer(self.name) or (0, {"buckets": self.buckets, "top": 0, "data": {}, "keys": {}})
+        return self.catalog.pointer(self.name) or (0, {"buckets": self.buckets, "top": 0, "data": {}, "keys": {}, "counts": []})
 
     def bucket_of(self, path: Column) -> Column:
         return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
@@ -50,6 +56,20 @@ class Buckets:
         """The current version."""
         return self._rows(self._now()[1])
 
+    def counts(self) -> DataFrame:
+        """lib, sub and the measures of counters.measures of the current version."""
+        return counters.added(self._counts(self._now()[1]["counts"]))
+
+    def _counts(self, held: list[str]) -> DataFrame:
+        kinds = ", ".join(f"{c} long" for c in counters.measures())
+        lib, sub = (self.schema[c].dataType.simpleString() for c in ("lib", "sub"))
+        return self._folders([f"{self.catalog.root}/{self.name}/{f}" for f in held], f"lib {lib}, sub {sub}, {kinds}")
+
+    def replace(self, rows: DataFrame) -> None:
+        """A whole table in place of what there is."""
+        number, manifest = self._now()
+        self._commit(number, manifest, list(range(self.buckets)), rows.select(*self.schema.names))
+
     def _commit(self, number: int, manifest: dict, touched: list[int], rows: DataFrame) -> list[int]:
         """Writes the rows of the touched buckets, and the keys of ids over the manifest's largest, and moves the pointer."""
         if not touched:
@@ -67,7 +87,14 @@ class Buckets:
             made.repartition("span").write.partitionBy("span").parquet(f"{at}-keys")
             for span in self._parts(f"{at}-keys", "span"):
                 keys.setdefault(span, []).append(f"{data}-keys")
-        self.catalog.point(self.name, number + 1, {"buckets": self.buckets, "top": top or manifest["top"], "data": after, "keys": keys})
+        counts = list(manifest["counts"])
+        if self.counted:
+            changed = counters.differences(self._rows(manifest, touched), self._rows({"data": dict.fromkeys(here, data)}))
+            whole = len(counts) >= COMPACT
+            changed = counters.added(self._counts(counts).unionByName(changed)) if whole else changed
+            changed.write.parquet(f"{at}-counts")
+            counts = [f"{data}-counts"] if whole else [*counts, f"{data}-counts"]
+        self.catalog.point(self.name, number + 1, {"buckets": self.buckets, "top": top or manifest["top"], "data": after, "keys": keys, "counts": counts})
         return touched
 
     def _parts(self, folder: str, column: str) -> list[str]:
