@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +49,7 @@ def remove_items(items: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def export_manifest(items: DataFrame, media: DataFrame) -> DataFrame:
-    """Names in the archive of each collection, in order; a name met before gets its id."""
+    """Names in the archive of each collection, in order; a name met before gets its id. With paths and bytes beside them `zips.written` makes the archives."""
     df = items.join(media.filter(F.col("deleted").isNull()).select(F.col("id").alias("media"), "name"), "media")
     order = [F.col("ord"), F.col("added"), F.col("media")]
     again = F.row_number().over(Window.partitionBy("coll", "name").orderBy(*order)) > 1
@@ -68,20 +64,6 @@ def archive_bytes(items: DataFrame, media: DataFrame) -> DataFrame:
     return df.groupBy("coll").agg(F.count("*").alias("entries"), F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("bytes"))
 
 
-def archives(manifest: DataFrame, contents: DataFrame) -> DataFrame:
-    """coll and archive: one stored zip for each collection. manifest: coll, media, entry, position; contents: media, content. A collection's archive is one value, so it must fit in a task."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
-            for name, content in zip(*(pdf.sort_values("position")[c] for c in ("entry", "content"))):
-                z.writestr(zipfile.ZipInfo(name), bytes(content))
-        return pd.DataFrame({"coll": [pdf["coll"].iloc[0]], "archive": [out.getvalue()]})
-
-    met = manifest.join(contents, "media").select("coll", "entry", "position", "content")
-    return met.groupBy("coll").applyInPandas(pack, "coll long, archive binary")
-
-
 def stale_exports(files: DataFrame, now: int, age: int = 3600) -> DataFrame:
     """Of files (path, name, mtime), the exports older than `age` seconds: what a sweep deletes."""
     return files.filter(F.startswith("name", F.lit("export-")) & F.endswith("name", F.lit(".zip")) & (F.col("mtime") < now - age))

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
-from medialoom.operators import folders, library, lookalikes, media as M, sets, storage, vectors
+from medialoom.operators import folders, library, lookalikes, media as M, sets, storage, vectors, zips
 from medialoom.operators.pivots import PivotIndex
 from medialoom.plans import adapters as A
 from medialoom.plans.catalog import _OVER, _PHOTO_SAVING, _VIDEO_SAVING, NOW, _ranked, _stored, _walked, query
-from medialoom.session import shared_dir, table
+from medialoom.session import materialised, shared_dir, table
 from medialoom.sources import files, ranges
 from medialoom.sources.buckets import Buckets
 from medialoom.sources.catalog import Catalog
@@ -447,3 +447,16 @@ def counters_kept(spark, sf_dir):
     media.upsert(_walked(spark, sf_dir), NOW)
     n = media.counts().groupBy("lib").agg(F.sum("total").alias("items"), F.sum("bytes").alias("bytes"))
     return n.filter("items <> 0")
+
+
+@query("SELECT doc_id % 5 AS coll, count(*) AS entries, CAST(sum(76 + 2 * length('p' || doc_id || '.jpg') + octet_length(encode(text))) + 22 AS BIGINT) AS bytes FROM documents WHERE text <> '' GROUP BY 1")
+def archives_written(spark, sf_dir):
+    """Five collections of files, written as stored archives in parts of 100 KB, then put together."""
+    root, i = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}", F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").filter("text <> ''")
+    name = F.concat(F.lit("p"), i.cast("string"), F.lit(".jpg"))
+    stored = materialised(files.stored(docs.select((i % 5).cast("string").alias("sub"), name.alias("name"), F.col("text").cast("binary").alias("content")), root), "stored")
+    member = S.name_of(F.col("path"))
+    manifest = stored.select(S.name_of(S.parent_of(F.col("path"))).cast("long").alias("coll"), member.alias("entry"), F.regexp_extract(member, r"(\d+)", 1).cast("long").alias("position"), "path", "bytes")
+    done = zips.put_together(spark, zips.written(manifest, f"{root}/out", 100_000), f"{root}/out")
+    return done.join(manifest.groupBy("coll").agg(F.count("*").alias("entries")), "coll").select("coll", "entries", "bytes")

@@ -285,14 +285,17 @@ def test_edits_take_free_names(spark):
     assert len(got) == 6 and got[5] == ("p-edited (1).jpg", "a/p-edited (1).jpg", 50, 0, 0) and got[6] == ("q-edited.jpg", "a/q-edited.jpg", 60, 0, 0)
 
 
-def test_archives_hold_the_files(spark):
-    import io
+def test_archives_hold_the_files(spark, tmp_path):
     import zipfile
 
+    from medialoom.operators import zips
+
     items = spark.createDataFrame([(1, 2, 1, 0), (1, 1, 0, 0), (1, 3, 2, 0), (2, 1, 0, 0), (2, 9, 1, 0)], "coll long, media long, ord long, added long")
     m = frame(spark, item(1, name="x.jpg"), item(2, name="x.jpg"), item(3, name="y.jpg", deleted=1), item(9, name="z"))
-    contents = spark.createDataFrame([(i, b"c%d" % i) for i in (1, 2, 3, 9)], "media long, content binary")
-    got = {r["coll"]: zipfile.ZipFile(io.BytesIO(r["archive"])) for r in sets.archives(sets.export_manifest(items, m), contents).collect()}
+    for i in (1, 2, 3, 9):
+        (tmp_path / f"{i}").write_bytes(b"c%d" % i)
+    manifest = sets.export_manifest(items, m).withColumn("path", F.concat(F.lit(f"{tmp_path}/"), F.col("media").cast("string"))).withColumn("bytes", F.lit(2))
+    got = {r["coll"]: zipfile.ZipFile(r["path"].removeprefix("file://")) for r in zips.put_together(spark, zips.written(manifest, f"{tmp_path}/out"), f"{tmp_path}/out").collect()}
     assert {k: [(n, z.read(n)) for n in z.namelist()] for k, z in got.items()} == {1: [("x.jpg", b"c1"), ("x (2).jpg", b"c2")], 2: [("x.jpg", b"c1"), ("z", b"c9")]}
     assert sorted(map(tuple, sets.archive_bytes(items, m).collect())) == [(1, 2, 203), (2, 2, 210)]
     files_ = spark.createDataFrame([("t/export-1.zip", "export-1.zip", 10), ("t/export-2.zip", "export-2.zip", 9000), ("t/a.zip", "a.zip", 1)], "path string, name string, mtime long")
