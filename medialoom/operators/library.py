@@ -176,6 +176,12 @@ def upsert_keyed(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def settings_read(kv: DataFrame, schema: str, defaults: dict) -> DataFrame:
+    """k and the fields of its value v (JSON text) by a schema; a field that is missing, of another type, or in a text that is no JSON has its default."""
+    value = F.from_json("v", schema).alias("_v")
+    return kv.select(F.col("k").alias("_k"), value).select(F.col("_k").alias("k"), *[F.coalesce(F.col(f"_v.{c}"), F.lit(d)).alias(f"_{n}") for n, (c, d) in enumerate(defaults.items())]).toDF("k", *defaults)
+
+
 def replace_faces(faces: DataFrame, media: DataFrame, new: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Faces of the items done are replaced, never appended; these items are marked done, also without faces."""
     out = faces.join(done.select(F.col("id").alias("media")), "media", "left_anti").select(*faces.columns).unionByName(new.select(*faces.columns))

@@ -195,5 +195,9 @@ def backlog(media: DataFrame, clip: DataFrame, what: str) -> DataFrame:
     return ready.join(clip.select(F.col("media").alias("id")), "id", "left_anti")
 
 
-def has_work(media: DataFrame, clip: DataFrame, what: str) -> bool:
-    return not backlog(media, clip, what).isEmpty()
+def work_left(media: DataFrame, clip: DataFrame) -> DataFrame:
+    """One row: whether each pass (thumb, face, clip) has anything left to do. One plan; each probe stops at its first row."""
+    passes = ("thumb", "face", "clip")
+    probes = [backlog(media, clip, w).limit(1).select(F.lit(w).alias("what")) for w in passes]
+    met = probes[0].unionByName(probes[1]).unionByName(probes[2])
+    return met.agg(*[(F.count_if(F.col("what") == w) > 0).alias(w) for w in passes])

@@ -166,8 +166,7 @@ def pending_next(spark, sf_dir):
 
 @query("SELECT (SELECT count(*) FROM media WHERE state = 0 AND missing = 0) > 0 AS thumb, (SELECT count(*) FROM media WHERE deleted IS NULL AND missing = 0 AND state = 1 AND kind <> 1 AND facedone = 0) > 0 AS face, (SELECT count(*) FROM media WHERE deleted IS NULL AND missing = 0 AND state = 1 AND id NOT IN (SELECT media FROM clip)) > 0 AS clip", A.MEDIA_SQL, _ITEMS)
 def work_left(spark, sf_dir):
-    m, clip = A.media(spark, sf_dir), _clip(spark, sf_dir)
-    return spark.createDataFrame([tuple(M.has_work(m, clip, w) for w in ("thumb", "face", "clip"))], "thumb boolean, face boolean, clip boolean")
+    return M.work_left(A.media(spark, sf_dir), _clip(spark, sf_dir))
 
 
 @query(f"""SELECT k AS lib, f AS folder, CAST(n AS BIGINT) AS total, CAST(row_number() OVER (PARTITION BY k, CASE WHEN contains(f, '/') THEN regexp_extract(f, '^(.*)/[^/]*$', 1) ELSE '' END ORDER BY lower(regexp_extract(f, '[^/]*$')), f) AS INTEGER) AS place FROM (
@@ -334,17 +333,20 @@ def folders_excluded(spark, sf_dir):
     return library.with_excludes(t, 1, ["ASIA/", " /EUROPE/FRANCE"])["media"].select("id")
 
 
-@query("SELECT what, n FROM (SELECT 'faces' AS what, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'people', 0 UNION ALL SELECT 'facedone', 0 UNION ALL SELECT 'clip', 0 UNION ALL SELECT 'media_tags', 0 UNION ALL SELECT 'grouped', 0 UNION ALL SELECT 'kept faces', (SELECT count(*) FROM embeddings))")
+_READY = "deleted IS NULL AND missing = 0 AND state = 1"
+
+
+@query(f"""SELECT lib, CAST(count(*) FILTER (kind <> 1) AS BIGINT) AS faces_to_do, count(*) AS clips_to_do, CAST(count(*) FILTER (kind <> 1 AND id NOT IN (SELECT media FROM faces)) AS BIGINT) AS never_seen FROM media WHERE {_READY} GROUP BY lib""", A.MEDIA_SQL, A.PEOPLE_SQL)
 def models_reset(spark, sf_dir):
+    """What each library has to do again when all faces, and all vectors, are forgotten; and what of it no face was ever found in, as groups that are forgotten alone keep their faces."""
     tags, links = A.tags(spark, sf_dir)
     t = {"media": A.media(spark, sf_dir), "faces": A.faces(spark, sf_dir), "people": A.people(spark, sf_dir), "clip": _clip(spark, sf_dir), "media_tags": links}
     faces, tagged, groups = (library.reset_models(t, w) for w in ("faces", "tags", "people"))
-    n = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
-    rows = [n(faces["faces"], "faces"), n(groups["people"], "people"), n(faces["media"].filter("facedone > 0"), "facedone"), n(tagged["clip"], "clip"), n(tagged["media_tags"], "media_tags"), n(groups["faces"].filter("cluster IS NOT NULL"), "grouped"), n(groups["faces"], "kept faces")]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    face = M.backlog(faces["media"], faces["clip"], "face")
+    n = lambda df, name: df.groupBy("lib").agg(F.count("*").alias(name))
+    unseen = face.join(groups["faces"].filter("cluster IS NULL").select(F.col("media").alias("id")), "id", "left_anti")
+    out = n(M.backlog(tagged["media"], tagged["clip"], "clip"), "clips_to_do").join(n(face, "faces_to_do"), "lib", "left").join(n(unseen, "never_seen"), "lib", "left")
+    return out.select("lib", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("faces_to_do", "clips_to_do", "never_seen")])
 
 
 @query("SELECT media_id, name, score FROM (SELECT media_id, t.name, score FROM media_tags m JOIN tags t ON t.id = m.tag_id WHERE media_id % 50 <> 0 UNION ALL SELECT DISTINCT media_id, 'mark ' || (media_id % 7), CAST(0.5 AS DOUBLE) FROM media_tags WHERE media_id % 50 = 0)", A.TAGS_SQL)
@@ -368,10 +370,17 @@ def faces_replaced(spark, sf_dir):
     return n.join(marked.select(F.col("id").alias("media"), F.col("facedone").alias("done")), "media")
 
 
-@query("SELECT user_id AS k, CASE WHEN user_id % 2 = 0 THEN 'new' ELSE 'old' END AS v FROM (SELECT DISTINCT user_id FROM events)")
+@query("""SELECT k, CASE WHEN u % 2 = 0 THEN n ELSE coalesce(CASE WHEN u % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END, -1) END AS k_value, u % 2 = 0 AS renewed FROM (
+SELECT user_id AS u, user_id || '/' || event_type AS k, count(*) AS n, arg_max(props, event_id) AS props FROM events GROUP BY 1, 2)""")
 def settings_upserted(spark, sf_dir):
-    k = table(spark, sf_dir, "events").select(F.col("user_id").alias("k")).distinct()
-    return library.upsert_keyed(k.withColumn("v", F.lit("old")), k.filter("k % 2 = 0").withColumn("v", F.lit("new")), ["k"])
+    """A JSON setting for each user and type of event, the last event's; every other user's renewed; some are no JSON and read as the default."""
+    e = table(spark, sf_dir, "events")
+    u, key = F.col("user_id"), F.concat_ws("/", F.col("user_id").cast("string"), "event_type")
+    each = e.groupBy(u, key.alias("k")).agg(F.max_by("props", "event_id").alias("props"), F.count("*").alias("n"))
+    old = each.select("k", F.when(u % 5 == 0, F.lit("{broken")).otherwise(F.col("props")).alias("v"))
+    new = each.filter(u % 2 == 0).select("k", F.to_json(F.struct(F.col("n").alias("k"), F.lit(True).alias("renewed"))).alias("v"))
+    read = library.settings_read(library.upsert_keyed(old, new, ["k"]), "k long, renewed boolean", {"k": -1, "renewed": False})
+    return read.toDF("k", "k_value", "renewed")
 
 
 # ---------------------------------------------------------------- collections and people

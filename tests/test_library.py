@@ -99,6 +99,12 @@ def test_replaced_not_appended(spark):
     assert sorted(map(tuple, library.upsert_keyed(kv, kv.filter("k = 'b'").withColumn("v", F.lit("3")), ["k"]).collect())) == [("a", "1"), ("b", "3")]
 
 
+def test_settings_are_json(spark):
+    kv = spark.createDataFrame([("a", '{"n": 3, "on": true}'), ("b", "no json"), ("c", '{"n": "x"}'), ("d", None), ("e", '{"n": 2147483648, "more": [1]}')], "k string, v string")
+    got = {r["k"]: (r["n"], r["on"]) for r in library.settings_read(kv, "n int, on boolean", {"n": -1, "on": False}).collect()}
+    assert got == {"a": (3, True), "b": (-1, False), "c": (-1, False), "d": (-1, False), "e": (-1, False)}
+
+
 def test_encoder_hook(spark):
     enc = vectors.encoder(lambda texts: [[len(t), 0.0] if t else [0.0, 0.0] for t in texts])
     got = [r["v"] for r in spark.createDataFrame([("abc",), (None,), ("",)], "t string").coalesce(1).select(enc("t").alias("v")).collect()]
@@ -139,7 +145,7 @@ def test_listing_order_and_columns(spark):
     assert [r["id"] for r in q.listing(m).collect()] == [2, 1] and [r["id"] for r in M.MediaQuery(bin=True).listing(m).collect()] == [3]
     one = M.columnar(q.listing(m).withColumn("pos", -F.col("ts"))).first()
     assert one["id"] == [2, 1] and one["ts"] == [50, 9]
-    assert M.has_work(m, spark.createDataFrame([(1,), (2,)], "media long"), "clip") is False
+    assert M.work_left(m, spark.createDataFrame([(1,), (2,)], "media long")).first()["clip"] is False
 
 
 # ---------------------------------------------------------------- people
