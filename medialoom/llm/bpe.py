@@ -11,8 +11,8 @@ a text is then one look-up a word, and its ids and its decoded text are gathered
 by Arrow.
 
 Defined results: a null text is an empty one (no ids, empty decoded text); empty texts give
-no ids; repeated rows are encoded one by one; an empty table gives an empty one; columns
-other than doc_id and text are not looked at.
+no ids; repeated rows are encoded one by one; very long texts are encoded whole; an empty table
+gives an empty one; columns other than doc_id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -16,7 +16,9 @@ manifest row.  Only manifest rows of successful tasks are committed, so files le
 repeated tasks are never read.
 
 Defined results: a null text is an empty one, so that its only id is the end id; empty table:
-no file, no rows; repeated doc_ids keep one entry a row.
+no file, no rows; repeated doc_ids keep one entry a row, and rows that repeat spread over files; null doc_ids come
+first and back as null; very long texts are encoded whole; columns other than doc_id and text
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations

@@ -28,8 +28,9 @@ the classifier's prior as posterior, and a rate like any other; repeated rows ge
 labels without a document, and null labels, are not used; labelled documents that share a doc_id
 count once (the one with the largest features), as the less clean of their labels; without labelled documents every
 posterior is uniform; without these, or without tokens, all rates are 1, and targets, reached
-and `missed` null; an empty table
-gives an empty one.
+and `missed` null; very long texts count with all their tokens and words; an empty table
+gives an empty one; columns other than doc_id, text and the one named for tokens are not looked
+at, whatever their names (resampled keeps them).
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ a context word of its kind stands within CONTEXT code points before it or after;
 MIN_SCORE go, but base spans start at it, so they stay.
 
 Defined results: a null text is an empty one and has no spans; the same place can hold spans of
-several kinds; repeated rows are judged one by one; an empty table gives an empty one; columns
-other than doc_id and text are not looked at (redacted keeps them).
+several kinds; repeated rows are judged one by one; very long texts are searched whole; an empty
+table gives an empty one; columns other than doc_id and text are not looked at, whatever their
+names (redacted keeps them).
 """
 
 from __future__ import annotations

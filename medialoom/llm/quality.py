@@ -7,7 +7,8 @@ its 3-word windows), also when most windows repeat.
 
 Defined results: a null text is a text without words (n_words 0, base_failed, not kept);
 rows repeated in the input are judged one by one; an empty table gives an empty table;
-columns other than doc_id and text pass through `judged` untouched.
+very long texts are judged whole; columns other than doc_id and text pass through `filtered`
+untouched, whatever their names.
 """
 
 from __future__ import annotations

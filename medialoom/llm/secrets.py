@@ -10,8 +10,9 @@ match is a long run of one character class, the scan is vectorised too.
 Segments are built and used within a task, so the index never moves; there is no shuffle.
 
 Defined results: a null text is an empty one and has no spans; matches of one kind never
-overlap, those of different kinds can; repeated rows are scanned one by one; an empty table
-gives an empty one; columns other than doc_id and text are not looked at.
+overlap, those of different kinds can; repeated rows are scanned one by one; very long texts
+are searched whole; an empty table gives an empty one; columns other than doc_id and text are
+not looked at, whatever their names.
 """
 
 from __future__ import annotations

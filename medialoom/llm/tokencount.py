@@ -13,7 +13,9 @@ of lost or repeated tasks are never read.
 Defined results: a null text is an empty one: 0 tokens; ids after the last end of a file are a
 document that is not ended; an empty file has no documents; a trailing part of an id is an
 error; special strings in a text are ordinary text, so no text holds the end id; repeated rows
-are counted one by one; an empty table gives an empty one.
+are counted one by one; very long texts are encoded whole, and their ids span blocks; an empty
+table gives an empty one; columns other than doc_id and text are not looked at, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def scan_flat(spark: SparkSession, files: DataFrame, end_id: int, width: int = 2
                 with fs.open_input_file(path) as f:
                     ids = np.frombuffer(f.read_at(width * min(block, size - first), width * first), f"<u{width}")
                 ends = first + np.flatnonzero(ids == end_id)
-                yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([block_no], pa.int64()), pa.array([size], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))], ["file", "block", "n_ids", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([uri], pa.string()), pa.array([block_no], pa.int64()), pa.array([size], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(ends, pa.int64()))], ["file", "block", "n_ids", "ends"])
 
     listed = files.select("file").distinct().repartition(n, "file").mapInArrow(sizes, "file string, n_ids long")
     blocks = listed.filter("n_ids > 0").select("file", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_ids") - 1) / block))).alias("block"), "n_ids")
