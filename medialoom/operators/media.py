@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from medialoom.functions import scalar as S
 from medialoom.operators.library import numbered
+from medialoom.operators.textindex import TextIndex
 
 #: Fixed value: how many items a grid asks for.
 LIST_LIMIT = 400_000
@@ -70,6 +71,7 @@ class MediaQuery:
     sort: str = "newest"
     limit: int | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)  # collection_items, faces, tags, media_tags
+    index: TextIndex | None = None  # of the rows and tags: a text search then looks at its candidates alone
 
     def rows(self, media: DataFrame) -> DataFrame:
         df = media.filter(F.col("missing") == 0).filter(F.col("deleted").isNotNull() if self.bin else F.col("deleted").isNull())
@@ -88,6 +90,8 @@ class MediaQuery:
         return df
 
     def _searched(self, df: DataFrame, text: str) -> DataFrame:
+        near = self.index.candidates(text) if self.index is not None else None
+        df = df if near is None else df.join(near, "id", "left_semi")
         hit = F.lit(False)
         for c in ("name", "rel", "camera"):
             if c in df.columns:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from medialoom.functions import scalar as S
 from medialoom.operators import folders, library, lookalikes, media as M, sets, storage, vectors, zips
 from medialoom.operators.pivots import PivotIndex
+from medialoom.operators.textindex import TextIndex
 from medialoom.plans import adapters as A
 from medialoom.plans.catalog import _OVER, _PHOTO_SAVING, _VIDEO_SAVING, NOW, _ranked, _stored, _walked, query
 from medialoom.session import materialised, shared_dir, table
@@ -469,3 +470,20 @@ def archives_written(spark, sf_dir):
     manifest = stored.select(S.name_of(S.parent_of(F.col("path"))).cast("long").alias("coll"), member.alias("entry"), F.regexp_extract(member, r"(\d+)", 1).cast("long").alias("position"), "path", "bytes")
     done = zips.put_together(spark, zips.written(manifest, f"{root}/out", 100_000), f"{root}/out")
     return done.join(manifest.groupBy("coll").agg(F.count("*").alias("entries")), "coll").select("coll", "entries", "bytes")
+
+
+_TEXTS: dict[tuple[str, str], TextIndex] = {}
+
+
+@query(f"""SELECT id, name FROM media WHERE {A.ACTIVE_SQL} AND (name ILIKE '%img_%77%' OR id IN (SELECT media_id FROM media_tags JOIN tags ON tags.id = tag_id WHERE tags.name ILIKE '%img_%77%'))
+UNION SELECT id, name FROM media WHERE {A.ACTIVE_SQL} AND (name ILIKE '%small r%' OR id IN (SELECT media_id FROM media_tags JOIN tags ON tags.id = tag_id WHERE tags.name ILIKE '%small r%'))""", A.MEDIA_SQL, A.TAGS_SQL)
+def media_search_indexed(spark, sf_dir):
+    """Two searches, one with a wildcard, through an index of trigrams that is stored once for an application and a folder."""
+    tags, links = A.tags(spark, sf_dir)
+    m, key = A.media(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TEXTS:
+        _TEXTS[key] = TextIndex(Catalog(spark, f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"), "texts")
+        _TEXTS[key].add(m.select("id", "name"), tags, links)
+    t = {"tags": tags, "media_tags": links}
+    found = [M.MediaQuery(text=x, tables=t, index=_TEXTS[key]).rows(m).select("id", "name") for x in ("IMG_%77", "Small R")]
+    return found[0].unionByName(found[1]).distinct()
