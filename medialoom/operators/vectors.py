@@ -14,7 +14,7 @@ from medialoom.functions import scalar as S
 from medialoom.operators import clustering
 from medialoom.operators import media as M
 from medialoom.operators.library import numbered, reset_models
-from medialoom.session import materialised, ship
+from medialoom.session import dropped, materialised, ship
 
 # The floors and bands of a search and of tags, and how many hits and tags there are.
 SEARCH_FLOOR, SEARCH_LOW, SEARCH_BAND, SEARCH_LIMIT = 0.20, 0.195, 0.030, 800
@@ -144,6 +144,7 @@ def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     Centres go in blocks of MATRIX_BYTES: every vector meets every block, and the best of the blocks
     counts. One block, the usual case, is sent to the executors and costs no shuffle.
     """
+    centres = materialised(centres.select("id", "vec"), "centres")  # read twice or more
     width = centres.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     blocks = max(1, -(-width["n"] * max(width["d"] or 0, 1) * 8 // MATRIX_BYTES))
     out = "id long, centre long, score double"
@@ -157,6 +158,7 @@ def nearest(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 
     if blocks == 1:
         rows = centres.orderBy("id").collect()  # MATRIX_BYTES at most
+        dropped(centres)
         keys, d = np.array([r["id"] for r in rows], np.int64), width["d"] or 0
         shared = vectors.sparkSession.sparkContext.broadcast((keys, _padded([r["vec"] for r in rows], d)))
 

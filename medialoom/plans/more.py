@@ -487,3 +487,11 @@ def media_search_indexed(spark, sf_dir):
     t = {"tags": tags, "media_tags": links}
     found = [M.MediaQuery(text=x, tables=t, index=_TEXTS[key]).rows(m).select("id", "name") for x in ("IMG_%77", "Small R")]
     return found[0].unionByName(found[1]).distinct()
+
+
+@query(f"SELECT id, 'library' AS what FROM media WHERE {A.ACTIVE_SQL} AND lib = (SELECT min(lib) FROM media) UNION ALL SELECT id, 'bin' FROM media WHERE missing = 0 AND deleted IS NOT NULL", A.MEDIA_SQL)
+def media_library_and_bin(spark, sf_dir):
+    """The items of the first library, and those in the bin."""
+    m = A.media(spark, sf_dir)
+    first = m.agg(F.min("lib")).first()[0]
+    return M.MediaQuery(lib=first).rows(m).select("id", F.lit("library").alias("what")).unionByName(M.MediaQuery(bin=True).rows(m).select("id", F.lit("bin").alias("what")))
