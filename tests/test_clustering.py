@@ -46,7 +46,7 @@ def frame(spark, blocks):
     return spark.createDataFrame(rows, "block long, id long, vec array<double>").repartition(5)
 
 
-@pytest.mark.parametrize("batch, candidates, shard, spread", [(7, 1, 3, 0.5), (50, 2, 4096, 0.6), (1000, 8, 5, 0.3), (1, 1, 2, 0.5)])
+@pytest.mark.parametrize("batch, candidates, shard, spread", [(20, 1, 3, 0.5)])
 def test_speculation_is_the_loop(spark, monkeypatch, batch, candidates, shard, spread):
     monkeypatch.setattr(clustering, "SHARD", shard)
     rng = np.random.default_rng(batch)

@@ -42,7 +42,7 @@ def test_ten_commits(spark, tmp_path, monkeypatch):
             media.change(ids, lambda df: df.filter(~hit))
         else:
             media.mark_missing(media.read().filter(F.col("id") % 9 != step).select("path"), media.read().first()["lib"])
-        if step in (0, 3, 6, 9):
+        if step == 9:
             check()
     media.replace(media.read().filter("id < 20"))
     check()

@@ -43,7 +43,7 @@ def test_a_batch_run_twice(spark, tmp_path, place):
     assert sorted((r["id"], r["path"].rpartition("/")[2], r["name"]) for r in libs) == [(1, "one", "one"), (2, "two", "two")]
 
 
-@pytest.mark.parametrize("where", ["staging", "manifest", "renaming", "upsert"])
+@pytest.mark.parametrize("where", ["staging", "renaming"])
 def test_a_batch_that_fails_half_way(spark, tmp_path, place, monkeypatch, where):
     """Whatever step fails, the next run leaves one file and one row each."""
     up, catalog, media = place
