@@ -27,6 +27,8 @@ from medialoom.sources.ranges import PIECE, opened
 PART_BYTES = 256 << 20
 # Fixed values of the format: the first of January 1980 and the flag of names in UTF-8.
 DATE, UTF8 = 0x21, 0x800
+# Bytes of a member's record and of its entry in the directory, without the name, and of the end record; the extra field of a member in zip64.
+MEMBER, ENTRY, END, WIDE = 30, 46, 22, 20
 
 
 @dataclass(frozen=True)
@@ -119,27 +121,28 @@ def _directories(base: str, form: Format):
             last = form.end(n, size, end)
             out.write(last)
             out.close()
-            done.append((now, f"{base}/{file}", size + len(last)))
+            done.append((now, f"{base}/{file}", size + len(last), wide + len(last) - END))
 
         for batch in batches:
             for r in batch.to_pylist():
                 if out is None or r["coll"] != now:
                     if out:
                         closed()
-                    now, file, n, size = r["coll"], f"{uuid.uuid4().hex}.part", 0, 0
+                    now, file, n, size, wide = r["coll"], f"{uuid.uuid4().hex}.part", 0, 0, 0
                     out = at.open_output_stream(f"{top}/{file}")
-                entry = form.entry(r["entry"].encode(), r["crc"], r["bytes"], r["offset"])
+                name = r["entry"].encode()
+                entry = form.entry(name, r["crc"], r["bytes"], r["offset"])
                 out.write(entry)
-                n, size, end = n + 1, size + len(entry), r["offset"] + r["length"]
+                n, size, end, wide = n + 1, size + len(entry), r["offset"] + r["length"], wide + len(entry) - ENTRY - len(name)
         if out:
             closed()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 3, (pa.int64(), pa.string(), pa.int64()))], ["coll", "file", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done) if done else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["coll", "file", "bytes", "zip64"])
 
     return run
 
 
 def written(manifest: DataFrame, folder: str, part_bytes: int = PART_BYTES, form: Format = Format()) -> DataFrame:
-    """manifest: coll, entry, position, path and bytes of each member. Writes the archives' parts below a folder; coll, part (the order), file, offset and bytes of each."""
+    """manifest: coll, entry, position, path and bytes of each member. Writes the archives' parts below a folder; coll, part (the order), file, offset and bytes of each, and how many of these bytes (zip64) are records that only large archives have."""
     spark = manifest.sparkSession
     ship(spark)
     base = (folder if "://" in folder or folder.startswith("file:") else "file://" + folder).rstrip("/")
@@ -148,17 +151,19 @@ def written(manifest: DataFrame, folder: str, part_bytes: int = PART_BYTES, form
     at, top = fs.FileSystem.from_uri(base)
     at.create_dir(top, recursive=True)
     m = manifest.select("coll", "entry", F.col("position").cast("long").alias("position"), "path", F.col("bytes").cast("long").alias("bytes"))
-    length = 30 + F.octet_length("entry") + F.when(F.col("bytes") >= form.limit, 20).otherwise(0) + F.col("bytes")
+    wide = F.when(F.col("bytes") >= form.limit, WIDE).otherwise(0)
+    length = MEMBER + F.octet_length("entry") + wide + F.col("bytes")
     placed = scan.running(m.withColumn("length", length.cast("long")), ["coll"], [F.col("position")], F.col("length"), "offset")
     placed = placed.withColumn("part", F.floor(F.col("offset") / part_bytes))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kinds = "coll long, part long, file string, entry string, position long, bytes long, offset long, length long, crc long"
     members = materialised(placed.repartition(n, "coll", "part").sortWithinPartitions("coll", "part", "offset").mapInArrow(_members(base, form), kinds), "members")
     entries = members.select("coll", "entry", "position", "bytes", "offset", "length", "crc").repartition(n, "coll").sortWithinPartitions("coll", "position")
-    ends = materialised(entries.mapInArrow(_directories(base, form), "coll long, file string, bytes long"), "directories")
-    parts = members.groupBy("coll", "part", "file").agg(F.min("offset").alias("offset"), F.sum("length").alias("bytes"))
+    ends = materialised(entries.mapInArrow(_directories(base, form), "coll long, file string, bytes long, zip64 long"), "directories")
+    parts = members.groupBy("coll", "part", "file").agg(F.min("offset").alias("offset"), F.sum("length").alias("bytes"), F.sum(wide).alias("zip64"))
     last = members.groupBy("coll").agg((F.max("part") + 1).alias("part"), F.max(F.col("offset") + F.col("length")).alias("offset"))
-    return parts.select("coll", "part", "file", "offset", "bytes").unionByName(ends.join(last, "coll").select("coll", "part", "file", "offset", "bytes"))
+    columns = ["coll", "part", "file", "offset", "bytes", "zip64"]
+    return parts.select(*columns).unionByName(ends.join(last, "coll").select(*columns))
 
 
 def put_together(spark: SparkSession, parts: DataFrame, folder: str) -> DataFrame:

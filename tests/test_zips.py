@@ -1,10 +1,13 @@
 """Archives in parts against Python's zipfile."""
 
+import functools
 import zipfile
 
+import duckdb
 import pytest
 
 from medialoom.operators import zips
+from medialoom.plans import catalog
 from medialoom.session import materialised
 
 
@@ -56,3 +59,20 @@ def test_a_changed_member_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="not 2"):
         zips.written(df, f"{tmp_path}/out").count()
     assert zips.written(df.limit(0), f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("limit, many", [(0xFFFFFFFF, 3), (300, 3)])
+def test_the_query_counts_no_zip64_records(spark, tmp_path, monkeypatch, limit, many):
+    """Its SQL has one formula for any number of entries; the archives have the records and open."""
+    docs = spark.createDataFrame([(k, "é" * (k * 11 % 400 + 1)) for k in range(40)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    paths, real = [], zips.put_together
+    monkeypatch.setattr(zips, "written", functools.partial(zips.written, form=zips.Format(limit, many)))
+    monkeypatch.setattr(zips, "put_together", lambda *a: paths.append(real(*a)) or paths[-1])
+    got = sorted(tuple(r) for r in catalog.queries()["archives_written"](spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.sql(catalog.oracle_sql()["archives_written"]).fetchall())
+    for r, (_, entries, size) in zip(sorted(paths[0].collect()), got):
+        with zipfile.ZipFile(r["path"].removeprefix("file://")) as z:
+            assert z.testzip() is None and len(z.namelist()) == entries and r["bytes"] >= size + 76
