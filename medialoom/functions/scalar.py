@@ -116,7 +116,8 @@ def safe_export_name(name: Column) -> Column:
 
 
 def dated_folder(taken: Column, now: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(F.coalesce(taken, now)), "yyyy-MM")
+    """Year and month; years of five digits get no sign."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(F.coalesce(taken, now)), "yyyy-MM"), F.lit("+"))
 
 
 def excludes_list(text: Column) -> Column:

@@ -140,3 +140,9 @@ def test_local_hours_that_come_twice_or_never(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
     utc = lambda *a: int(dt.datetime(*a, tzinfo=dt.timezone.utc).timestamp())
     assert got == [utc(2024, 11, 3, 5, 30), utc(2024, 3, 10, 7, 30), utc(2024, 7, 1, 16)]
+
+
+def test_folders_of_years_of_five_digits(spark):
+    taken = spark.createDataFrame([(599_999 * 432_000,), (epoch(9999, 12, 31, 23),), (epoch(800, 2, 1),), (None,)], "t long")
+    got = [r["x"] for r in taken.coalesce(1).select(S.dated_folder(F.col("t"), F.lit(0)).alias("x")).collect()]
+    assert got == ["10183-09", "9999-12", "0800-02", "1970-01"]
