@@ -47,3 +47,17 @@ def test_without_tags(spark, tmp_path, text):
     index = textindex.TextIndex(Catalog(spark, f"file://{tmp_path}/index"), "texts")
     index.add(media)
     assert [r["id"] for r in MediaQuery(text=text, index=index).rows(media).collect()] == [1]
+
+
+def test_tags_are_stored_once(spark, tmp_path):
+    """Two tags on all items: a link for each, and no item has their trigrams."""
+    media = frame(spark, *[item(k, name=f"n{k:03d}", rel=f"n{k:03d}", path=f"n{k:03d}") for k in range(50)])
+    tags = spark.createDataFrame([(1, "Sunset beach"), (2, "sky"), (3, "of no item")], "id long, name string")
+    links = spark.createDataFrame([(k, t, 0.5) for k in range(60) for t in (1, 2)], "media_id long, tag_id long, score double")
+    catalog = Catalog(spark, f"file://{tmp_path}/index")
+    index = textindex.TextIndex(catalog, "texts")
+    index.add(media, tags, links)
+    (at,) = [p for p in (tmp_path / "index" / "texts").iterdir() if p.name.startswith("v-")]
+    rows = {p.name: spark.read.parquet(f"file://{p}").count() for p in at.iterdir()}
+    assert rows["postings"] == 50 * 2 and rows["links"] == 50 * 2 and rows["names"] == 10 + 1
+    assert index.candidates("sunset b").distinct().count() == 50 and index.candidates("sunset c").count() == 0
