@@ -481,7 +481,7 @@ def _drawn(spark, sf_dir) -> DataFrame:
     def draw(batches):
         import pandas as pd
 
-        for pdf in batches:
+        for pdf in (whole[k : k + I.HELD] for whole in batches for k in range(0, len(whole), I.HELD)):
             out = []
             for i, size in zip(pdf["p_partkey"], pdf["p_size"]):
                 y, x = np.mgrid[0:24, 0 : 16 + int(size)]

@@ -234,3 +234,22 @@ def test_recompression_is_taken_if_smaller(spark, tmp_path):
     assert jvm_decoded(spark, bytes(row["g"])).shape == (32, 32, 3) and jvm_decoded(spark, bytes(row["p"])).shape == (40, 60, 3)
     grey = jvm_decoded(spark, bytes(row["e"]))
     assert np.abs(grey[..., 0] - grey[..., 2]).mean() < 3
+
+
+def test_thumbnails_hold_few_images_of_a_batch(spark):
+    """A batch of any number of images costs Python objects for HELD of them; rows keep their order from piece to piece."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    content = pa.array([I.encode_png(ramp()), *[b"junk" * 10_000] * 1500, I.encode_png(ramp(40))])
+    tracemalloc.start()
+    try:
+        made = I.thumbnail.func(content, pa.array([8] * len(content)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20e6 < content.nbytes and len(made) == len(content) and made.field("w").null_count == 1500
+    assert made[0].as_py()["w"] == 32 and made[1501].as_py()["w"] == 40 and made[700].as_py()["err"]
+    df = spark.createDataFrame([(k, I.encode_png(ramp(20 + k % 150))) for k in range(300)], "id int, c binary").coalesce(1)
+    assert all(r["w"] == 20 + r["id"] % 150 for r in df.select("id", I.thumbnail("c", F.lit(8))["w"].alias("w")).collect())
